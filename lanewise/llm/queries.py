@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_contamination
+from .media import text_as_media
+from .mixing import mix_sources
+from .quality import held_out, score_documents, train
+from .secrets import secret_spans
+from .sharding import assign_shards
 from .simhash import simhash_components
+from .urls import filter_urls
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +25,69 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    line = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.col("base")[i].alias(f"n_{k}") for i, k in enumerate(("assign", "access", "hex"))],
+        F.col("digest").alias("base_sha256"),
+        F.array_join(line, ",").alias("spans"),
+    )
+
+
+def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = text_as_media(table(spark, sf_dir, "documents"))
+    return stored.select(
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_lpt_sharding": op3_lpt_sharding,
+    "op4_url_filter": op4_url_filter,
+    "op5_media_sniffing": op5_media_sniffing,
+    "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_decontamination": op9_decontamination,
+    "op10_nbsvm_quality": op10_nbsvm_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+from .oracles import ORACLE_SQL  # noqa: E402,F401
