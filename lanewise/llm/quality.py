@@ -103,18 +103,29 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float, epoc
 
 
 def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic map, by Newton steps with a small ridge."""
-    t, beta = (y > 0).astype(float), np.array([1.0, 0.0])
-    x = np.column_stack([margins, np.ones(len(margins))])
-    for _ in range(50):
+    """Slope and shift of a logistic map: Newton steps, halved until the loss
+    falls, on smoothed targets and margins scaled to unit spread."""
+    up, down = float((y > 0).sum()), float((y < 0).sum())
+    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    spread = float(margins.std()) or 1.0
+    x = np.column_stack([margins / spread, np.ones(len(margins))])
+    beta = np.array([0.0, float(np.log((up + 1) / (down + 1)))])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-3 * b[0] ** 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - t) + 1e-2 * (beta - [1.0, 0.0])
+        grad = x.T @ (p - t) + np.array([1e-2 * beta[0], 0.0])
         hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = beta - np.clip(step, -2, 2)
+        step, now = np.linalg.solve(hess, grad), loss(beta)
+        while loss(beta - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta - step
         if np.abs(step).max() < 1e-8:
             break
-    return max(1e-3, float(beta[0])), float(beta[1])
+    return max(1e-3, float(beta[0])) / spread, float(beta[1])
 
 
 def fit(rows: list[np.ndarray], labels: list[int], c: float = 1.0, epochs: int = 12, folds: int = 3) -> Model:
