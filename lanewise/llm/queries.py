@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
+from .licenses import scan_licenses
 from .media import text_as_media
 from .mixing import mix_sources
 from .quality import held_out, score_documents, train
@@ -14,6 +15,7 @@ from .secrets import secret_spans
 from .sharding import assign_shards
 from .simhash import simhash_components
 from .urls import filter_urls
+from .warc import derivatives, responses_from_pages
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,25 @@ def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no paths: source, language and thousand of ids stand for folders
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = scan_licenses(table(spark, sf_dir, "documents"), "doc_id", path)
+    return found.select(
+        F.col("id").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), F.array_join("licenses", ",").alias("licenses"),
+        "is_license_file", "effective", "inherited_from",
+    )
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derivatives(responses_from_pages(table(spark, sf_dir, "pages")))
+    return made.select(
+        F.col("key").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_digest",
+        "block_digest", F.octet_length("block").cast("bigint").alias("content_length"), F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -85,6 +106,8 @@ QUERIES = {
     "op3_lpt_sharding": op3_lpt_sharding,
     "op4_url_filter": op4_url_filter,
     "op5_media_sniffing": op5_media_sniffing,
+    "op6_license_scan": op6_license_scan,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_decontamination": op9_decontamination,
     "op10_nbsvm_quality": op10_nbsvm_quality,
