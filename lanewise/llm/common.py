@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once; texts of 100 kB then make 50 MB.
+#: Rows that are unpacked to Python objects at once.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch between an executor and its Python workers.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Set the limit on the bytes of an Arrow batch to ``BATCH_BYTES`` where the
+    session has the default of 64 MiB, which every task holds several times."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(key, f"{BATCH_BYTES}b")
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with small batches."""
+    small_batches(df)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once a task and
     returns the function that is applied to slices of ``BATCH_ROWS`` rows."""
@@ -43,7 +59,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 yield apply(batch.slice(at, BATCH_ROWS))
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

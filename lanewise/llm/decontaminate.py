@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_batches, utf8
+from .common import BATCH_ROWS, map_batches, map_rows, utf8
 
 #: Bytes to what they are as part of a word: A-Z lower-cased, else a space.
 NORMAL = bytes(
@@ -194,7 +194,7 @@ def drop_contaminated(
                     clean = [not scanner.scan(words(t) if t else []) for t in utf8(batch.column(at))]
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run, docs.schema)
     return docs
 
 

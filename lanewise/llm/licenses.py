@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, map_rows
 
 # SPDX identifiers and notices that stand for them.
 TEMPLATES = (
@@ -115,7 +115,7 @@ def document_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, int
                 df.update({p for a, b in zip(found, found[1:]) if a in words and (p := f"{a} {b}") in pairs})
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
-    found = files.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = map_rows(files.select(F.col(text_col).cast("string").alias("text")), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r["term"]: r["n"] for r in found}
     return df, df.pop("", 0)
 

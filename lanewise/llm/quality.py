@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_batches, utf8
+from .common import BATCH_ROWS, map_batches, map_rows, utf8
 
 BITS = 18
 #: Byte classes: A upper, a lower, 0 digit, u beyond ASCII; white space and marks stay.
@@ -211,4 +211,4 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", least: f
                 batch = whole.slice(k, BATCH_ROWS)
                 yield batch.filter(pa.array([m.score(features(t)) >= least for t in utf8(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
