@@ -1,0 +1,139 @@
+"""Secrets, decontamination and licenses."""
+
+import hashlib
+import re
+
+from lanewise.llm import decontaminate as D
+from lanewise.llm import licenses as L
+from lanewise.llm import secrets as X
+
+
+def test_secret_query_against_brute_force(spark, data, small):
+    from lanewise.llm.queries import op2_secret_scan
+
+    got = {r.doc_id: r for r in op2_secret_scan(spark, data).collect()}
+    assert len(got) == len(small)
+    for doc, text in small:
+        spans = []
+        for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+            if len(m[2]) >= 6:
+                spans.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+        for rank, (kind, pattern, least) in enumerate((("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24)), 1):
+            spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[0]) >= least]
+        line = ",".join(s for _, _, s in sorted(spans))
+        r = got[doc]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert set(filter(None, line.split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def spans_of(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    return [r.spans for r in X.secret_spans(df).orderBy("id").collect()]
+
+
+def test_random_strings_are_added_and_known_ones_left(spark):
+    key = "xK9fQ2vLpT7mWz4RbN8sYc3HdJ6g"
+    random, sha, uuid, word, number = spans_of(
+        spark, f"use {key} here", "digest " + "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "id 123e4567-e89b-12d3-a456-426614174000",
+        "path/to/the/internationalization/configuration", "20240101-20240202-20240303-1",
+    )
+    assert [(s.kind, s.secret) for s in random] == [("random", key)]
+    assert not sha and not uuid and not word and not number
+
+
+def test_failing_assign_still_consumes_text(spark):
+    (spans,) = spans_of(spark, "secret=token:abcdefgh PASSWORD = 'abc123' paßword=abcdef12 toKen=abcdef12")
+    assert [(s.kind, s.secret) for s in spans] == [("assign", "PASSWORD = 'abc123"), ("assign", "toKen=abcdef12")]
+
+
+def test_secret_edge_cases(docs, rows, none):
+    got = X.secret_spans(docs).collect()
+    assert len(got) == len(rows)
+    assert all(not r.spans and r.base == [0, 0, 0] for r in got)
+    assert X.secret_spans(none).count() == 0
+
+
+ITEMS = [(10, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (9, "Short, ITEM!"), (8, None), (7, "..."), (None, "quick brown fox")]
+
+
+def test_decontamination_windows_and_original_offsets(spark):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    text = "É: a Short -- item, then ALPHA beta.gamma delta epsilon zeta eta theta iota KAPPA!"
+    docs = spark.createDataFrame([(1, text), (2, "shorts item short  item2"), (3, "a quick brown fox")], "doc_id bigint, text string")
+    for block in (32 << 20, 40):  # one block, several
+        a, b, c = D.find_contamination(docs, items, block_bytes=block).orderBy("id").collect()
+        assert (a.n_words, a.n_hit, a.items) == (15, 12, ["10", "9"])
+        assert [text[s.start : s.end] for s in a.spans] == ["Short -- item", "ALPHA beta.gamma delta epsilon zeta eta theta iota KAPPA"]
+        assert (b.n_hit, b.items, c.n_hit) == (0, [], 0)
+        assert [r.doc_id for r in D.drop_contaminated(docs, items, block_bytes=block).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_decontamination_edge_cases(spark, docs, rows, none):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    no_items = items.where("false")
+    got = D.find_contamination(docs, items).collect()
+    assert len(got) == len(rows) and all(r.n_hit == 0 for r in got)
+    assert D.find_contamination(docs, no_items).count() == len(rows)
+    assert D.find_contamination(none, items).count() == 0
+    kept = D.drop_contaminated(docs, no_items)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+FILES = [
+    (1, "app/LICENSE", "Released under the MIT License."),
+    (2, "app/src/main.py", "# Licensed under the Apache License, Version 2.0.\nprint(1)\n" * 1 + "x = 1\n" * 20),
+    (3, "app/src/util.py", "y = 2\n"),
+    (4, "app/src/deep/a/b.py", None),
+    (5, "app/lib/COPYING", "This work is licensed under the GNU General Public License, version 3.\n" + "filler words here\n" * 30),
+    (6, "app/lib/x.py", ""),
+    (7, "other/x.py", "the license of words is a permission to talk about anything at all in a long sentence"),
+    (8, None, "nothing"),
+    (8, None, "nothing"),
+    (9, "LICENSES.md", "no notice"),
+]
+
+
+def test_licenses_and_inheritance(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.createDataFrame(FILES, "id bigint, p string, text string")
+    got = {r.id: r for r in L.scan_licenses(files, "id", F.col("p")).collect()}
+    assert [(got[i].license, got[i].effective, got[i].inherited_from) for i in (1, 2, 3, 4, 5, 6)] == [
+        ("MIT", "MIT", None), ("Apache-2.0", "Apache-2.0", None), (None, "MIT", "app/LICENSE"), (None, "MIT", "app/LICENSE"),
+        ("GPL-3.0", "GPL-3.0", None), (None, "GPL-3.0", "app/lib/COPYING"),
+    ]
+    assert got[7].effective is None and got[8].effective is None and not got[2].is_license_file
+    assert L.scan_licenses(files, "id", F.col("p")).count() == len(FILES)
+    assert L.scan_licenses(files.where("false"), "id", F.col("p")).count() == 0
+
+
+def test_license_query_against_brute_force(spark, data, small):
+    """Cosines by dense vectors over all segments, inheritance by walking up."""
+    import math
+
+    from lanewise.llm.queries import op6_license_scan
+
+    got = {r.doc_id: r for r in op6_license_scan(spark, data).collect()}
+    texts = dict(small)
+    df = {t: sum(t in L.terms(x) for x in texts.values()) for t in L.VOCABULARY}
+    n = len(texts)
+    idf = lambda t: math.log((1 + n) / (1 + df.get(t, 0))) + 1
+
+    def cosine(a, b):
+        va, vb = ({t: (1 + math.log(c)) * idf(t) for t, c in L.terms(x).items()} for x in (a, b))
+        dot = sum(w * vb.get(t, 0) for t, w in va.items())
+        return dot / math.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
+
+    for doc, text in small:
+        best = max(((cosine(s, t), -k) for s in L.segments(text) for k, (_, t) in enumerate(L.TEMPLATES)), default=(0, 0))
+        want = L.TEMPLATES[-best[1]][0] if best[0] >= L.LEAST else None
+        assert got[doc].license == want
+        folder, above = got[doc].path.rpartition("/")[0], None
+        while want is None and above is None:
+            held = [r for r in got.values() if r.is_license_file and r.path.rpartition("/")[0] == folder]
+            above = min(held, key=lambda r: r.path) if held else None
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        assert got[doc].effective == (want or (above.license if above else None))
