@@ -48,53 +48,43 @@ def mean_neighbour_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.mean_neighbour_rank(A.edges(spark, sf_dir)).withColumn("mean_rank", rounded("mean_rank"))
 
 
-# Spreading needs distances, so it runs on a lattice of the order keys: a row of
-# 40 junctions for every 40 orders, roads to the right and down.
-_LATTICE = """, lattice AS (
-  SELECT o_orderkey * 2 AS edge_id, o_orderkey AS u, o_orderkey + 1 AS v FROM orders WHERE o_orderkey < 1600 AND o_orderkey % 40 <> 39
-  UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, o_orderkey + 40 FROM orders WHERE o_orderkey < 1560
-), painted AS (SELECT edge_id, CAST(edge_id % 4 AS INTEGER) AS rung FROM lattice WHERE edge_id % 97 = 0)"""
-_REACH = """, lends AS (SELECT edge_id, u AS node FROM lattice UNION SELECT edge_id, v FROM lattice),
+_PAINTED = ", painted AS (SELECT t.edge_id, t.level AS rung FROM today t JOIN edges e USING (edge_id))"
+_REACH = """, lends AS (SELECT edge_id, u AS node FROM edges UNION SELECT edge_id, v FROM edges),
 ladj AS (SELECT DISTINCT a.edge_id, b.edge_id AS other FROM lends a JOIN lends b ON a.node = b.node AND a.edge_id <> b.edge_id),
 bfs(edge_id, rung, hops) AS (
-  SELECT edge_id, rung, 0 FROM painted UNION SELECT l.other, b.rung, b.hops + 1 FROM bfs b JOIN ladj l ON l.edge_id = b.edge_id WHERE b.hops < 12
+  SELECT edge_id, rung, 0 FROM painted UNION SELECT l.other, b.rung, b.hops + 1 FROM bfs b JOIN ladj l ON l.edge_id = b.edge_id WHERE b.hops < 8
 ), reach AS (SELECT edge_id, rung, min(hops) AS hops FROM bfs GROUP BY 1, 2),
 claims AS (SELECT edge_id, rung, hops, greatest(rung - CASE WHEN hops <= 1 THEN 0 ELSE hops - 1 END, 0) AS level FROM reach)"""
 _SPREAD = """ SELECT e.edge_id, CASE coalesce(p.rung, c.level, 0) WHEN 0 THEN 25E0 WHEN 1 THEN 55E0 WHEN 2 THEN 85E0 ELSE 105E0 END AS weight,
   CASE WHEN p.rung IS NOT NULL THEN 0 WHEN c.hops IS NULL THEN 3 WHEN c.hops = 1 THEN 1 ELSE 2 END AS method, CAST(coalesce(c.hops, -1) AS INTEGER) AS hops
-  FROM lattice e LEFT JOIN painted p ON p.edge_id = e.edge_id LEFT JOIN (
+  FROM edges e LEFT JOIN painted p ON p.edge_id = e.edge_id LEFT JOIN (
     SELECT edge_id, arg_max(level, {order}) AS level, min(hops) AS hops FROM claims GROUP BY edge_id) c ON c.edge_id = e.edge_id"""
 
 
-def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
-    right = o.where("k < 1600 AND k % 40 <> 39").selectExpr("k * 2 AS edge_id", "k AS u", "k + 1 AS v")
-    return right.unionByName(o.where("k < 1560").selectExpr("k * 2 + 1 AS edge_id", "k AS u", "k + 40 AS v"))
+def _painted(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    return A.today(spark, sf_dir).join(e, "edge_id", "left_semi").select("edge_id", F.col("level").alias("rung"))
 
 
-def _painted(edges: DataFrame) -> DataFrame:
-    return edges.where("edge_id % 97 = 0").select("edge_id", (F.col("edge_id") % 4).cast("int").alias("rung"))
-
-
-@query("".join(x for x in (_LATTICE, _REACH, _SPREAD.format(order="-hops * 10 + rung"))), ("weights",))
+@query(_PAINTED + _REACH + _SPREAD.format(order="-hops * 10 + rung"), ("edges", "today"))
 def spread_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lattice(spark, sf_dir)
-    return G.spread(e, _painted(e), most_hops=12)
+    e = A.edges(spark, sf_dir)
+    return G.spread(e, _painted(spark, sf_dir, e), most_hops=8)
 
 
-@query("".join(x for x in (_LATTICE, _REACH, _SPREAD.format(order="level * 100 - hops"))), ("weights",))
+@query(_PAINTED + _REACH + _SPREAD.format(order="level * 100 - hops"), ("edges", "today"))
 def spread_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lattice(spark, sf_dir)
-    return G.spread(e, _painted(e), claim="worst", most_hops=12)
+    e = A.edges(spark, sf_dir)
+    return G.spread(e, _painted(spark, sf_dir, e), claim="worst", most_hops=8)
 
 
 @query(None)
 def spread_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors on hidden edges, three times over, for two claims."""
-    e = lattice(spark, sf_dir)
+    e = A.edges(spark, sf_dir)
+    painted = _painted(spark, sf_dir, e)
     out = None
     for seed in range(3):
-        kept, hidden = G.hide(_painted(e), 0.2, seed)
+        kept, hidden = G.hide(painted, 0.2, seed)
         for claim in ("nearest", "worst"):
             row = G.spread_errors(G.spread(e, kept, claim=claim, most_hops=6), hidden).select(F.lit(seed).alias("repeat"), F.lit(claim).alias("claim"), "*")
             out = row if out is None else out.unionByName(row)
@@ -105,20 +95,20 @@ _HUB = ", hub AS (SELECT 0 AS node)"
 
 
 @query(
-    _HUB + """, cut AS (SELECT * FROM edges WHERE edge_id % 4 = 0), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node) SELECT node FROM fwd""",
+    _HUB + """, cut AS (SELECT * FROM edges WHERE highway = 'primary'), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node) SELECT node FROM fwd""",
     ("edges",),
 )
 def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reachable(A.edges(spark, sf_dir).where("edge_id % 4 = 0"), spark.range(1).withColumnRenamed("id", "node")).select("node")
+    return G.reachable(A.edges(spark, sf_dir).where("highway = 'primary'"), spark.range(1).withColumnRenamed("id", "node")).select("node")
 
 
 @query(
-    _HUB + """, cut AS (SELECT * FROM edges WHERE edge_id % 4 = 0), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node),
+    _HUB + """, cut AS (SELECT * FROM edges WHERE highway = 'primary'), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node),
     bwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.u FROM bwd JOIN cut c ON c.v = bwd.node) SELECT node FROM fwd INTERSECT SELECT node FROM bwd""",
     ("edges",),
 )
 def core_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.core(A.edges(spark, sf_dir).where("edge_id % 4 = 0"), spark.range(1).withColumnRenamed("id", "node"))
+    return G.core(A.edges(spark, sf_dir).where("highway = 'primary'"), spark.range(1).withColumnRenamed("id", "node"))
 
 
 @query(
@@ -148,7 +138,7 @@ def dijkstra_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reveal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How early a map shows each junction: distance from the nearest main road."""
     e = A.edges(spark, sf_dir)
-    main = e.where("class_rank <= 2 AND edge_id % 50 = 0")
+    main = e.where("class_rank <= 2 AND oneway")
     start = main.select(F.col("u").alias("node")).union(main.select("v")).distinct()
     return L.reveal_rank(G.distances(G.two_way(e), start, F.greatest("length_m", F.lit(1.0)), limit=1200.0).select("node", "cost"))
 

@@ -52,24 +52,24 @@ def _parts(spark: SparkSession, sf_dir: str):
 
 @query(
     """SELECT edge_id, ts, CAST(min(folder) AS INTEGER) AS folder FROM (
-      SELECT edge_id, ts, 0 AS folder FROM readings WHERE edge_id % 2 = 0 UNION ALL SELECT edge_id, ts, 1 FROM readings WHERE edge_id % 3 = 0) GROUP BY 1, 2""",
+      SELECT edge_id, ts, 0 AS folder FROM readings WHERE level >= 2 UNION ALL SELECT edge_id, ts, 1 FROM readings) GROUP BY 1, 2""",
     ("readings",),
 )
 def readings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = A.readings(spark, sf_dir).select("edge_id", "ts")
-    return H.union_first([r.where("edge_id % 2 = 0").withColumn("folder", F.lit(0)), r.where("edge_id % 3 = 0").withColumn("folder", F.lit(1))], ["edge_id", "ts"])
+    r = A.readings(spark, sf_dir).select("edge_id", "ts", "level")
+    return H.union_first([r.where("level >= 2").drop("level").withColumn("folder", F.lit(0)), r.drop("level").withColumn("folder", F.lit(1))], ["edge_id", "ts"])
 
 
-_EVERY5 = ", kept AS (SELECT * FROM caps WHERE hour(ts) % 5 <> 0)"
+_HOLES = ", kept AS (SELECT * FROM caps WHERE ts IN (SELECT ts FROM readings WHERE level = 3 AND painted = 0))"
 
 
 def _thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures with holes: every fifth hour is missing."""
-    return H.captures_of(A.readings(spark, sf_dir)).where(F.hour("ts") % 5 != 0)
+    """Captures with holes: those in which a dark road isn't painted."""
+    return H.captures_of(A.readings(spark, sf_dir).where("level = 3 AND painted = 0"))
 
 
 @query(
-    _CAPS + _EVERY5 + """ SELECT CAST(day AS VARCHAR) AS day, before, minute, minute - before AS gap FROM (
+    _CAPS + _HOLES + """ SELECT CAST(day AS VARCHAR) AS day, before, minute, minute - before AS gap FROM (
       SELECT *, lag(minute) OVER (PARTITION BY day ORDER BY minute) AS before FROM kept) WHERE minute - before > 60""",
     ("readings",),
 )
@@ -78,7 +78,7 @@ def gap_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CAPS + _EVERY5 + """ SELECT CAST(day AS VARCHAR) AS day, coalesce(max(gap), 0) AS longest, count(*) AS captures FROM (
+    _CAPS + _HOLES + """ SELECT CAST(day AS VARCHAR) AS day, coalesce(max(gap), 0) AS longest, count(*) AS captures FROM (
       SELECT day, minute - lag(minute) OVER (PARTITION BY day ORDER BY minute) AS gap FROM kept) GROUP BY day""",
     ("readings",),
 )
@@ -87,7 +87,7 @@ def longest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CAPS + _EVERY5 + """, span AS (SELECT min(date_trunc('day', ts + INTERVAL 6 HOUR)) - INTERVAL 6 HOUR AS a, max(date_trunc('day', ts + INTERVAL 6 HOUR)) + INTERVAL 18 HOUR AS b FROM kept)
+    _CAPS + _HOLES + """, span AS (SELECT min(date_trunc('day', ts + INTERVAL 6 HOUR)) - INTERVAL 6 HOUR AS a, max(date_trunc('day', ts + INTERVAL 6 HOUR)) + INTERVAL 18 HOUR AS b FROM kept)
     SELECT ts, round((epoch(ts) - epoch(a)) / (epoch(b) - epoch(a)), 9) AS position, coalesce(epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts)) > 5400, false) AS gap_before FROM kept, span""",
     ("readings",),
 )
@@ -96,7 +96,7 @@ def timeline_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CAPS + _EVERY5 + """ SELECT count(*) AS captures, min(ts) AS first, max(ts) AS last FROM (
+    _CAPS + _HOLES + """ SELECT count(*) AS captures, min(ts) AS first, max(ts) AS last FROM (
       SELECT ts, sum(new) OVER (ORDER BY ts) AS s FROM (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS new FROM kept)) GROUP BY s""",
     ("readings",),
 )
@@ -178,7 +178,7 @@ def scenario_cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.cell_features(A.readings(spark, sf_dir), _cells(spark, sf_dir)).withColumn("mean_level", rounded("mean_level"))
 
 
-_GROUPS = """, groups AS (SELECT ts, CAST(epoch(ts) // 3600 % 5 AS INTEGER) AS grp FROM caps), lv AS (SELECT ts, avg(level) AS m FROM readings GROUP BY ts),
+_GROUPS = """, groups AS (SELECT ts, weekday AS grp FROM caps), lv AS (SELECT ts, avg(level) AS m FROM readings GROUP BY ts),
 per AS (SELECT c.*, g.grp, lv.m, CAST(c.minute // 60 AS INTEGER) AS hour FROM caps c JOIN groups g USING (ts) JOIN lv USING (ts)),
 hrs AS (SELECT grp, hour, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, hour) AS r FROM per GROUP BY grp, hour)"""
 
@@ -194,15 +194,14 @@ hrs AS (SELECT grp, hour, count(*) AS n, row_number() OVER (PARTITION BY grp ORD
 def scenario_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.readings(spark, sf_dir)
     caps = H.captures_of(r)
-    groups = caps.select("ts", F.pmod(F.floor(F.col("ts").cast("double") / 3600), F.lit(5)).cast("int").alias("group"))
+    groups = caps.select("ts", F.col("weekday").alias("group"))
     return H.scenario_profile(caps, groups, r.groupBy("ts").agg(F.avg("level").alias("mean_level")))
 
 
 @query(_CAPS + _GROUPS + ' SELECT grp AS "group", hour, n, CAST(r AS INTEGER) AS place FROM hrs WHERE r <= 3', ("readings",))
 def top_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = H.captures_of(A.readings(spark, sf_dir))
-    group = F.pmod(F.floor(F.col("ts").cast("double") / 3600), F.lit(5)).cast("int")
-    counts = caps.groupBy(group.alias("group"), F.floor(F.col("minute") / 60).cast("int").alias("hour")).agg(F.count("*").alias("n"))
+    counts = caps.groupBy(F.col("weekday").alias("group"), F.floor(F.col("minute") / 60).cast("int").alias("hour")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("group").orderBy(F.desc("n"), "hour")
     return counts.withColumn("place", F.row_number().over(w)).where("place <= 3")
 
