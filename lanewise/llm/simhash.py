@@ -185,8 +185,11 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
         for k, (keep, flips) in enumerate(ways)
         for flip in flips
     ])
+    # adaptive execution sizes tasks by what they read; a row becomes len(flips) rows here
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = (
-        prints.select("fingerprint", F.explode(table).alias("v"))
+        prints.select("fingerprint").repartition(tasks)
+        .select("fingerprint", F.explode(table).alias("v"))
         .select(F.col("v.way").alias("way"), F.expr("(fingerprint & v.keep) ^ v.flip").alias("variant"), "fingerprint")
         .repartition("variant", "way")
         .sortWithinPartitions("variant", "way", "fingerprint")
