@@ -49,7 +49,8 @@ def packed_codes(lines: DataFrame, bucket: int = 100_000) -> DataFrame:
 
 def unpacked_codes(strings: DataFrame) -> DataFrame:
     """``(key, pos, level)`` of digit strings ``(key, codes)``."""
-    return strings.select("key", F.posexplode(F.split("codes", "(?!^)")).alias("pos", "c")).select("key", "pos", F.col("c").cast("int").alias("level"))
+    digits = F.transform(F.sequence(F.lit(1), F.length("codes")), lambda k: F.substr("codes", k, F.lit(1)))
+    return strings.where(F.length("codes") > 0).select("key", F.posexplode(digits).alias("pos", "c")).select("key", "pos", F.col("c").cast("int").alias("level"))
 
 
 def method_counts(table: DataFrame) -> DataFrame:
