@@ -81,12 +81,12 @@ def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, m AS (SELECT e.edge_id, e.class_rank, (a.lon + b.lon) / 2 AS lon, (a.lat + b.lat) / 2 AS lat FROM edges e JOIN nodes a ON e.u = a.node_id JOIN nodes b ON e.v = b.node_id), o AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM nodes)
-    SELECT edge_id, round(lon, 9) AS lon, round(lat, 9) AS lat, round((lon - lon0) * 111320 * cos(radians(lat0)), 3) AS x, round((lat - lat0) * 110540, 3) AS y, CAST(class_rank AS INTEGER) AS class_rank FROM m, o""",
+    SELECT edge_id, round(lon, 11) AS lon, round(lat, 11) AS lat, round((lon - lon0) * 111320 * cos(radians(lat0)), 3) AS x, round((lat - lat0) * 110540, 3) AS y, CAST(class_rank AS INTEGER) AS class_rank FROM m, o""",
     ("nodes", "edges"),
 )
 def edge_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Y.midpoints(A.edges(spark, sf_dir), A.nodes(spark, sf_dir))
-    return m.withColumns({"lon": rounded("lon", 9), "lat": rounded("lat", 9), "x": rounded("x", 3), "y": rounded("y", 3)})
+    return m.withColumns({"lon": rounded("lon", 11), "lat": rounded("lat", 11), "x": rounded("x", 3), "y": rounded("y", 3)})
 
 
 @query(
