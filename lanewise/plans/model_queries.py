@@ -302,3 +302,32 @@ def dijkstra_reach_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = traffic.bpr_time_from_ratio(F.col("free_flow_s"), traffic.level_load(F.coalesce("level", F.lit(0))))
     d = G.distances(e, G.busiest_node(e), cost)
     return d.groupBy(F.floor(F.col("cost") / 60).alias("minute")).agg(F.count("*").alias("nodes"))
+
+
+@query(None)
+def city_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before, all at once and in batches, on today's levels."""
+    from ..operators.city import run_city
+
+    n, e = A.nodes(spark, sf_dir), A.edges(spark, sf_dir)
+    return run_city(n, e, A.today(spark, sf_dir), _trips(spark, sf_dir), batches=4)[0]
+
+
+@query(None)
+def layout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every layout of the busiest side streets with at most two changes, scored
+    by a batched assignment and ranked."""
+    from ..operators import lines as L
+    from ..operators.city import score_layouts
+
+    e = A.edges(spark, sf_dir)
+    roads = _roads(spark, sf_dir)
+    keyed = L.side_streets(e, A.today(spark, sf_dir), 4).select("a", "b").withColumn("key", F.concat_ws("-", F.lit("s"), "a", "b"))
+    role = F.when(F.col("u") < F.col("v"), "forward").otherwise("backward")
+    options = e.join(F.broadcast(keyed), (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b"))).select("key", "edge_id", role.alias("role")).cache()
+    names = sorted(r["key"] for r in options.select("key").distinct().collect())
+    today = {k: "twoway" for k in names}
+    layouts = P.Problem({k: ("twoway", "forward", "backward") for k in names}, P.budget_prefixes(today, 2)).solve(spark)
+    trips = [(r["origin"], r["destination"], 40.0) for r in _trips(spark, sf_dir).orderBy("trip").collect()]
+    scores = score_layouts(layouts, options, roads, trips)
+    return P.ranked(scores, scores.agg(F.max("vehicle_hours")).first()[0] or 1.0, top=1000)
