@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ _MUL = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
 
-def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray]:
-    """Fingerprint and minimum hashes (upper 32 bits) of the shingles."""
+def sketch(text: bytes | None, width: int) -> tuple[int, list[int], bytes]:
+    """Fingerprint, bucket of each band, and a byte of each minimum hash. A text
+    without words is in no band."""
     total, counts = 0, np.zeros(64, dtype=np.int64)
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for chunk in shingles(text, width):
@@ -48,7 +50,8 @@ def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray]:
         for at in range(0, len(h), 4096):
             np.minimum(least, (h[at : at + 4096, None] * _MUL + _ADD).min(axis=0), out=least)
     print_ = int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
-    return print_, (least >> np.uint64(32)).astype(np.uint32)
+    bands = [xxhash.xxh3_64_intdigest(least[k : k + ROWS].tobytes(), k) for k in range(0, BANDS * ROWS, ROWS)] if total else []
+    return print_, bands, (least >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
 def shingle_set(text: bytes | None, width: int) -> set[bytes]:
@@ -81,7 +84,7 @@ def spanning_tree(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 def band_pairs(nodes: DataFrame) -> DataFrame:
     """Candidate pairs ``(a, b)`` of ``nodes(node, sketch)`` by band buckets."""
-    keys = nodes.select("node", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "node")
+    keys = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # sketches are sent for members of shared buckets only
     keyed = (
@@ -174,32 +177,28 @@ def keep_one_of_each(
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def make():
-        import xxhash
-
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node, prints, full, short = [], [], [], []
+            node, prints, bands, short = [], [], [], []
             for text in utf8(batch.column(1)):
-                fingerprint, s = sketch(text, width)
+                fingerprint, keys, s = sketch(text, width)
                 prints.append(fingerprint)
-                full.append(s.tobytes())
-                short.append(s.astype(np.uint8).tobytes())
+                bands.append(np.array(keys, dtype=np.uint64).view(np.int64))
+                short.append(s)
                 node.append(xxhash.xxh3_64_intdigest(b" ".join((text or b"").lower().split())))
             as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), as_long(node), as_long(prints), pa.array(full, pa.binary()), pa.array(short, pa.binary())],
-                ["id", "tie", "node", "fingerprint", "full", "sketch"],
+                [batch.column(0), batch.column(2), as_long(node), as_long(prints), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                ["id", "tie", "node", "fingerprint", "bands", "sketch"],
             )
 
         return apply
 
     kind = picked.schema["id"].dataType.simpleString()
     tie = _tie("id", "text")
-    rows = cut(map_batches(picked.select("id", "text", tie.alias("tie")), make, f"id {kind}, tie bigint, node bigint, fingerprint bigint, full binary, sketch binary"))
+    rows = map_batches(picked.select("id", "text", tie.alias("tie")), make, f"id {kind}, tie bigint, node bigint, fingerprint bigint, bands array<bigint>, sketch binary")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("tie").alias("tie"))
-    nodes = cut(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"), F.min("full").alias("full"), F.min("sketch").alias("sketch")))
-    bands = F.array(*[F.substring("full", 1 + 4 * ROWS * k, 4 * ROWS) for k in range(BANDS)])
-    # texts without words have no shingles: one node, in no band
-    by_band = band_pairs(nodes.select("node", "sketch", bands.alias("bands")))
+    nodes = cut(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
+    by_band = band_pairs(nodes.select("node", "sketch", "bands"))
     balls = links(nodes.select("fingerprint").distinct(), radius)
     reps = nodes.groupBy("fingerprint").agg(F.min("node").alias("node"))
     by_ball = (
