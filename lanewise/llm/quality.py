@@ -32,24 +32,36 @@ SHAPE = bytes(
 )
 
 
+#: Keeps the kinds of features apart; pairs mix two hashes by an odd multiplier.
+SALT = {k: np.uint64(zlib.crc32(k.encode())) for k in ("word", "pair", "shape")}
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(items: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, items), dtype=np.uint64, count=len(items))
+
+
+def _slots(h: np.ndarray, kind: str) -> np.ndarray:
+    return ((h ^ SALT[kind]) * MIX) >> np.uint64(64 - BITS)
+
+
 def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct indices below ``2 ** BITS``; a text of none has its length only."""
     text = text or b""
-    words = text.lower().split()
-    marks = {b"l%d" % len(words).bit_length()}
-    shapes = [s[:2] + s[-2:] for s in text.translate(SHAPE).split()]
-    marks.update([b"s" + a + b" " + b for a, b in set(zip(shapes, shapes[1:]))])
-    marks.update([b"w" + w for w in set(words)])
-    marks.update([b"p" + a + b" " + b for a, b in set(zip(words, words[1:]))])
-    run, longest, again = 1, 1, 0
-    for a, b in zip(words, words[1:]):
-        run = run + 1 if a == b else 1
-        again += a == b
-        longest = max(longest, run)
-    marks.update([b"r%d" % k for k in range(2, min(longest, 8) + 1)])
-    marks.update([b"q%d" % k for k in range(1, 9) if 16 * again >= k * len(words) > 0])
-    crc, mask = zlib.crc32, (1 << BITS) - 1
-    return np.unique(np.array([crc(m) & mask for m in marks], dtype=np.int32))
+    words = _hashes(text.lower().split())
+    shapes = _hashes([s[:2] + s[-2:] for s in text.translate(SHAPE).split()])
+    same = words[1:] == words[:-1]
+    longest = 1
+    if same.any():
+        ends = np.flatnonzero(np.concatenate(([True], ~same, [True])))
+        longest = int(np.diff(ends).max())
+    again = int(same.sum())
+    marks = [b"l%d" % len(words).bit_length()]
+    marks += [b"r%d" % k for k in range(2, min(longest, 8) + 1)]
+    marks += [b"q%d" % k for k in range(1, 9) if 16 * again >= k * len(words) > 0]
+    parts = [_hashes(marks) & np.uint64((1 << BITS) - 1), _slots(words, "word")]
+    parts += [_slots(x[:-1] * MIX + x[1:], kind) for x, kind in ((words, "pair"), (shapes, "shape"))]
+    return np.unique(np.concatenate(parts)).astype(np.int32)
 
 
 @dataclass
