@@ -8,8 +8,8 @@ and the many smaller ones summed into ``bundles`` bundles by a hash of the
 group's key, which keeps each of those groups whole too.
 
 A group larger than one shard's fair share can't stay whole if sizes are to be
-near equal. It, and only it, is dealt by document into pieces, which are
-scheduled like groups.
+near equal. It, and only it, is dealt by document into as few pieces of at most
+about nine tenths of a fair share as will do, which are scheduled like groups.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from .common import cut
 
 #: Bytes counted for a document besides its text.
 OVERHEAD = 16
+#: Share of a shard that a piece of an oversized group may take; what is left
+#: evens out pieces that the hash deals a little larger.
+PIECE = 0.9
 
 
 def schedule(items: list[tuple], shards: int) -> dict:
@@ -72,14 +75,14 @@ def assign_shards(
 
     # at most shards * per_shard rows: each has that share of all bytes
     head = groups.where(F.col("bytes") >= unit).withColumn(
-        "pieces", F.when(F.col("bytes") > fair, F.ceil(F.col("bytes") / unit).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+        "pieces", F.when(F.col("bytes") > fair, F.ceil(F.col("bytes") / (fair * PIECE)).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
     )
     marked = slim.join(F.broadcast(head.select("key", "pieces")), "key", "left")
     unit_of = F.when(F.col("pieces").isNull(), F.struct(F.lit(None).cast("binary").alias("k"), bundle.alias("n"))).otherwise(
         F.struct(F.col("key").alias("k"), F.when(F.col("pieces") > 1, piece_of).otherwise(F.lit(0).cast("bigint")).alias("n"))
     )
     marked = marked.select(*slim.columns, unit_of.alias("unit"))
-    # at most bundles + 2 * shards * per_shard rows
+    # at most bundles + shards * per_shard + 3 * shards rows
     sizes = marked.groupBy("unit").agg(F.sum("size").alias("bytes")).collect()
     placed = schedule([(r["bytes"], (bytes(r["unit"]["k"] or b""), r["unit"]["n"])) for r in sizes], shards)
     spark = docs.sparkSession
