@@ -24,41 +24,45 @@ def distance2(r: Column, g: Column, b: Column, ref: Sequence[int]) -> Column:
 
 
 def nearest(r: Column, g: Column, b: Column) -> Column:
-    """``(d2, k)`` of the nearest reference; ties go to the first."""
-    return F.least(*[F.struct(distance2(r, g, b, ref).alias("d2"), F.lit(k).alias("k")) for k, (_, ref) in enumerate(PALETTE)])
+    """16 times the squared distance to the nearest reference plus its place; the
+    least of these is the first of the nearest. Numbers, not structs, keep the
+    generated code small."""
+    return F.least(*[distance2(r, g, b, ref) * 16 + k for k, (_, ref) in enumerate(PALETTE)])
 
 
-def class_of(k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c, _ in PALETTE]), k + 1)
+#: Steps in which shares are told apart.
+FINE = 1e12
 
 
 def casing_blend(r: Column, g: Column, b: Column) -> Column:
-    """``(t, k)``: the largest share ``t`` of a reference in a mix with white, 0
-    where the channels disagree; ties go to the first reference."""
+    """The largest share of a reference in a mix with white, 0 where channels
+    disagree: 16 times its steps plus 15 minus the place, so ties go to the first."""
+
+    def one(ref: Sequence[int]) -> Column:
+        # channels near white say nothing
+        shares = [(255 - c) * (1.0 / (255 - v)) for c, v in zip((r, g, b), ref) if 255 - v > NEAR_WHITE]
+        mean = sum(shares[1:], shares[0]) * (1.0 / len(shares))
+        apart = [F.abs(s - mean) for s in shares]
+        fits = (mean >= 0) & (mean <= 1)
+        for x in apart:
+            fits = fits & (x < SPREAD)
+        return F.when(fits, mean).otherwise(0.0)
 
-    def one(ref: Column, k: Column) -> Column:
-        shares = [(255.0 - c) * ref[n] for c, n in ((r, "r"), (g, "g"), (b, "b"))]
-        mean = (shares[0] + shares[1] + shares[2]) * ref["n"]
-        spread = F.greatest(*[F.when(ref[n] > 0, F.abs(x - mean)).otherwise(0.0) for x, n in zip(shares, "rgb")])
-        return F.struct(F.when((spread < SPREAD) & (mean >= 0) & (mean <= 1), mean).otherwise(0.0).alias("t"), (-k).alias("k"))
+    return F.greatest(*[F.floor(one(ref) * FINE) * 16 + (15 - k) for k, (_, ref) in enumerate(PALETTE)])
 
-    refs = []
-    for _, ref in PALETTE:
-        part = [1.0 / (255 - v) if 255 - v > NEAR_WHITE else 0.0 for v in ref]  # channels near white say nothing
-        refs.append(F.struct(*[F.lit(x).alias(n) for x, n in zip(part, "rgb")], F.lit(1.0 / sum(x > 0 for x in part)).alias("n")))
-    best = F.array_max(F.transform(F.array(*refs), one))
-    return F.struct(best["t"].alias("t"), (-best["k"]).alias("k"))
+
+def class_of(k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c, _ in PALETTE]), k + 1)
 
 
 def matched(pixels: DataFrame) -> DataFrame:
-    """``pixels(r, g, b, a)`` with the nearest reference (``d2``, ``near``) and,
-    where that is out of reach, the best mix with white (``t``, ``mixed``)."""
+    """``pixels(r, g, b, a)`` with the nearest reference (``d2``, ``near``) and
+    the best mix with white (``t``, ``mixed``)."""
     rgb = [F.coalesce(F.col(c).cast("int"), F.lit(255)) for c in "rgb"]
-    out = pixels.withColumn("_near", nearest(*rgb))
-    none = F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("k"))
-    out = out.withColumn("_mix", F.when(F.col("_near.d2") < TOLERANCE**2, none).otherwise(casing_blend(*rgb)))
+    out = pixels.withColumns({"_near": nearest(*rgb), "_mix": casing_blend(*rgb)})
     return out.select(
-        *pixels.columns, F.col("_near.d2").alias("d2"), class_of(F.col("_near.k")).alias("near"), F.col("_mix.t").alias("t"), class_of(F.col("_mix.k")).alias("mixed")
+        *pixels.columns, F.shiftright("_near", 4).alias("d2"), class_of(F.col("_near").bitwiseAND(15).cast("int")).alias("near"),
+        (F.shiftright("_mix", 4) / FINE).alias("t"), class_of((15 - F.col("_mix").bitwiseAND(15)).cast("int")).alias("mixed"),
     )
 
 

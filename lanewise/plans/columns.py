@@ -223,10 +223,10 @@ def pixel_nearest_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("pixels",),
 )
 def casing_blend_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        palette.matched(A.pixels(spark, sf_dir)).where("d2 >= 2500 AND t > 0")
-        .groupBy(F.col("mixed").alias("cls"), rounded("t", 3).alias("t")).agg(F.count("*").alias("n"))
-    )
+    # the filter stands after the counts: pushed into the match it would repeat it
+    mixes = (F.col("d2") >= 2500) & (F.col("t") > 0)
+    counts = palette.matched(A.pixels(spark, sf_dir)).groupBy(F.col("mixed").alias("cls"), rounded("t", 3).alias("t"), mixes.alias("mixes")).agg(F.count("*").alias("n"))
+    return counts.where("mixes").drop("mixes")
 
 
 @query(
