@@ -55,15 +55,24 @@ def class_of(k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c, _ in PALETTE]), k + 1)
 
 
-def matched(pixels: DataFrame) -> DataFrame:
-    """``pixels(r, g, b, a)`` with the nearest reference (``d2``, ``near``) and
-    the best mix with white (``t``, ``mixed``)."""
+def encoded(pixels: DataFrame) -> DataFrame:
+    """The pixels with ``_near`` and ``_mix``, from which ``decoded`` reads the
+    match. Counting by these two first computes them once and keeps the code small."""
     rgb = [F.coalesce(F.col(c).cast("int"), F.lit(255)) for c in "rgb"]
-    out = pixels.withColumns({"_near": nearest(*rgb), "_mix": casing_blend(*rgb)})
-    return out.select(
-        *pixels.columns, F.shiftright("_near", 4).alias("d2"), class_of(F.col("_near").bitwiseAND(15).cast("int")).alias("near"),
-        (F.shiftright("_mix", 4) / FINE).alias("t"), class_of((15 - F.col("_mix").bitwiseAND(15)).cast("int")).alias("mixed"),
-    )
+    return pixels.withColumns({"_near": nearest(*rgb), "_mix": casing_blend(*rgb)})
+
+
+def decoded(found: DataFrame) -> DataFrame:
+    """``d2`` and ``near`` of the nearest reference, ``t`` and ``mixed`` of the best mix with white."""
+    return found.withColumns({
+        "d2": F.shiftright("_near", 4), "near": class_of(F.col("_near").bitwiseAND(15).cast("int")),
+        "t": F.shiftright("_mix", 4) / FINE, "mixed": class_of((15 - F.col("_mix").bitwiseAND(15)).cast("int")),
+    }).drop("_near", "_mix")
+
+
+def matched(pixels: DataFrame) -> DataFrame:
+    """``pixels(r, g, b, a)`` with ``d2``, ``near``, ``t`` and ``mixed``."""
+    return decoded(encoded(pixels))
 
 
 def class_of_match(tolerance: float = TOLERANCE, closed: bool = False, casing: float = CASING_LEAST) -> Column:

@@ -213,9 +213,9 @@ fits AS (
 )
 def pixel_nearest_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = palette.class_of_match
-    return palette.matched(A.pixels(spark, sf_dir)).groupBy(
-        c().alias("decoder"), c(closed=True).alias("collector"), c(casing=palette.CASING_CLEAN).alias("clean")
-    ).agg(F.count("*").alias("n"))
+    counts = palette.encoded(A.pixels(spark, sf_dir)).groupBy("_near", "_mix", (F.col("a") > 128).alias("opaque")).agg(F.count("*").alias("n"))
+    found = palette.decoded(counts).withColumn("a", F.when(F.col("opaque"), 255).otherwise(0))
+    return found.groupBy(c().alias("decoder"), c(closed=True).alias("collector"), c(casing=palette.CASING_CLEAN).alias("clean")).agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -223,10 +223,10 @@ def pixel_nearest_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("pixels",),
 )
 def casing_blend_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the filter stands after the counts: pushed into the match it would repeat it
-    mixes = (F.col("d2") >= 2500) & (F.col("t") > 0)
-    counts = palette.matched(A.pixels(spark, sf_dir)).groupBy(F.col("mixed").alias("cls"), rounded("t", 3).alias("t"), mixes.alias("mixes")).agg(F.count("*").alias("n"))
-    return counts.where("mixes").drop("mixes")
+    counts = palette.encoded(A.pixels(spark, sf_dir)).groupBy("_near", "_mix").agg(F.count("*").alias("n"))
+    # a filter would be pushed below the counts and repeat the match there
+    mixes = F.when((F.col("d2") >= 2500) & (F.col("t") > 0), F.col("n"))
+    return palette.decoded(counts).groupBy(F.col("mixed").alias("cls"), rounded("t", 3).alias("t")).agg(F.sum(mixes).alias("n")).where("n IS NOT NULL")
 
 
 @query(
