@@ -106,11 +106,11 @@ def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _CAPS + """ SELECT edge_id, weekend, hour, count(*) AS n, round(avg(level), 6) AS mean_level FROM (
-      SELECT r.edge_id, c.weekend, CAST(c.minute // 60 AS INTEGER) AS hour, r.level FROM readings r JOIN caps c USING (ts)) GROUP BY GROUPING SETS ((edge_id), (edge_id, weekend, hour))""",
+      SELECT r.edge_id, CAST(c.weekend AS INTEGER) AS weekend, CAST(c.minute // 60 AS INTEGER) AS hour, r.level FROM readings r JOIN caps c USING (ts)) GROUP BY GROUPING SETS ((edge_id), (edge_id, weekend, hour))""",
     ("readings",),
 )
 def hour_profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.hour_profile(A.readings(spark, sf_dir)).withColumn("mean_level", rounded("mean_level"))
+    return H.hour_profile(A.readings(spark, sf_dir)).withColumns({"mean_level": rounded("mean_level"), "weekend": F.col("weekend").cast("int")})
 
 
 @query(_CAPS + _SPLIT + " SELECT part, count(*) AS captures, min(ts) AS first, max(ts) AS last FROM parted GROUP BY part", ("readings",))
