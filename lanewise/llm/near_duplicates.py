@@ -9,8 +9,12 @@ same shingle hashes. Every candidate pair of either kind is checked exactly on
 whole texts before it links.
 
 Within a band's bucket only a maximum spanning tree of the estimated
-similarities is handed on: it has the same components at every threshold as all
-pairs have, and one pair less than the bucket has members.
+similarities is handed on first: it has the same components at every threshold
+of the estimate as all pairs have, and one pair less than the bucket has
+members. Where a tree pair fails the exact check, that says nothing of the pairs
+it stood for, so such a bucket is gone through again: members that verified
+pairs have not joined yet hand on their best pairs with other components, more
+in every round and all in the last.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ BANDS, ROWS = 16, 5
 LEAST_ESTIMATE = 0.66
 #: Members of a bucket that are compared at once, and how many go on to the next.
 BLOCK, CARRY = 4096, 256
+#: Pairs that a member hands on in each further round; None is all of them.
+FURTHER = (4, 64, None)
 
 _rng = np.random.default_rng(SEED)
 _MUL = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -82,10 +88,36 @@ def spanning_tree(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
     return left
 
 
-def band_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of ``nodes(node, sketch)`` by band buckets."""
+def unjoined_pairs(sketches: np.ndarray, parts: np.ndarray, least: float, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of an estimate of at least ``least`` whose ends are in different
+    parts, and whether some were left out. Every such pair has an end outside
+    the commonest part; each of these has its ``most`` best ones here."""
+    names, place = np.unique(parts, return_inverse=True)
+    outside = np.flatnonzero(place != np.bincount(place).argmax())
+    pairs, more = [], False
+    for i in outside.tolist():
+        near = (sketches == sketches[i]).mean(axis=1)
+        with_ = np.flatnonzero((near >= least) & (place != place[i]))
+        if most is not None and len(with_) > most:
+            more = True
+            with_ = with_[np.argsort(-near[with_], kind="stable")[:most]]
+        pairs += [(i, int(j)) for j in with_]
+    return pairs, more
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def band_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, bucket)`` of ``nodes``, and ``(bucket, n)`` of shared buckets."""
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return keys, keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def band_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``(bucket, a, b)`` of ``nodes(node, sketch)`` by band buckets."""
+    keys, shared = band_keys(nodes)
     # sketches are sent for members of shared buckets only
     keyed = (
         keys.join(shared, "bucket", "left_semi")
@@ -105,7 +137,7 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
             tree = spanning_tree(np.stack([np.frombuffer(s, np.uint8) for _, s in members]), LEAST_ESTIMATE)
             degree = np.zeros(len(members), dtype=np.int64)
             for i, j in tree:
-                found.append((members[i][0], members[j][0]))
+                found.append((key, members[i][0], members[j][0]))
                 degree[[i, j]] += 1
             return [members[i] for i in np.argsort(-degree, kind="stable")[:CARRY]]
 
@@ -118,15 +150,55 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
                     held = reduce(held)
                 held.append((node, s))
             if found:
-                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["bucket", "a", "b"])
                 found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         reduce(held)
         if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["bucket", "a", "b"])
+
+    return keyed.mapInArrow(run, "bucket bigint, a bigint, b bigint").select("bucket", *ordered("a", "b"))
 
-    return keyed.mapInArrow(run, "a bigint, b bigint")
+
+def further_pairs(nodes: DataFrame, again: DataFrame, parts: DataFrame, most: int | None) -> DataFrame:
+    """Pairs ``(bucket, a, b, more)`` across ``parts(node, component)`` in the
+    buckets ``again(bucket)``; ``more`` where the bucket has others still."""
+    keys, shared = band_keys(nodes)
+    members = (
+        keys.join(shared.join(again, "bucket", "left_semi"), "bucket")
+        .join(nodes.select("node", "sketch"), "node").join(parts, "node", "left")
+        .select("bucket", "node", "sketch", F.coalesce("component", "node").alias("part"), F.lit(0).alias("cell"))
+        .repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "node")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, int]] = []
+        key = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            node, s, part = zip(*held)
+            pairs, more = unjoined_pairs(np.stack([np.frombuffer(x, np.uint8) for x in s]), np.array(part, dtype=np.int64), LEAST_ESTIMATE, most)
+            for at in range(0, len(pairs), 1 << 16):
+                some = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([key[0]] * len(some), pa.int64()), pa.array([node[i] for i, _ in some], pa.int64()),
+                        pa.array([node[j] for _, j in some], pa.int64()), pa.array([more] * len(some), pa.bool_()),
+                    ],
+                    ["bucket", "a", "b", "more"],
+                )
+
+        for batch in batches:
+            for bucket, node, s, part, cell in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, cell) != key:
+                    yield from flush()
+                    key = bucket, cell
+                    held.clear()
+                held.append((node, s, part))
+        yield from flush()
+
+    return members.mapInArrow(run, "bucket bigint, a bigint, b bigint, more boolean").select("bucket", *ordered("a", "b"), "more")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -198,7 +270,7 @@ def keep_one_of_each(
     rows = map_batches(picked.select("id", "text", tie.alias("tie")), make, f"id {kind}, tie bigint, node bigint, fingerprint bigint, bands array<bigint>, sketch binary")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("tie").alias("tie"))
     nodes = cut(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-    by_band = band_pairs(nodes.select("node", "sketch", "bands"))
+    by_band = cut(band_pairs(nodes.select("node", "sketch", "bands")))
     balls = links(nodes.select("fingerprint").distinct(), radius)
     reps = nodes.groupBy("fingerprint").agg(F.min("node").alias("node"))
     by_ball = (
@@ -207,19 +279,32 @@ def keep_one_of_each(
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
     same = nodes.join(reps.withColumnRenamed("node", "rep"), "fingerprint").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = cut(
-        by_band.union(by_ball).union(same).where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    # only texts that stand in a pair are read again, one for each node
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ends.join(nodes.select("node", "first.id", "first.tie"), "node").select("node", _key("id").alias("w_key"), F.col("tie").alias("w_tie"))
-    texts = (
-        picked.select("id", "text", tie.alias("tie"))
-        .join(wanted, (_key("id") == F.col("w_key")) & (F.col("tie") == F.col("w_tie")))
-        .select("node", "text").dropDuplicates(["node"])
-    )
-    parts = connected_components(cut(verified(pairs, cut(texts), width, similarity)))
+    pairs = cut(by_band.select("a", "b").union(by_ball).union(same).where("a <> b").select(*ordered("a", "b")).distinct())
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        # only texts that stand in a pair are read again, one for each node
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = ends.join(nodes.select("node", "first.id", "first.tie"), "node").select("node", _key("id").alias("w_key"), F.col("tie").alias("w_tie"))
+        texts = (
+            picked.select("id", "text", tie.alias("tie"))
+            .join(wanted, (_key("id") == F.col("w_key")) & (F.col("tie") == F.col("w_tie")))
+            .select("node", "text").dropDuplicates(["node"])
+        )
+        return cut(verified(pairs, cut(texts), width, similarity))
+
+    linked = checked(pairs)
+    parts = connected_components(linked)
+    # trees of which a pair failed stand for pairs that are still to be checked
+    again = cut(by_band.join(linked, ["a", "b"], "left_anti").select("bucket").distinct())
+    for most in FURTHER:
+        if again.isEmpty():
+            break
+        more = cut(further_pairs(nodes, again, parts, most))
+        fresh = cut(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            linked, pairs = linked.union(checked(fresh)), pairs.union(fresh)
+            parts = connected_components(linked)
+        again = cut(more.where("more").select("bucket").distinct())
     grouped = nodes.join(parts, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     stay = grouped.groupBy("part").agg(F.min("first").alias("first")).select(_key("first.id").alias("key"), F.col("first.tie").alias("tie"))
     whole = docs.select(_key(id_col).alias("key"), _tie(id_col, text_col).alias("tie"), F.struct("*").alias("row"))

@@ -130,6 +130,51 @@ def test_spanning_tree_keeps_components_at_every_threshold():
             assert components(12, every) == components(12, [(i, j) for i, j in tree if same[i, j] >= t])
 
 
+def edited_copies(seed, copies, words=100, edits=2):
+    """An original and copies of it with other words in a few places."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{seed}x{i}" for i in range(words)]
+    out = [base]
+    for c in range(copies):
+        text = list(base)
+        for at in rng.choice(words, edits, replace=False):
+            text[at] = f"c{seed}x{c}x{at}"
+        out.append(text)
+    return [" ".join(t) for t in out]
+
+
+def brute_kept(texts):
+    """The first of each component of the true pairs that are candidates: a band
+    in common and an estimate that isn't too low."""
+    sets = [N.shingle_set(t.encode(), 5) for t in texts]
+    sketches = [N.sketch(t.encode(), 5) for t in texts]
+
+    def candidate(x, y):
+        return bool(set(x[1]) & set(y[1])) and np.mean(np.frombuffer(x[2], np.uint8) == np.frombuffer(y[2], np.uint8)) >= N.LEAST_ESTIMATE
+
+    true = [(i, j) for i, j in combinations(range(len(texts)), 2) if N.jaccard(sets[i], sets[j]) >= 0.8]
+    return set(components(len(texts), [(i, j) for i, j in true if candidate(sketches[i], sketches[j])]))
+
+
+def test_copies_near_the_original_but_not_each_other(spark):
+    texts = [t for seed in range(4) for t in edited_copies(seed, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in N.keep_one_of_each(df).select("doc_id").collect()} == brute_kept(texts)
+
+
+def test_unjoined_pairs_are_all_pairs_across_parts():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sketches = rng.integers(0, 3, (15, 20)).astype(np.uint8)
+        parts = rng.integers(0, 4, 15)
+        same = (sketches[:, None, :] == sketches[None, :, :]).mean(axis=2)
+        want = {(i, j) for i, j in combinations(range(15), 2) if parts[i] != parts[j] and same[i, j] >= 0.35}
+        every, more = N.unjoined_pairs(sketches, parts, 0.35, None)
+        assert {tuple(sorted(p)) for p in every} == want and not more
+        some, more = N.unjoined_pairs(sketches, parts, 0.35, 1)
+        assert set(some) <= set(every) and more == (len(some) < len(every))
+
+
 def test_connected_components(spark):
     from lanewise.llm.common import connected_components
 
