@@ -14,7 +14,9 @@ of the estimate as all pairs have, and one pair less than the bucket has
 members. Where a tree pair fails the exact check, that says nothing of the pairs
 it stood for, so such a bucket is gone through again: members that verified
 pairs have not joined yet hand on their best pairs with other components, more
-in every round and all in the last.
+in every round and all in the last. Buckets of more than a block, whose blocks
+the first pass compares in part only, are gone through again in any case: every
+pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, map_batches, utf8
@@ -34,7 +36,8 @@ BANDS, ROWS = 16, 5
 #: Estimated similarity under which a bucket's pair is not a candidate; three
 #: standard errors of an estimate from 80 values lie between it and 0.8.
 LEAST_ESTIMATE = 0.66
-#: Members of a bucket that are compared at once, and how many go on to the next.
+#: Members of a bucket that are compared at once, and how many go on to the next
+#: in the first pass. A bucket of more is gone through again in pairs of blocks.
 BLOCK, CARRY = 4096, 256
 #: Pairs that a member hands on in each further round; None is all of them.
 FURTHER = (4, 64, None)
@@ -109,15 +112,11 @@ def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def band_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(node, bucket)`` of ``nodes``, and ``(bucket, n)`` of shared buckets."""
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    return keys, keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-
-
 def band_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs ``(bucket, a, b)`` of ``nodes(node, sketch)`` by band buckets."""
-    keys, shared = band_keys(nodes)
+    """Candidate pairs ``(bucket, a, b)`` of ``nodes(node, sketch)`` by band
+    buckets; ``a = b`` marks a bucket of more than a block."""
+    keys = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # sketches are sent for members of shared buckets only
     keyed = (
         keys.join(shared, "bucket", "left_semi")
@@ -148,6 +147,7 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
                     key, held = bucket, []
                 elif len(held) >= BLOCK:
                     held = reduce(held)
+                    found.append((key, node, node))
                 held.append((node, s))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["bucket", "a", "b"])
@@ -159,14 +159,34 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "bucket bigint, a bigint, b bigint").select("bucket", *ordered("a", "b"))
 
 
-def further_pairs(nodes: DataFrame, again: DataFrame, parts: DataFrame, most: int | None) -> DataFrame:
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, marked to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def members_of(nodes: DataFrame, again: DataFrame) -> DataFrame:
+    """``(bucket, node, sketch, n)`` of the buckets ``again(bucket)`` of ``n`` members."""
+    keyed = nodes.select("node", "sketch", F.explode("bands").alias("bucket")).join(few(again), "bucket")
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+
+
+def further_pairs(members: DataFrame, parts: DataFrame, most: int | None) -> DataFrame:
     """Pairs ``(bucket, a, b, more)`` across ``parts(node, component)`` in the
-    buckets ``again(bucket)``; ``more`` where the bucket has others still."""
-    keys, shared = band_keys(nodes)
+    buckets of ``members``; ``more`` where the bucket has others still."""
+    half = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    blocks = F.when(F.col("n") > BLOCK, half).otherwise(1)
+    mine = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    # a cell is a pair of blocks p < q, or the whole of a small bucket; a member
+    # is in all the cells of its block, so any two members meet in one
+    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: q != F.col("mine")),
+            lambda q: F.least("mine", q) * F.col("blocks") + F.greatest("mine", q),
+        )
+    )
     members = (
-        keys.join(shared.join(again, "bucket", "left_semi"), "bucket")
-        .join(nodes.select("node", "sketch"), "node").join(parts, "node", "left")
-        .select("bucket", "node", "sketch", F.coalesce("component", "node").alias("part"), F.lit(0).alias("cell"))
+        members.withColumn("blocks", blocks).withColumn("mine", mine).join(parts, "node", "left")
+        .select("bucket", "node", "sketch", F.coalesce("component", "node").alias("part"), F.explode(cells).alias("cell"))
         .repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "node")
     )
 
@@ -287,19 +307,22 @@ def keep_one_of_each(
         wanted = ends.join(nodes.select("node", "first.id", "first.tie"), "node").select("node", _key("id").alias("w_key"), F.col("tie").alias("w_tie"))
         texts = (
             picked.select("id", "text", tie.alias("tie"))
-            .join(wanted, (_key("id") == F.col("w_key")) & (F.col("tie") == F.col("w_tie")))
+            .join(few(cut(wanted)), (_key("id") == F.col("w_key")) & (F.col("tie") == F.col("w_tie")))
             .select("node", "text").dropDuplicates(["node"])
         )
         return cut(verified(pairs, cut(texts), width, similarity))
 
     linked = checked(pairs)
     parts = connected_components(linked)
-    # trees of which a pair failed stand for pairs that are still to be checked
+    # trees of which a pair failed stand for pairs that are still to be checked,
+    # and the marks of large buckets are never linked
     again = cut(by_band.join(linked, ["a", "b"], "left_anti").select("bucket").distinct())
+    members = None
     for most in FURTHER:
         if again.isEmpty():
             break
-        more = cut(further_pairs(nodes, again, parts, most))
+        members = cut(members_of(nodes, again) if members is None else members.join(few(again), "bucket", "left_semi"))
+        more = cut(further_pairs(members, parts, most))
         fresh = cut(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             linked, pairs = linked.union(checked(fresh)), pairs.union(fresh)

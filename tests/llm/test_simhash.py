@@ -162,6 +162,36 @@ def test_copies_near_the_original_but_not_each_other(spark):
     assert {r.doc_id for r in N.keep_one_of_each(df).select("doc_id").collect()} == brute_kept(texts)
 
 
+def test_buckets_of_more_than_a_block_are_compared_whole(spark, monkeypatch):
+    # two far apart copies of each text, in buckets of many blocks
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "CARRY", 1)
+    texts = [t for seed in range(40) for t in edited_copies(seed, 1)]
+    sketches = [N.sketch(t.encode(), 5)[2] for t in texts]
+    nodes = spark.createDataFrame([(i, bytearray(s), [7]) for i, s in enumerate(sketches)], "node bigint, sketch binary, bands array<bigint>")
+    same = lambda i, j: np.mean(np.frombuffer(sketches[i], np.uint8) == np.frombuffer(sketches[j], np.uint8))
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if same(i, j) >= N.LEAST_ESTIMATE}
+    parts = spark.createDataFrame([], "node bigint, component bigint")
+    again = spark.createDataFrame([(7,)], "bucket bigint")
+    assert len(want) >= 30
+    assert {(r.a, r.b) for r in N.further_pairs(N.members_of(nodes, again), parts, None).collect()} == want
+
+
+def test_bucket_of_more_than_a_block_keeps_one_of_each(spark, monkeypatch):
+    """All texts in one bucket: an original and its copy must meet wherever they stand."""
+    from pyspark.sql import functions as F
+
+    for name in ("band_pairs", "members_of"):
+        if f := getattr(N, name, None):
+            monkeypatch.setattr(N, name, lambda nodes, *rest, f=f: f(nodes.withColumn("bands", F.array(F.lit(7).cast("bigint"))), *rest))
+    texts = [t for seed in range(2200) for t in edited_copies(seed, 1)]
+    assert len(texts) > N.BLOCK
+    sketches = [np.frombuffer(N.sketch(t.encode(), 5)[2], np.uint8) for t in texts]
+    want = {i for i in range(len(texts)) if i % 2 == 0 or np.mean(sketches[i] == sketches[i - 1]) < N.LEAST_ESTIMATE}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in N.keep_one_of_each(df).select("doc_id").collect()} == want
+
+
 def test_unjoined_pairs_are_all_pairs_across_parts():
     rng = np.random.default_rng(4)
     for _ in range(20):
