@@ -46,6 +46,21 @@ def test_mined_rules_block_combinations(spark):
     assert got[1].mined and not got[0].mined
 
 
+def test_rules_of_three_tokens(spark):
+    # bad only where a, b and c stand together; every pair of them is mostly good
+    parts = ["a/b/c", "a/b", "a/c", "b/c", "a", "b", "c"]
+    pages = [(i, f"http://x.test/{parts[i % 7]}/") for i in range(140)]
+    labels = [(i, 0 if i % 7 == 0 else 1, 0) for i in range(140)]
+    got = judged(spark, pages + [(200, "http://y.test/c/b/a/new"), (201, "http://y.test/a/b/new")], labels, support=0.01)
+    assert [got[i].verdict for i in (200, 201)] == ["block", "allow"]
+
+
+def test_rules_have_no_smaller_rule_inside(spark):
+    rows = [(["a", "b", "c", "d"], True)] * 20 + [(["a", "b", "d"], False)] * 20 + [(["a", "c", "d"], False)] * 20 + [(["b", "c"], False)] * 20
+    rules = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert sorted(r.antecedent for r in rules) == [["a", "b", "c"], ["b", "c", "d"]]
+
+
 def test_rare_rules_are_pruned(spark):
     got = judged(spark, [(i, f"http://h{i}.test/a") for i in range(30)], [(1, 0, 1), (2, 0, 1)])
     assert {r.verdict for r in got.values()} == {"allow"}
