@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
+from string import ascii_lowercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ _IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9]+([-/_=+][0-9]+)*"  # numbers, dates
     r"|=+|-+|_+|/+|\++"
+    r"|[A-Za-z]([-/_=+]+[A-Za-z])*"  # spelt out, letter by letter
 )
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
@@ -58,16 +60,14 @@ def load_encoding(path: str):
 
 
 def known(candidate: str) -> bool:
-    """A digest of a known length, a UUID, a number or a rule."""
-    return bool(_IDENTIFIER.fullmatch(candidate)) or (len(candidate) in DIGESTS and bool(_HEX.fullmatch(candidate)))
+    """A digest of a known length, a UUID, a number, a rule or an alphabet."""
+    return bool(_IDENTIFIER.fullmatch(candidate)) or candidate.lower() in ascii_lowercase or (len(candidate) in DIGESTS and bool(_HEX.fullmatch(candidate)))
 
 
 def is_random(candidate: str, tokens: int, most_chars_per_token: float) -> bool:
-    """Mixed classes and a low ratio. Plain words and paths have no digits
-    beside letters, or few tokens."""
-    digits = sum(c.isdigit() for c in candidate)
-    letters = sum(c.isalpha() for c in candidate)
-    return digits >= 3 and letters >= 3 and len(candidate) <= most_chars_per_token * tokens
+    """A low ratio. With hardly any letters it is a date or a list of numbers,
+    whose digits take many tokens too."""
+    return sum(c.isalpha() for c in candidate) >= 3 and len(candidate) <= most_chars_per_token * tokens
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

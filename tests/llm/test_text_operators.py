@@ -47,6 +47,14 @@ def test_failing_assign_still_consumes_text(spark):
     assert [(s.kind, s.secret) for s in spans] == [("assign", "PASSWORD = 'abc123"), ("assign", "toKen=abcdef12")]
 
 
+def test_random_strings_with_few_digits(spark):
+    keys = ["qZxKvWpRtYjHgBnLmDcF", "Xk9QwPzRvTbNjLhGdSyM", "hQ7ZkWvXr2PtYbNcJgLmDfSx"]
+    found = spans_of(spark, *[f"the value {k} stands here" for k in keys])
+    assert [[(s.kind, s.secret) for s in spans] for spans in found] == [[("random", k)] for k in keys]
+    plain = ["AbstractSingletonProxyFactoryBean", "usr/share/lib/python/site-packages", "A-B-C-D-E-F-G-H-I-J-K-L", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "2024-01-02-03-04-05-06Z"]
+    assert spans_of(spark, *plain) == [[]] * len(plain)
+
+
 def test_secret_edge_cases(docs, rows, none):
     got = X.secret_spans(docs).collect()
     assert len(got) == len(rows)
