@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,12 +198,19 @@ def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def diversion_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both timelines over the captures of the last two hours."""
-    r = A.readings(spark, sf_dir).select("ts", "edge_id", F.greatest("level", F.lit(2)).alias("level"))
-    last = r.agg(F.max("ts").alias("last"))
-    r = r.join(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 2 HOURS")).drop("last")
-    times = [x["ts"] for x in r.select("ts").distinct().orderBy("ts").collect()]
-    steps, _ = run_diversion(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), [(str(t), r.where(F.col("ts") == F.lit(t))) for t in times])
+    """Both timelines over all captures, in a run a day; the rows of one day are
+    on the driver at a time."""
+    r = A.readings(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts")).where("ts IS NOT NULL").cache()
+    days = [x["day"] for x in r.select("day").distinct().orderBy("day").collect()]
+
+    def captures():
+        for day in days:
+            rows = r.where(F.col("day") == F.lit(day)).select("ts", "edge_id", "level").orderBy("ts", "edge_id").collect()
+            for ts, group in groupby(rows, lambda x: x["ts"]):
+                yield str(ts), list(group)
+
+    steps, _ = run_diversion(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), captures(), period=lambda name: name[:10])
+    r.unpersist()
     return steps
 
 
