@@ -111,6 +111,18 @@ def core_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.core(A.edges(spark, sf_dir).where("highway = 'primary'"), spark.range(1).withColumnRenamed("id", "node"))
 
 
+@query(None)
+def reachability_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions that junction 0 reaches over roads of every class."""
+    return G.reachable(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node")).select("node")
+
+
+@query(None)
+def core_intersection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions that junction 0 reaches and that reach it, over roads of every class."""
+    return G.core(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"))
+
+
 @query(
     """SELECT arg_max(node, n * 1000000 - node) AS node FROM (SELECT node, count(*) AS n FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY node)""",
     ("edges",),
