@@ -68,13 +68,13 @@ def _painted(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
 @query(_PAINTED + _REACH + _SPREAD.format(order="-hops * 10 + rung"), ("edges", "today"))
 def spread_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.edges(spark, sf_dir)
-    return G.spread(e, _painted(spark, sf_dir, e), most_hops=8)
+    return G.spread(e, _painted(spark, sf_dir, e))
 
 
 @query(_PAINTED + _REACH + _SPREAD.format(order="level * 100 - hops"), ("edges", "today"))
 def spread_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.edges(spark, sf_dir)
-    return G.spread(e, _painted(spark, sf_dir, e), claim="worst", most_hops=8)
+    return G.spread(e, _painted(spark, sf_dir, e), claim="worst")
 
 
 @query(None)
@@ -86,7 +86,7 @@ def spread_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     for seed in range(3):
         kept, hidden = G.hide(painted, 0.2, seed)
         for claim in ("nearest", "worst"):
-            row = G.spread_errors(G.spread(e, kept, claim=claim, most_hops=6), hidden).select(F.lit(seed).alias("repeat"), F.lit(claim).alias("claim"), "*")
+            row = G.spread_errors(G.spread(e, kept, claim=claim), hidden).select(F.lit(seed).alias("repeat"), F.lit(claim).alias("claim"), "*")
             out = row if out is None else out.unionByName(row)
     return out
 

@@ -35,3 +35,8 @@ def test_reachability_over_all_classes(spark, chain, data):
     assert [r.node for r in QUERIES["core_intersection_all"](spark, chain).collect()] == [0]
     narrow = {r.node for r in QUERIES["core_intersection"](spark, data).collect()}
     assert narrow < {r.node for r in QUERIES["core_intersection_all"](spark, data).collect()}
+
+
+def test_spread_runs_to_the_end(spark, chain):
+    for name in ("spread_nearest", "spread_worst"):
+        assert sorted(r.hops for r in QUERIES[name](spark, chain).collect()) == list(range(20))
