@@ -91,21 +91,20 @@ def spanning_tree(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
     return left
 
 
-def unjoined_pairs(sketches: np.ndarray, parts: np.ndarray, least: float, most: int | None) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of an estimate of at least ``least`` whose ends are in different
-    parts, and whether some were left out. Every such pair has an end outside
-    the commonest part; each of these has its ``most`` best ones here."""
+def unjoined_pairs(sketches: np.ndarray, parts: np.ndarray, least: float, most: int | None) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Members with the others in different parts at an estimate of at least
+    ``least``, the ``most`` best ones, and whether some were left out. Every such
+    pair has an end outside the commonest part; these are gone through."""
     names, place = np.unique(parts, return_inverse=True)
     outside = np.flatnonzero(place != np.bincount(place).argmax())
-    pairs, more = [], False
     for i in outside.tolist():
         near = (sketches == sketches[i]).mean(axis=1)
         with_ = np.flatnonzero((near >= least) & (place != place[i]))
-        if most is not None and len(with_) > most:
-            more = True
+        more = most is not None and len(with_) > most
+        if more:
             with_ = with_[np.argsort(-near[with_], kind="stable")[:most]]
-        pairs += [(i, int(j)) for j in with_]
-    return pairs, more
+        if len(with_):
+            yield i, with_, more
 
 
 def ordered(a: str, b: str) -> list:
@@ -198,13 +197,12 @@ def further_pairs(members: DataFrame, parts: DataFrame, most: int | None) -> Dat
             if len(held) < 2:
                 return
             node, s, part = zip(*held)
-            pairs, more = unjoined_pairs(np.stack([np.frombuffer(x, np.uint8) for x in s]), np.array(part, dtype=np.int64), LEAST_ESTIMATE, most)
-            for at in range(0, len(pairs), 1 << 16):
-                some = pairs[at : at + (1 << 16)]
+            nodes = np.array(node, dtype=np.int64)
+            for i, with_, more in unjoined_pairs(np.stack([np.frombuffer(x, np.uint8) for x in s]), np.array(part, dtype=np.int64), LEAST_ESTIMATE, most):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key[0]] * len(some), pa.int64()), pa.array([node[i] for i, _ in some], pa.int64()),
-                        pa.array([node[j] for _, j in some], pa.int64()), pa.array([more] * len(some), pa.bool_()),
+                        pa.array(np.full(len(with_), key[0], dtype=np.int64)), pa.array(np.full(len(with_), node[i], dtype=np.int64)),
+                        pa.array(nodes[with_]), pa.array(np.full(len(with_), more)),
                     ],
                     ["bucket", "a", "b", "more"],
                 )

@@ -199,10 +199,11 @@ def test_unjoined_pairs_are_all_pairs_across_parts():
         parts = rng.integers(0, 4, 15)
         same = (sketches[:, None, :] == sketches[None, :, :]).mean(axis=2)
         want = {(i, j) for i, j in combinations(range(15), 2) if parts[i] != parts[j] and same[i, j] >= 0.35}
-        every, more = N.unjoined_pairs(sketches, parts, 0.35, None)
-        assert {tuple(sorted(p)) for p in every} == want and not more
-        some, more = N.unjoined_pairs(sketches, parts, 0.35, 1)
-        assert set(some) <= set(every) and more == (len(some) < len(every))
+        every = list(N.unjoined_pairs(sketches, parts, 0.35, None))
+        assert {tuple(sorted((i, int(j)))) for i, js, _ in every for j in js} == want and not any(more for *_, more in every)
+        some = list(N.unjoined_pairs(sketches, parts, 0.35, 1))
+        assert [(i, len(js) > 1) for i, js, _ in every] == [(i, more) for i, _, more in some]
+        assert all(set(x) <= set(y) for (_, x, _), (_, y, _) in zip(some, every))
 
 
 def test_connected_components(spark):
