@@ -3,12 +3,14 @@
 Test items (questions and answers) and documents are normalised alike: A-Z
 lower-cased, words are runs of digits, letters and whatever is not ASCII. The
 patterns are all windows of ``window`` consecutive item words (the whole item if
-it is shorter). Each text is scanned once. Normalising keeps byte positions, so
-hits map back to the original text.
+it is shorter). Each word of the items is one symbol of the automaton's alphabet,
+so a window has as many states as words; words of no item share one symbol. Each
+text is scanned once. Normalising keeps byte positions, so hits map back to the
+original text.
 
-The items are broadcast in blocks of at most ``block_bytes`` of text, each with
+Items go to the executors in blocks of at most ``block_bytes`` of text, each with
 an automaton of its own; benchmarks fit one block as a rule. Further blocks are
-further steps over the same batch of documents, with no shuffle.
+further passes, one block at a time on the driver and the executors.
 """
 
 from __future__ import annotations
@@ -19,27 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_batches, map_rows, utf8
+from .common import BATCH_ROWS, cut, map_batches, map_rows, utf8
 
 #: Bytes to what they are as part of a word: A-Z lower-cased, else a space.
 NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
+#: Bytes of item text to an automaton. There are fewer words than half of it, which
+#: leaves a code point for each, and about 6 windows of ten states to 36 bytes.
+BLOCK_BYTES = 2 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
 
-def item_windows(text: bytes | None, window: int) -> set[tuple[bytes, ...]]:
-    found = words(text)
-    if not text or not found:
-        return set()
-    return {tuple(found[i : i + window]) for i in range(max(1, len(found) - window + 1))}
+def symbol(k: int) -> str:
+    """The k-th code point that isn't a surrogate; 0 stands for words of no item."""
+    return chr(k if k < 0xD800 else k + 0x800)
 
 
 class Scanner:
@@ -48,14 +52,15 @@ class Scanner:
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        owners: dict[tuple[bytes, ...], set] = {}
+        self.alphabet: dict[bytes, str] = {}
+        owners: dict[str, set] = {}
         for item, text in items:
-            for w in item_windows(text, window):
-                owners.setdefault(w, set()).add(item)
-        for w, ids in owners.items():
-            key = b" " + b" ".join(w) + b" "
-            self.automaton.add_word(key.decode("latin-1"), (len(w), len(key), tuple(ids)))
+            coded = "".join([self.alphabet.setdefault(w, symbol(len(self.alphabet) + 1)) for w in words(text)])
+            for i in range(max(1, len(coded) - window + 1) if coded else 0):
+                owners.setdefault(coded[i : i + window], set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        for key, ids in owners.items():
+            self.automaton.add_word(key, (len(key), tuple(ids)))
         self.some = bool(owners)
         if self.some:
             self.automaton.make_automaton()
@@ -64,16 +69,9 @@ class Scanner:
         """Word ranges ``(first, past, items)`` of all windows that occur."""
         if not self.some or not found:
             return []
-        text = " " + b" ".join(found).decode("latin-1") + " "
-        hits = list(self.automaton.iter(text))
-        if not hits:
-            return []
-        starts = np.cumsum(np.fromiter((len(w) + 1 for w in found), np.int64, len(found))) - [len(w) + 1 for w in found]
-        out = []
-        for end, (n, length, ids) in hits:
-            first = int(np.searchsorted(starts, end - length + 1))
-            out.append((first, first + n, ids))
-        return out
+        get, other = self.alphabet.get, symbol(0)
+        coded = "".join([get(w, other) for w in found])
+        return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(coded)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,14 +93,20 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(points[at[a][0]]), int(points[at[b - 1][1]])) for a, b in ranges]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, bytes | None]]]:
-    """The items in blocks; each is collected on its own and is bounded."""
-    picked = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks, each collected on its own and bounded, and whether it
+    is the last. A block is taken back when the next one is asked for."""
+    sc = items.sparkSession.sparkContext
+    picked = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
+    # hashing deals unevenly, so blocks are aimed at half of the bound
+    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     for k in range(n):
         part = picked if n == 1 else picked.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
+        block = sc.broadcast([(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in part.toLocalIterator()])
+        yield block, k == n - 1
+        if k < n - 1:
+            block.destroy()
 
 
 def find_contamination(
@@ -113,7 +117,7 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: ``(id, n_words, n_hit, items, spans)``.
 
@@ -125,9 +129,6 @@ def find_contamination(
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    sc = docs.sparkSession.sparkContext
-    named = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    blocks = [sc.broadcast(b) for b in _blocks(named, "i", "t", block_bytes)]
     hit = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("items", pa.list_(pa.string()))])
 
     def step(block, last: bool, first: bool):
@@ -162,29 +163,27 @@ def find_contamination(
 
         return make
 
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        schema = (
-            f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-            if last
-            else f"id {kind}, text string, hits array<struct<a:bigint,b:bigint,items:array<string>>>"
-        )
-        picked = map_batches(picked, step(block, last, k == 0), schema)
+    done = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+    open_ = f"id {kind}, text string, hits array<struct<a:bigint,b:bigint,items:array<string>>>"
+    first = True
+    for block, last in _blocks(items, item_id, item_text, block_bytes):
+        picked = map_batches(picked, step(block, last, first), done if last else open_)
+        if not last:
+            picked = cut(picked)
+        first = False
     return picked
 
 
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_bytes: int = 32 << 20,
+    window: int = 10, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, all columns unchanged.
 
     Rows pass through as they are: no join, no shuffle, any column names.
     """
     at = docs.columns.index(text_col)
-    sc = docs.sparkSession.sparkContext
-    named = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    for block in [sc.broadcast(b) for b in _blocks(named, "i", "t", block_bytes)]:
+    for block, last in _blocks(items, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(block.value, window)
@@ -195,6 +194,8 @@ def drop_contaminated(
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = map_rows(docs, run, docs.schema)
+        if not last:
+            docs = cut(docs)
     return docs
 
 

@@ -1,11 +1,12 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
-Every line and every paragraph of a whole text that names a license word is
-compared with short license notices: sparse TF-IDF vectors of words and word
-pairs, with document frequencies counted over all texts. A text whose words are
-mostly license notice, or whose file name says so, is a license file. A text
-with no license of its own takes that of the license file in the nearest
-directory above it, found by joins on directory paths.
+Every line and every paragraph of a whole text that names a license word, and the
+whole of such a text, is compared with license notices, whole license texts and
+identifier lines: sparse TF-IDF vectors of words and word pairs, with document
+frequencies counted over all texts. A text that consists mostly of matching
+paragraphs, or whose file name says so, is a license file. A text with no license
+of its own takes that of the license file in the nearest directory above it,
+found by joins on directory paths.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, map_rows
 
 # SPDX identifiers and notices that stand for them.
-TEMPLATES = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -44,11 +45,58 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# The published texts of short licenses, without the copyright line.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = (
+    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+     "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("ISC", "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+     'the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+     "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+     "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+     "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "BSD 2-Clause License. " + _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", "BSD 3-Clause License. " + _BSD + _BSD_3 + _BSD_AS_IS),
+)
+# SPDX identifiers by the license that they name.
+IDENTIFIERS = (
+    ("MIT", ("MIT",)), ("Apache-2.0", ("Apache-2.0",)), ("GPL-3.0", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")), ("GPL-2.0", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")),
+    ("LGPL-3.0", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")), ("AGPL-3.0", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")), ("BSD-3-Clause", ("BSD-3-Clause",)),
+    ("BSD-2-Clause", ("BSD-2-Clause",)), ("MPL-2.0", ("MPL-2.0",)), ("ISC", ("ISC",)), ("CC-BY-4.0", ("CC-BY-4.0",)), ("CC-BY-SA-4.0", ("CC-BY-SA-4.0",)),
+    ("CC-BY-NC-4.0", ("CC-BY-NC-4.0",)), ("CC-BY-ND-4.0", ("CC-BY-ND-4.0",)), ("CC0-1.0", ("CC0-1.0",)), ("Unlicense", ("Unlicense",)),
+)
+TEMPLATES = (*NOTICES, *TEXTS, *((name, f"SPDX-License-Identifier: {i}") for name, ids in IDENTIFIERS for i in ids))
 _ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|public domain|creative commons|spdx|free software", re.I | re.A)
 _TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _MARKS = "#/*-;!%\"'<>|: \t"
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 LEAST = 0.6
+#: Identifier lines share all words but the identifier itself.
+LEAST_IDENTIFIER = 0.95
+_IDENTIFIER = re.compile(r"SPDX-License-Identifier:", re.I | re.A)
 
 
 def terms(text: str) -> Counter:
@@ -60,17 +108,37 @@ def terms(text: str) -> Counter:
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
 
 
-def segments(text: str) -> Iterator[str]:
-    """Lines and paragraphs with a license word, without comment marks."""
+def paragraphs(text: str) -> Iterator[tuple[list[str], str | None]]:
+    """Per paragraph with a license word: its lines with one, without comment
+    marks, and all of its lines as one (None: it has one line). Each term of an
+    expression of identifiers is a line of its own."""
     if not _ANCHOR.search(text):
         return
     for part in re.split(r"\n[ \t]*\n", text):
         if not _ANCHOR.search(part):
             continue
-        lines = [x.strip(_MARKS) for x in part.split("\n")]
-        yield from (x for x in lines if _ANCHOR.search(x))
-        if len(lines) > 1:
-            yield " ".join(lines)
+        lines, marked = [x.strip(_MARKS) for x in part.split("\n")], []
+        for x in lines:
+            if m := _IDENTIFIER.search(x):
+                marked += [f"SPDX-License-Identifier: {i}" for i in re.split(r"[\s()]+|(?<=\s)(?:AND|OR)(?=\s)", x[m.end() :]) if i not in ("", "AND", "OR", "*/", "-->")]
+            elif _ANCHOR.search(x):
+                marked.append(x)
+        yield marked, " ".join(lines) if len(lines) > 1 else None
+
+
+def segments(text: str) -> Iterator[str]:
+    """Whatever of a text is compared with the templates."""
+    every = list(paragraphs(text))
+    for lines, whole in every:
+        yield from lines
+        if whole is not None:
+            yield whole
+    if every and "\n" in text:
+        yield " ".join(text.split())
+
+
+def reaches(segment: str, score: float, least: float = LEAST) -> bool:
+    return score >= (max(least, LEAST_IDENTIFIER) if _IDENTIFIER.match(segment) else least)
 
 
 class Matcher:
@@ -153,13 +221,24 @@ def scan_licenses(
 
         def one(text: str):
             top, hits, covered = (None, 0.0), set(), 0
-            for segment in segments(text):
-                name, score = best(segment)
-                if name and score >= least:
-                    hits.add(name)
-                    covered = max(covered, len(segment))
-                    if score > top[1] + 1e-12:
-                        top = (name, score)
+
+            def matches(segment: str, keep: bool = True) -> bool:
+                nonlocal top
+                name, score = best(segment) if keep else m.best(segment)
+                if not name or not reaches(segment, score, least):
+                    return False
+                hits.add(name)
+                if score > top[1] + 1e-12:
+                    top = (name, score)
+                return True
+
+            every = list(paragraphs(text))
+            for lines, whole in every:
+                # an identifier names a license and is no text of one
+                some = sum(len(x) for x in lines if matches(x) and not _IDENTIFIER.match(x))
+                covered += len(whole) if whole is not None and matches(whole) else some
+            if every and "\n" in text and matches(" ".join(text.split()), False):
+                covered = len(text)
             return top[0], top[1] if top[0] else None, sorted(hits), covered >= most_of * len(text) > 0
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -50,12 +50,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def load_encoding(path: str):
+def load_encoding(ranks_file: bytes):
+    """The encoding of a file of tiktoken ranks."""
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -100,13 +100,15 @@ def secret_spans(
     SHA-256 of the base spans as ``kind:start:end``. Null and empty texts have
     no spans; repeated rows are kept; an empty table gives an empty one.
     """
-    path = vocabulary or default_vocabulary()
+    # the file is read here and sent: executors need not have it
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rank = {k: i for i, k in enumerate(KINDS)}
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())])
 
     def make():
-        encoding = load_encoding(path)
+        encoding = load_encoding(ranks.value)
 
         @lru_cache(maxsize=1 << 16)
         def count(candidate: str) -> int:

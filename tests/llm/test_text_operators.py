@@ -134,8 +134,9 @@ def test_license_query_against_brute_force(spark, data, small):
         return dot / math.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
 
     for doc, text in small:
-        best = max(((cosine(s, t), -k) for s in L.segments(text) for k, (_, t) in enumerate(L.TEMPLATES)), default=(0, 0))
-        want = L.TEMPLATES[-best[1]][0] if best[0] >= L.LEAST else None
+        nearest = [max((cosine(s, t), -k) for k, (_, t) in enumerate(L.TEMPLATES)) + (s,) for s in L.segments(text)]
+        best = max((x for x in nearest if L.reaches(x[2], x[0])), default=None)
+        want = L.TEMPLATES[-best[1]][0] if best else None
         assert got[doc].license == want
         folder, above = got[doc].path.rpartition("/")[0], None
         while want is None and above is None:
@@ -145,3 +146,28 @@ def test_license_query_against_brute_force(spark, data, small):
                 break
             folder = folder.rpartition("/")[0]
         assert got[doc].effective == (want or (above.license if above else None))
+
+
+def test_identifier_lines_and_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    text = dict(L.TEXTS)
+    wrap = lambda t, w: "\n".join(t[i : i + w] for i in range(0, len(t), w))
+    halves = lambda t: t[: t.index(". ", len(t) // 2) + 1] + "\n\n" + t[t.index(". ", len(t) // 2) + 2 :]
+    rows = [
+        (1, "a/x.py", "# SPDX-License-Identifier: MIT\nimport y\n" * 1 + "z = 1\n" * 50),
+        (2, "a/y.c", "/* SPDX-License-Identifier: Apache-2.0 */\nint x;"),
+        (3, "a/z.c", "// SPDX-License-Identifier: GPL-2.0-only\nint x;"),
+        (4, "a/w.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;"),
+        (5, "a/v.c", "// SPDX-License-Identifier: Proprietary-9\nint x;"),
+        (6, "b/terms.txt", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + halves(text["MIT"])),
+        (7, "b/code.py", "x = 1"),
+        (8, "c/terms.txt", "Copyright 2021, Others\n\n" + halves(text["BSD-3-Clause"])),
+        (9, "c/code.py", "x = 1"),
+    ]
+    files = spark.createDataFrame(rows, "id bigint, p string, text string")
+    got = {r.id: r for r in L.scan_licenses(files, "id", F.col("p")).collect()}
+    assert [got[i].license for i in range(1, 10)] == ["MIT", "Apache-2.0", "GPL-2.0", "MIT", None, "MIT", None, "BSD-3-Clause", None]
+    assert got[4].licenses == ["Apache-2.0", "MIT"]
+    assert (got[7].effective, got[7].inherited_from, got[9].effective) == ("MIT", "b/terms.txt", "BSD-3-Clause")
+    assert not any(got[i].is_license_file for i in (1, 2, 3, 4, 5))
