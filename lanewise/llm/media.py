@@ -11,8 +11,11 @@ byte, whatever was declared; media that start later are carved out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -41,65 +44,99 @@ RATE = 8000
 BLOCK = 64
 
 
-def _png(d: bytes, at: int) -> int | None:
-    i, first = at + 8, True
-    while i + 12 <= len(d):
+class Seen(defaultdict):
+    """What validators found out about one value, kept so that no part of it is
+    walked twice: many signatures may lead into one chain of pages or chunks."""
+
+    def __init__(self):
+        super().__init__(dict)
+
+    def follow(self, kind: str, at: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+        """Where the chain from ``at`` ends; ``step`` gives the next place, or
+        None and the end (None: it breaks off)."""
+        known, way, end = self[kind], [], None
+        here: int | None = at
+        while here is not None:
+            if here in known:
+                end = known[here]
+                break
+            way.append(here)
+            here, end = step(here)
+        known.update(dict.fromkeys(way, end))
+        return end
+
+    def places(self, d: bytes, what: bytes) -> list[int]:
+        """All places of ``what``, in order."""
+        if what not in self["places"]:
+            self["places"][what] = [m.start() for m in re.finditer(b"(?=" + re.escape(what) + b")", d)]
+        return self["places"][what]
+
+
+def _png(d: bytes, at: int, seen: Seen) -> int | None:
+    def step(i: int) -> tuple[int | None, int | None]:
+        if i + 12 > len(d):
+            return None, None
         n, kind = struct.unpack_from(">I4s", d, i)
-        if i + 12 + n > len(d) or (first and kind != b"IHDR"):
-            return None
-        if zlib.crc32(d[i + 4 : i + 8 + n]) != struct.unpack_from(">I", d, i + 8 + n)[0]:
-            return None
-        i, first = i + 12 + n, False
-        if kind == b"IEND":
-            return i - at
-    return None
+        if i + 12 + n > len(d) or zlib.crc32(memoryview(d)[i + 4 : i + 8 + n]) != struct.unpack_from(">I", d, i + 8 + n)[0]:
+            return None, None
+        return (None, i + 12 + n) if kind == b"IEND" else (i + 12 + n, None)
+
+    end = seen.follow("png", at + 8, step) if d[at + 12 : at + 16] == b"IHDR" else None
+    return end and end - at
+
 
+def _jpeg(d: bytes, at: int, seen: Seen) -> int | None:
+    if "coded" not in seen["jpeg marks"]:  # markers that may end coded data
+        seen["jpeg marks"]["coded"] = [m.start() for m in re.finditer(rb"\xff(?=[^\x00\xd0-\xd7])", d, re.S)]
+    marks = seen["jpeg marks"]["coded"]
 
-def _jpeg(d: bytes, at: int) -> int | None:
-    i = at + 2
-    while i + 4 <= len(d) and d[i] == 0xFF:
+    def step(i: int) -> tuple[int | None, int | None]:
+        if i + 2 > len(d) or d[i] != 0xFF:
+            return None, None
         mark = d[i + 1]
         if mark == 0xD9:
-            return i + 2 - at
+            return None, i + 2
         if mark == 0x01 or 0xD0 <= mark <= 0xD7:
-            i += 2
-            continue
-        n = struct.unpack_from(">H", d, i + 2)[0]
-        if n < 2:
-            return None
+            return i + 2, None
+        if i + 4 > len(d) or (n := struct.unpack_from(">H", d, i + 2)[0]) < 2:
+            return None, None
         i += 2 + n
         if mark == 0xDA:  # coded data up to the next marker that isn't stuffing
-            while (i := d.find(b"\xff", i)) >= 0 and i + 1 < len(d) and (d[i + 1] == 0 or 0xD0 <= d[i + 1] <= 0xD7):
-                i += 2
-            if i < 0:
-                return None
-    return 2 + i - at if d[i : i + 2] == b"\xff\xd9" else None
+            k = bisect_left(marks, i)
+            return (marks[k], None) if k < len(marks) else (None, None)
+        return i, None
+
+    end = seen.follow("jpeg", at + 2, step)
+    return end and end - at
 
 
-def _gif(d: bytes, at: int) -> int | None:
+def _gif(d: bytes, at: int, seen: Seen) -> int | None:
     if at + 13 > len(d):
         return None
-    flags = d[at + 10]
-    i = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+    colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
     def blocks(i: int) -> int:
-        while i < len(d) and d[i]:
-            i += d[i] + 1
-        return i + 1
+        def step(k: int) -> tuple[int | None, int | None]:
+            return (k + d[k] + 1, None) if k < len(d) and d[k] else (None, k + 1)
 
-    while i < len(d):
+        return seen.follow("gif blocks", i, step)
+
+    def step(i: int) -> tuple[int | None, int | None]:
+        if i >= len(d):
+            return None, None
         if d[i] == 0x3B:
-            return i + 1 - at
+            return None, i + 1
         if d[i] == 0x21:
-            i = blocks(i + 2)
-        elif d[i] == 0x2C and i + 10 < len(d):
-            i = blocks(i + 11 + (3 << ((d[i + 9] & 7) + 1) if d[i + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return blocks(i + 2), None
+        if d[i] == 0x2C and i + 10 < len(d):
+            return blocks(i + 11 + colours(d[i + 9])), None
+        return None, None
 
+    end = seen.follow("gif", at + 13 + colours(d[at + 10]), step)
+    return end and end - at
 
-def _bmp(d: bytes, at: int) -> int | None:
+
+def _bmp(d: bytes, at: int, seen: Seen) -> int | None:
     if at + 30 > len(d):
         return None
     size, spare, start, head = struct.unpack_from("<IIII", d, at + 2)
@@ -107,65 +144,71 @@ def _bmp(d: bytes, at: int) -> int | None:
     return size if fits and at + size <= len(d) else None
 
 
-def _riff(form: bytes, part: bytes) -> Callable[[bytes, int], int | None]:
-    def walk(d: bytes, at: int) -> int | None:
+def _riff(form: bytes, part: bytes) -> Callable[[bytes, int, Seen], int | None]:
+    def walk(d: bytes, at: int, seen: Seen) -> int | None:
         if at + 20 > len(d) or d[at : at + 4] != b"RIFF" or d[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
         if end > len(d):
             return None
-        i, seen = at + 12, False
+        i, has = at + 12, False
         while i + 8 <= end:
             kind, n = struct.unpack_from("<4sI", d, i)
-            seen |= kind.startswith(part)
+            has |= kind.startswith(part)
             i += 8 + n + (n & 1)
-        return end - at if seen and i == end else None
+        return end - at if has and i == end else None
 
     return walk
 
 
-def _flac(d: bytes, at: int) -> int | None:
-    i = at + 4
-    while i + 4 <= len(d):
+def _flac(d: bytes, at: int, seen: Seen) -> int | None:
+    def step(i: int) -> tuple[int | None, int | None]:
+        if i + 4 > len(d):
+            return None, None
         head = struct.unpack_from(">I", d, i)[0]
-        kind, n = head >> 24 & 127, head & 0xFFFFFF
-        if i == at + 4 and (kind, n) != (0, 34):
-            return None
-        i += 4 + n
+        i += 4 + (head & 0xFFFFFF)
         if head >> 31:  # frames run to the end of the value
-            return len(d) - at if i + 2 <= len(d) and d[i] == 0xFF and d[i + 1] >> 2 == 0x3E else None
-    return None
+            return None, len(d) if i + 2 <= len(d) and d[i] == 0xFF and d[i + 1] >> 2 == 0x3E else None
+        return i, None
 
+    # the first block describes the stream and has 34 bytes
+    end = seen.follow("flac", at + 4, step) if d[at + 4 : at + 8] in (b"\0\0\0\x22", b"\x80\0\0\x22") else None
+    return end and end - at
 
-def _ogg(d: bytes, at: int) -> int | None:
-    i = at
-    while d[i : i + 5] == b"OggS\0" and i + 27 <= len(d):
+
+def _ogg(d: bytes, at: int, seen: Seen) -> int | None:
+    def step(i: int) -> tuple[int | None, int | None]:
+        if d[i : i + 5] != b"OggS\0" or i + 27 > len(d):
+            return None, None
         table = d[i + 27 : i + 27 + d[i + 26]]
         last, i = d[i + 5] & 4, i + 27 + len(table) + sum(table)
-        if i > len(d):
-            return None
-        if last:
-            return i - at
-    return None
+        return (None, None) if i > len(d) else (None, i) if last else (i, None)
+
+    end = seen.follow("ogg", at, step)
+    return end and end - at
 
 
-def _pdf(d: bytes, at: int) -> int | None:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+def _pdf(d: bytes, at: int, seen: Seen) -> int | None:
+    ends, refs = seen.places(d, b"%%EOF"), seen.places(d, b"startxref")
+    k, r = bisect_left(ends, at), bisect_left(refs, at)
+    fits = k < len(ends) and r < len(refs) and refs[r] + 9 <= ends[k]
+    return ends[k] + 5 - at if fits else None
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0:
-        if end + 22 <= len(d):
-            size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-            if at + offset + size == end and end + 22 + note <= len(d):
-                return end + 22 + note - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return None
+def _zip(d: bytes, at: int, seen: Seen) -> int | None:
+    if "starts" not in seen["zip"]:  # the first end record that counts back to a start
+        starts: dict[int, int] = {}
+        for end in seen.places(d, b"PK\x05\x06"):
+            if end + 22 <= len(d):
+                size, offset, note = struct.unpack_from("<IIH", d, end + 12)
+                if end + 22 + note <= len(d):
+                    starts.setdefault(end - offset - size, end + 22 + note)
+        seen["zip"]["starts"] = starts
+    end = seen["zip"]["starts"].get(at)
+    return end and end - at
 
 
-def _gzip(d: bytes, at: int) -> int | None:
+def _gzip(d: bytes, at: int, seen: Seen) -> int | None:
     unpack, i = zlib.decompressobj(31), at
     try:
         while i < len(d) and not unpack.eof:
@@ -179,7 +222,7 @@ def _gzip(d: bytes, at: int) -> int | None:
     return i - len(unpack.unused_data) - at if unpack.eof else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
+VALIDATORS: dict[str, Callable[[bytes, int, Seen], int | None]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp,
     "image/webp": _riff(b"WEBP", b"VP8"), "audio/wav": _riff(b"WAVE", b"data"),
     "audio/flac": _flac, "audio/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
@@ -199,12 +242,12 @@ def automaton():
 def media_in(value: bytes, signatures) -> list[tuple[str, int, int]]:
     """Validated media ``(type, start, length)``: the one at the first byte, if
     any, then those that start later, leftmost first, without overlaps."""
-    whole, inner, past = [], [], 0
+    whole, inner, past, seen = [], [], 0, Seen()
     hits = sorted((end + 1 - back, kind) for end, (back, kind) in signatures.iter(value.decode("latin-1")))
     for start, kind in hits:
         if start < 0 or (start and start < past) or (not start and whole):
             continue
-        length = VALIDATORS[kind](value, start)
+        length = VALIDATORS[kind](value, start, seen)
         if length:
             if start == 0:
                 whole.append((kind, 0, length))
@@ -287,13 +330,14 @@ def wave_features(samples: bytes) -> str:
     return f"wav/{RATE}/1/8;" + ",".join(str(int(n)) for n in numbers)
 
 
-def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """Every whole text stored as a wave, sniffed, read back and described.
 
     One row per row of ``docs``: ``(id, n_bytes, payload_sha256, payload_bytes,
     tail_crc32, media_type, media, feature)`` with the stored bytes in
-    ``media``. The payload is the UTF-8 text (null: empty) filled with zero bytes
-    to a positive multiple of 64. Equal texts give equal values.
+    ``media`` (null unless ``with_media``: they needn't leave the worker then). The
+    payload is the UTF-8 text (null: empty) filled with zero bytes to a positive
+    multiple of 64. Equal texts give equal values.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -308,7 +352,7 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 back = read_wave(stored, signatures)
                 out.append((
                     len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), "audio/wav",
-                    len(stored), hashlib.sha256(stored).hexdigest(), stored, wave_features(back),
+                    len(stored), hashlib.sha256(stored).hexdigest(), stored if with_media else None, wave_features(back),
                 ))
             n, p, s, c, t, m, h, b, f = zip(*out) if out else ((),) * 9
             return pa.RecordBatch.from_arrays(

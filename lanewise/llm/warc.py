@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import BATCH_BYTES, map_batches, map_rows
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
@@ -36,6 +36,9 @@ BREAKS = frozenset(
     "hr li main nav ol p pre section table tbody td tfoot th thead tr ul option".split()
 )
 
+RESPONSE = ["key", "record_id", "target_uri", "date", "headers", "payload"]
+RESPONSE_SCHEMA = pa.schema([(f, pa.binary() if f == "payload" else pa.string()) for f in RESPONSE])
+
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -110,22 +113,55 @@ def extract(page: str) -> tuple[str, str | None, str | None, list[str]]:
 def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Pages as response records ``(key, record_id, target_uri, date, headers, payload)``.
 
-    A crawl without times gets the given date. A null url is empty, a null page
-    has no bytes.
+    A table of pages has no headers and no times: the status line and type that
+    any HTML page has stand for the headers, the length is the page's, and the
+    date is the given one (``responses_from_warc`` keeps those of a crawl). A
+    null url is empty, a null page has no bytes. Ids are derived from id, url and
+    content, so different captures of one url differ and equal rows agree.
     """
-    uri = F.coalesce(F.col(url_col), F.lit(""))
-    name: Column = F.sha1(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), uri).cast("binary"))
+    uri, page = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    key = F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), F.col(url_col).alias("u"), F.sha2(F.col(html_col).cast("binary"), 256).alias("h")))
+    name: Column = F.sha1(key.cast("binary"))
     urn = F.concat(
         F.lit("<urn:uuid:"), F.substring(name, 1, 8), F.lit("-"), F.substring(name, 9, 4), F.lit("-5"), F.substring(name, 14, 3),
         F.lit("-a"), F.substring(name, 18, 3), F.lit("-"), F.substring(name, 21, 12), F.lit(">"),
     )
     return pages.select(
         F.col(id_col).alias("key"), urn.alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"),
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("headers"),
-        F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
+        F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(page).cast("string")).alias("headers"),
+        page.alias("payload"),
     )
 
 
+def responses_from_warc(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """The response records of WARC files, one file to a row (as Spark's
+    ``binaryFile`` reads them), in the form of ``responses_from_pages``.
+
+    ``key`` is the path and the record's number in it. Ids, dates and headers are
+    the crawl's own; records of other types are left out; null content has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out, held = [], 0
+                for n, (head, block) in enumerate(parse(content or b"")):
+                    if head.get("WARC-Type") != "response":
+                        continue
+                    headers, _, payload = block.partition(b"\r\n\r\n")
+                    row = (f"{path}#{n}", head["WARC-Record-ID"], head.get("WARC-Target-URI", ""), head["WARC-Date"], headers.decode("utf-8", "replace"), payload)
+                    out.append(dict(zip(RESPONSE, row)))
+                    held += len(payload)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, RESPONSE_SCHEMA)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, RESPONSE_SCHEMA)
+
+    picked = files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content"))
+    return map_rows(picked, run, ", ".join(f"{f} string" for f in RESPONSE[:-1]) + ", payload binary")
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows for every response: ``(key, type, record_id, refers_to,
     target_uri, date, content_type, source_digest, block_digest, block)``.

@@ -79,3 +79,55 @@ def test_edge_cases(docs, rows, none):
     assert {r.payload_bytes for r in got if r.n_bytes == 0} == {64}
     assert all(M.read_wave(bytes(r.media), M.automaton())[: r.n_bytes] is not None for r in got)
     assert M.text_as_media(none).count() == 0
+
+
+def chunk(kind, body):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+OGG = b"OggS\0\0" + b"\0" * 20 + b"\0"
+FRAME = GIF[:-1]
+
+CHAINS = {
+    "ogg": (OGG, b""),
+    "png": (chunk(b"teXt", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13)), b""),
+    "jpeg": (b"\xff\xd8\xff\xda\x00\x02ab", b""),
+    "gif": (b"GIF89a" + b"\0" * 7, b""),
+    "gif blocks": (b"GIF89a\0\0\0\0\0\0\0\x21\xfe\x05abcde", b"\x05"),
+    "pdf": (b"%PDF-", b""),
+    "zip": (b"PK\x03\x04", b""),
+    "zip ends": (b"PK\x03\x04PK\x05\x06", b"\xff" * 18),
+    "flac": (b"fLaC\0\0\0\x22" + b"\0" * 34, b""),
+    "gzip": (b"\x1f\x8b\x08", b""),
+    "bmp": (b"BM", b""),
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_long_chains_of_signatures_take_linear_time(name):
+    import time
+
+    signatures = M.automaton()
+    one, more = CHAINS[name]
+    took = []
+    for n in (5_000, 40_000):
+        value = (one + more) * n
+        start = time.process_time()
+        M.media_in(value, signatures)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_a_chain_that_ends_is_found_from_each_of_its_pages():
+    signatures = M.automaton()
+    last = OGG[:5] + b"\4" + OGG[6:]
+    assert M.media_in(b"x" + OGG * 3 + last + OGG + last, signatures) == [("audio/ogg", 1, 108), ("audio/ogg", 109, 54)]
+    assert M.media_in(OGG * 2 + last, signatures) == [("audio/ogg", 0, 81), ("audio/ogg", 27, 54)]
+    assert M.media_in(OGG * 5, signatures) == []
+
+
+def test_stored_bytes_stay_with_the_worker_unless_asked_for(docs):
+    with_, without = M.text_as_media(docs), M.text_as_media(docs, with_media=False)
+    assert all(r.media is None for r in without.collect())
+    key = lambda r: (r.id is None, r.id, r.media_sha256)
+    assert sorted(map(key, with_.collect())) == sorted(map(key, without.collect()))

@@ -151,3 +151,85 @@ def test_warc_query(spark, data):
         t = W.extract(p.html)[0].encode()
         assert text[p.page_id].content_length == len(t) and text[p.page_id].block_sha256 == hashlib.sha256(t).hexdigest()
     assert W.derivatives(W.responses_from_pages(spark.createDataFrame([], PAGES))).count() == 0
+
+
+def plain(page):
+    """Text, title, language and links of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.links, self.title, self.language, self.inside = [], [], None, None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.links += [v for k, v in attrs if k == "href" and v]
+            if tag == "html":
+                self.language = dict(attrs).get("lang")
+            if tag == "body":
+                self.inside = []
+            if tag in W.HIDDEN:
+                self.inside.append(tag)
+            if tag in W.BREAKS:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            if tag in self.inside:
+                self.inside.remove(tag)
+            if tag in W.BREAKS:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.out.append(data.replace("\n", " "))
+            elif self.inside[-1] == "title" and self.title is None:
+                self.title = " ".join(data.split())
+
+    r = Reader()
+    r.feed(page or "")
+    r.close()
+    lines = (" ".join(x.replace("\xa0", " ").split()) for x in "".join(r.out).split("\n"))
+    return "\n".join(x for x in lines if x), r.title, r.language, r.links
+
+
+def test_warc_query_against_another_parser(spark, data):
+    """Every record rebuilt without the operator: ids, digests, headers, text."""
+    from lanewise.llm.queries import op7_warc_derivatives
+
+    got = {(r.page_id, r.type): r for r in op7_warc_derivatives(spark, data).collect()}
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for p in spark.read.parquet(f"{data}/pages.parquet").collect():
+        payload = (p.html or "").encode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}"
+        text, title, language, links = plain(p.html)
+        m, c = got[p.page_id, "metadata"], got[p.page_id, "conversion"]
+        about = [f"conversion-id: {c.record_id}", f"source-payload-digest: {sha(payload)}", f"source-block-digest: {sha(head.encode() + b'\r\n\r\n' + payload)}"]
+        about += [f"source-header: {x}" for x in head.split("\r\n")]
+        about += [f"title: {title}"] if title else []
+        about += [f"language: {language}"] if language else []
+        about += [f"outlink: {' '.join(x.split())}" for x in links]
+        for r, block in ((m, "".join(x + "\r\n" for x in about).encode()), (c, text.encode())):
+            assert (r.block_digest, r.content_length, r.block_sha256) == (sha(block), len(block), hashlib.sha256(block).hexdigest())
+            assert (r.target_uri, r.source_digest, r.refers_to) == (p.url or "", sha(payload), m.refers_to)
+        assert len({m.record_id, c.record_id, m.refers_to}) == 3
+
+
+def test_record_ids_follow_the_content(spark):
+    rows = [(1, "http://a.test/", "<p>one"), (1, "http://a.test/", "<p>two"), (1, "http://a.test/", None), (1, "http://a.test/", ""), (None, "http://a.test/", "<p>one"), (1, "http://a.test/", "<p>one")]
+    got = W.derivatives(W.responses_from_pages(spark.createDataFrame(rows, PAGES))).collect()
+    assert len(got) == 12 and len({r.record_id for r in got}) == 10 and len({r.refers_to for r in got}) == 5
+
+
+def test_responses_of_a_crawl_keep_their_headers(spark):
+    head = "HTTP/1.1 404 Not Found\r\nServer: x\r\nContent-Type: text/html"
+    block = head.encode() + b"\r\n\r\n<p>gone"
+    response = {"type": "response", "record_id": "<urn:uuid:1>", "date": "2024-05-01T00:00:00Z", "target_uri": "http://a.test/", "refers_to": None, "block_digest": "", "content_type": "application/http", "block": block}
+    other = response | {"type": "request", "record_id": "<urn:uuid:2>"}
+    files = [("a.warc.gz", bytearray(W.serialise(other) + W.serialise(response))), ("b.warc", bytearray(W.serialise(response | {"record_id": "<urn:uuid:3>"}, False))), ("c.warc", None)]
+    got = W.responses_from_warc(spark.createDataFrame(files, "path string, content binary"))
+    assert sorted((r.key, r.record_id, r.date, r.headers, bytes(r.payload)) for r in got.collect()) == [
+        ("a.warc.gz#1", "<urn:uuid:1>", "2024-05-01T00:00:00Z", head, b"<p>gone"), ("b.warc#0", "<urn:uuid:3>", "2024-05-01T00:00:00Z", head, b"<p>gone"),
+    ]
+    metadata = [r for r in W.derivatives(got).collect() if r.type == "metadata"]
+    assert all("source-header: Server: x\r\n" in bytes(r.block).decode() and r.date == "2024-05-01T00:00:00Z" for r in metadata) and len(metadata) == 2
