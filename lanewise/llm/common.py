@@ -26,15 +26,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     The folder is the one in ``spark.checkpoint.dir``; only where the session
-    names none (tests on one machine) a temporary folder is set.
+    names none and runs on one machine (tests) a temporary folder is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanewise-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; on a cluster there is nothing to take its place."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="lanewise-")
+
+
 def small_batches(df: DataFrame) -> None:
     """Set the limit on the bytes of an Arrow batch to ``BATCH_BYTES`` where the
     session has the default of 64 MiB, which every task holds several times."""

@@ -142,24 +142,34 @@ def mix_sources(
     )
 
 
-def positions(mixed: DataFrame) -> DataFrame:
-    """One row per copy: the columns of ``mixed`` with ``copy`` (from 0) and
-    ``position``, the training time in [0, 1] that the schedule gives it."""
-    share = (F.col("copy") * F.col("source_size") + F.col("demand") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
-    out = (
-        mixed.where("copies > 0")
-        .withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-        .withColumn("_y", F.least(F.lit(1.0), share) * F.element_at("areas", -1))
-        .withColumn("_i", F.expr("least(steps - 1, greatest(0, size(filter(areas, a -> a <= _y)) - 1))").cast("int"))
-        .withColumn("_r", F.expr("_y - areas[_i]"))
-        .withColumn("_w", F.expr("knots[_i]"))
-        .withColumn("_d", F.expr("_w + sqrt(greatest(0D, _w * _w + 2 * (knots[_i + 1] - _w) * steps * _r))"))
-    )
-    return out.withColumn(
-        "position", F.col("_i") / F.col("steps") + F.when(F.col("_d") > 0, 2 * F.col("_r") / F.col("_d")).otherwise(0.0)
-    ).drop("_y", "_i", "_r", "_w", "_d")
+def position_of(copy: Column) -> Column:
+    """Training time in [0, 1] at which a source asks for that copy (from 0) of a
+    document: the integral of its schedule, inverted at the copy's middle.
+
+    With ``_y`` the part of the whole integral that lies before and ``a`` the
+    knots' integrals, the segment is found by counting and the quadratic inside
+    it is solved for the time."""
+    share = (copy * F.col("source_size") + F.col("demand") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
+    y = F.least(F.lit(1.0), share) * F.element_at("areas", -1)
+    # the last knot whose integral isn't beyond; element numbers are from 1
+    at = F.least(F.col("steps"), F.greatest(F.lit(1), F.size(F.filter("areas", lambda a: a <= y))))
+    rest, here, there = y - F.element_at("areas", at), F.element_at("knots", at), F.element_at("knots", at + 1)
+    below = here + F.sqrt(F.greatest(F.lit(0.0), here * here + 2 * (there - here) * F.col("steps") * rest))
+    return (at - 1) / F.col("steps") + F.when(below > 0, 2 * rest / below).otherwise(0.0)
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The copies of ``mix_sources``, range-sorted by training position."""
-    return positions(mix_sources(docs, **options)).orderBy("position", "id", "copy")
+    """The copies of ``mix_sources`` with ``copy`` (from 0) and ``position``,
+    range-sorted by training position. Documents that aren't taken are left out."""
+    copies = mix_sources(docs, **options).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
+    return copies.withColumn("position", position_of(F.col("copy"))).orderBy("position", "id", "copy")
+
+
+def curriculum_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of ``mix_sources``, range-sorted by the training position of
+    their first copy: ``position`` and ``last_position``, null for documents that
+    aren't taken, which come last."""
+    mixed = mix_sources(docs, **options)
+    place = lambda copy: F.when(F.col("copies") > 0, position_of(copy))
+    placed = mixed.withColumn("position", place(F.lit(0))).withColumn("last_position", place(F.col("copies") - 1))
+    return placed.orderBy(F.asc_nulls_last("position"), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Written rules, then rules of one or two tokens counted by brute force.
+#: Written rules, then rules of up to three tokens counted by brute force; tests have longer ones.
 _OP4 = rf"""
 WITH split AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -16,28 +16,29 @@ WITH split AS (
   FROM hosts
 ), tokens AS (
   SELECT *, list_distinct(list_concat(
-    list_transform(list_filter(regexp_split_to_array(host, '[^0-9A-Za-z]+'), lambda t: NOT regexp_full_match(t, '[0-9]*')), lambda t: 'h:' || t),
-    list_transform(list_filter(regexp_split_to_array(path, '[^0-9A-Za-z]+'), lambda t: NOT regexp_full_match(t, '[0-9]*')), lambda t: 'p:' || t)
+    list_transform(list_filter(regexp_split_to_array(host, '[^0-9A-Za-z]+'), lambda t: t <> ''), lambda t: 'h:' || t),
+    list_transform(list_filter(regexp_split_to_array(path, '[^0-9A-Za-z]+'), lambda t: t <> ''), lambda t: 'p:' || t)
   )) AS ts FROM parsed
 ), marks AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
 ), labelled AS (
-  SELECT row_number() OVER () AS r, ts,
-    CASE WHEN coalesce(m.bad, 0) = 1 OR list_has_any(ts, ['h:adult','h:ads','h:bets','h:casino','h:pills','h:spam']) THEN 1 ELSE 0 END AS bad
-  FROM tokens t LEFT JOIN marks m ON t.page_id = m.doc_id
-  WHERE m.bad IS NOT NULL OR list_has_any(ts, ['h:adult','h:ads','h:bets','h:casino','h:pills','h:spam'])
+  SELECT row_number() OVER () AS r, ts, m.bad FROM tokens t JOIN marks m ON t.page_id = m.doc_id
 ), least AS (
   SELECT greatest(0.0005, 5.0 / count(*)) * count(*) AS n FROM labelled
 ), flat AS (
   SELECT r, bad, unnest(ts) AS t FROM labelled
+), live AS (
+  SELECT t, count(*) AS n, sum(bad) AS k FROM flat, least GROUP BY t HAVING sum(bad) >= ceil(any_value(least.n) - 1e-9)
+), kept AS (
+  SELECT r, bad, t FROM flat JOIN live USING (t)
 ), found AS (
-  SELECT t AS a, t AS b, count(*) AS n, sum(bad) AS k FROM flat GROUP BY t
-  UNION ALL
-  SELECT x.t, y.t, count(*), sum(x.bad) FROM flat x JOIN flat y ON x.r = y.r AND x.t < y.t GROUP BY 1, 2
+  SELECT [t] AS rule, n, k FROM live
+  UNION ALL SELECT [x.t, y.t], count(*), sum(x.bad) FROM kept x JOIN kept y ON x.r = y.r AND x.t < y.t GROUP BY x.t, y.t
+  UNION ALL SELECT [x.t, y.t, z.t], count(*), sum(x.bad) FROM kept x JOIN kept y ON x.r = y.r AND x.t < y.t JOIN kept z ON y.r = z.r AND y.t < z.t GROUP BY x.t, y.t, z.t
 ), rules AS (
-  SELECT a, b FROM found, least WHERE k >= ceil(least.n - 1e-9) AND k >= 0.9 * found.n
+  SELECT rule FROM found, least WHERE k >= ceil(least.n - 1e-9) AND k >= 0.9 * found.n
 ), hit AS (
-  SELECT DISTINCT url FROM tokens, rules WHERE list_contains(ts, a) AND list_contains(ts, b)
+  SELECT DISTINCT url FROM tokens, rules WHERE list_has_all(ts, rule)
 )
 SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, r.rule, coalesce(r.verdict, CASE WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM (
@@ -54,7 +55,8 @@ LEFT JOIN (VALUES ('example.com/en/7', 'allow'), ('example.net/de/8', 'block'),
 LEFT JOIN hit ON p.url = hit.url
 """
 
-#: Water filling in closed form; the excess of capped sources goes to the rest by weight.
+#: Water filling in closed form; the excess of capped sources goes to the rest by weight. A schedule is two
+#: straight lines over half of the time each, so its integral is inverted by a quadratic on either half.
 _OP8 = r"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -63,7 +65,7 @@ WITH sized AS (
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM sized GROUP BY source
 ), caps AS (
-  SELECT *, (source_size * 3)::DOUBLE AS cap, (1 + rk % 3)::DOUBLE AS w FROM sources
+  SELECT *, (source_size * 3)::DOUBLE AS cap, (1 + rk % 3)::DOUBLE AS w, CASE rk % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END AS early FROM sources
 ), levels AS (
   SELECT *,
     sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
@@ -72,17 +74,27 @@ WITH sized AS (
 ), firsts AS (
   SELECT cap / w AS ratio, rk, rest, open FROM levels WHERE rest * w <= cap * open ORDER BY 1, 2 LIMIT 1
 ), goals AS (
-  SELECT l.source, l.source_size,
+  SELECT l.source, l.source_size, l.w, l.w * l.early AS k0, l.w * (2 - l.early) AS k2,
     CASE WHEN l.cap / l.w < f.ratio OR (l.cap / l.w = f.ratio AND l.rk < f.rk) THEN l.cap ELSE f.rest * l.w / f.open END AS target
   FROM levels l, firsts f
 ), streams AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
+), counted AS (
+  SELECT s.doc_id, s.size, s.before, g.*,
+    CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END
+      + CASE WHEN g.source_size > 0 AND floor(g.target / g.source_size) < 3
+               AND s.before + s.size / 2.0 <= g.target - floor(g.target / g.source_size) * g.source_size THEN 1 ELSE 0 END AS copies
+  FROM streams s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+), asked AS (
+  SELECT *, w * least(1.0, (before + size / 2.0) / greatest(target, 1)) AS y0,
+            w * least(1.0, ((copies - 1) * source_size + before + size / 2.0) / greatest(target, 1)) AS y1 FROM counted
 )
-SELECT s.doc_id, s.size, g.source_size, g.target,
-  (s.size * (CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END
-    + CASE WHEN g.source_size > 0 AND floor(g.target / g.source_size) < 3
-             AND s.before + s.size / 2.0 <= g.target - floor(g.target / g.source_size) * g.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM streams s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+  CASE WHEN copies > 0 THEN round(CASE WHEN y0 < (k0 + w) / 4 THEN 2 * y0 / (k0 + sqrt(greatest(0, k0 * k0 + 4 * (w - k0) * y0)))
+    ELSE 0.5 + 2 * (y0 - (k0 + w) / 4) / (w + sqrt(greatest(0, w * w + 4 * (k2 - w) * (y0 - (k0 + w) / 4)))) END, 9) END AS position,
+  CASE WHEN copies > 0 THEN round(CASE WHEN y1 < (k0 + w) / 4 THEN 2 * y1 / (k0 + sqrt(greatest(0, k0 * k0 + 4 * (w - k0) * y1)))
+    ELSE 0.5 + 2 * (y1 - (k0 + w) / 4) / (w + sqrt(greatest(0, w * w + 4 * (k2 - w) * (y1 - (k0 + w) / 4)))) END, 9) END AS last_position
+FROM asked
 """
 
 #: Every window of every item against every window of the same length of every document.

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BATCH_ROWS, map_batches, map_rows, utf8
+from .common import BATCH_ROWS, cut, map_batches, map_rows, utf8
 
 BITS = 18
 #: Byte classes: A upper, a lower, 0 digit, u beyond ASCII; white space and marks stay.
@@ -166,9 +167,11 @@ def held_out(id_col: str) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    most_rows: int = 8192,
+    most_rows: int = 8192, most_features: int = 1 << 25,
 ) -> Model:
-    """Fit on at most ``most_rows`` labelled documents that are not held out.
+    """Fit on at most ``most_rows`` labelled documents that are not held out: the
+    first by a hash of the id, as far as they have ``most_features`` features in
+    all (of 4 bytes each on the driver; a text has ``2 ** BITS`` at most).
 
     An id labelled twice counts as the lower label, an id with several texts
     with one of them. Null ids and null labels are left out.
@@ -190,6 +193,10 @@ def train(
 
     kind = texts.schema["id"].dataType.simpleString()
     found = map_batches(texts, make, f"id {kind}, label int, idx binary").groupBy("id").agg(F.min("label").alias("label"), F.min("idx").alias("idx"))
+    order = Window.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id")  # over the sample only
+    found = cut(found.select("id", "label", "idx", (F.octet_length("idx") / 4).cast("bigint").alias("n")))
+    fits = found.select("id", F.sum("n").over(order).alias("so_far")).where(F.col("so_far") <= most_features)
+    found = found.join(F.broadcast(fits), "id")
     rows = sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"])))
     return fit([np.frombuffer(bytes(r["idx"]), np.int32) for r in rows], [r["label"] for r in rows])
 

@@ -9,7 +9,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .licenses import scan_licenses
 from .media import text_as_media
-from .mixing import mix_sources
+from .mixing import curriculum_documents
 from .quality import held_out, score_documents, train
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -52,7 +52,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = text_as_media(table(spark, sf_dir, "documents"))
+    stored = text_as_media(table(spark, sf_dir, "documents"), with_media=False)
     return stored.select(
         F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
@@ -78,7 +78,9 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    mixed = curriculum_documents(table(spark, sf_dir, "documents"))
+    nine = lambda c: F.round(F.col(c), 9).alias(c)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", nine("position"), nine("last_position"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,8 +59,64 @@ def test_sharding_edge_cases(docs, rows, none):
     assert H.assign_shards(none, shards=4).count() == 0
 
 
+def brute_schedule(runs, shards):
+    loads, out = [0.0] * shards, []
+    for size, count in runs:
+        took = [0] * shards
+        for _ in range(count):
+            k = min(range(shards), key=lambda j: (loads[j], j))
+            took[k] += 1
+            loads[k] += size
+        out.append(took)
+    return out
+
+
 def test_schedule_is_longest_first():
-    assert H.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    assert H.schedule([(5, 1), (4, 1), (3, 3)], 2) == [[1, 0], [0, 1], [1, 2]]
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        shards = int(rng.integers(1, 9))
+        runs = [(int(s), int(rng.choice([1, 2, 7, 60, 200]))) for s in sorted(rng.integers(1, 90, 6), reverse=True)]
+        got, want = H.schedule(runs, shards), brute_schedule(runs, shards)
+        # of shards with one load any may come first; the loads must agree run by run
+        a = b = np.zeros(shards)
+        for (size, _), x, y in zip(runs, got, want):
+            a, b = np.sort(a + size * np.array(x)), np.sort(b + size * np.array(y))
+            assert a.tolist() == b.tolist()
+
+
+def test_groups_are_scheduled_by_size(spark):
+    """No group of any size is more than its own size from the least-loaded shard."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "x" * int(rng.pareto(1.1) * 50)) for i in range(3000)]
+    got = H.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=7).collect()
+    check_shards(got, 7)
+    loads = np.bincount([r.shard for r in got], [r.size for r in got], 7)
+    text, group = dict(rows), defaultdict(int)
+    for r in got:
+        group[text[r.id]] += r.size
+    assert loads.max() - loads.min() <= min(group.values()) + 0.001 * loads.max()
+
+
+def test_repeated_rows_of_one_id_are_dealt_evenly(spark):
+    rows = [(1, "the one text")] * 10_000 + [(None, "another text")] * 5_000 + [(i, f"text {i}") for i in range(100)]
+    got = H.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=8).collect()
+    check_shards(got, 8)
+    loads = np.bincount([r.shard for r in got], [r.size for r in got], 8)
+    assert loads.max() / loads.mean() < 1.02 and loads.min() / loads.mean() > 0.98
+
+
+def test_slots_follow_an_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 400} " + "x" * (i % 31)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    place = (F.col("doc_id") * 7919) % 2003
+    got = H.assign_shards(docs, shards=5, order=(F.floor(place / 100), place), keep=[place.alias("place")]).collect()
+    check_shards(got, 5)
+    for s in range(5):
+        places = [r.place for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert places == sorted(places) and len(places) > 300
 
 
 def fill(sizes):
@@ -119,4 +175,28 @@ def test_mixing_edge_cases(docs, rows, none):
     assert len(got) == len(rows)
     assert {r.size for r in got if r.id in (3, 4, 5)} == {0}
     assert M.mix_sources(none).count() == 0
-    assert M.curriculum(none).count() == 0
+    assert M.curriculum(none).count() == 0 and M.curriculum_documents(none).count() == 0
+    assert M.curriculum_documents(docs).count() == len(rows)
+
+
+def area(knots, t):
+    """Integral of a piecewise-linear schedule up to ``t``, by small steps."""
+    at = np.linspace(0, t, 20001)
+    return np.trapezoid(np.interp(at, np.linspace(0, 1, len(knots)), knots), at)
+
+
+def test_a_position_is_where_the_integral_meets_the_demand(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 40)), "abcd"[int(rng.integers(0, 4))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for r in M.curriculum(df).collect():
+        share = min(1.0, (r.copy * r.source_size + r.demand + r["size"] / 2) / max(r.target, 1.0))
+        assert area(r.knots, r.position) == pytest.approx(share * r.areas[-1], abs=1e-6)
+    got = M.curriculum_documents(df).collect()
+    by_copy = defaultdict(list)
+    for r in M.curriculum(df).collect():
+        by_copy[r.id].append(r.position)
+    for r in got:
+        assert (r.position, r.last_position) == ((min(by_copy[r.id]), max(by_copy[r.id])) if r.copies else (None, None))
+    places = [r.position for r in got if r.position is not None]
+    assert places == sorted(places) and all(r.position is None for r in got[len(places):])
