@@ -111,7 +111,8 @@ VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
 def paragraphs(text: str) -> Iterator[tuple[list[str], str | None]]:
     """Per paragraph with a license word: its lines with one, without comment
     marks, and all of its lines as one (None: it has one line). Each term of an
-    expression of identifiers is a line of its own."""
+    expression of identifiers is a line of its own. An identifier names a license
+    and is no text of one."""
     if not _ANCHOR.search(text):
         return
     for part in re.split(r"\n[ \t]*\n", text):
@@ -133,12 +134,12 @@ def segments(text: str) -> Iterator[str]:
         yield from lines
         if whole is not None:
             yield whole
-    if every and "\n" in text:
+    if every and "\n" in text and not _IDENTIFIER.search(text):
         yield " ".join(text.split())
 
 
 def reaches(segment: str, score: float, least: float = LEAST) -> bool:
-    return score >= (max(least, LEAST_IDENTIFIER) if _IDENTIFIER.match(segment) else least)
+    return score >= (max(least, LEAST_IDENTIFIER) if _IDENTIFIER.search(segment) else least)
 
 
 class Matcher:
@@ -234,10 +235,9 @@ def scan_licenses(
 
             every = list(paragraphs(text))
             for lines, whole in every:
-                # an identifier names a license and is no text of one
-                some = sum(len(x) for x in lines if matches(x) and not _IDENTIFIER.match(x))
-                covered += len(whole) if whole is not None and matches(whole) else some
-            if every and "\n" in text and matches(" ".join(text.split()), False):
+                some = sum(len(x) for x in lines if matches(x) and not _IDENTIFIER.search(x))
+                covered += len(whole) if whole is not None and matches(whole) and not _IDENTIFIER.search(whole) else some
+            if every and "\n" in text and not _IDENTIFIER.search(text) and matches(" ".join(text.split()), False):
                 covered = len(text)
             return top[0], top[1] if top[0] else None, sorted(hits), covered >= most_of * len(text) > 0
 
