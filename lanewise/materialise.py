@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder in ``spark.checkpoint.dir`` and read back; a
-    temporary folder is set only where the session names none."""
+    temporary folder is set only where the session names none and runs on one
+    machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanewise-"))
     return df.checkpoint(eager=True)

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, traffic
-from .demand import assign, gravity, price, sample_trips, vehicle_hours
+from .demand import assign, gravity, sample_trips, trip_minutes, vehicle_hours
 from .search import Roads
 
 MEASURES = "run string, vehicle_hours double, over_capacity long, mean_trip_minutes double, routed long, unreachable long"
 
 
 def zone_demand(nodes: DataFrame, edges: DataFrame, levels: DataFrame, zones: DataFrame, box: dict, trips: int, seed: int = 0) -> DataFrame:
-    """Trips between zones weighted by 1 plus their mean level."""
+    """Trips between zones weighted by 1 plus the mean level of the roads in their cell."""
     n = nodes.select(F.col("node_id").alias("u"), geo.grid_cell(F.col("lon"), F.col("lat"), box, int(math.sqrt(zones.count()))).alias("zone"))
     mean = edges.join(n, "u").join(levels, "edge_id", "left").groupBy("zone").agg(F.avg(F.coalesce("level", F.lit(0))).alias("m"))
     weighted = zones.join(mean, "zone", "left").withColumn("weight", 1.0 + F.coalesce("m", F.lit(0.0)))
@@ -39,7 +39,6 @@ def run_city(nodes: DataFrame, edges: DataFrame, levels: DataFrame, trips: DataF
     roads = Roads.collect(nodes, edges)
     spark = edges.sparkSession
     base = background(roads, levels)
-    place = {int(e): i for i, e in enumerate(roads.edge_id)}
     total = trips.count()
     rows, frames = [], []
 
@@ -55,10 +54,9 @@ def run_city(nodes: DataFrame, edges: DataFrame, levels: DataFrame, trips: DataF
                 frames.extend((b, int(roads.edge_id[k]), int(level[k])) for k in np.flatnonzero(v > base))
 
         routed, volume = assign(trips, roads, n, base, frame)
-        seconds = price(roads, volume)
-        took = [sum(seconds[place[e]] for e in r["route"]) for r in routed.select("route").toLocalIterator()]
-        minutes = round(float(np.mean(took)) / 60, 4) if took else 0.0
-        rows.append((name, round(vehicle_hours(roads, volume), 4), over(volume), minutes, len(took), total - len(took)))
+        loads = spark.createDataFrame([(int(k), float(x)) for k, x in zip(roads.edge_id, volume)], "edge_id bigint, volume double")
+        took = trip_minutes(edges, loads, routed).first()
+        rows.append((name, round(vehicle_hours(roads, volume), 4), over(volume), round(took["mean_trip_minutes"] or 0.0, 4), took["trips"], total - took["trips"]))
     return spark.createDataFrame(rows, MEASURES), spark.createDataFrame(frames, "batch int, edge_id bigint, level int")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import palette, traffic
-from ..functions.geo import EARTH_M
+from ..functions.geo import EARTH_M, haversine_m
 from ..sources import png
 
 POINT = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
@@ -56,30 +56,28 @@ def sample_points(edges: DataFrame, step_m: float = 5.0, trim_m: float = 10.0) -
     """Points along each edge's geometry: ``(edge_id, n, lon, lat, dlon, dlat)``.
 
     Ends are trimmed by ``trim_m`` or three tenths of the length; two points at
-    least. ``dlon, dlat`` is the direction of the segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for edge, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not line or len(line) < 2:
-                    continue
-                lon, lat = np.array([p["lon"] for p in line]), np.array([p["lat"] for p in line])
-                along = np.concatenate(([0.0], np.cumsum(_metres(lon, lat))))
-                if along[-1] <= 0:
-                    continue
-                low = min(trim_m, 0.3 * along[-1])
-                n = max(2, int((along[-1] - 2 * low) // step_m) + 1)
-                at = np.linspace(low, along[-1] - low, n)
-                k = np.clip(np.searchsorted(along, at, side="right") - 1, 0, len(lon) - 2)
-                f = (at - along[k]) / np.maximum(along[k + 1] - along[k], 1e-12)
-                dx, dy = lon[k + 1] - lon[k], lat[k + 1] - lat[k]
-                out.append((np.full(n, edge), np.arange(n), lon[k] + f * dx, lat[k] + f * dy, dx, dy))
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["edge_id", "n", "lon", "lat", "dlon", "dlat"])
-
-    return edges.select(F.col("edge_id").cast("bigint"), "geometry").mapInArrow(run, "edge_id bigint, n bigint, lon double, lat double, dlon double, dlat double")
+    least, also where there is no length. ``dlon, dlat`` is the direction of the
+    segment. An edge without geometry has no points."""
+    g = F.col("g")
+    leg = lambda a, b: haversine_m(a["lon"], a["lat"], b["lon"], b["lat"])
+    lines = edges.select(F.col("edge_id").cast("bigint").alias("edge_id"), F.when(F.size("geometry") == 1, F.concat("geometry", "geometry")).otherwise(F.col("geometry")).alias("g"))
+    legs = F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.slice(g, F.lit(2), F.size(g) - 1), leg)
+    upto = F.aggregate(legs, F.array(F.lit(0.0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    placed = (
+        lines.where(F.size("g") > 1).withColumn("upto", upto).withColumn("metres", F.element_at("upto", -1))
+        .withColumn("low", F.least(F.lit(trim_m), F.col("metres") * 0.3))
+        .withColumn("span", F.col("metres") - 2 * F.col("low"))
+        .withColumn("last", F.greatest(F.floor(F.col("span") / step_m), F.lit(1)))
+        .withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+        .withColumn("at", F.col("low") + F.col("n") * F.col("span") / F.col("last"))
+        # the segment that a point is on: the last vertex not beyond it
+        .withColumn("k", F.least(F.size(F.filter("upto", lambda x: x <= F.col("at"))), F.size("g") - 1))
+        .withColumn("a", F.element_at("g", F.col("k"))).withColumn("b", F.element_at("g", F.col("k") + 1))
+        .withColumn("behind", F.element_at("upto", F.col("k"))).withColumn("part", F.element_at("upto", F.col("k") + 1) - F.col("behind"))
+    )
+    share = F.when(F.col("part") > 0, (F.col("at") - F.col("behind")) / F.col("part")).otherwise(0.0)
+    d = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in ("lon", "lat")}
+    return placed.select("edge_id", "n", *[(F.col(f"a.{c}") + share * d[c]).alias(c) for c in d], *[d[c].alias(f"d{c}") for c in d])
 
 
 def split_polylines(lines: DataFrame, most_m: float = 150.0, tail_m: float = 20.0) -> DataFrame:
@@ -150,8 +148,9 @@ def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: i
     from ..functions import geo
 
     px = geo.lonlat_to_pixel(F.col("lon"), F.col("lat"), zoom, tile_px)
-    dx, dy = F.col("dlon") * F.cos(F.radians("lat")), F.col("dlat")
-    norm = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-15))
+    dx, dy = F.col("dlon"), F.col("dlat")
+    length = F.sqrt(dx * dx + dy * dy)
+    norm = F.when(length > 0, length).otherwise(1.0)
     # left of travel: screen y grows southward
     x, y = px["px"] - dy / norm * offset_px, px["py"] - dx / norm * offset_px
     placed = samples.select("edge_id", "n", x.alias("x"), y.alias("y")).select(
@@ -182,13 +181,14 @@ def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: i
 
 
 def edge_votes(seen: DataFrame, least_coverage: float = 0.25) -> DataFrame:
-    """The weight table: shares of classes, coverage, and the weight of the most
-    frequent class, a tie going to the worse one, where enough is coloured."""
+    """The weight table: shares of classes among all samples, coverage (their sum),
+    and the weight of the most frequent class, a tie going to the worse one, where
+    enough is coloured."""
     c = F.col("cls")
     n, some = F.count("*"), F.count_if(c > 0)
     counts = [F.count_if(c == k).alias(f"c{k}") for k in (1, 2, 3, 4)]
     per = seen.groupBy("edge_id").agg(n.cast("int").alias("n_samples"), some.alias("some"), *counts)
-    share = lambda k: F.round(F.col(f"c{k}") / F.greatest("some", F.lit(1)), 4)
+    share = lambda k: F.round(F.col(f"c{k}") / F.col("n_samples"), 4)
     top = F.greatest(*[F.struct(F.col(f"c{k}").alias("n"), F.lit(k).alias("k")) for k in (1, 2, 3, 4)])["k"]
     seen_enough = F.col("coverage") >= least_coverage
     out = per.withColumn("coverage", F.round(F.col("some") / F.col("n_samples"), 4)).withColumn("cls", F.when(seen_enough & (F.col("some") > 0), top).otherwise(0))
@@ -200,7 +200,11 @@ def edge_votes(seen: DataFrame, least_coverage: float = 0.25) -> DataFrame:
 
 
 def decode_capture(edges: DataFrame, tiles: DataFrame, zoom: int, **options) -> DataFrame:
-    return edge_votes(classify_samples(sample_points(edges), tiles, zoom, **options))
+    """The weight table of one capture, a row for every edge; one without
+    geometry has no samples."""
+    votes = edge_votes(classify_samples(sample_points(edges), tiles, zoom, **options))
+    every = edges.select(F.col("edge_id").cast("bigint").alias("edge_id")).join(votes, "edge_id", "left")
+    return every.na.fill({"source": "none"}).na.fill(0)
 
 
 def pool_level(tiles: DataFrame, tile_px: int = 256) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, traffic
+from .aggregates import numbered
 from .search import Roads, routes
 
 
@@ -103,10 +104,10 @@ def assign(
     total = trips.count()
     size = max(1, math.ceil(total / batches))
     out = None
-    numbered = trips.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("trip")) - 1) / size)) if batches > 1 else trips.withColumn("_b", F.lit(0))
-    numbered = numbered.cache()
+    placed = numbered(trips, "trip", "_b").withColumn("_b", F.floor(F.col("_b") / size)) if batches > 1 else trips.withColumn("_b", F.lit(0))
+    placed = placed.cache()
     for b in range(math.ceil(total / size) if total else 0):
-        routed = routes(numbered.where(F.col("_b") == b).drop("_b"), roads, price(roads, volume)).where(F.size("route") > 0).cache()
+        routed = routes(placed.where(F.col("_b") == b).drop("_b"), roads, price(roads, volume)).where(F.size("route") > 0).cache()
         for row in edge_loads(routed).collect():
             volume[place[row["edge_id"]]] += row["volume"]
         out = routed if out is None else out.unionByName(routed)

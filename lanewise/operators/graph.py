@@ -7,6 +7,8 @@ of many roads costs its roads and not their square.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from ..functions import traffic
 from ..materialise import cut
 
 METHODS = ("observed", "adjacent", "spread", "assumed_clear")
+#: Fronts that are kept apart before they are put together.
+LOG = 6
 
 
 # Reading and building
@@ -126,9 +130,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def mean_neighbour_rank(edges: DataFrame) -> DataFrame:
-    """Mean class rank of adjacent edges, the edge's own if it has none."""
-    ranks = adjacency(edges).join(edges.select(F.col("edge_id").alias("other"), F.col("class_rank").alias("r")), "other").groupBy("edge_id").agg(F.avg("r").alias("mean"))
-    return edges.join(ranks, "edge_id", "left").select("edge_id", "class_rank", F.coalesce("mean", F.col("class_rank").cast("double")).alias("mean_rank")).withColumn(
+    """Mean class rank of adjacent edges, the edge's own if it has none.
+
+    By sums and not by pairs: what both ends have, less the edge itself at each of
+    them, less the edges that share both ends and so were counted twice."""
+    total = lambda by: [F.sum("class_rank").alias(f"s_{by}"), F.count("*").alias(f"n_{by}")]
+    ends = touching(edges).join(edges.select("edge_id", "class_rank"), "edge_id").groupBy("node").agg(*total("node")).repartition("node")
+    at = lambda end: ends.select(F.col("node").alias(end), F.col("s_node").alias(f"s_{end}"), F.col("n_node").alias(f"n_{end}"))
+    pairs = edges.groupBy(*pair_key()).agg(*total("pair"))
+    every = edges.select("edge_id", "u", "v", "class_rank", *pair_key()).join(at("u"), "u").join(at("v"), "v").join(pairs, ["a", "b"])
+    own, loop = F.col("class_rank"), F.col("u") == F.col("v")
+    s = F.when(loop, F.col("s_u") - own).otherwise(F.col("s_u") + F.col("s_v") - own - F.col("s_pair"))
+    n = F.when(loop, F.col("n_u") - 1).otherwise(F.col("n_u") + F.col("n_v") - 1 - F.col("n_pair"))
+    return every.select("edge_id", "class_rank", F.when(n > 0, s / n).otherwise(own.cast("double")).alias("mean_rank")).withColumn(
         "smaller", F.col("class_rank") > F.col("mean_rank") + 0.5
     )
 
@@ -138,20 +152,30 @@ def mean_neighbour_rank(edges: DataFrame) -> DataFrame:
 
 def hops_by_rung(edges: DataFrame, painted: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``(edge_id, rung, hops)``: hops over shared junctions from the nearest edge
-    painted with that rung. ``most_hops`` stops early; None goes on to the end."""
-    ends = cut(touching(edges))
-    seen = cut(painted.select("edge_id", "rung", F.lit(0).alias("hops")))
-    front, hop = seen, 0
-    while most_hops is None or hop < most_hops:
-        hop += 1
-        nodes = front.join(ends, "edge_id").select("node", "rung").distinct()
-        front = cut(
-            nodes.join(ends, "node").select("edge_id", "rung").distinct().join(seen, ["edge_id", "rung"], "left_anti").withColumn("hops", F.lit(hop))
-        )
-        if front.isEmpty():
+    painted with that rung. ``most_hops`` stops early; None goes on to the end.
+
+    The search runs over junctions, which are fewer than edges. Adjacency goes
+    both ways, so a junction next to one of distance d has d - 1, d or d + 1: a
+    round need only leave out the two fronts before it, and no front is written
+    again. An edge is one hop beyond its nearer end."""
+    painted = cut(painted.select("edge_id", "rung").join(edges.select("edge_id"), "edge_id", "left_semi"))
+    steps = cut(two_way(edges.select("u", "v")).where("u <> v").distinct().select(F.col("u").alias("node"), F.col("v").alias("to")))
+    front = cut(touching(edges).join(painted, "edge_id").select("node", "rung").distinct())
+    fronts, before = [front.withColumn("far", F.lit(0))], front.limit(0)
+    far = 0
+    while most_hops is None or far + 1 < most_hops:
+        far += 1
+        next_ = front.join(steps, "node").select(F.col("to").alias("node"), "rung").distinct()
+        next_ = cut(next_.join(front.unionByName(before), ["node", "rung"], "left_anti"))
+        if next_.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(next_.withColumn("far", F.lit(far)))
+        before, front = front, next_
+    reached = reduce(DataFrame.unionByName, fronts)
+    found = touching(edges).join(reached, "node").groupBy("edge_id", "rung").agg((F.min("far") + 1).alias("hops"))
+    if most_hops == 0:
+        found = found.limit(0)
+    return cut(found.join(painted.withColumn("own", F.lit(0)), ["edge_id", "rung"], "full").select("edge_id", "rung", F.coalesce("own", "hops").alias("hops")))
 
 
 def spread(edges: DataFrame, painted: DataFrame, per_rung: int = 1, claim: str = "nearest", most_hops: int | None = None) -> DataFrame:
@@ -193,17 +217,21 @@ def spread_errors(found: DataFrame, hidden: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
-    """``(node, hops)`` of all nodes that ``start(node)`` reaches, or that reach it."""
+    """``(node, hops)`` of all nodes that ``start(node)`` reaches, or that reach it.
+
+    What was reached is a log of fronts; it is put together every few rounds, so a
+    round writes its own front only."""
     step = edges.select(F.col("u").alias("node"), F.col("v").alias("to")) if forward else edges.select(F.col("v").alias("node"), F.col("u").alias("to"))
     step = cut(step.distinct())
-    seen = cut(start.select("node", F.lit(0).alias("hops")))
-    front, hop = seen, 0
+    front = cut(start.select("node", F.lit(0).alias("hops")))
+    log, hop = [front], 0
     while True:
         hop += 1
+        seen = reduce(DataFrame.unionByName, log)
         front = cut(front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        log = [cut(seen.unionByName(front))] if len(log) == LOG else [*log, front]
 
 
 def core(edges: DataFrame, hub: DataFrame) -> DataFrame:
@@ -221,18 +249,20 @@ def distances(edges: DataFrame, start: DataFrame, cost: Column, limit: float | N
     ``via`` is the last edge. Costs must not be negative; null and infinite costs
     block an edge. Nodes beyond ``limit`` are left out."""
     roads = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), "edge_id", cost.cast("double").alias("c")).where(F.col("c") < float("inf")))
-    best = cut(start.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")))
-    front = best
+    front = cut(start.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")))
+    # offers that were taken, kept as a log: the least of a node holds
+    log = [front]
     while True:
+        taken = reduce(DataFrame.unionByName, log)
+        best = taken.groupBy("node").agg(F.min_by(F.struct("cost", "via"), F.struct("cost", "via")).alias("o")).select("node", "o.*") if len(log) > 1 else taken
         offers = front.join(roads, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("edge_id").alias("via"))
         if limit is not None:
             offers = offers.where(F.col("cost") <= limit)
         offers = offers.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("o")).select("node", "o.*")
-        better = offers.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old IS NULL OR cost < old").drop("old")
-        front = cut(better)
+        front = cut(offers.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old IS NULL OR cost < old").drop("old"))
         if front.isEmpty():
             return best
-        best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        log = [cut(best), front] if len(log) >= LOG else [*log, front]
 
 
 # Areas and selections
@@ -271,10 +301,12 @@ def nearest_node(nodes: DataFrame, points: DataFrame, cell_deg: float = 0.02) ->
 
 
 def zone_grid(box: dict, rows: int, cols: int, nodes: DataFrame) -> DataFrame:
-    """Cells of a box, each anchored at the node nearest to its middle."""
+    """Cells of a box, each anchored at the node nearest to its middle: ``(zone,
+    lon, lat, node, mid_lon, mid_lat)`` with the node's own place as the zone's."""
     spark = nodes.sparkSession
     dx, dy = (box["east"] - box["west"]) / cols, (box["north"] - box["south"]) / rows
     cells = spark.range(rows * cols).select(
         F.col("id").alias("point"), (F.lit(box["west"]) + (F.col("id") % cols + 0.5) * dx).alias("lon"), (F.lit(box["south"]) + (F.floor(F.col("id") / cols) + 0.5) * dy).alias("lat")
     )
-    return nearest_node(nodes, cells).join(cells, "point").select(F.col("point").alias("zone"), "lon", "lat", F.col("node_id").alias("node"))
+    anchored = nearest_node(nodes, cells).join(cells.withColumnsRenamed({"lon": "mid_lon", "lat": "mid_lat"}), "point")
+    return anchored.join(nodes.select("node_id", "lon", "lat"), "node_id").select(F.col("point").alias("zone"), "lon", "lat", F.col("node_id").alias("node"), "mid_lon", "mid_lat")

@@ -87,14 +87,23 @@ def with_split(captures: DataFrame, every: int = 3) -> DataFrame:
     )
 
 
-def hour_profile(readings: DataFrame) -> DataFrame:
-    """Mean level per road, and per road, kind of day and hour, in one pass."""
-    ts = F.col("ts")
+def hour_profile(readings: DataFrame, captures: DataFrame) -> DataFrame:
+    """Mean level per road, and per road, kind of day and hour, in one pass.
+
+    Means are over the ``captures`` of that kind of day and hour, ``n`` of them: a
+    road that a capture doesn't list is level 0 there and counts. Hours in which a
+    road is never listed have a mean of 0 and no row; unseen hours have none."""
+    ts, hour = F.col("ts"), F.floor(F.col("minute") / 60).cast("int")
+    counts = captures.groupBy("weekend", hour.alias("hour")).agg(F.count("*").alias("n"))
+    # at most 48 rows, and the row of all captures
+    sizes = counts.unionByName(captures.agg(F.count("*").alias("n")).select(F.lit(None).cast("boolean").alias("weekend"), F.lit(None).cast("int").alias("hour"), "n"))
     keyed = readings.select("edge_id", clock.weekend(ts).alias("weekend"), F.floor(clock.minute_of_day(ts) / 60).cast("int").alias("hour"), "level")
     # partial sums first: the grouping sets then expand one row per road, day kind and hour
-    sums = keyed.groupBy("edge_id", "weekend", "hour").agg(F.sum("level").alias("s"), F.count("*").alias("n"))
-    return sums.groupingSets([["edge_id"], ["edge_id", "weekend", "hour"]], "edge_id", "weekend", "hour").agg(
-        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_level")
+    sums = keyed.groupBy("edge_id", "weekend", "hour").agg(F.sum("level").alias("s"))
+    both = sums.groupingSets([["edge_id"], ["edge_id", "weekend", "hour"]], "edge_id", "weekend", "hour").agg(F.sum("s").alias("s"))
+    at = sizes.select(F.col("weekend").alias("w"), F.col("hour").alias("h"), "n")
+    return both.join(F.broadcast(at), F.col("weekend").eqNullSafe(F.col("w")) & F.col("hour").eqNullSafe(F.col("h"))).select(
+        "edge_id", "weekend", "hour", "n", (F.col("s") / F.col("n")).alias("mean_level")
     )
 
 
@@ -111,10 +120,16 @@ def nearest_captures(train: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def knn_forecast(readings: DataFrame, train: DataFrame, asked: DataFrame, k: int = 6) -> DataFrame:
-    """Majority level of the nearest captures, per asked time and road."""
+    """Majority level of the nearest captures, per asked time and road; a tie goes
+    to the worse level. A capture that doesn't list a road votes 0 for it; roads
+    that none of them lists are level 0 and have no row."""
     near = nearest_captures(train, asked, k)
+    near = near.join(near.groupBy("asked").agg(F.count("*").alias("voters")), "asked")
     votes = readings.join(F.broadcast(near), "ts")  # k rows for each asked time
-    return majority(votes, ["asked", "edge_id"])
+    counts = votes.groupBy("asked", "edge_id").agg(F.max("voters").alias("voters"), *[F.count_if(F.col("level") == lv).alias(f"c{lv}") for lv in (1, 2, 3)])
+    zeros = F.col("voters") - F.col("c1") - F.col("c2") - F.col("c3")
+    best = F.greatest(*[F.struct((zeros if lv == 0 else F.col(f"c{lv}")).alias("n"), F.lit(lv).alias("level")) for lv in range(4)])
+    return counts.select("asked", "edge_id", best["level"].alias("level"))
 
 
 def same_time_captures(train: DataFrame, asked: DataFrame) -> DataFrame:
@@ -156,13 +171,33 @@ def score(readings: DataFrame, forecasts: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def cell_features(readings: DataFrame, cells: DataFrame) -> DataFrame:
-    """Mean level per capture and grid cell; roads without a reading are level 0.
+def cell_features(readings: DataFrame, cells: DataFrame, n_cells: int) -> DataFrame:
+    """Mean level per capture and grid cell, a row for every cell from 0; roads
+    without a reading are level 0, and so are cells without roads.
 
     ``cells(edge_id, cell)``; sums are taken before the division by the cell's roads."""
     roads = cells.groupBy("cell").agg(F.count("*").alias("roads"))
     sums = readings.join(cells, "edge_id").groupBy("ts", "cell").agg(F.sum("level").alias("s"))
-    return sums.join(F.broadcast(roads), "cell").select("ts", "cell", (F.col("s") / F.greatest("roads", F.lit(1))).alias("mean_level"))
+    every = readings.select("ts").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
+    return every.join(sums, ["ts", "cell"], "left").join(F.broadcast(roads), "cell", "left").select(
+        "ts", "cell", (F.coalesce("s", F.lit(0)) / F.greatest(F.coalesce("roads", F.lit(0)), F.lit(1))).alias("mean_level")
+    )
+
+
+def scenarios(readings: DataFrame, cells: DataFrame, n_cells: int, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Captures grouped by their pattern over the grid: the profile of each group,
+    lightest first, with its name, and ``(ts, rank)``."""
+    from ..materialise import cut
+    from .learning import kmeans, kmeans_starts
+
+    f = cell_features(readings, cells, n_cells)
+    points = cut(f.groupBy("ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "mean_level"))), lambda x: x["mean_level"]).alias("features")))
+    points = points.withColumn("id", F.unix_micros("ts"))
+    found, _ = kmeans(points, kmeans_starts(points, k, seed))
+    groups = cut(points.join(found, "id").select("ts", F.col("cluster").alias("group"), F.expr("aggregate(features, 0D, (s, x) -> s + x) / size(features)").alias("mean_level")))
+    profile = scenario_profile(captures_of(readings), groups.select("ts", "group"), groups.select("ts", "mean_level"))
+    profile = cut(profile.withColumn("name", scenario_name(F.col("rank"), profile.select("group").distinct().count())))
+    return profile, groups.join(F.broadcast(profile.select("group", "rank")), "group").select("ts", "rank")
 
 
 def scenario_profile(captures: DataFrame, groups: DataFrame, levels: DataFrame, top: int = 3) -> DataFrame:
@@ -180,14 +215,15 @@ def scenario_profile(captures: DataFrame, groups: DataFrame, levels: DataFrame,
         "group", "captures", F.round(F.col("captures") / F.col("total"), 3).alias("share"), F.round("mean_level", 4).alias("mean_level"),
         F.round("weekend_share", 4).alias("weekend_share"), F.array_join(F.transform("best", lambda x: x["hour"].cast("string")), ",").alias("top_hours"),
         F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("bins", h), F.lit(0)).cast("string")), ",").alias("histogram"),
-        F.rank().over(Window.orderBy(F.round("mean_level", 4))).alias("rank"),
+        F.row_number().over(Window.orderBy(F.round("mean_level", 4), "group")).alias("rank"),
     )
 
 
 def scenario_name(rank, k: int):
-    """Five fixed names for five groups, else 'r of k'."""
-    names = F.array(*[F.lit(n) for n in ("Very light", "Light", "Moderate", "Heavy", "Very heavy")])
-    return F.element_at(names, rank) if k == 5 else F.concat(rank.cast("string"), F.lit(f" of {k}"))
+    """Five fixed names for five groups, else 'r of k'; rank 1 is the lightest."""
+    # Names of five groups.
+    names = F.array(*[F.lit(n) for n in ("lightest", "light", "moderate", "heavy", "heaviest")])
+    return F.element_at(names, rank) if k == 5 else F.concat(rank.cast("string"), F.lit(f" of {k} (1 = lightest)"))
 
 
 def changed(frames: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..materialise import cut
+
 #: Queries compared at once with a batch of points.
 BLOCK = 2048
 
@@ -23,9 +25,10 @@ def distance2(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def standardised(points: DataFrame) -> DataFrame:
-    """Features minus mean over the population's deviation (1 where that is 0)."""
-    each = points.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+def standardised(points: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Features minus mean over the population's deviation (1 where that is 0);
+    both are those of ``like`` if given (training points, say)."""
+    each = (points if like is None else like).select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     sd = F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
     stats = each.agg(F.array_sort(F.collect_list(F.struct("pos", "m", sd.alias("s")))).alias("stats"))  # a row of the dimension
     return points.join(F.broadcast(stats)).withColumn("features", F.zip_with("features", "stats", lambda x, t: (x - t["m"]) / t["s"])).drop("stats")
@@ -39,13 +42,12 @@ def neighbours(points: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
     times tasks and not with points. Ties go to the lower id; a query is matched
     with points of its own id too."""
     spark = points.sparkSession
-    asked = queries.select("q", "features").toPandas() if queries.count() <= block else None
-    blocks = [asked] if asked is not None else [
-        queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i).select("q", "features").toPandas() for n in [-(-queries.count() // block)] for i in range(n)
-    ]
+    n = max(1, -(-queries.count() // block))
     kept = points.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"))
     out = None
-    for frame in blocks:
+    for i in range(n):
+        # one block is on the driver and the executors at a time
+        frame = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i)).select("q", "features").toPandas()
         if not len(frame):
             continue
         sent = spark.sparkContext.broadcast((frame["q"].to_numpy(np.int64), np.stack(frame["features"].to_numpy()).astype(np.float64)))
@@ -63,10 +65,13 @@ def neighbours(points: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
                 order = np.lexsort((all_i, all_d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
             if best_d.shape[1]:
-                n = best_d.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["q", "id", "d2"])
+                m = best_d.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, m)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["q", "id", "d2"])
 
         part = kept.mapInArrow(run, "q bigint, id bigint, d2 double")
+        if n > 1:
+            part = cut(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "q bigint, id bigint, d2 double")
@@ -116,6 +121,23 @@ def kmeans(points: DataFrame, centres: list[list[float]], rounds: int = 100, tol
     return points.withColumn("n", nearest(centres)).select("id", "n.cluster", "n.d2"), centres
 
 
+def kmeans_starts(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
+    """Centres to start from: a point at random, then points drawn in proportion
+    to the squared distance from the nearest centre. A draw is one aggregation:
+    the least of exponential variables with those rates, by hashed uniform
+    numbers. Fewer distinct points than ``k`` give fewer centres."""
+    points = points.select("id", F.col("features").cast("array<double>").alias("features"))
+    centres: list[list[float]] = []
+    for n in range(k):
+        unit = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        far = F.least(*[distance2("features", F.array(*[F.lit(x) for x in c])) for c in centres], F.lit(float("inf"))) if centres else F.lit(1.0)
+        drawn = points.withColumn("far", far).where("far > 0").agg(F.min_by("features", F.struct(-F.ln(unit) / F.col("far"), "id")).alias("c")).first()["c"]
+        if drawn is None:
+            break
+        centres.append(list(drawn))
+    return centres
+
+
 def kmeans_mllib(points: DataFrame, k: int, seed: int = 0, rounds: int = 100) -> DataFrame:
     """Clusters with k-means|| starts: ``(id, cluster)``."""
     from pyspark.ml.clustering import KMeans
@@ -161,17 +183,61 @@ def logistic_ovr(train: DataFrame, test: DataFrame, rounds: int = 100, l2: float
     return model.transform(vec(test)).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def level_features(readings: DataFrame) -> DataFrame:
-    """Features of a level forecast: the road's mean, its mean for the kind of day
-    and hour (the road's mean where unseen), and the time's place on the day."""
+def level_features(rows: DataFrame, readings: DataFrame, captures: DataFrame) -> DataFrame:
+    """``rows(ts, edge_id, level)`` with features for a level forecast: the road's
+    mean, its mean for the kind of day and hour (the road's mean where no capture
+    is of that kind), and the time's place on the day.
+
+    Means are learnt from the ``captures`` given, the training ones, and from
+    ``readings`` of those captures only."""
     from ..functions import clock
     from .history import hour_profile
 
-    p = hour_profile(readings)
+    p = hour_profile(readings.join(F.broadcast(captures.select("ts")), "ts", "left_semi"), captures)
     road = p.where("hour IS NULL").select("edge_id", F.col("mean_level").alias("overall"))
     cell = p.where("hour IS NOT NULL").select("edge_id", "weekend", "hour", F.col("mean_level").alias("profile"))
+    seen = captures.select("weekend", F.floor(F.col("minute") / 60).cast("int").alias("hour")).distinct().withColumn("seen", F.lit(0.0))
     ts = F.col("ts")
-    r = readings.withColumns({"weekend": clock.weekend(ts), "hour": F.floor(clock.minute_of_day(ts) / 60).cast("int"), "minute": clock.minute_of_day(ts)})
-    both = r.join(road, "edge_id", "left").join(cell, ["edge_id", "weekend", "hour"], "left")
-    f = F.concat(F.array(F.coalesce("overall", F.lit(0.0)), F.coalesce("profile", "overall", F.lit(0.0))), clock.time_features(F.col("minute"), F.col("weekend")))
+    r = rows.withColumns({"weekend": clock.weekend(ts), "hour": F.floor(clock.minute_of_day(ts) / 60).cast("int"), "minute": clock.minute_of_day(ts)})
+    both = r.join(road, "edge_id", "left").join(cell, ["edge_id", "weekend", "hour"], "left").join(F.broadcast(seen), ["weekend", "hour"], "left")
+    f = F.concat(F.array(F.coalesce("overall", F.lit(0.0)), F.coalesce("profile", "seen", "overall", F.lit(0.0))), clock.time_features(F.col("minute"), F.col("weekend")))
     return both.select("ts", "edge_id", F.col("level").alias("label"), f.alias("features"))
+
+
+def descend_classes(x: np.ndarray, y: np.ndarray, classes: int, rate: float, epochs: int, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """One logistic model per class against the rest, by full-batch gradient
+    descent from zero, all classes in one step: weights and biases."""
+    hot = (y[:, None] == np.arange(classes)).astype(float)
+    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
+    for _ in range(epochs):
+        miss = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - hot
+        w -= rate * (x.T @ miss / len(x) + l2 * w)
+        b -= rate * miss.mean(axis=0)
+    return w, b
+
+
+def logistic_forecast(
+    readings: DataFrame, edges: DataFrame, train: DataFrame, asked: DataFrame, samples: int = 200_000, epochs: int = 300, rate: float = 0.5, seed: int = 0
+) -> DataFrame:
+    """Levels of ``asked(ts, edge_id, level)`` by one-vs-rest models on profiles
+    of the ``train`` captures: ``(ts, edge_id, label, predicted)``.
+
+    The models are fitted on about ``samples`` pairs of a training capture and a
+    road, drawn by a hash from all such pairs (a road that a capture doesn't list
+    is level 0 in it); this sample, a few MB, is what comes to the driver."""
+    pairs = train.count() * edges.count()
+    if not pairs:
+        return asked.select("ts", "edge_id", F.col("level").alias("label"), F.lit(0).alias("predicted"))
+    draw = F.pmod(F.xxhash64("ts", "edge_id", F.lit(seed)), F.lit(1 << 30)) < min(1.0, samples / pairs) * (1 << 30)
+    drawn = edges.select("edge_id").join(F.broadcast(train.select("ts"))).where(draw)
+    known = readings.select("ts", "edge_id", "level")
+    sample = drawn.join(known, ["ts", "edge_id"], "left").select("ts", "edge_id", F.coalesce("level", F.lit(0)).alias("level"))
+    learn = level_features(sample, readings, train).select("features", "label").toPandas()
+    x, y = np.stack(learn["features"].to_numpy()) if len(learn) else np.zeros((1, 5)), learn["label"].to_numpy() if len(learn) else np.zeros(1)
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd == 0] = 1.0
+    w, b = descend_classes((x - mean) / sd, y, 4, rate, epochs)
+    f = F.col("features")
+    z = [sum(((f[j] - float(mean[j])) / float(sd[j]) * float(w[j, c]) for j in range(x.shape[1])), F.lit(float(b[c]))) for c in range(4)]
+    best = F.greatest(*[F.struct(v.alias("z"), F.lit(-c).alias("c")) for c, v in enumerate(z)])
+    return level_features(asked, readings, train).select("ts", "edge_id", "label", (-best["c"]).alias("predicted"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,40 @@ class Problem:
     domains: dict[str, Sequence[str]]
     rules: list[tuple[tuple[str, ...], Callable[[dict[str, Column]], Column]]] = field(default_factory=list)
 
+    def levels(self, spark: SparkSession) -> Iterator[tuple[str, DataFrame, DataFrame]]:
+        """Per variable: partial layouts with a value for it, and those of them
+        that no rule whose variables all have values forbids."""
+        kept = spark.range(1).select()
+        given: set[str] = set()
+        for name, values in self.domains.items():
+            given.add(name)
+            tried = kept.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+            kept = tried
+            for names, test in self.rules:
+                if name in names and given.issuperset(names):
+                    kept = kept.where(test({n: F.col(n) for n in names}))
+            yield name, tried, kept
+
     def solve(self, spark: SparkSession) -> DataFrame:
         """All layouts that satisfy the rules: one column per variable."""
-        out = spark.range(1).select()
-        have: list[str] = []
-        pending = list(self.rules)
-        for name, values in self.domains.items():
-            out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-            have.append(name)
-            ready = [r for r in pending if set(r[0]) <= set(have)]
-            pending = [r for r in pending if r not in ready]
-            for names, test in ready:
-                out = out.where(test({n: F.col(n) for n in names}))
-        return out
+        *_, (_, _, kept) = self.levels(spark)
+        return kept
+
+    def search_counts(self, spark: SparkSession) -> DataFrame:
+        """What the search did, by variable: ``(position, variable, tried,
+        crossed_out, dead_ends)``. A dead end is a partial layout that no value of
+        the next variable continues."""
+        counts = []
+        before = spark.range(1).select()
+        for k, (name, tried, kept) in enumerate(self.levels(spark)):
+            went_on = kept.select(*before.columns).distinct() if before.columns else kept.limit(1)
+            sizes = [df.agg(F.count("*").alias(c)) for df, c in ((before, "given"), (tried, "tried"), (kept, "kept"), (went_on, "went_on"))]
+            row = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2]).crossJoin(sizes[3])  # of one row each
+            counts.append(row.select(
+                F.lit(k).alias("position"), F.lit(name).alias("variable"), "tried", (F.col("tried") - F.col("kept")).alias("crossed_out"), (F.col("given") - F.col("went_on")).alias("dead_ends")
+            ))
+            before = kept
+        return reduce(DataFrame.union, counts)
 
     def counted(self) -> dict[str, int]:
         """Sizes of the search: layouts in all and values."""
@@ -57,42 +79,6 @@ def budget_prefixes(today: dict[str, str], most: int) -> list:
     return [at_most_changed({n: today[n] for n in names[: i + 1]}, most) for i in range(len(names))]
 
 
-def backtrack(domains: dict[str, Sequence], consistent: Callable[[dict], bool]) -> tuple[list[dict], dict[str, int]]:
-    """All solutions with forward checking, and counts of what was tried, crossed
-    out and given up; small problems, on the driver."""
-    counts = {"tried": 0, "crossed_out": 0, "dead_ends": 0}
-    found: list[dict] = []
-    names = list(domains)
-
-    def prune(given: dict, left: dict) -> dict | None:
-        kept = {}
-        for name, values in left.items():
-            if name in given:
-                continue
-            kept[name] = [v for v in values if consistent(given | {name: v})]
-            counts["crossed_out"] += len(values) - len(kept[name])
-            if not kept[name]:
-                counts["dead_ends"] += 1
-                return None
-        return kept
-
-    def go(given: dict, left: dict) -> None:
-        if len(given) == len(names):
-            found.append(dict(given))
-            return
-        name = next(n for n in names if n not in given)
-        for value in left[name]:
-            counts["tried"] += 1
-            more = given | {name: value}
-            if consistent(more) and (rest := prune(more, left)) is not None:
-                go(more, rest)
-
-    start = prune({}, dict(domains))
-    if start is not None:
-        go({}, start)
-    return found, counts
-
-
 def layout_edges(edges: DataFrame, options: DataFrame, layout: DataFrame) -> DataFrame:
     """The edges under a layout.
 

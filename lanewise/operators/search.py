@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,10 +63,10 @@ class Roads:
             e["edge_id"].to_numpy(np.int64)[order], v[order], u[order], length, free, get("capacity_vph"), speed, place,
         )
 
-    def shortest(self, origin: int, destination: int, cost: np.ndarray) -> tuple[float, list[int]]:
+    def shortest(self, origin: int, destination: int, cost: np.ndarray, shut: Callable[[int], bool] = lambda k: False) -> tuple[float, list[int]]:
         """Cost and edge positions of the cheapest way; infinite if there is none.
 
-        ``cost`` is by edge position; infinite entries are never taken. The
+        ``cost`` is by edge position; infinite entries and ``shut`` ones are never taken. The
         estimate is the straight line at the graph's top speed, a little less."""
         a, b = self.place.get(origin), self.place.get(destination)
         if a is None or b is None:
@@ -89,7 +89,7 @@ class Roads:
             so_far = best[here]
             for k in range(first[here], first[here + 1]):
                 there, total = int(head[k]), so_far + cost[k]
-                if total < best.get(there, math.inf):
+                if total < best.get(there, math.inf) and not shut(k):
                     best[there], via[there] = total, k
                     count += 1
                     heapq.heappush(queue, (total + guess(there), count, there))

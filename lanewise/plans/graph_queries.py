@@ -95,31 +95,21 @@ _HUB = ", hub AS (SELECT 0 AS node)"
 
 
 @query(
-    _HUB + """, cut AS (SELECT * FROM edges WHERE highway = 'primary'), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node) SELECT node FROM fwd""",
+    _HUB + ", fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT e.v FROM fwd JOIN edges e ON e.u = fwd.node) SELECT node FROM fwd",
     ("edges",),
 )
 def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reachable(A.edges(spark, sf_dir).where("highway = 'primary'"), spark.range(1).withColumnRenamed("id", "node")).select("node")
+    """Junctions that junction 0 reaches over roads of every class."""
+    return G.reachable(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node")).select("node")
 
 
 @query(
-    _HUB + """, cut AS (SELECT * FROM edges WHERE highway = 'primary'), fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.v FROM fwd JOIN cut c ON c.u = fwd.node),
-    bwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT c.u FROM bwd JOIN cut c ON c.v = bwd.node) SELECT node FROM fwd INTERSECT SELECT node FROM bwd""",
+    _HUB + """, fwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT e.v FROM fwd JOIN edges e ON e.u = fwd.node),
+    bwd(node) AS (SELECT CAST(node AS BIGINT) FROM hub UNION SELECT e.u FROM bwd JOIN edges e ON e.v = bwd.node) SELECT node FROM fwd INTERSECT SELECT node FROM bwd""",
     ("edges",),
 )
 def core_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.core(A.edges(spark, sf_dir).where("highway = 'primary'"), spark.range(1).withColumnRenamed("id", "node"))
-
-
-@query(None)
-def reachability_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions that junction 0 reaches over roads of every class."""
-    return G.reachable(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node")).select("node")
-
-
-@query(None)
-def core_intersection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions that junction 0 reaches and that reach it, over roads of every class."""
+    """Junctions that junction 0 reaches and that reach it."""
     return G.core(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"))
 
 
@@ -166,7 +156,7 @@ def edges_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT zone, lon, lat, node FROM (
-      SELECT z.zone, round(z.lon, 6) AS lon, round(z.lat, 6) AS lat, n.node_id AS node, row_number() OVER (PARTITION BY z.zone ORDER BY {hav("z.lon", "z.lat", "n.lon", "n.lat")}, n.node_id) AS r
+      SELECT z.zone, round(n.lon, 6) AS lon, round(n.lat, 6) AS lat, n.node_id AS node, row_number() OVER (PARTITION BY z.zone ORDER BY {hav("z.lon", "z.lat", "n.lon", "n.lat")}, n.node_id) AS r
       FROM (SELECT i AS zone, 90.326774E0 + (i % 6 + 0.5E0) * ((90.499678E0 - 90.326774E0) / 6) AS lon, 23.711736E0 + (i // 6 + 0.5E0) * ((23.902086E0 - 23.711736E0) / 6) AS lat FROM range(36) t(i)) z, nodes n) WHERE r = 1""",
     ("nodes",),
 )

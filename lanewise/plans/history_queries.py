@@ -30,10 +30,13 @@ _KNN = """, pairs AS (
     power(sin(2 * pi() * a.minute / 1440) - sin(2 * pi() * t.minute / 1440), 2) + power(cos(2 * pi() * a.minute / 1440) - cos(2 * pi() * t.minute / 1440), 2)
     + power(3 * (a.weekend::INT - t.weekend::INT), 2), 9) AS d2 FROM asked a, train t
 ), near AS (SELECT asked, ts FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY d2, ts DESC) AS r FROM pairs) WHERE r <= 6),
-knn AS (
+votes AS (
+  SELECT asked, edge_id, level, count(*) AS n FROM readings JOIN near USING (ts) GROUP BY asked, edge_id, level
+  UNION ALL SELECT asked, edge_id, 0, (SELECT count(*) FROM near x WHERE x.asked = v.asked) - count(*) FROM (SELECT asked, edge_id FROM readings JOIN near USING (ts)) v GROUP BY asked, edge_id
+), knn AS (
   SELECT asked, edge_id, level FROM (
-    SELECT asked, edge_id, level, row_number() OVER (PARTITION BY asked, edge_id ORDER BY count(*) DESC, level DESC) AS r
-    FROM readings JOIN near USING (ts) GROUP BY asked, edge_id, level) WHERE r = 1
+    SELECT asked, edge_id, level, row_number() OVER (PARTITION BY asked, edge_id ORDER BY sum(n) DESC, level DESC) AS r
+    FROM votes GROUP BY asked, edge_id, level) WHERE r = 1
 )"""
 _SAME = """, same AS (
   SELECT asked, ts, gap FROM (
@@ -105,12 +108,15 @@ def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CAPS + """ SELECT edge_id, weekend, hour, count(*) AS n, round(avg(level), 6) AS mean_level FROM (
-      SELECT r.edge_id, CAST(c.weekend AS INTEGER) AS weekend, CAST(c.minute // 60 AS INTEGER) AS hour, r.level FROM readings r JOIN caps c USING (ts)) GROUP BY GROUPING SETS ((edge_id), (edge_id, weekend, hour))""",
+    _CAPS + """, sums AS (SELECT r.edge_id, c.weekend, c.minute // 60 AS hour, sum(r.level) AS s FROM readings r JOIN caps c USING (ts) GROUP BY GROUPING SETS ((1), (1, 2, 3))),
+    sizes AS (SELECT weekend, minute // 60 AS hour, count(*) AS n FROM caps GROUP BY GROUPING SETS ((), (1, 2)))
+    SELECT edge_id, CAST(s.weekend AS INTEGER) AS weekend, CAST(s.hour AS INTEGER) AS hour, n, round(s / n, 6) AS mean_level
+    FROM sums s JOIN sizes z ON s.weekend IS NOT DISTINCT FROM z.weekend AND s.hour IS NOT DISTINCT FROM z.hour""",
     ("readings",),
 )
 def hour_profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.hour_profile(A.readings(spark, sf_dir)).withColumns({"mean_level": rounded("mean_level"), "weekend": F.col("weekend").cast("int")})
+    r = A.readings(spark, sf_dir)
+    return H.hour_profile(r, H.captures_of(r)).withColumns({"mean_level": rounded("mean_level"), "weekend": F.col("weekend").cast("int")})
 
 
 @query(_CAPS + _SPLIT + " SELECT part, count(*) AS captures, min(ts) AS first, max(ts) AS last FROM parted GROUP BY part", ("readings",))
@@ -171,11 +177,19 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CELLS + " SELECT ts, cell, round(sum(level) / greatest(any_value(roads), 1), 6) AS mean_level FROM readings JOIN cells USING (edge_id) JOIN sizes USING (cell) GROUP BY ts, cell",
+    _CELLS + """, sums AS (SELECT ts, cell, sum(level) AS s FROM readings JOIN cells USING (edge_id) GROUP BY ts, cell)
+    SELECT t.ts, CAST(k.cell AS INTEGER) AS cell, round(coalesce(s, 0) / greatest(coalesce(roads, 0), 1), 6) AS mean_level
+    FROM (SELECT DISTINCT ts FROM readings) t CROSS JOIN range(25) k(cell) LEFT JOIN sums ON sums.ts = t.ts AND sums.cell = k.cell LEFT JOIN sizes ON sizes.cell = k.cell""",
     ("nodes", "edges", "readings"),
 )
 def scenario_cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.cell_features(A.readings(spark, sf_dir), _cells(spark, sf_dir)).withColumn("mean_level", rounded("mean_level"))
+    return H.cell_features(A.readings(spark, sf_dir), _cells(spark, sf_dir), 25).withColumn("mean_level", rounded("mean_level"))
+
+
+@query(None)
+def traffic_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures in five groups by their pattern over the grid, described and named."""
+    return H.scenarios(A.readings(spark, sf_dir), _cells(spark, sf_dir), 25)[0]
 
 
 _GROUPS = """, groups AS (SELECT ts, weekday AS grp FROM caps), lv AS (SELECT ts, avg(level) AS m FROM readings GROUP BY ts),
@@ -188,7 +202,7 @@ hrs AS (SELECT grp, hour, count(*) AS n, row_number() OVER (PARTITION BY grp ORD
     SELECT f.grp AS "group", f.captures, round(f.captures / (SELECT count(*) FROM caps), 3) AS share, round(f.m, 4) AS mean_level, round(f.w, 4) AS weekend_share,
       (SELECT string_agg(hour::VARCHAR, ',' ORDER BY r) FROM hrs WHERE hrs.grp = f.grp AND r <= 3) AS top_hours,
       (SELECT string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY h) FROM range(24) t(h) LEFT JOIN hrs ON hrs.hour = h AND hrs.grp = f.grp) AS histogram,
-      CAST(rank() OVER (ORDER BY round(f.m, 4)) AS INTEGER) AS rank FROM facts f""",
+      CAST(row_number() OVER (ORDER BY round(f.m, 4), f.grp) AS INTEGER) AS rank FROM facts f""",
     ("readings",),
 )
 def scenario_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

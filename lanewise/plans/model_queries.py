@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from .registry import query, rounded
 _ZONES = f""", grid AS (
   SELECT i AS zone, 90.326774E0 + (i % 6 + 0.5E0) * ((90.499678E0 - 90.326774E0) / 6) AS lon, 23.711736E0 + (i // 6 + 0.5E0) * ((23.902086E0 - 23.711736E0) / 6) AS lat, 1E0 + i % 4 AS weight FROM range(36) t(i)
 ), zones AS (
-  SELECT zone, lon, lat, weight, node FROM (SELECT g.*, n.node_id AS node, row_number() OVER (PARTITION BY g.zone ORDER BY {hav("g.lon", "g.lat", "n.lon", "n.lat")}, n.node_id) AS r FROM grid g, nodes n) WHERE r = 1
+  SELECT zone, nlon AS lon, nlat AS lat, lon AS mid_lon, lat AS mid_lat, weight, node FROM (SELECT g.*, n.lon AS nlon, n.lat AS nlat, n.node_id AS node, row_number() OVER (PARTITION BY g.zone ORDER BY {hav("g.lon", "g.lat", "n.lon", "n.lat")}, n.node_id) AS r FROM grid g, nodes n) WHERE r = 1
 ), od AS (
   SELECT a.zone AS i, b.zone AS j, a.node AS origin, b.node AS destination,
     a.weight * b.weight / power(greatest({hav("a.lon", "a.lat", "b.lon", "b.lat")}, 200) / 1000, 1.5) AS trips FROM zones a JOIN zones b ON a.zone <> b.zone
@@ -198,19 +196,10 @@ def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def diversion_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both timelines over all captures, in a run a day; the rows of one day are
-    on the driver at a time."""
-    r = A.readings(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts")).where("ts IS NOT NULL").cache()
-    days = [x["day"] for x in r.select("day").distinct().orderBy("day").collect()]
-
-    def captures():
-        for day in days:
-            rows = r.where(F.col("day") == F.lit(day)).select("ts", "edge_id", "level").orderBy("ts", "edge_id").collect()
-            for ts, group in groupby(rows, lambda x: x["ts"]):
-                yield str(ts), list(group)
-
-    steps, _ = run_diversion(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), captures(), period=lambda name: name[:10])
-    r.unpersist()
+    """Both timelines over all captures, in a run a day."""
+    r = A.readings(spark, sf_dir).where("ts IS NOT NULL")
+    levels = r.select(F.date_format("ts", "yyyy-MM-dd").alias("period"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("capture"), "edge_id", "level")
+    steps, _ = run_diversion(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), levels)
     return steps
 
 
@@ -280,17 +269,17 @@ def logistic_ovr_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def logistic_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the later captures by one-vs-rest models on profile features."""
+    """Levels of the later captures by one-vs-rest models on profiles of the earlier ones."""
     r = A.readings(spark, sf_dir)
-    caps = H.with_split(H.captures_of(r)).select("ts", "part")
-    f = M.level_features(r).join(F.broadcast(caps), "ts").withColumn("id", F.xxhash64("ts", "edge_id"))
-    return M.logistic_ovr(f.where("part = 'train'"), f.where("part = 'test'"), rounds=20)
+    caps = H.with_split(H.captures_of(r))
+    asked = r.join(F.broadcast(caps.where("part = 'test'").select("ts")), "ts").select("ts", "edge_id", "level")
+    return M.logistic_forecast(r, A.edges(spark, sf_dir), caps.where("part = 'train'"), asked)
 
 
 @query(
     _ZONES + """, mids AS (SELECT (a.lon + b.lon) / 2 AS lon, (a.lat + b.lat) / 2 AS lat, CASE t.level WHEN 0 THEN 25E0 WHEN 1 THEN 55E0 WHEN 2 THEN 85E0 ELSE 105E0 END AS w
       FROM today t JOIN edges e USING (edge_id) JOIN nodes a ON e.u = a.node_id JOIN nodes b ON e.v = b.node_id)
-    SELECT zone, round(1 + greatest(0, (coalesce(avg(w), 25) - 25) / 40), 6) AS weight FROM zones z LEFT JOIN mids m ON abs(m.lon - z.lon) <= 0.015 AND abs(m.lat - z.lat) <= 0.015 GROUP BY zone""",
+    SELECT zone, round(1 + greatest(0, (coalesce(avg(w), 25) - 25) / 40), 6) AS weight FROM zones z LEFT JOIN mids m ON abs(m.lon - z.mid_lon) <= 0.015 AND abs(m.lat - z.mid_lat) <= 0.015 GROUP BY zone""",
     ("nodes", "edges", "today"),
 )
 def zone_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +290,8 @@ def zone_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mids = A.today(spark, sf_dir).join(A.edges(spark, sf_dir), "edge_id").join(a, "u").join(b, "v").select(
         ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"), ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), w.alias("weight")
     )
-    return D.zone_weights(_zones(spark, sf_dir).drop("weight"), mids).select("zone", rounded("weight").alias("weight"))
+    middles = _zones(spark, sf_dir).select("zone", F.col("mid_lon").alias("lon"), F.col("mid_lat").alias("lat"))
+    return D.zone_weights(middles, mids).select("zone", rounded("weight").alias("weight"))
 
 
 @query(None)

@@ -67,8 +67,8 @@ def tile_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH seen AS (SELECT l_orderkey AS edge_id, CAST(l_quantity AS BIGINT) % 5 AS cls FROM lineitem),
     per AS (SELECT edge_id, CAST(count(*) AS INTEGER) AS n, count(*) FILTER (cls > 0) AS s, count(*) FILTER (cls = 1) AS c1, count(*) FILTER (cls = 2) AS c2, count(*) FILTER (cls = 3) AS c3, count(*) FILTER (cls = 4) AS c4 FROM seen GROUP BY 1),
     top AS (SELECT *, CASE WHEN s > 0 AND s / n >= 0.25 THEN CASE greatest(c1, c2, c3, c4) WHEN c4 THEN 4 WHEN c3 THEN 3 WHEN c2 THEN 2 ELSE 1 END ELSE 0 END AS cls FROM per)
-    SELECT edge_id, cls, CASE cls WHEN 1 THEN 25E0 WHEN 2 THEN 55E0 WHEN 3 THEN 85E0 WHEN 4 THEN 105E0 ELSE 0E0 END AS weight, round(c1 / greatest(s, 1), 4) AS f_green, round(c2 / greatest(s, 1), 4) AS f_orange,
-      round(c3 / greatest(s, 1), 4) AS f_red, round(c4 / greatest(s, 1), 4) AS f_darkred, round(s / n, 4) AS coverage, n AS n_samples, CASE WHEN cls > 0 THEN 'observed' ELSE 'none' END AS source FROM top"""
+    SELECT edge_id, cls, CASE cls WHEN 1 THEN 25E0 WHEN 2 THEN 55E0 WHEN 3 THEN 85E0 WHEN 4 THEN 105E0 ELSE 0E0 END AS weight, round(c1 / n, 4) AS f_green, round(c2 / n, 4) AS f_orange,
+      round(c3 / n, 4) AS f_red, round(c4 / n, 4) AS f_darkred, round(s / n, 4) AS coverage, n AS n_samples, CASE WHEN cls > 0 THEN 'observed' ELSE 'none' END AS source FROM top"""
 )
 def coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoder's vote and coverage rule over one sample per line item."""

@@ -44,7 +44,7 @@ def test_halfway_weights(spark):
 
 
 def test_classes(spark):
-    assert [value(spark, traffic.class_rank(F.lit(h))) for h in ("motorway_link", "service", "track", None)] == [0, 8, 5, 5]
+    assert [value(spark, traffic.class_rank(F.lit(h))) for h in ("motorway_link", "service", "path", None)] == [0, 8, 5, 5]
 
 
 # Pixels and the class each is expected to have.

@@ -24,25 +24,27 @@ def chain(k):
     return [(i, i + 1) for i in range(k)]
 
 
-@pytest.mark.parametrize(
-    "pairs, rungs, weights",
-    [
-        (chain(6), {0: 2}, [85, 85, 55, 25, 25, 25]),
-        (chain(6), {0: 3}, [105, 105, 85, 55, 25, 25]),
-        (chain(4), {0: 0, 3: 3}, [25, 25, 105, 105]),
-        ([(0, 1), (1, 2), (1, 3)], {0: 0, 2: 3}, [25, 105, 105]),
-        ([(0, 1), (1, 2), (1, 3)], {0: 3, 2: 0}, [105, 105, 25]),
-        (chain(5), {}, [25] * 5),
-        ([(0, 1), (1, 2), (10, 11), (11, 12)], {0: 3}, [105, 105, 25, 25]),
-    ],
-)
-def test_known_spreads(spark, pairs, rungs, weights):
-    got, hops, methods = spread(spark, pairs, rungs)
-    assert got == weights
-    if pairs == chain(6):
-        assert hops == [0, 1, 2, 3, 4, 5] and methods == [0, 1, 2, 2, 2, 2]
-    if not rungs:
-        assert hops == [-1] * 5 and methods == [3] * 5
+def test_spread_along_a_ring(spark):
+    """One dark red road in a ring of nine: its neighbours share the level, then
+    a rung is lost a road, on both sides alike; a ring of its own stays clear."""
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    weights, hops, methods = spread(spark, ring + [(50, 51), (51, 50)], {4: 3})
+    assert hops[:9] == [4, 3, 2, 1, 0, 1, 2, 3, 4]
+    assert weights[:9] == [25, 55, 85, 105, 105, 105, 85, 55, 25]
+    assert methods[:9] == [2, 2, 2, 1, 0, 1, 2, 2, 2]
+    assert (weights[9:], hops[9:], methods[9:]) == ([25, 25], [-1, -1], [3, 3])
+
+
+def test_spread_without_paint(spark):
+    star = [(0, i) for i in range(1, 6)]
+    assert spread(spark, star, {}) == ([25] * 5, [-1] * 5, [3] * 5)
+
+
+def test_spread_between_two_paints(spark):
+    """At equal distance the worse level holds, whichever end has it."""
+    road = [(i, i + 1) for i in range(5)]
+    assert spread(spark, road, {0: 2, 4: 1})[0] == spread(spark, [(v, u) for u, v in road], {0: 2, 4: 1})[0] == [85, 85, 55, 55, 55]
+    assert spread(spark, road[:3], {0: 0, 2: 2})[0] == spread(spark, road[:3], {0: 2, 2: 0})[0][::-1] == [25, 85, 85]
 
 
 def brute_spread(pairs, rungs, per, claim):

@@ -70,8 +70,8 @@ def test_gates(spark):
 
 def test_scenario_names_and_savings(spark):
     df = spark.createDataFrame([(1,), (5,)], "r int")
-    assert [x.n for x in df.select(H.scenario_name(F.col("r"), 5).alias("n")).collect()] == ["Very light", "Very heavy"]
-    assert df.select(H.scenario_name(F.col("r"), 7).alias("n")).first().n == "1 of 7"
+    assert [x.n for x in df.select(H.scenario_name(F.col("r"), 5).alias("n")).collect()] == ["lightest", "heaviest"]
+    assert df.select(H.scenario_name(F.col("r"), 7).alias("n")).first().n == "1 of 7 (1 = lightest)"
     s = df.select(Y.saved_share(F.lit(100.0), F.lit(130.0), F.lit(120.0)).alias("s"), Y.saved_share(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("z")).first()
     assert s.s == pytest.approx(1 / 3) and s.z is None
 
@@ -124,3 +124,76 @@ def test_tile_round_trip_property(lon, lat, z):
     x, y = geo.lon_to_tx(F.lit(lon), z), geo.lat_to_ty(F.lit(lat), z)
     r = spark.range(1).select(geo.tx_to_lon(x, z).alias("lon"), geo.ty_to_lat(y, z).alias("lat")).first()
     assert r.lon == pytest.approx(lon, abs=1e-8) and r.lat == pytest.approx(lat, abs=1e-8)
+
+
+def test_neighbour_rank_by_sums_equals_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(12), rng.randrange(12), rng.randrange(9)) for i in range(60)]
+    edges = spark.createDataFrame(rows, "edge_id bigint, u bigint, v bigint, class_rank int")
+    got = {r.edge_id: r.mean_rank for r in G.mean_neighbour_rank(edges).collect()}
+    for i, u, v, rank in rows:
+        near = [r for j, a, b, r in rows if j != i and {a, b} & {u, v}]
+        assert got[i] == pytest.approx(sum(near) / len(near) if near else rank)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from lanewise.operators.aggregates import numbered
+
+    df = spark.range(1000).selectExpr("(id * 377) % 1000 AS k").repartition(7)
+    assert all(r.k == r.nth for r in numbered(df, "k").collect())
+
+
+def test_stale_stages_follow_their_inputs(spark):
+    from lanewise.operators import batch as B
+
+    captures = spark.createDataFrame([(c,) for c in "abcd"], "capture string")
+    times = [(None, "graph", 5)] + [(c, "capture", 10) for c in "abcd"]
+    times += [("a", "decode", 11), ("a", "impute", 12), ("a", "layers", 13), ("b", "decode", 9), ("b", "impute", 12), ("b", "layers", 13), ("c", "decode", 11), ("c", "layers", 10)]
+    written = spark.createDataFrame(times, "capture string, name string, at long")
+    got = {(r.capture, r.stage): r.reason for r in B.stale_stages(captures, written).collect()}
+    assert got == {("b", "decode"): "older", ("b", "impute"): "input", ("b", "layers"): "input", ("c", "impute"): "missing", ("c", "layers"): "input", **{("d", s): "missing" for s in ("decode", "impute", "layers")}}
+    only = {(r.capture, r.stage) for r in B.stale_stages(captures, written, only=("layers",)).collect()}
+    assert only == {("d", "layers")}
+    assert B.stale_stages(captures, written, force=True).count() == 12
+
+    ran = []
+
+    def run(stage):
+        def one(capture):
+            if (capture, stage) == ("d", "decode"):
+                raise ValueError("no tiles")
+            ran.append((capture, stage))
+            return f"{stage} done"
+
+        return one
+
+    done = B.run_batch(spark, B.stale_stages(captures, written), {s: run(s) for s, _ in B.STAGES})
+    assert ran == [("b", "decode"), ("b", "impute"), ("b", "layers"), ("c", "impute"), ("c", "layers")]
+    assert {(r.capture, r.stage): r.detail for r in done.where("not ok").collect()} == {
+        ("d", "decode"): "ValueError: no tiles", ("d", "impute"): "an earlier stage failed", ("d", "layers"): "an earlier stage failed",
+    }
+
+
+def test_layers_results_and_frames_are_written(spark, tmp_path):
+    from lanewise.operators import batch as B
+
+    features = spark.createDataFrame([('{"a": 1}',), ('{"b": 2}',)], "feature string")
+    B.write_layers({"one": (features, {"title": "One"}), "none": (features.where("false"), {})}, f"{tmp_path}/layers", {"graph_id": "x"})
+    index = {r.id: r for r in B.read_index(spark, f"{tmp_path}/layers").collect()}
+    assert (index["one"].features, index["none"].features, index["one"].entry, index["one"].facts) == (2, 0, '{"title": "One"}', '{"graph_id": "x"}')
+    assert spark.read.text(f"{tmp_path}/layers/one.geojson").count() == 2
+
+    steps = spark.createDataFrame([(0, 1.0)], "step int, hours double")
+    for run, rows in (("a", steps), ("b", steps), ("a", steps.union(steps))):
+        B.write_result(rows, f"{tmp_path}/results", "city", run)
+    got = spark.read.parquet(f"{tmp_path}/results").groupBy("simulation", "run").count().collect()
+    assert sorted(map(tuple, got)) == [("city", "a", 2), ("city", "b", 1)]
+
+    frames = spark.createDataFrame([("c1", 1, 0), ("c1", 2, 7), ("c2", 1, 3)], "capture string, line int, code int")
+    assert B.publish(frames, f"{tmp_path}/frames").count() == 2
+    assert B.publish(frames, f"{tmp_path}/frames").count() == 0
+    changed = frames.withColumn("code", F.when(F.col("capture") == "c2", 4).otherwise(F.col("code")))
+    assert [r.capture for r in B.publish(changed, f"{tmp_path}/frames").collect()] == ["c2"]
+    assert sorted((r.capture, r.line, r.code) for r in spark.read.parquet(f"{tmp_path}/frames").collect()) == [("c1", 1, 0), ("c1", 2, 7), ("c2", 1, 4)]

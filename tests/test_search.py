@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewise.operators import demand as D
 from lanewise.operators import graph as G
-from lanewise.operators.diversion import run_diversion
+from lanewise.operators.diversion import Run, onward, run_diversion
 from lanewise.operators.search import Roads, routes, straight_line_admissible
 
 EDGE = "edge_id bigint, u bigint, v bigint, length_m double, free_flow_s double, capacity_vph double, highway string"
@@ -119,27 +119,55 @@ def test_gravity_and_sampling(spark):
     assert all(abs(r["count"] - want[r.i, r.j]) < 6 * math.sqrt(want[r.i, r.j]) for r in drawn)
 
 
-def jam(spark):
-    nodes = spark.createDataFrame([(0, 90.40, 23.75), (1, 90.41, 23.75), (2, 90.405, 23.752)], "node_id bigint, lon double, lat double")
-    edges = spark.createDataFrame([(0, 0, 1, 1000.0, 72.0, 2400.0, "primary"), (1, 0, 2, 560.0, 45.0, 2400.0, "primary"), (2, 2, 1, 560.0, 45.0, 2400.0, "primary")], EDGE)
-    return nodes, edges
+def detour_town(spark):
+    """A main road 0-1-2 in two pieces, a way round it over 3, and a far loop over 4."""
+    nodes = spark.createDataFrame([(0, 90.40, 23.75), (1, 90.404, 23.75), (2, 90.408, 23.75), (3, 90.404, 23.752), (4, 90.404, 23.80)], "node_id bigint, lon double, lat double")
+    rows = [(10, 0, 1, 407.0, 30.0, 2000.0, "primary"), (11, 1, 2, 407.0, 30.0, 1800.0, "primary_link"), (12, 0, 3, 464.0, 40.0, 1500.0, "residential"), (13, 3, 2, 464.0, 40.0, 1500.0, "residential"), (14, 0, 4, 5500.0, 1.0, 9000.0, "primary"), (15, 4, 2, 5500.0, 1.0, 9000.0, "primary")]
+    return nodes, spark.createDataFrame(rows, EDGE)
+
+
+LEVELS = "period string, capture string, edge_id bigint, level int"
+
 
+def test_onward_goes_straight_within_a_class(spark):
+    assert {(r.edge_id, r.next_id) for r in onward(*detour_town(spark)).collect()} == {(10, 11)}
 
-def test_diversion_relieves_a_jam(spark):
-    nodes, edges = jam(spark)
-    levels = spark.createDataFrame([(0, 3), (1, 0), (2, 0)], "edge_id bigint, level int")
-    steps, apart = run_diversion(nodes, edges, [("a", levels)] * 4)
-    rows = sorted(steps.collect(), key=lambda r: (r.step, r.timeline))
-    assert all(r.diversions == 1 for r in rows)
-    hours = {r.timeline: r.vehicle_hours for r in rows if r.step == rows[-1].step}
-    assert hours["diverted"] < hours["actual"]
-    moved = max(r.moved_vph for r in rows)
-    assert 0 < moved and 0.25 * 2400 + moved <= 0.70 * 2400 + 1e-6
-    assert {r.edge_id for r in apart.collect()} <= {0, 1, 2}
-
-
-def test_diversion_leaves_clear_roads_alone(spark):
-    nodes, edges = jam(spark)
-    clear = spark.createDataFrame([(0, 0)], "edge_id bigint, level int")
-    steps, apart = run_diversion(nodes, edges, [("a", clear)])
-    assert all(r.moved_vph == 0 and r.diversions == 0 for r in steps.collect()) and apart.count() == 0
+
+def test_diversion_moves_traffic_round_a_jam(spark):
+    nodes, edges = detour_town(spark)
+    rows = [(day, f"{day} {t}", e, lv) for day in ("mon", "tue") for t in (1, 2, 3) for e, lv in ((10, 3), (11, 3), (99, 2))] + [("wed", "wed 1", 10, 0)]
+    steps, apart = run_diversion(nodes, edges, spark.createDataFrame(rows, LEVELS))
+    got = {(r.period, r.step, r.timeline): r for r in steps.collect()}
+    for day in ("mon", "tue"):
+        start, end = got[day, 0, "diverted"], got[day, 9, "diverted"]
+        assert start.vehicle_hours == got[day, 0, "actual"].vehicle_hours and start.diversions == 0
+        assert end.diversions == 1 and end.vehicle_hours < got[day, 9, "actual"].vehicle_hours
+        # a tenth of what runs the whole stretch a round, as long as that saves time and the way round has room
+        through, room = 1.05 * 1800, (0.70 - 0.25) * 1500
+        moved = [got[day, k, "diverted"].moved_vph for k in range(10)]
+        assert moved[:4] == pytest.approx([0, 0.1 * through, 0.2 * through, 0.3 * through]) and moved == sorted(moved) and moved[-1] <= room
+    assert got["wed", 3, "diverted"].diversions == 0 and len([k for k in got if k[0] == "wed"]) == 8
+    assert {r.edge_id for r in apart.where("period = 'mon' and step = 9").collect()} <= {10, 11, 12, 13}
+    assert apart.where("period = 'wed'").count() == 0
+
+
+def test_each_move_is_the_best_of_three(spark):
+    """Against trying every amount on whole copies of the loads."""
+    nodes, edges = detour_town(spark)
+    roads = Roads.collect(nodes, edges)
+    place = {int(e): i for i, e in enumerate(roads.edge_id)}
+    run = Run(roads, np.array([[place[10], place[11]]]), np.isin(roads.edge_id, [10, 11, 14, 15]))
+    rng = np.random.default_rng(0)
+    run.add_detours(roads.capacity * np.where(np.isin(roads.edge_id, [10, 11]), 1.05, 0.25))
+    for _ in range(40):
+        actual = roads.capacity * rng.choice([0.25, 0.55, 0.85, 1.05], len(roads.edge_id))
+        share = run.share.copy()
+        hours = {}
+        t, load = run.through(actual)[0], run.load(actual)
+        room = max(min(0.70 * roads.capacity[place[e]] - load[place[e]] for e in (12, 13)), 0.0) / t
+        for x in (0.0, min(0.1, room, 1 - share[0]), -min(0.1, share[0])):
+            run.share = share + x
+            hours[round(float(run.share[0]), 9)] = float(run.vehicle_hours(run.load(actual)))
+        run.share = share.copy()
+        run.move(actual)
+        assert hours[round(float(run.share[0]), 9)] == pytest.approx(min(hours.values()))

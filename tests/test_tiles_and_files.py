@@ -81,7 +81,7 @@ def test_decode_a_painted_tile(spark, capture):
 def test_votes(spark):
     seen = spark.createDataFrame([(1, c) for c in (1, 1, 3, 3, 0)] + [(2, c) for c in (2, 0, 0, 0, 0)], "edge_id bigint, cls int")
     a, b = X.edge_votes(seen).orderBy("edge_id").collect()
-    assert (a.cls, a.weight, a.f_green, a.coverage) == (3, 85.0, 0.5, 0.8)
+    assert (a.cls, a.weight, a.f_green, a.f_red, a.coverage) == (3, 85.0, 0.4, 0.4, 0.8)  # shares add up to the coverage
     assert (b.cls, b.source) == (0, "none")
 
 
@@ -194,3 +194,41 @@ def test_blocked_sources(spark, tmp_path):
     q = C.blocked(log).writeStream.format("memory").queryName("blocked").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("blocked").collect()] == [("s", 28, 25)]
+
+
+def test_points_along_lines(spark):
+    """Against walking every line in small steps."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    lines = [[(90.4 + rng.random() / 500, 23.8 + rng.random() / 500) for _ in range(rng.choice([2, 3, 5]))] for _ in range(25)]
+    lines += [[(90.4, 23.8)], [(90.4, 23.8), (90.4, 23.8)], [(90.4, 23.8), (90.4, 23.8), (90.4001, 23.8)], [], None]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {}
+    for r in X.sample_points(spark.createDataFrame(rows, "edge_id bigint, geometry array<struct<lon:double,lat:double>>")).collect():
+        got.setdefault(r.edge_id, []).append(r)
+    assert set(got) == {i for i, x in rows if x}
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(a))
+
+    for i, points in got.items():
+        line, found = lines[i] if len(lines[i]) > 1 else lines[i] * 2, sorted(points, key=lambda r: r.n)
+        legs = [metres(p, q) for p, q in zip(line, line[1:])]
+        total = sum(legs)
+        trim = min(10.0, 0.3 * total)
+        assert len(found) == max(2, int((total - 2 * trim) // 5) + 1)
+        for k, r in enumerate(found):
+            want, at = trim + k * (total - 2 * trim) / (len(found) - 1), 0.0
+            near = min(abs(at_ + metres(line[j], (r.lon, r.lat)) - want) for j, at_ in [(j, sum(legs[:j])) for j in range(len(legs))])
+            assert near < 1e-3
+            assert any((r.dlon, r.dlat) == (q[0] - p[0], q[1] - p[1]) for p, q in zip(line, line[1:]))
+
+
+def test_every_edge_has_a_row(spark, capture):
+    root, _, lons = capture
+    edges = road(spark, lons, LAT).unionByName(spark.createDataFrame([(9, None)], "edge_id bigint, geometry array<struct<lon:double,lat:double>>"))
+    got = {r.edge_id: r for r in X.decode_capture(edges, S.read_tiles(spark, f"{root}/tiles", Z), Z).collect()}
+    assert set(got) == {1, 2, 3, 9} and (got[9].cls, got[9].n_samples, got[9].source, got[9].coverage) == (0, 0, "none", 0.0)

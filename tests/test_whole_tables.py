@@ -25,16 +25,15 @@ def chain(spark, tmp_path_factory):
 
 def test_diversion_steps_over_all_captures(spark, chain):
     rows = [r for r in QUERIES["diversion_steps"](spark, chain).collect() if r.timeline == "actual"]
-    assert len({r.capture for r in rows}) == 6 and len(rows) == 18
+    # two captures a day, three rounds each, and the start of each day
+    assert len({r.capture for r in rows}) == 6 and len(rows) == 21
     # levels are those recorded: one road is dark red, the others are clear
     assert {(r.green, r.yellow, r.red, r.darkred) for r in rows} == {(19, 0, 0, 1)}
 
 
-def test_reachability_over_all_classes(spark, chain, data):
-    assert sorted(r.node for r in QUERIES["reachability_closure_all"](spark, chain).collect()) == list(range(21))
-    assert [r.node for r in QUERIES["core_intersection_all"](spark, chain).collect()] == [0]
-    narrow = {r.node for r in QUERIES["core_intersection"](spark, data).collect()}
-    assert narrow < {r.node for r in QUERIES["core_intersection_all"](spark, data).collect()}
+def test_reachability_over_all_classes(spark, chain):
+    assert sorted(r.node for r in QUERIES["reachability_closure"](spark, chain).collect()) == list(range(21))
+    assert [r.node for r in QUERIES["core_intersection"](spark, chain).collect()] == [0]
 
 
 def test_spread_runs_to_the_end(spark, chain):
