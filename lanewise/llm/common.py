@@ -9,7 +9,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that are unpacked to Python objects at once.
@@ -42,6 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="lanewise-")
 
 
+def file_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """The order in which ``docs``, read from files that Spark wrote, was written:
+    a column that orders the files and the place of a row in its file. None for a
+    table that isn't read from such files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    return F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), F.lit(" "), name), F.col("_metadata.row_index")
+
+
 def small_batches(df: DataFrame) -> None:
     """Set the limit on the bytes of an Arrow batch to ``BATCH_BYTES`` where the
     session has the default of 64 MiB, which every task holds several times."""
