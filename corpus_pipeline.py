@@ -8,13 +8,12 @@ one's ``docs``. All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import table
+from lanewise.llm.common import file_order, shared_folder, table
 from lanewise.llm.decontaminate import drop_contaminated
 from lanewise.llm.mixing import curriculum
 from lanewise.llm.near_duplicates import keep_one_of_each
@@ -39,14 +38,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out to meet the targets of their sources
-    and stand in training order."""
+    and stand in training order, from file to file and within each."""
     mixed = curriculum(docs, keep=[F.struct("*").alias("row")])
     return mixed.select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and its place there."""
-    placed = assign_shards(docs, shards=40)
+    """Every document's shard and its place there; slots keep the training order
+    in which the stage before wrote its files."""
+    placed = assign_shards(docs, shards=40, order=file_order(docs))
     return placed.select(F.col("id").alias("doc_id"), "size", "shard", "slot")
 
 
@@ -65,8 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; Parquet between stages, in the shared
     checkpoint folder where the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
