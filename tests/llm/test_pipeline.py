@@ -61,3 +61,35 @@ def test_stages_on_empty_input(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+def test_slots_keep_the_training_order(spark, data, tmp_path):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    from lanewise.llm.mixing import curriculum
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = [(r.id, r.copy) for r in curriculum(docs).select("id", "copy").collect()]
+    P.mixing(spark, docs, data).repartitionByRange(7, F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    got = P.sharding(spark, mixed, data).collect()
+    shard = {}
+    for r in got:
+        shard.setdefault(r["shard"], []).append((r.slot, r.doc_id))
+    place = {}
+    for k, (d, _) in enumerate(want):
+        place.setdefault(d, []).append(k)
+    for rows in shard.values():
+        at = -1
+        for _, d in sorted(rows):  # each copy stands after the one before it
+            later = [k for k in place[d] if k > at]
+            assert later
+            at = later[0]
+    assert sum(map(len, shard.values())) == len(want)
+
+
+def test_sharding_of_a_table_without_files(spark, docs):
+    import corpus_pipeline as P
+
+    assert P.sharding(spark, docs, "").count() == docs.count()
