@@ -73,3 +73,109 @@ def test_edge_cases(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert Q.score_documents(none, model).count() == 0
     assert Q.train(none, labels.where("false")).score(Q.features(b"x")) == 0.5
+
+
+class Plain:
+    """The whole model over dicts and single numbers, without arrays of features."""
+
+    MASK = (1 << 64) - 1
+
+    def __init__(self, texts, labels):
+        self.rows = [self.slots(t) for t in texts]
+        self.y = [1 if x else -1 for x in labels]
+
+    def slots(self, text):
+        mix, bits = 0x9E3779B97F4A7C15, 18
+        salted = lambda h, kind: ((((h ^ zlib.crc32(kind.encode())) * mix) & self.MASK) >> (64 - bits))
+        kind = lambda b: "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 else "0" if 48 <= b <= 57 else "u" if b >= 128 else chr(b)
+        words = (text or "").encode().lower().split()
+        shapes = ["".join(map(kind, w)) for w in (text or "").encode().split()]
+        out = {salted(zlib.crc32(w), "word") for w in words}
+        for name, items in (("pair", words), ("shape", [(s[:2] + s[-2:]).encode() for s in shapes])):
+            out |= {salted((zlib.crc32(a) * mix + zlib.crc32(b)) & self.MASK, name) for a, b in zip(items, items[1:])}
+        again, longest, run = 0, 1, 1
+        for a, b in zip(words, words[1:]):
+            run = run + 1 if a == b else 1
+            again, longest = again + (a == b), max(longest, run)
+        marks = [f"l{len(words).bit_length()}"] + [f"r{k}" for k in range(2, min(longest, 8) + 1)] + [f"q{k}" for k in range(1, 9) if words and 16 * again >= k * len(words)]
+        return sorted(out | {zlib.crc32(m.encode()) % (1 << bits) for m in marks})
+
+    def ratios(self, rows, y):
+        import math
+
+        up, down = {}, {}
+        for row, label in zip(rows, y):
+            for j in row:
+                (up if label > 0 else down)[j] = (up if label > 0 else down).get(j, 0) + 1
+        a, b = sum(up.values()) + (1 << 18), sum(down.values()) + (1 << 18)
+        return lambda j: math.log((1 + up.get(j, 0)) / a) - math.log((1 + down.get(j, 0)) / b)
+
+    def hinge(self, rows, y, epochs):
+        r = self.ratios(rows, y)
+        x = [{j: r(j) / max(1, len(row)) ** 0.5 for j in row} for row in rows]
+        share = {s: sum(v == s for v in y) / len(y) for s in (1, -1)}
+        w, bias, alpha, rng = {}, 0.0, [0.0] * len(y), np.random.default_rng(7)
+        for _ in range(epochs):
+            worst = 0.0
+            for i in rng.permutation(len(y)):
+                g = y[i] * (sum(w.get(j, 0.0) * v for j, v in x[i].items()) + bias) - 1
+                new = min(1 / (2 * share[y[i]]), max(0.0, alpha[i] - g / (sum(v * v for v in x[i].values()) + 1)))
+                worst = max(worst, abs(new - alpha[i]))
+                for j, v in x[i].items():
+                    w[j] = w.get(j, 0.0) + (new - alpha[i]) * y[i] * v
+                bias += (new - alpha[i]) * y[i]
+                alpha[i] = new
+            if worst < 1e-3:
+                break
+        return lambda row: sum(w.get(j, 0.0) * r(j) for j in row) / max(1, len(row)) ** 0.5 + bias
+
+    def fit(self):
+        import math
+
+        held = [0.0] * len(self.y)
+        for k in range(3):
+            inside = [i for i in range(len(self.y)) if i % 3 != k]
+            margin = self.hinge([self.rows[i] for i in inside], [self.y[i] for i in inside], 6)
+            for i in range(k, len(self.y), 3):
+                held[i] = margin(self.rows[i])
+        margin = self.hinge(self.rows, self.y, 12)
+        up, down = self.y.count(1), self.y.count(-1)
+        t = [(up + 1) / (up + 2) if v > 0 else 1 / (down + 2) for v in self.y]
+        spread = float(np.std(held))
+        a, b = 0.0, 0.0
+        for _ in range(40_000):  # plain gradient descent on the smoothed loss
+            p = [1 / (1 + math.exp(-(a * h / spread + b))) for h in held]
+            ga = sum((p_ - t_) * h / spread for p_, t_, h in zip(p, t, held)) + 1e-2 * a
+            gb = sum(p_ - t_ for p_, t_ in zip(p, t))
+            a, b = a - 0.02 * ga, b - 0.02 * gb
+            if abs(ga) + abs(gb) < 1e-9:
+                break
+        return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, a / spread * margin(self.slots(text)) + b))))
+
+
+def test_scores_against_plain_loops(spark, data, small):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    order = lambda d: (zlib.crc32(str(d).encode()), str(d))
+    learnt = sorted((d for d, _ in small if d in labels and zlib.crc32(str(d).encode()) % 4 != 2), key=order)[:60]
+    text = dict(small)
+    for t in list(text.values())[:50]:
+        assert Q.features(t.encode()).tolist() == Plain([], []).slots(t)
+    docs = spark.createDataFrame(small, "doc_id bigint, text string")
+    model = Q.train(docs, spark.createDataFrame([(d, labels[d]) for d in learnt], "doc_id bigint, quality int"))
+    want = Plain([text[d] for d in learnt], [labels[d] for d in learnt]).fit()
+    got = {r.id: r.score for r in Q.score_documents(docs, model).collect()}
+    assert len(got) == len(text) and max(abs(got[d] - want(t)) for d, t in text.items()) < 1e-3
+
+
+def test_sample_keeps_to_its_features(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    fit, Q.fit = Q.fit, lambda rows, labels: seen.append(sum(map(len, rows))) or fit(rows, labels)
+    try:
+        Q.train(docs, labels)
+        Q.train(docs, labels, most_features=2_000)
+    finally:
+        Q.fit = fit
+    assert seen[0] > 4_000 and 1_000 < seen[1] <= 2_000
