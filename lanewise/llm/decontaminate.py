@@ -3,9 +3,9 @@
 Test items (questions and answers) and documents are normalised alike: A-Z
 lower-cased, words are runs of digits, letters and whatever is not ASCII. The
 patterns are all windows of ``window`` consecutive item words (the whole item if
-it is shorter). Each word of the items is one symbol of the automaton's alphabet,
-so a window has as many states as words; words of no item share one symbol. Each
-text is scanned once. Normalising keeps byte positions, so hits map back to the
+it is shorter). Words of the items are numbered and written in four digits, each
+place with digits of its own, so that a match begins where a word does and a state
+has few successors; words of no item are one symbol. Each text is scanned once. Normalising keeps byte positions, so hits map back to the
 original text.
 
 Items go to the executors in blocks of at most ``block_bytes`` of text, each with
@@ -32,18 +32,19 @@ NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-#: Bytes of item text to an automaton. There are fewer words than half of it, which
-#: leaves a code point for each, and about 6 windows of ten states to 36 bytes.
-BLOCK_BYTES = 2 << 20
+#: How words are written for the automaton: up to a million of them.
+BASE, DIGITS = 32, 4
+#: Bytes of item text to an automaton (of some 150 bytes to each). A word and what
+#: parts it from the next have two bytes at least, so there are numbers for all.
+BLOCK_BYTES = 1 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
 
-def symbol(k: int) -> str:
-    """The k-th code point that isn't a surrogate; 0 stands for words of no item."""
-    return chr(k if k < 0xD800 else k + 0x800)
+def digits(k: int) -> str:
+    return "".join([chr(1 + d * BASE + (k // BASE**d) % BASE) for d in range(DIGITS)])
 
 
 class Scanner:
@@ -52,15 +53,15 @@ class Scanner:
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
         import ahocorasick
 
-        self.alphabet: dict[bytes, str] = {}
+        self.number: dict[bytes, str] = {}
         owners: dict[str, set] = {}
         for item, text in items:
-            coded = "".join([self.alphabet.setdefault(w, symbol(len(self.alphabet) + 1)) for w in words(text)])
+            coded = [self.number.setdefault(w, digits(len(self.number))) for w in words(text)]
             for i in range(max(1, len(coded) - window + 1) if coded else 0):
-                owners.setdefault(coded[i : i + window], set()).add(item)
+                owners.setdefault("".join(coded[i : i + window]), set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for key, ids in owners.items():
-            self.automaton.add_word(key, (len(key), tuple(ids)))
+            self.automaton.add_word(key, (len(key) // DIGITS, tuple(ids)))
         self.some = bool(owners)
         if self.some:
             self.automaton.make_automaton()
@@ -69,9 +70,14 @@ class Scanner:
         """Word ranges ``(first, past, items)`` of all windows that occur."""
         if not self.some or not found:
             return []
-        get, other = self.alphabet.get, symbol(0)
-        coded = "".join([get(w, other) for w in found])
-        return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(coded)]
+        get, other = self.number.get, chr(0)
+        coded = [get(w, other) for w in found]
+        hits = list(self.automaton.iter("".join(coded)))
+        if not hits:
+            return []
+        past = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))  # where each word ends
+        last = np.searchsorted(past, [end + 1 for end, _ in hits]).tolist()
+        return [(k + 1 - n, k + 1, ids) for k, (_, (n, ids)) in zip(last, hits)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
