@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where the
+    session names none and runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="lanewise-")).rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{shared_folder(spark)}/lanewise-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder in ``spark.checkpoint.dir`` and read back; a
-    temporary folder is set only where the session names none and runs on one
-    machine."""
+    """Write to the shared folder and read back."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanewise-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

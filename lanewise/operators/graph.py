@@ -124,9 +124,12 @@ def touching(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Ordered pairs of distinct edges that share a junction."""
-    t = touching(edges)
-    return t.join(t.withColumnRenamed("edge_id", "other"), "node").where("edge_id <> other").select("edge_id", "other").distinct()
+    """Ordered pairs of distinct edges that share a junction. Edges that share both
+    ends meet twice and are paired at the smaller one, so nothing is made distinct."""
+    t = touching(edges).join(edges.select("edge_id", *pair_key()), "edge_id")
+    other = t.select("node", F.col("edge_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
+    both = (F.col("a") == F.col("c")) & (F.col("b") == F.col("d"))
+    return t.join(other, "node").where((F.col("edge_id") != F.col("other")) & (~both | (F.col("node") == F.col("a")))).select("edge_id", "other")
 
 
 def mean_neighbour_rank(edges: DataFrame) -> DataFrame:
@@ -279,25 +282,30 @@ def within(nodes: DataFrame, edges: DataFrame, lon: float, lat: float, radius_m:
 def nearest_node(nodes: DataFrame, points: DataFrame, cell_deg: float = 0.02) -> DataFrame:
     """The nearest node of each point ``(point, lon, lat)``; ties go to the lower id.
 
-    Nodes are looked up in the 3 x 3 cells about the point. A point that finds a
-    node no nearer than a cell's width there is compared with all nodes, by a
-    minimum over partial minima.
+    Nodes are looked up in the 3 x 3 cells about the point. Points that find no
+    node there, or none nearer than a cell's width, go on with cells four times as
+    wide, until the cells cover everything.
     """
     from ..functions import geo
 
-    cell = lambda lon, lat: [F.floor(lon / cell_deg).alias("cx"), F.floor(lat / cell_deg).alias("cy")]
-    n = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), *cell(F.col("lon"), F.col("lat")))
+    cut_at = lambda lon, lat, width: [F.floor(lon / width).alias("cx"), F.floor(lat / width).alias("cy")]
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = points.select("point", "lon", "lat", *cell(F.col("lon"), F.col("lat"))).withColumn("a", F.explode(around))
-    p = p.withColumns({"cx": F.col("cx") + F.col("a.i"), "cy": F.col("cy") + F.col("a.j")}).drop("a")
     d = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))
     pick = F.min_by(F.struct("node_id", d.alias("metres")), F.struct(d, "node_id")).alias("x")
-    close = p.join(n, ["cx", "cy"]).groupBy("point").agg(pick).select("point", "x.*")
-    sure = cell_deg * 110_000.0 * F.cos(F.radians("lat"))
-    found = points.join(close, "point", "left").withColumn("ok", F.col("metres") <= sure)
-    rest = found.where("ok IS NULL OR NOT ok").select("point", "lon", "lat")
-    far = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat")).join(F.broadcast(rest)).groupBy("point").agg(pick).select("point", "x.*")
-    return found.where("ok").select("point", "node_id", "metres").unionByName(far)
+    out, rest = None, points.select("point", "lon", "lat")
+    while True:
+        n = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), *cut_at(F.col("lon"), F.col("lat"), cell_deg))
+        p = rest.select("point", "lon", "lat", *cut_at(F.col("lon"), F.col("lat"), cell_deg)).withColumn("a", F.explode(around))
+        p = p.withColumns({"cx": F.col("cx") + F.col("a.i"), "cy": F.col("cy") + F.col("a.j")}).drop("a")
+        close = p.join(n, ["cx", "cy"]).groupBy("point").agg(pick).select("point", "x.*")
+        sure = F.lit(cell_deg >= 360) | (F.col("metres") <= cell_deg * 110_000.0 * F.cos(F.radians("lat")))
+        found = cut(rest.join(close, "point", "left").withColumn("ok", F.coalesce(sure & F.col("node_id").isNotNull(), F.lit(False))))
+        near = found.where("ok").select("point", "node_id", "metres")
+        out = near if out is None else out.unionByName(near)
+        rest = found.where("NOT ok").select("point", "lon", "lat")
+        if cell_deg >= 360 or rest.isEmpty():
+            return out
+        cell_deg *= 4
 
 
 def zone_grid(box: dict, rows: int, cols: int, nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, palette, traffic
+from ..materialise import scratch
 from ..operators import batch as B
 from ..operators import decode as X
 from ..operators import demand as D
@@ -17,6 +18,7 @@ from ..operators import graph as G
 from ..operators import lines as L
 from ..operators import planning as P
 from ..sources import png
+from ..streaming import captures as C
 from . import adapters as A
 from .columns import hav
 from .graph_queries import _PAINTED, _REACH, _painted
@@ -281,3 +283,54 @@ def stage_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
         written = one if written is None else written.unionByName(one)
     graph = caps.agg((F.unix_seconds(F.min(ts)) + 86400 * 5).alias("at")).select(F.lit(None).cast("string").alias("capture"), F.lit("graph").alias("name"), "at")
     return B.stale_stages(caps, written.unionByName(graph)).select("capture", "stage", "reason")
+
+
+# Streams: the events as they would arrive, to the end of what is there.
+
+_EVENTS = "WITH r AS (SELECT user_id AS edge_id, ts, CAST(floor(value) AS BIGINT) % 4 AS level, event_type <> 'error' AS painted FROM events), closed AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM r)"
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parque[t]")  # a file or a folder of files
+    return events.selectExpr("user_id AS edge_id", "CAST(ts AS TIMESTAMP) AS ts", "CAST(floor(value) AS BIGINT) % 4 AS level", "event_type <> 'error' AS painted", "event_id", "event_type")
+
+
+@query(
+    _EVENTS + """ SELECT date_trunc('hour', ts) AS hour, edge_id, round(avg(level), 6) AS mean_level, round(avg(painted::INT), 6) AS painted_share, count(*) AS n
+    FROM r WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM closed) GROUP BY 1, 2"""
+)
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling hours of the hours that the watermark has closed."""
+    out = C.finished(C.hourly_levels(_stream(spark, sf_dir)), scratch(spark))
+    return out.withColumns({"hour": F.col("hour").cast("timestamp_ntz"), **{c: rounded(c) for c in ("mean_level", "painted_share")}})
+
+
+@query(
+    _EVENTS + """, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY edge_id ORDER BY ts) < INTERVAL 25 MINUTE THEN 0 ELSE 1 END AS new FROM r),
+    numbered AS (SELECT *, sum(new) OVER (PARTITION BY edge_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+    SELECT min(ts) AS first, max(ts) + INTERVAL 25 MINUTE AS until, edge_id, count(*) AS captures FROM numbered GROUP BY edge_id, s HAVING max(ts) + INTERVAL 25 MINUTE <= (SELECT mark FROM closed)"""
+)
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows that the watermark has closed."""
+    out = C.finished(C.runs(_stream(spark, sf_dir)), scratch(spark))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "until")})
+
+
+@query("SELECT user_id AS edge_id, ts FROM events GROUP BY 1, 2")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of which each counts once, published through the exactly-once sink."""
+    folder = scratch(spark)
+    C.publish(_stream(spark, sf_dir).select("edge_id", "ts", "level", "painted"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("edge_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    """WITH marked AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY event_id) AS streak FROM marked WHERE event_type = 'error')
+    SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, CAST(streak AS INTEGER) AS streak FROM counted WHERE streak = 2"""
+)
+def stream_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources at their second refusal in a row, from kept state."""
+    log = _stream(spark, sf_dir).selectExpr("CAST(edge_id AS STRING) AS source", "event_id AS seq", "CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status")
+    return C.finished(C.blocked(log, 2), scratch(spark))

@@ -45,11 +45,12 @@ def blocked(log: DataFrame, limit: int = 25) -> DataFrame:
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
         hits = []
-        for frame in frames:
-            for seq, status in frame.sort_values("seq")[["seq", "status"]].itertuples(index=False):
-                streak = streak + 1 if status == 403 else 0
-                if streak == limit:
-                    hits.append((key[0], int(seq), streak))
+        # frames are pieces of one batch's rows, in no order
+        every = pd.concat([frame[["seq", "status"]] for frame in frames], ignore_index=True).sort_values("seq")
+        for seq, status in every.itertuples(index=False):
+            streak = streak + 1 if status == 403 else 0
+            if streak == limit:
+                hits.append((key[0], int(seq), streak))
         state.update((streak,))
         yield pd.DataFrame(hits, columns=["source", "seq", "streak"])
 
@@ -61,3 +62,10 @@ def publish(readings: DataFrame, path: str, checkpoint: str, available_now: bool
     day = once(readings).withColumn("day", F.to_date("ts"))
     writer = day.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def finished(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream yields over what is there now, read back from Parquet."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
