@@ -7,7 +7,6 @@ one's ``docs``. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +61,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; Parquet between stages, in the shared
-    checkpoint folder where the session names one."""
+    checkpoint folder where the session names one. A stage's folder goes when the
+    next one's is written; the last, which the result reads, stays."""
     base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := os.path.join(base, str(k)))
+            docs.write.parquet(path := f"{base}/{k}")
             docs = spark.read.parquet(path)
+            if k:
+                remove(spark, f"{base}/{k - 1}")
     return docs

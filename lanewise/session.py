@@ -6,8 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "lanewise", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """UTC clock and adaptive execution; all else is the cluster's own."""
+    """UTC clock, adaptive execution, checkpoints that go with what reads them; all
+    else is the cluster's own."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         b = b.master(master)
     if shuffle_partitions:
