@@ -49,11 +49,15 @@ def mean_neighbour_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAINTED = ", painted AS (SELECT t.edge_id, t.level AS rung FROM today t JOIN edges e USING (edge_id))"
+#: Searched to the end over junctions; a road is one hop beyond its nearer end.
 _REACH = """, lends AS (SELECT edge_id, u AS node FROM edges UNION SELECT edge_id, v FROM edges),
-ladj AS (SELECT DISTINCT a.edge_id, b.edge_id AS other FROM lends a JOIN lends b ON a.node = b.node AND a.edge_id <> b.edge_id),
-bfs(edge_id, rung, hops) AS (
-  SELECT edge_id, rung, 0 FROM painted UNION SELECT l.other, b.rung, b.hops + 1 FROM bfs b JOIN ladj l ON l.edge_id = b.edge_id WHERE b.hops < 8
-), reach AS (SELECT edge_id, rung, min(hops) AS hops FROM bfs GROUP BY 1, 2),
+lsteps AS (SELECT u AS node, v AS other FROM edges UNION SELECT v, u FROM edges),
+bfs(node, rung, far) USING KEY (node, rung) AS (
+  SELECT DISTINCT node, rung, 0 FROM painted JOIN lends USING (edge_id)
+  UNION SELECT x.node, x.rung, x.far FROM (SELECT l.other AS node, b.rung, min(b.far) + 1 AS far FROM bfs b JOIN lsteps l ON l.node = b.node GROUP BY 1, 2) x
+    LEFT JOIN recurring.bfs r ON r.node = x.node AND r.rung = x.rung WHERE r.far IS NULL OR x.far < r.far
+), reach AS (SELECT edge_id, rung, min(hops) AS hops FROM (
+  SELECT edge_id, rung, far + 1 AS hops FROM bfs JOIN lends USING (node) UNION ALL SELECT edge_id, rung, 0 FROM painted) GROUP BY 1, 2),
 claims AS (SELECT edge_id, rung, hops, greatest(rung - CASE WHEN hops <= 1 THEN 0 ELSE hops - 1 END, 0) AS level FROM reach)"""
 _SPREAD = """ SELECT e.edge_id, CASE coalesce(p.rung, c.level, 0) WHEN 0 THEN 25E0 WHEN 1 THEN 55E0 WHEN 2 THEN 85E0 ELSE 105E0 END AS weight,
   CASE WHEN p.rung IS NOT NULL THEN 0 WHEN c.hops IS NULL THEN 3 WHEN c.hops = 1 THEN 1 ELSE 2 END AS method, CAST(coalesce(c.hops, -1) AS INTEGER) AS hops
@@ -121,22 +125,36 @@ def busiest_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.busiest_node(A.edges(spark, sf_dir))
 
 
-@query(
-    """, walk(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.v, w.hops + 1 FROM walk w JOIN edges e ON e.u = w.node WHERE w.hops < 30)
-    SELECT node, CAST(min(hops) AS DOUBLE) AS cost FROM walk GROUP BY node""",
-    ("edges",),
-)
+def _cheapest(start: str, roads: str, limit: str = "") -> str:
+    """SQL of ``best(node, cost)``: improvements from ``start(node)`` over ``roads(u, v, c)`` until there are none."""
+    return f""", roads AS ({roads}), best(node, cost) USING KEY (node) AS (
+      SELECT DISTINCT CAST(node AS BIGINT), 0E0 FROM ({start})
+      UNION SELECT x.node, x.cost FROM (SELECT e.v AS node, min(b.cost + e.c) AS cost FROM best b JOIN roads e ON e.u = b.node GROUP BY e.v) x
+        LEFT JOIN recurring.best r ON r.node = x.node WHERE (r.cost IS NULL OR x.cost < r.cost) {limit})"""
+
+
+@query(_cheapest("SELECT 0 AS node", "SELECT u, v, 1E0 AS c FROM edges") + " SELECT node, cost FROM best", ("edges",))
 def dijkstra_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"), F.lit(1.0)).select("node", "cost")
 
 
-@query(None)
+@query(
+    _cheapest("SELECT 0 AS node", "SELECT u, v, free_flow_s AS c FROM edges")
+    + """ SELECT b.node, round(b.cost, 6) AS cost, x.via FROM best b LEFT JOIN (SELECT e.v AS node, arg_min(e.edge_id, b.cost + e.free_flow_s) AS via FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v) x ON x.node = b.node""",
+    ("edges",),
+)
 def dijkstra_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-flow seconds from junction 0 to all others, with the last edge."""
-    return G.distances(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"), F.col("free_flow_s"))
+    return G.distances(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"), F.col("free_flow_s")).withColumn("cost", rounded("cost"))
 
 
-@query(None)
+@query(
+    _cheapest(
+        "SELECT u AS node FROM edges WHERE class_rank <= 2 AND oneway UNION SELECT v FROM edges WHERE class_rank <= 2 AND oneway",
+        "SELECT u, v, greatest(length_m, 1) AS c FROM edges UNION ALL SELECT v, u, greatest(length_m, 1) FROM edges", "AND x.cost <= 1200",
+    ) + " SELECT node, round((rank() OVER (ORDER BY cost) - 1) / greatest((SELECT count(*) FROM best) - 1, 1), 3) AS reveal FROM best",
+    ("edges",),
+)
 def reveal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How early a map shows each junction: distance from the nearest main road."""
     e = A.edges(spark, sf_dir)

@@ -15,6 +15,7 @@ from ..operators.diversion import run_diversion
 from ..operators.search import Roads, routes
 from . import adapters as A
 from .columns import hav
+from .graph_queries import _cheapest
 from .registry import query, rounded
 
 _ZONES = f""", grid AS (
@@ -294,7 +295,13 @@ def zone_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.zone_weights(middles, mids).select("zone", rounded("weight").alias("weight"))
 
 
-@query(None)
+@query(
+    _cheapest(
+        "SELECT arg_max(node, n * 1000000 - node) AS node FROM (SELECT node, count(*) AS n FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY node)",
+        "SELECT u, v, free_flow_s * (1 + 3E0 / power(1.05E0, 4) * power(CASE coalesce(level, 0) WHEN 0 THEN 0.25E0 WHEN 1 THEN 0.55E0 WHEN 2 THEN 0.85E0 ELSE 1.05E0 END, 4)) AS c FROM edges LEFT JOIN today USING (edge_id)",
+    ) + " SELECT CAST(floor(cost / 60) AS BIGINT) AS minute, count(*) AS nodes FROM best GROUP BY 1",
+    ("edges", "today"),
+)
 def dijkstra_reach_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Junctions by minutes of travel from the busiest one, at today's levels."""
     e = A.edges(spark, sf_dir).join(A.today(spark, sf_dir), "edge_id", "left")

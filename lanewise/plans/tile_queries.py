@@ -89,7 +89,10 @@ def tile_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("tile", T.tile_verdict(F.concat(head, body, end), side, side, F.col("opaque")).alias("verdict"))
 
 
-@query(None)
+@query(
+    _PIXEL_CLASSES + " SELECT CAST(d2 // 500 * 500 AS BIGINT) AS d2, CAST(near AS INTEGER) AS near, count(*) AS n FROM best GROUP BY 1, 2",
+    ("pixels",),
+)
 def pixel_reference_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far pixels lie from the palette, in steps of 500."""
     return palette.matched(A.pixels(spark, sf_dir)).groupBy((F.floor(F.col("d2") / 500) * 500).alias("d2"), "near").agg(F.count("*").alias("n"))
