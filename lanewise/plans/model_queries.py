@@ -248,13 +248,46 @@ def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.withColumn("z", rounded("z"))
 
 
-@query(None)
+_FLAT = """WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings),
+x AS MATERIALIZED (SELECT id, label, unnest(f) AS v, generate_subscripts(f, 1) AS pos FROM p)"""
+
+
+def _lloyd(rounds: int) -> str:
+    """SQL of so many rounds, each a table of assignments and one of centres."""
+    nearest = """SELECT id, cluster, d2 FROM (SELECT p.id, c.cluster, list_sum(list_transform(list_zip(p.f, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2,
+      row_number() OVER (PARTITION BY p.id ORDER BY list_sum(list_transform(list_zip(p.f, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cluster) AS r FROM p, c{k} c) WHERE r = 1"""
+    out = _FLAT + ", c0 AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY label) - 1 AS cluster, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS m FROM x GROUP BY 1, 2) GROUP BY label)"
+    for k in range(rounds):
+        out += f""", a{k} AS MATERIALIZED ({nearest.format(k=k)}), c{k + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN
+          (SELECT cluster, list(m ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(v) AS m FROM a{k} JOIN x USING (id) GROUP BY 1, 2) GROUP BY cluster) n USING (cluster))"""
+    return f"{out} SELECT id, CAST(cluster AS INTEGER) AS cluster, round(d2, 6) AS d2 FROM ({nearest.format(k=rounds)})"
+
+
+@query(_lloyd(10))
 def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lloyd's rounds from the labels' means as centres."""
+    """Ten of Lloyd's rounds from the labels' means as centres."""
     p = _points(spark, sf_dir)
     means = p.select("label", F.posexplode("features").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
     starts = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).orderBy("label").collect()  # a row per label
-    return M.kmeans(p, [[x["m"] for x in r["c"]] for r in starts], rounds=10)[0]
+    return M.kmeans(p, [[x["m"] for x in r["c"]] for r in starts], rounds=10, tolerance=0.0)[0].withColumn("d2", rounded("d2"))
+
+
+def _descent(epochs: int) -> str:
+    """SQL of so many steps of full-batch descent, each a row of weights and bias."""
+    out = _FLAT + ", w0 AS MATERIALIZED (SELECT list_transform(any_value(f), lambda v: 0E0) AS w, 0E0 AS b FROM p)"
+    for k in range(epochs):
+        out += f""", e{k} AS MATERIALIZED (SELECT id, 1 / (1 + exp(-least(greatest(list_sum(list_transform(list_zip(f, w), lambda z: z[1] * z[2])) + b, -30), 30))) - label % 2 AS e FROM p, w{k}),
+          w{k + 1} AS MATERIALIZED (SELECT list_transform(list_zip(w, g), lambda z: z[1] - 0.5 * (z[2] + 0.001 * z[1])) AS w, b - 0.5 * (SELECT avg(e) FROM e{k}) AS b
+            FROM w{k}, (SELECT list(m ORDER BY pos) AS g FROM (SELECT pos, avg(e * v) AS m FROM e{k} JOIN x USING (id) GROUP BY pos)))"""
+    return f"{out} SELECT CAST(unnest(range(len(w) + 1)) AS INTEGER) AS pos, round(unnest(list_concat([b], w)), 6) AS weight FROM w{epochs}"
+
+
+@query(_descent(6))
+def logistic_descent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias (at 0) and weights of odd against even labels after six steps of descent."""
+    w, b, _ = M.logistic_descent(_points(spark, sf_dir).withColumn("label", F.col("label") % 2), rate=0.5, epochs=6)
+    rows = [(k, float(x)) for k, x in enumerate([b, *w])]
+    return spark.createDataFrame(rows, "pos int, weight double").withColumn("weight", rounded("weight"))
 
 
 @query(None)
