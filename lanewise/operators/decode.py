@@ -292,3 +292,16 @@ def audit_tiles(expected: DataFrame, tiles: DataFrame) -> DataFrame:
         "x", "y", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.round("opaque_frac", 6).alias("opaque_frac"),
         F.round("traffic_frac", 6).alias("traffic_frac"), F.coalesce("status", F.lit("missing")).alias("status"),
     )
+
+
+def cached_samples(edges: DataFrame, folder: str, step_m: float = 5.0, trim_m: float = 10.0) -> DataFrame:
+    """``sample_points``, written once per graph and setting: points depend on these
+    only and not on a capture. The table's name holds the graph's fingerprint."""
+    from .graph import graph_id
+
+    spark = edges.sparkSession
+    path = f"{folder}/samples-{graph_id(edges).first()['graph_id']}-{step_m:g}-{trim_m:g}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        sample_points(edges, step_m, trim_m).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

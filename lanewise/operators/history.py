@@ -152,6 +152,17 @@ def always_clear(readings: DataFrame, asked: DataFrame) -> DataFrame:
     return readings.join(F.broadcast(asked.select("ts")), "ts").select(F.col("ts").alias("asked"), "edge_id", F.lit(0).alias("level"))
 
 
+def forecasts(readings: DataFrame, edges: DataFrame, train: DataFrame, asked: DataFrame) -> dict[str, DataFrame]:
+    """Every forecaster's ``(asked, edge_id, level)`` for the asked captures."""
+    from .learning import logistic_forecast
+
+    rows = readings.join(F.broadcast(asked.select("ts")), "ts").select("ts", "edge_id", "level")
+    return {
+        "clear": always_clear(readings, asked), "same time": same_time_forecast(readings, train, asked), "knn": knn_forecast(readings, train, asked),
+        "logistic": logistic_forecast(readings, edges, train, rows).select(F.col("ts").alias("asked"), "edge_id", F.col("predicted").alias("level")),
+    }
+
+
 def score(readings: DataFrame, forecasts: dict[str, DataFrame]) -> DataFrame:
     """Hits and too-green shares per model, over all hours (``hour`` null) and by
     hour. Only roads painted in the tested capture count; no guess is level 0."""

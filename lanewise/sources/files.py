@@ -161,6 +161,31 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("file", kind.alias("difference")).where("difference IS NOT NULL")
 
 
+def may_go(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Files of the left folder that the right one holds byte for byte; only these
+    may be deleted after a move to an archive."""
+    return left.join(right.select("file", "sha256"), ["file", "sha256"], "left_semi")
+
+
+def copy_listed(spark: SparkSession, source: str, target: str, files: list[str]) -> DataFrame:
+    """Copy the listed files that exist, and check them: ``(file, copied, same)``.
+    A file is whole at its place or not there: it is written aside and renamed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = []
+    for name in files:
+        a, b = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}") for root in (source, target))
+        x, y = a.getFileSystem(conf), b.getFileSystem(conf)
+        if not x.exists(a):
+            rows.append((name, False, False))
+            continue
+        aside = b.suffix(".part")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(x, a, y, aside, False, True, conf)
+        y.delete(b, True)
+        y.rename(aside, b)
+        rows.append((name, True, y.getContentSummary(b).getLength() == x.getContentSummary(a).getLength()))
+    return spark.createDataFrame(rows, "file string, copied boolean, same boolean")
+
+
 def validate_config(config: dict) -> list[str]:
     """Every problem of a collector's configuration; none if it is fine."""
     rules: list[tuple[str, Callable[[object], bool]]] = [

@@ -197,3 +197,115 @@ def test_layers_results_and_frames_are_written(spark, tmp_path):
     changed = frames.withColumn("code", F.when(F.col("capture") == "c2", 4).otherwise(F.col("code")))
     assert [r.capture for r in B.publish(changed, f"{tmp_path}/frames").collect()] == ["c2"]
     assert sorted((r.capture, r.line, r.code) for r in spark.read.parquet(f"{tmp_path}/frames").collect()) == [("c1", 1, 0), ("c1", 2, 7), ("c2", 1, 4)]
+
+
+def test_simulation_requests():
+    from lanewise.operators import viewer as V
+
+    assert V.simulation_request({"task": "city", "trips": "300"}) == {"task": "city", "day": "tuesday", "time": "17:00", "trips": 300, "batches": 10, "vehicles": 10.0, "model": "knn"}
+    assert V.simulation_request({"task": "history"}) == {"task": "history"}
+    bad = [{"task": "x"}, {}, {"task": "forecast", "scenarios": 1}, {"task": "city", "time": "25:00"}, {"task": "city", "day": "today"}, {"task": "city", "trips": "many"}, {"task": "city", "vehicles": 0.5},
+           {"task": "diversion"}, {"task": "diversion", "capture": "dhaka-2026-09-17T0841Z", "minutes": 5}, {"task": "changes", "max_changes": 4}, {"task": "changes", "area": "elsewhere"}]
+    for body in bad:
+        with pytest.raises(ValueError):
+            V.simulation_request(body)
+    asked = {"task": "diversion", "capture": "dhaka-2026-09-17T0841Z"}
+    assert V.simulation_request(asked)["minutes"] == 90
+    with pytest.raises(ValueError, match="processed"):
+        V.simulation_request(asked, lambda name: False)
+
+
+def test_what_a_viewer_shows(spark):
+    from lanewise.operators import viewer as V
+
+    lines = spark.createDataFrame([(1, 2, 0), (2, 6, 5), (3, 8, 1), (4, 1, 7)], "line int, class_rank int, code int")
+    shown = lambda *a: sorted(r.line for r in V.visible(lines, *a).collect())
+    assert (shown(8), shown(6), shown(6, "observed"), shown(6, "predicted")) == ([1, 2, 3, 4], [1, 2, 4], [1], [2, 4])
+    nodes = spark.createDataFrame([(1, True), (2, False), (3, None)], "node int, cut boolean")
+    assert [r.node for r in V.junctions(nodes).orderBy("node").collect()] == [2, 3] and V.junctions(nodes, False).count() == 3
+
+    captures = spark.createDataFrame([(c, f"t{c}") for c in "abcd"], "name string, captured_utc string")
+    tables = spark.createDataFrame([("a", "a.csv", True), ("b", "b.csv", False)], "name string, path string, has_hops boolean")
+    got = {r.name: r.source for r in V.frame_sources(captures, tables, "tc").collect()}
+    assert got == {"a": "a.csv", "b": None, "c": "served", "d": None}
+    index = {r.name: (r.state, r.ready) for r in V.frames_index(captures, tables, spark.createDataFrame([("a", "v1"), ("b", "v1")], "name string, version string"), "v1").collect()}
+    assert index == {"a": ("processed", True), "b": ("stale", False), "c": ("waiting", False), "d": ("waiting", False)}
+
+    times = spark.createDataFrame([(c, i, c != "d") for i, c in enumerate("abcdef")], "name string, ts int, processed boolean")
+    ahead = lambda at, n: [r.name for r in V.frames_ahead(times, at, n).orderBy("step").collect()]
+    assert ahead("c", 3) == ["e", "f", "a"] and ahead("c", 60) == ["e", "f", "a", "b", "c"] and ahead("x", 3) == []
+
+    frame = spark.createDataFrame([(1, 0), (2, 6), (3, 5)], "line int, code int")
+    edges = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13)], "line int, edge_id int")
+    step = spark.createDataFrame([(10, 1), (11, 3), (12, 0)], "edge_id int, level int")
+    assert sorted(map(tuple, V.simulated_frame(frame, edges, step).collect())) == [(1, 3), (2, 4), (3, 5)]
+
+
+def test_zoom_progress_paths_and_room(tmp_path):
+    from lanewise.operators import viewer as V
+
+    assert V.zoomed(0.0, 1.0, 0.5) == (0.25, 0.75) and V.zoomed(0.4, 0.6, 100) == (0.0, 1.0)
+    a, b = V.zoomed(0.2, 0.6, 0.5, 0.25)
+    assert (a, b) == pytest.approx((0.25, 0.45)) and V.zoomed(0.0, 0.1, 2, 0.0)[0] == 0.0
+    assert V.zoomed(0.5, 0.5001, 0.5)[1] - V.zoomed(0.5, 0.5001, 0.5)[0] == pytest.approx(V.LEAST_WINDOW)
+    budget = {"fetch": 50.0, "decode": 30.0}
+    steps = [{"name": "fetch", "status": "completed"}, {"name": "decode", "status": "in_progress", "spent": 999.0}]
+    assert V.progress(steps, budget, 20.0) == pytest.approx(0.785) and V.progress(steps[:1] * 9, budget) == 0.99 and V.progress([], budget) == 0.0
+    assert V.safe_layer("output/layers/a.geojson") and V.safe_layer("capture:dhaka-1/a.geojson")
+    assert not any(V.safe_layer(k) for k in ("output/../a.geojson", "output/a.json", "other/a.geojson", "capture:../a.geojson", "output//a.geojson", "output/a\\..\\b.geojson", ""))
+    assert V.disk_check(str(tmp_path), 0.0)["ok"] and not V.disk_check(str(tmp_path), 1e9)["ok"]
+
+
+def test_a_settled_build_waits_and_retries():
+    from lanewise.operators.viewer import Settled
+
+    now, state, built = [0.0], [None], []
+
+    def build():
+        if state[0] == "bad":
+            raise ValueError("broken")
+        built.append(state[0])
+        return state[0]
+
+    s = Settled(lambda: state[0], build, clock=lambda: now[0])
+
+    def at(t, x):
+        now[0], state[0] = t, x
+        return s.get()
+
+    assert at(0, None) is None and s.info()["error"] == "inputs are missing"
+    assert at(1, "one") == "one" and built == ["one"]
+    assert at(2, "two") == "one" and s.info()["stale"]
+    assert at(3, "three") == "one" and at(4, "three") == "one" and at(4.6, "three") == "three" and built == ["one", "three"]
+    assert at(5, "bad") == "three" and at(7, "bad") == "three" and "broken" in s.info()["error"]
+    assert at(8, "bad") == "three" and at(8.1, None) == "three" and at(20, "three") == "three" and s.info() == {"ready": True, "stale": False, "error": ""}
+
+
+def test_styles_and_cached_samples(spark, tmp_path):
+    from lanewise.operators import decode as X
+    from lanewise.operators import viewer as V
+
+    point = "array<struct<lon:double,lat:double>>"
+    edges = spark.createDataFrame([(1, 0, 1, 85.0, 4, True, [(90.4, 23.8), (90.401, 23.8)])], f"edge_id bigint, u bigint, v bigint, length_m double, class_rank int, oneway boolean, geometry {point}")
+    assert V.link_style(edges).first()[1:] == (0.5, 1.0, 0.5)
+    assert V.junction_style(spark.createDataFrame([(1, 20, 2)], "node int, degree int, best_class int")).first()[1:] == (1.0, 0.25)
+    first = X.cached_samples(edges, str(tmp_path)).orderBy("n").collect()
+    assert first == X.sample_points(edges).orderBy("n").collect() == X.cached_samples(edges, str(tmp_path)).orderBy("n").collect()
+    X.cached_samples(edges, str(tmp_path), step_m=9.0)
+    X.cached_samples(edges.withColumn("length_m", F.lit(1.0)), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_files_are_copied_and_checked(spark, tmp_path):
+    from lanewise.sources import files as S
+
+    (tmp_path / "from/sub").mkdir(parents=True)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "from/a.json").write_text("one")
+    (tmp_path / "from/sub/b.json").write_text("two")
+    got = {r.file: (r.copied, r.same) for r in S.copy_listed(spark, f"{tmp_path}/from", f"{tmp_path}/to", ["a.json", "sub/b.json", "c.json"]).collect()}
+    assert got == {"a.json": (True, True), "sub/b.json": (True, True), "c.json": (False, False)}
+    (tmp_path / "to/sub/.b.json.crc").unlink()
+    (tmp_path / "to/sub/b.json").write_text("2.0")
+    left, right = S.fingerprints(spark, f"{tmp_path}/from"), S.fingerprints(spark, f"{tmp_path}/to")
+    assert [r.file for r in S.may_go(left.where("file NOT LIKE '%.crc'"), right).collect()] == ["a.json"]
