@@ -60,8 +60,25 @@ def run_city(nodes: DataFrame, edges: DataFrame, levels: DataFrame, trips: DataF
     return spark.createDataFrame(rows, MEASURES), spark.createDataFrame(frames, "batch int, edge_id bigint, level int")
 
 
-def score_layouts(layouts: DataFrame, options: DataFrame, roads: Roads, trips: list[tuple[int, int, float]], batches: int = 4) -> DataFrame:
-    """Every layout's vehicle-hours after a batched assignment of ``trips``.
+def reached(roads: Roads, hub: int, shut: np.ndarray, forward: bool = True) -> np.ndarray:
+    """Which nodes a hub reaches over roads that aren't ``shut``, or which reach it."""
+    a, b = (roads.tail, roads.head) if forward else (roads.head, roads.tail)
+    a, b = a[~shut], b[~shut]
+    seen = np.zeros(len(roads.node_id), dtype=bool)
+    seen[roads.place[hub]] = True
+    while True:
+        new = b[seen[a] & ~seen[b]]
+        if not len(new):
+            return seen
+        seen[new] = True
+
+
+def score_layouts(
+    layouts: DataFrame, options: DataFrame, roads: Roads, trips: list[tuple[int, int, float]], batches: int = 4, hub: int | None = None
+) -> DataFrame:
+    """Every layout's vehicle-hours after a batched assignment of ``trips``, its
+    trips without a way, and the nodes it traps: those that the ``hub`` reaches
+    and that reach it today, but not under the layout (none without a hub).
 
     ``layouts`` has one string column per option key; ``options(key, edge_id,
     role)`` as in ``planning.layout_edges``. Layouts are independent, so each is
@@ -73,10 +90,12 @@ def score_layouts(layouts: DataFrame, options: DataFrame, roads: Roads, trips: l
     for r in options.collect():
         if r["edge_id"] in place:
             roles.setdefault(r["key"], []).append((place[r["edge_id"]], r["role"]))
-    sent = spark.sparkContext.broadcast((roads, roles, trips))
+    none = np.zeros(len(roads.edge_id), dtype=bool)
+    core = reached(roads, hub, none) & reached(roads, hub, none, False) if hub is not None else np.zeros(len(roads.node_id), dtype=bool)
+    sent = spark.sparkContext.broadcast((roads, roles, trips, core))
 
-    def score(layout: dict[str, str]) -> tuple[float, int]:
-        graph, parts, journeys = sent.value
+    def score(layout: dict[str, str]) -> tuple[float, int, int]:
+        graph, parts, journeys, inner = sent.value
         capacity, blocked = graph.capacity.copy(), np.zeros(len(graph.edge_id), dtype=bool)
         for key, value in layout.items():
             for k, role in parts.get(key, ()):
@@ -104,14 +123,38 @@ def score_layouts(layouts: DataFrame, options: DataFrame, roads: Roads, trips: l
                     add[way] += v
             volume += add
         used = volume > 0
-        return float((volume[used] * now()[used]).sum() / 3600), lost
+        trapped = int((inner & ~(reached(graph, hub, blocked) & reached(graph, hub, blocked, False))).sum()) if hub is not None and blocked.any() else 0
+        return float((volume[used] * now()[used]).sum() / 3600), lost, trapped
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             rows = [score(dict(zip(keys, r.values()))) for r in batch.to_pylist()]
             names = [",".join(f"{k}={v}" for k, v in r.items()) for r in batch.to_pylist()]
-            h, n = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(h, pa.float64()), pa.array(n, pa.int64())], ["layout", "vehicle_hours", "unreachable"])
+            h, n, t = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(h, pa.float64()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["layout", "vehicle_hours", "unreachable", "trapped"]
+            )
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return layouts.repartition(tasks).mapInArrow(run, "layout string, vehicle_hours double, unreachable long")
+    return layouts.repartition(tasks).mapInArrow(run, "layout string, vehicle_hours double, unreachable long, trapped long")
+
+
+def plan(
+    layouts: DataFrame, options: DataFrame, roads: Roads, trips: list[tuple[int, int, float]], today: dict[str, str], hub: int | None = None, top: int = 10
+) -> tuple[DataFrame, dict[str, float]]:
+    """The best changes and what they are measured by.
+
+    ``layouts`` satisfy the rules that need no search; those that lose a trip or
+    trap a junction are left out, and so is today's. The second result has today's
+    vehicle-hours, how many layouts were scored and how many are better."""
+    from ..materialise import cut
+    from .planning import ranked
+
+    scores = cut(score_layouts(layouts, options, roads, trips, hub=hub))
+    now = ",".join(f"{k}={today[k]}" for k in layouts.columns)
+    kept = scores.where((F.col("unreachable") == 0) & (F.col("trapped") == 0))
+    base = scores.where(F.col("layout") == now).first()
+    hours = base["vehicle_hours"] if base else float("nan")
+    others = kept.where(F.col("layout") != now)
+    facts = {"baseline_hours": hours, "layouts_scored": others.count(), "layouts_better": others.where(F.col("vehicle_hours") < hours).count(), "vehicles": float(sum(v for _, _, v in trips))}
+    return ranked(others, hours or 1.0, top), facts

@@ -268,6 +268,26 @@ def distances(edges: DataFrame, start: DataFrame, cost: Column, limit: float | N
         log = [cut(best), front] if len(log) >= LOG else [*log, front]
 
 
+def ways(best: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """The cheapest way to each of ``ends(node)`` by the last edges that
+    ``distances`` found: ``(node, pos, edge_id)``, from the start. A round goes one
+    edge back for all ends together; ends that aren't reached have no rows."""
+    step = cut(best.where("via IS NOT NULL").select(F.col("node").alias("at"), F.col("via").alias("edge_id")).join(edges.select("edge_id", "u"), "edge_id"))
+    front = cut(ends.select("node", F.col("node").alias("at")).distinct())
+    log, back = [], 0
+    while True:
+        found = cut(front.join(step, "at").select("node", F.lit(back).alias("back"), "edge_id", "u"))
+        if found.isEmpty():
+            break
+        log.append(found)
+        front, back = found.select("node", F.col("u").alias("at")), back + 1
+    if not log:
+        return ends.sparkSession.createDataFrame([], "node bigint, pos int, edge_id bigint")
+    every = reduce(DataFrame.unionByName, log)
+    last = every.groupBy("node").agg(F.max("back").alias("last"))
+    return every.join(last, "node").select("node", (F.col("last") - F.col("back")).alias("pos"), "edge_id")
+
+
 # Areas and selections
 
 

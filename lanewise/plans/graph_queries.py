@@ -148,6 +148,20 @@ def dijkstra_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"), F.col("free_flow_s")).withColumn("cost", rounded("cost"))
 
 
+@query(
+    _cheapest("SELECT 0 AS node", "SELECT u, v, free_flow_s AS c FROM edges")
+    + """, last AS (SELECT e.v AS node, arg_min(e.edge_id, b.cost + e.free_flow_s) AS via, arg_min(e.u, b.cost + e.free_flow_s) AS u FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v),
+    back(node, here, edge_id, n) AS (SELECT l.node, l.u, l.via, 0 FROM last l WHERE l.node % 50 = 0 UNION ALL SELECT b.node, l.u, l.via, b.n + 1 FROM back b JOIN last l ON l.node = b.here)
+    SELECT node, CAST(max(n) OVER (PARTITION BY node) - n AS INTEGER) AS pos, edge_id FROM back""",
+    ("edges",),
+)
+def dijkstra_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest ways from junction 0 to every fiftieth one, edge by edge."""
+    e = A.edges(spark, sf_dir)
+    best = G.distances(e, spark.range(1).withColumnRenamed("id", "node"), F.col("free_flow_s"))
+    return G.ways(best, e, best.where("node % 50 = 0").select("node"))
+
+
 @query(
     _cheapest(
         "SELECT u AS node FROM edges WHERE class_rank <= 2 AND oneway UNION SELECT v FROM edges WHERE class_rank <= 2 AND oneway",

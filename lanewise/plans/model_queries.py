@@ -290,6 +290,15 @@ def logistic_descent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, weight double").withColumn("weight", rounded("weight"))
 
 
+@query(None)
+def forecast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four forecasters on the later captures, over all hours and by hour."""
+    r = A.readings(spark, sf_dir)
+    caps = H.with_split(H.captures_of(r))
+    train, asked = caps.where("part = 'train'"), caps.where("part = 'test'")
+    return H.score(r, H.forecasts(r, A.edges(spark, sf_dir), train, asked))
+
+
 @query(None)
 def kmeans_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.kmeans_mllib(_points(spark, sf_dir), 10)
@@ -357,7 +366,7 @@ def layout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every layout of the busiest side streets with at most two changes, scored
     by a batched assignment and ranked."""
     from ..operators import lines as L
-    from ..operators.city import score_layouts
+    from ..operators.city import plan
 
     e = A.edges(spark, sf_dir)
     roads = _roads(spark, sf_dir)
@@ -368,5 +377,5 @@ def layout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     today = {k: "twoway" for k in names}
     layouts = P.Problem({k: ("twoway", "forward", "backward") for k in names}, P.budget_prefixes(today, 2)).solve(spark)
     trips = [(r["origin"], r["destination"], 40.0) for r in _trips(spark, sf_dir).orderBy("trip").collect()]
-    scores = score_layouts(layouts, options, roads, trips)
-    return P.ranked(scores, scores.agg(F.max("vehicle_hours")).first()[0] or 1.0, top=1000)
+    hub = G.busiest_node(e).first()["node"]
+    return plan(layouts, options, roads, trips, today, hub, top=1000)[0]

@@ -31,6 +31,23 @@ def test_layout_scores(spark):
     assert got["s=backward,g=closed"].unreachable == 30 and got["s=backward,g=open"].unreachable == 0
 
 
+def test_plans_leave_out_what_traps_or_loses(spark):
+    nodes, edges = two_ways(spark)
+    rows = [(3, 1, 0, 1000.0, 72.0, 100.0, "primary"), (4, 0, 5, 300.0, 20.0, 500.0, "residential"), (5, 5, 0, 300.0, 20.0, 500.0, "residential")]
+    nodes = nodes.unionByName(spark.createDataFrame([(5, 90.399, 23.75)], "node_id bigint, lon double, lat double"))
+    edges = edges.unionByName(spark.createDataFrame(rows, EDGE))
+    roads = Roads.collect(nodes, edges)
+    options = spark.createDataFrame([("s", 0, "forward"), ("s", 3, "backward"), ("t", 4, "forward"), ("t", 5, "backward")], "key string, edge_id bigint, role string")
+    layouts = spark.createDataFrame([(s, t) for s in ("twoway", "forward", "backward") for t in ("twoway", "forward")], "s string, t string")
+    best, facts = C.plan(layouts, options, roads, [(0, 1, 10.0)] * 30, {"s": "twoway", "t": "twoway"}, hub=0)
+    # a one-way dead end traps its junction; forward on s leaves no way back to the hub
+    scored = {r.layout: r for r in C.score_layouts(layouts, options, roads, [(0, 1, 10.0)] * 30, hub=0).collect()}
+    assert scored["s=twoway,t=forward"].trapped == 1 and scored["s=twoway,t=twoway"].trapped == 0 and scored["s=forward,t=twoway"].trapped > 0
+    left = [k for k, r in scored.items() if r.trapped == 0 and r.unreachable == 0 and k != "s=twoway,t=twoway"]
+    assert sorted(r.layout for r in best.collect()) == sorted(left) and facts["layouts_scored"] == len(left)
+    assert facts["baseline_hours"] == scored["s=twoway,t=twoway"].vehicle_hours and facts["vehicles"] == 300.0
+
+
 def tile(alpha=0):
     image = np.zeros((256, 256, 4), np.uint8)
     image[..., 3] = alpha
