@@ -65,6 +65,15 @@ class Seen(defaultdict):
         known.update(dict.fromkeys(way, end))
         return end
 
+    def next_zero(self, d: bytes, at: int) -> int:
+        """The first zero byte from ``at`` on, or -1. Places are asked for in
+        order, so the last answer often holds."""
+        low, high = self["zero"].get("last", (0, 0))
+        if not (low <= at and (high < 0 or at <= high)) or not self["zero"]:
+            high = d.find(b"\0", at)
+            self["zero"]["last"] = at, high
+        return high
+
     def places(self, d: bytes, what: bytes) -> list[int]:
         """All places of ``what``, in order."""
         if what not in self["places"]:
@@ -209,17 +218,40 @@ def _zip(d: bytes, at: int, seen: Seen) -> int | None:
 
 
 def _gzip(d: bytes, at: int, seen: Seen) -> int | None:
-    unpack, i = zlib.decompressobj(31), at
+    if at + 18 > len(d) or d[at + 3] & 0xE0:
+        return None
+    flags, i = d[at + 3], at + 10
+    if flags & 4:
+        i += 2 + struct.unpack_from("<H", d, i)[0]
+    for field in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & field:
+            if (i := seen.next_zero(d, i)) < 0:
+                return None
+            i += 1
+    i += flags & 2
+    if i not in seen["inflated"]:
+        seen["inflated"][i] = _inflate(d, i)
+    found = seen["inflated"][i]
+    if found is None or found[0] + 8 > len(d) or struct.unpack_from("<II", d, found[0]) != found[1:]:
+        return None
+    return found[0] + 8 - at
+
+
+def _inflate(d: bytes, at: int) -> tuple[int, int, int] | None:
+    """End of the compressed data, and CRC-32 and length of what it holds."""
+    unpack, i, crc, size, piece = zlib.decompressobj(-15), at, 0, 0, b""
     try:
-        while i < len(d) and not unpack.eof:
-            piece = d[i : i + 65536]
-            i += len(piece)
-            unpack.decompress(piece, 1 << 20)
-            while unpack.unconsumed_tail:
-                unpack.decompress(unpack.unconsumed_tail, 1 << 20)
+        while not unpack.eof:
+            if not piece:
+                piece = d[i : i + 65536]
+                i += len(piece)
+            out = unpack.decompress(piece, 1 << 20)
+            if not out and not unpack.eof and i >= len(d) and not unpack.unconsumed_tail:
+                return None
+            crc, size, piece = zlib.crc32(out, crc), size + len(out), unpack.unconsumed_tail
     except zlib.error:
         return None
-    return i - len(unpack.unused_data) - at if unpack.eof else None
+    return i - len(unpack.unused_data), crc, size & 0xFFFFFFFF
 
 
 VALIDATORS: dict[str, Callable[[bytes, int, Seen], int | None]] = {
@@ -331,10 +363,12 @@ def wave_features(samples: bytes) -> str:
 
 
 def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Every whole text stored as a wave, sniffed, read back and described.
+    """Every whole text stored as a wave, sniffed, read back and described; and the
+    media that the text itself holds (a PDF pasted as it is, say).
 
     One row per row of ``docs``: ``(id, n_bytes, payload_sha256, payload_bytes,
-    tail_crc32, media_type, media, feature)`` with the stored bytes in
+    tail_crc32, media_type, media, feature, carved)`` with the media in the text as
+    ``type:start:length``, comma-joined, in ``carved`` and the stored bytes in
     ``media`` (null unless ``with_media``: they needn't leave the worker then). The
     payload is the UTF-8 text (null: empty) filled with zero bytes to a positive
     multiple of 64. Equal texts give equal values.
@@ -353,12 +387,14 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out.append((
                     len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), "audio/wav",
                     len(stored), hashlib.sha256(stored).hexdigest(), stored if with_media else None, wave_features(back),
+                    ",".join(f"{kind}:{at}:{size}" for kind, at, size in media_in(text, signatures)),
                 ))
-            n, p, s, c, t, m, h, b, f = zip(*out) if out else ((),) * 9
+            n, p, s, c, t, m, h, b, f, w = zip(*out) if out else ((),) * 10
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(s, pa.string()), pa.array(c, pa.int64()),
                     pa.array(t, pa.string()), pa.array(m, pa.int64()), pa.array(h, pa.string()), pa.array(b, pa.binary()), pa.array(f, pa.string()),
+                    pa.array(w, pa.string()),
                 ],
                 COLUMNS,
             )
@@ -369,8 +405,8 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(
         picked, make,
         f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_type string, "
-        "media_bytes bigint, media_sha256 string, media binary, feature string",
+        "media_bytes bigint, media_sha256 string, media binary, feature string, carved string",
     )
 
 
-COLUMNS = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_type", "media_bytes", "media_sha256", "media", "feature"]
+COLUMNS = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_type", "media_bytes", "media_sha256", "media", "feature", "carved"]

@@ -6,7 +6,7 @@ words of all documents by weight; a target stops at ``most_repeats`` times the
 size of its source and the excess is shared again by weight.
 
 Within a source the documents form one stream of words, in the order of a hash
-of their id. The stream is repeated until the target is met. The place of a
+of their id and text. The stream is repeated until the target is met. The place of a
 document copy in that stream is a cumulative demand; inverting the integral of
 the schedule gives the time at which the source asks for it, and so its training
 position. ``curriculum`` range-sorts the copies by position.
@@ -35,8 +35,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _order_hash(id_col: str) -> Column:
-    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+def _order_hash(id_col: str, text_col: str) -> Column:
+    """Of id and text, so that rows without an id, or with one id, are spread too."""
+    none = F.lit("")
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), none)
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), none), F.lit(" "), text).cast("binary"))
 
 
 def default_schedule(rank: Column) -> Column:
@@ -114,7 +117,7 @@ def mix_sources(
         F.col(source_col).alias("source"),
         # never null, so that windows and joins share one partitioning
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("skey"),
-        _order_hash(id_col).alias("h"),
+        _order_hash(id_col, text_col).alias("h"),
         F.xxhash64(F.col(text_col)).alias("tie"),
         *(keep or []),
     )

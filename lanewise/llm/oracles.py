@@ -60,7 +60,7 @@ LEFT JOIN hit ON p.url = hit.url
 _OP8 = r"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(md5(text), '')) AS h
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM sized GROUP BY source

@@ -54,7 +54,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = text_as_media(table(spark, sf_dir, "documents"), with_media=False)
     return stored.select(
-        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "carved"
     )
 
 

@@ -118,6 +118,23 @@ def test_long_chains_of_signatures_take_linear_time(name):
     assert took[1] < 40 * took[0] + 0.5
 
 
+def test_gzip_headers_with_fields():
+    import gzip
+    import io
+
+    signatures = M.automaton()
+    out = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=out, mtime=0) as f:
+        f.write(b"some text " * 200_000)
+    value = out.getvalue()
+    assert M.media_in(value, signatures) == [("application/gzip", 0, len(value))]
+    body = gzip_bytes()[10:]
+    every = b"\x1f\x8b\x08\x1f\0\0\0\0\0\xff" + b"\x03\0abc" + b"name\0" + b"comment\0" + b"\x12\x34" + body
+    assert M.media_in(b"x" + every + b"y", signatures) == [("application/gzip", 1, len(every))]
+    broken = every[:-5] + bytes([every[-5] ^ 1]) + every[-4:]
+    assert M.media_in(broken, signatures) == [] and M.media_in(every[:-1], signatures) == []
+
+
 def test_a_chain_that_ends_is_found_from_each_of_its_pages():
     signatures = M.automaton()
     last = OGG[:5] + b"\4" + OGG[6:]
@@ -131,3 +148,10 @@ def test_stored_bytes_stay_with_the_worker_unless_asked_for(docs):
     assert all(r.media is None for r in without.collect())
     key = lambda r: (r.id is None, r.id, r.media_sha256)
     assert sorted(map(key, with_.collect())) == sorted(map(key, without.collect()))
+
+
+def test_media_inside_a_text_are_carved(spark):
+    rows = [(1, "see " + PDF.decode() + " and " + PDF.decode()), (2, PDF.decode()), (3, "%PDF- but no more"), (4, None), (5, "ü" + PDF.decode())]
+    got = {r.id: r.carved for r in M.text_as_media(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    one, kind = len(PDF), "application/pdf"
+    assert got == {1: f"{kind}:4:{one},{kind}:{4 + one + 5}:{one}", 2: f"{kind}:0:{one}", 3: "", 4: "", 5: f"{kind}:2:{one}"}
