@@ -93,3 +93,21 @@ def test_sharding_of_a_table_without_files(spark, docs):
     import corpus_pipeline as P
 
     assert P.sharding(spark, docs, "").count() == docs.count()
+
+
+class Session:
+    """As much of a session as the choice of a folder reads."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lanewise.llm.common import shared_folder
+
+    assert shared_folder(Session("spark://x:7077", "hdfs://x/shared")) == "hdfs://x/shared"
+    assert shared_folder(Session("local[4]")) and shared_folder(Session("local"))
+    for master in ("spark://x:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(Session(master))
