@@ -309,3 +309,15 @@ def test_files_are_copied_and_checked(spark, tmp_path):
     (tmp_path / "to/sub/b.json").write_text("2.0")
     left, right = S.fingerprints(spark, f"{tmp_path}/from"), S.fingerprints(spark, f"{tmp_path}/to")
     assert [r.file for r in S.may_go(left.where("file NOT LIKE '%.crc'"), right).collect()] == ["a.json"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lanewise.materialise import shared_folder
+
+    def session(master, **conf):
+        return type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": master})})
+
+    assert shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs://x/shared/"})) == "hdfs://x/shared"
+    assert shared_folder(session("local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("local-cluster[3,2,1024]"))
