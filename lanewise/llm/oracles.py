@@ -127,8 +127,47 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered c ON d.r = c.r LEFT JOIN named m ON d.r = m.r
 """
 
+#: Every kept term of a language against every pair of its sources, counts of 0 and all.
+_OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT e.lang, e.source, e.term, e.n, 1 + (1000000000::HUGEINT * (e.n + 1)) // (sum(e.n) OVER (PARTITION BY e.lang, e.source) + s.v) AS p,
+         1 + (1000000000::HUGEINT * (e.lang_n + 1)) // (s.n + s.v) AS q
+  FROM dense e JOIN sizes s ON e.lang = s.lang
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+) WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": _OP4,
     "op8_curriculum_mix": _OP8,
     "op9_decontamination": _OP9,
+    "op11_source_divergence": _OP11,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_tokens, encode_documents
 from .common import table
 from .decontaminate import find_contamination
+from .divergence import audit_sources
 from .licenses import scan_licenses
 from .media import text_as_media
 from .mixing import curriculum_documents
@@ -16,6 +18,7 @@ from .sharding import assign_shards
 from .simhash import simhash_components
 from .urls import filter_urls
 from .warc import derivatives, responses_from_pages
+from .whitening import whiten
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +105,28 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"))
+    # the decoder passes its rows on with the tokens they came from
+    decoded = decode_tokens(encoded, keep=True)
+    return decoded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(table(spark, sf_dir, "embeddings"))
+    return white.select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error"
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -113,6 +138,9 @@ QUERIES = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_decontamination": op9_decontamination,
     "op10_nbsvm_quality": op10_nbsvm_quality,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_tiled_whitening": op13_tiled_whitening,
 }
 
 from .oracles import ORACLE_SQL  # noqa: E402,F401
