@@ -29,8 +29,8 @@ TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 WIDTH, DEPTH = 1 << 22, 3
 #: Cells that travel together.
 BLOCK = 1 << 16
-#: Distinct terms that a task holds before it hands them on.
-HELD = 300_000
+#: Distinct terms that a task holds before it hands them on: some 130 MB.
+HELD = 800_000
 #: Partial sums of a block that are merged apart before they are put together.
 SALTS = 32
 #: The scale of the shares, in two steps so that products stay in 64 bits.
@@ -177,7 +177,8 @@ def term_counts(docs: DataFrame, least_docs: int, width: int = WIDTH, depth: int
         yield from hand_on()
 
     parts = map_rows(docs.select("lang", "source", "text"), count, "lang string, source string, term string, n bigint, docs bigint")
-    summed = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed what they hold, so rows are dealt before they are summed again
+    summed = parts.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # a term has as many rows here as its language has sources
     of = Window.partitionBy("lang", "term")
     return (
