@@ -28,3 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of an iterative search, written to one folder and read back.
+
+    Unlike a checkpoint, which keeps the size that was estimated for its plan, a table
+    has the size that it has. Estimates multiply with each join, so after some rounds
+    of joins they have more digits than can be reckoned with, and nothing that is
+    small is seen to be. ``close`` keeps the result and removes the folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, scratch(spark), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(path := f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        out = cut(result)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return out

@@ -138,13 +138,9 @@ def chain_edges(edges: DataFrame, most_m: float = 150.0) -> DataFrame:
     )
 
 
-def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: int = 256, offset_px: float = 4.0, window: int = 1) -> DataFrame:
-    """``(edge_id, n, cls)``: the class seen by each sample, 0 where none.
-
-    A sample looks ``offset_px`` to the left of its direction, at a square of
-    ``2 * window + 1`` pixels clamped to its tile; the most frequent class of 1 to
-    4 wins, a tie goes to the milder. Samples are packed by tile and joined, so
-    each tile is decoded once; missing and damaged tiles show nothing."""
+def place_samples(samples: DataFrame, zoom: int, tile_px: int = 256, offset_px: float = 4.0) -> DataFrame:
+    """The pixel that each sample looks at, ``offset_px`` to the left of its
+    direction: ``(edge_id, n, tx, ty, i, j)``, the tile and the place in it."""
     from ..functions import geo
 
     px = geo.lonlat_to_pixel(F.col("lon"), F.col("lat"), zoom, tile_px)
@@ -153,9 +149,36 @@ def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: i
     norm = F.when(length > 0, length).otherwise(1.0)
     # left of travel: screen y grows southward
     x, y = px["px"] - dy / norm * offset_px, px["py"] - dx / norm * offset_px
-    placed = samples.select("edge_id", "n", x.alias("x"), y.alias("y")).select(
+    return samples.select("edge_id", "n", x.alias("x"), y.alias("y")).select(
         "edge_id", "n", F.floor(F.col("x") / tile_px).cast("int").alias("tx"), F.floor(F.col("y") / tile_px).cast("int").alias("ty"), "x", "y"
     ).select("edge_id", "n", "tx", "ty", (F.col("x") - F.col("tx") * tile_px).cast("int").alias("i"), (F.col("y") - F.col("ty") * tile_px).cast("int").alias("j"))
+
+
+def seen_classes(image: np.ndarray | None, i: np.ndarray, j: np.ndarray, window: int = 1) -> np.ndarray:
+    """The class at each place of a tile: the most frequent of 1 to 4 in a square of
+    ``2 * window + 1`` pixels clamped to the tile, a tie going to the milder; 0 where
+    there is none or no tile."""
+    cls = np.zeros(len(i), dtype=np.int32)
+    if image is None:
+        return cls
+    h, w = image.shape[:2]
+    votes = np.zeros((len(i), 5), dtype=np.int32)
+    for a in range(-window, window + 1):
+        for b in range(-window, window + 1):
+            c = classify_array(image[np.clip(j + b, 0, h - 1), np.clip(i + a, 0, w - 1)])
+            votes[np.arange(len(i)), c] += 1
+    best = votes[:, 1:].argmax(axis=1) + 1
+    return np.where(votes[:, 1:].sum(axis=1) > 0, best, 0).astype(np.int32)
+
+
+def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: int = 256, offset_px: float = 4.0, window: int = 1) -> DataFrame:
+    """``(edge_id, n, cls)``: the class seen by each sample, 0 where none.
+
+    A sample looks ``offset_px`` to the left of its direction, at a square of
+    ``2 * window + 1`` pixels clamped to its tile; the most frequent class of 1 to
+    4 wins, a tie goes to the milder. Samples are packed by tile and joined, so
+    each tile is decoded once; missing and damaged tiles show nothing."""
+    placed = place_samples(samples, zoom, tile_px, offset_px)
     packed = placed.groupBy("tx", "ty").agg(F.collect_list(F.struct("edge_id", "n", "i", "j")).alias("s"))  # bounded by a tile's roads
     joined = packed.join(tiles.select(F.col("x").cast("int").alias("tx"), F.col("y").cast("int").alias("ty"), "content"), ["tx", "ty"], "left").select("s", "content")
 
@@ -164,17 +187,7 @@ def classify_samples(samples: DataFrame, tiles: DataFrame, zoom: int, tile_px: i
             for s, content in zip(batch.column(0), batch.column(1).to_pylist()):
                 rows = s.values
                 edge, n, i, j = (rows.field(k).to_numpy() for k in range(4))
-                image = png.decode(content)
-                cls = np.zeros(len(edge), dtype=np.int32)
-                if image is not None:
-                    h, w = image.shape[:2]
-                    votes = np.zeros((len(edge), 5), dtype=np.int32)
-                    for a in range(-window, window + 1):
-                        for b in range(-window, window + 1):
-                            c = classify_array(image[np.clip(j + b, 0, h - 1), np.clip(i + a, 0, w - 1)])
-                            votes[np.arange(len(edge)), c] += 1
-                    best = votes[:, 1:].argmax(axis=1) + 1
-                    cls = np.where(votes[:, 1:].sum(axis=1) > 0, best, 0).astype(np.int32)
+                cls = seen_classes(png.decode(content), i, j, window)
                 yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(n), pa.array(cls)], ["edge_id", "n", "cls"])
 
     return joined.mapInArrow(run, "edge_id bigint, n bigint, cls int")
@@ -187,14 +200,19 @@ def edge_votes(seen: DataFrame, least_coverage: float = 0.25) -> DataFrame:
     c = F.col("cls")
     n, some = F.count("*"), F.count_if(c > 0)
     counts = [F.count_if(c == k).alias(f"c{k}") for k in (1, 2, 3, 4)]
-    per = seen.groupBy("edge_id").agg(n.cast("int").alias("n_samples"), some.alias("some"), *counts)
+    return weights_of_votes(seen.groupBy("edge_id").agg(n.cast("int").alias("n_samples"), some.alias("some"), *counts), least_coverage)
+
+
+def weights_of_votes(per: DataFrame, least_coverage: float = 0.25, *keys: str) -> DataFrame:
+    """The weight table of ``per(edge_id, n_samples, some, c1, c2, c3, c4)``, further
+    ``keys`` (a capture, say) first."""
     share = lambda k: F.round(F.col(f"c{k}") / F.col("n_samples"), 4)
     top = F.greatest(*[F.struct(F.col(f"c{k}").alias("n"), F.lit(k).alias("k")) for k in (1, 2, 3, 4)])["k"]
     seen_enough = F.col("coverage") >= least_coverage
     out = per.withColumn("coverage", F.round(F.col("some") / F.col("n_samples"), 4)).withColumn("cls", F.when(seen_enough & (F.col("some") > 0), top).otherwise(0))
     weight = F.when(F.col("cls") > 0, F.element_at(F.array(*[F.lit(x) for x in traffic.LADDER]), F.greatest("cls", F.lit(1)))).otherwise(0.0)
     return out.select(
-        "edge_id", "cls", weight.alias("weight"), share(1).alias("f_green"), share(2).alias("f_orange"), share(3).alias("f_red"), share(4).alias("f_darkred"),
+        *keys, "edge_id", "cls", weight.alias("weight"), share(1).alias("f_green"), share(2).alias("f_orange"), share(3).alias("f_red"), share(4).alias("f_darkred"),
         "coverage", (weight / 100).alias("vc_ratio"), "n_samples", F.when(F.col("cls") > 0, "observed").otherwise("none").alias("source"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import traffic
-from ..materialise import cut
+from ..materialise import Rounds, cut
 
 METHODS = ("observed", "adjacent", "spread", "assumed_clear")
 #: Fronts that are kept apart before they are put together.
@@ -163,13 +163,14 @@ def hops_by_rung(edges: DataFrame, painted: DataFrame, most_hops: int | None = N
     again. An edge is one hop beyond its nearer end."""
     painted = cut(painted.select("edge_id", "rung").join(edges.select("edge_id"), "edge_id", "left_semi"))
     steps = cut(two_way(edges.select("u", "v")).where("u <> v").distinct().select(F.col("u").alias("node"), F.col("v").alias("to")))
-    front = cut(touching(edges).join(painted, "edge_id").select("node", "rung").distinct())
+    tables = Rounds(edges.sparkSession)
+    front = tables.keep(touching(edges).join(painted, "edge_id").select("node", "rung").distinct())
     fronts, before = [front.withColumn("far", F.lit(0))], front.limit(0)
     far = 0
     while most_hops is None or far + 1 < most_hops:
         far += 1
         next_ = front.join(steps, "node").select(F.col("to").alias("node"), "rung").distinct()
-        next_ = cut(next_.join(front.unionByName(before), ["node", "rung"], "left_anti"))
+        next_ = tables.keep(next_.join(front.unionByName(before), ["node", "rung"], "left_anti"))
         if next_.isEmpty():
             break
         fronts.append(next_.withColumn("far", F.lit(far)))
@@ -178,7 +179,7 @@ def hops_by_rung(edges: DataFrame, painted: DataFrame, most_hops: int | None = N
     found = touching(edges).join(reached, "node").groupBy("edge_id", "rung").agg((F.min("far") + 1).alias("hops"))
     if most_hops == 0:
         found = found.limit(0)
-    return cut(found.join(painted.withColumn("own", F.lit(0)), ["edge_id", "rung"], "full").select("edge_id", "rung", F.coalesce("own", "hops").alias("hops")))
+    return tables.close(found.join(painted.withColumn("own", F.lit(0)), ["edge_id", "rung"], "full").select("edge_id", "rung", F.coalesce("own", "hops").alias("hops")))
 
 
 def spread(edges: DataFrame, painted: DataFrame, per_rung: int = 1, claim: str = "nearest", most_hops: int | None = None) -> DataFrame:
@@ -226,15 +227,16 @@ def reachable(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataF
     round writes its own front only."""
     step = edges.select(F.col("u").alias("node"), F.col("v").alias("to")) if forward else edges.select(F.col("v").alias("node"), F.col("u").alias("to"))
     step = cut(step.distinct())
-    front = cut(start.select("node", F.lit(0).alias("hops")))
+    tables = Rounds(edges.sparkSession)
+    front = tables.keep(start.select("node", F.lit(0).alias("hops")))
     log, hop = [front], 0
     while True:
         hop += 1
         seen = reduce(DataFrame.unionByName, log)
-        front = cut(front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        front = tables.keep(front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            return seen
-        log = [cut(seen.unionByName(front))] if len(log) == LOG else [*log, front]
+            return tables.close(seen)
+        log = [tables.keep(seen.unionByName(front))] if len(log) == LOG else [*log, front]
 
 
 def core(edges: DataFrame, hub: DataFrame) -> DataFrame:
@@ -248,24 +250,31 @@ def busiest_node(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: DataFrame, cost: Column, limit: float | None = None) -> DataFrame:
-    """Least cost from ``start(node)`` to every node, by rounds of relaxation;
-    ``via`` is the last edge. Costs must not be negative; null and infinite costs
-    block an edge. Nodes beyond ``limit`` are left out."""
+    """Least cost from ``start(node)`` to every node, by rounds of relaxation. Costs
+    must not be negative; null and infinite costs block an edge. Nodes beyond
+    ``limit`` are left out. ``via`` is the last edge, the smallest id of all that end
+    a cheapest way; it is found when the costs have settled."""
     roads = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), "edge_id", cost.cast("double").alias("c")).where(F.col("c") < float("inf")))
-    front = cut(start.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")))
+    tables = Rounds(edges.sparkSession)
+    begin = tables.keep(start.select("node").distinct())
+    front = begin.select("node", F.lit(0.0).alias("cost"))
     # offers that were taken, kept as a log: the least of a node holds
     log = [front]
     while True:
         taken = reduce(DataFrame.unionByName, log)
-        best = taken.groupBy("node").agg(F.min_by(F.struct("cost", "via"), F.struct("cost", "via")).alias("o")).select("node", "o.*") if len(log) > 1 else taken
-        offers = front.join(roads, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("edge_id").alias("via"))
+        best = taken.groupBy("node").agg(F.min("cost").alias("cost")) if len(log) > 1 else taken
+        offers = front.join(roads, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
         if limit is not None:
             offers = offers.where(F.col("cost") <= limit)
-        offers = offers.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("o")).select("node", "o.*")
-        front = cut(offers.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old IS NULL OR cost < old").drop("old"))
+        offers = offers.groupBy("node").agg(F.min("cost").alias("cost"))
+        front = tables.keep(offers.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old IS NULL OR cost < old").drop("old"))
         if front.isEmpty():
-            return best
-        log = [cut(best), front] if len(log) >= LOG else [*log, front]
+            break
+        log = [tables.keep(best), front] if len(log) >= LOG else [*log, front]
+    best = tables.keep(best)
+    last = best.join(roads, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), "edge_id")
+    last = last.join(best, ["node", "cost"]).join(begin, "node", "left_anti").groupBy("node").agg(F.min("edge_id").alias("via"))
+    return tables.close(best.join(last, "node", "left").select("node", "cost", "via"))
 
 
 def ways(best: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import demand as D
 from ..operators import graph as G
 from ..operators import lines as L
 from ..operators import planning as P
+from ..operators import sample_store as Z
 from ..sources import png
 from ..streaming import captures as C
 from . import adapters as A
@@ -144,17 +145,26 @@ per AS (SELECT edge_id, CAST(count(*) AS INTEGER) AS n, count(*) FILTER (cls > 0
 top AS (SELECT *, CASE WHEN s > 0 AND s / n >= 0.25 THEN CASE greatest(c1, c2, c3, c4) WHEN c4 THEN 4 WHEN c3 THEN 3 WHEN c2 THEN 2 ELSE 1 END ELSE 0 END AS cls FROM per)"""
 
 
-@query(
+_DECODED = (
     _SAMPLES + _PLACED + """ SELECT edge_id, CAST(cls AS INTEGER) AS cls, CASE cls WHEN 1 THEN 25E0 WHEN 2 THEN 55E0 WHEN 3 THEN 85E0 WHEN 4 THEN 105E0 ELSE 0E0 END AS weight, round(c1 / n, 4) AS f_green, round(c2 / n, 4) AS f_orange,
-      round(c3 / n, 4) AS f_red, round(c4 / n, 4) AS f_darkred, round(s / n, 4) AS coverage, n AS n_samples, CASE WHEN cls > 0 THEN 'observed' ELSE 'none' END AS source FROM top""",
-    ("nodes", "edges"),
+      round(c3 / n, 4) AS f_red, round(c4 / n, 4) AS f_darkred, round(s / n, 4) AS coverage, n AS n_samples, CASE WHEN cls > 0 THEN 'observed' ELSE 'none' END AS source FROM top"""
 )
+
+
+@query(_DECODED, ("nodes", "edges"))
 def decoded_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tiles to the weight table: points, tile join, pixel votes, coverage."""
     seen = X.classify_samples(X.sample_points(_lined(spark, sf_dir), step_m=_STEP), _painted_tiles(spark), _ZOOM)
     return X.edge_votes(seen).drop("vc_ratio")
 
 
+@query(_DECODED, ("nodes", "edges"))
+def decoded_capture_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from samples that are written once, in buckets by tile."""
+    store = Z.store_samples(_lined(spark, sf_dir), scratch(spark), _ZOOM, step_m=_STEP)
+    return Z.decode_capture(store, _painted_tiles(spark)).drop("vc_ratio")
+
+
 @query(
     f"""WITH base AS (SELECT x, y, (x + y) % 5 AS cls FROM
       (SELECT unnest(range(CAST(floor((90.326774E0 + 180) / 360 * {_SIZE / 256}) AS BIGINT), CAST(floor((90.499678E0 + 180) / 360 * {_SIZE / 256}) AS BIGINT) + 1)) AS x),

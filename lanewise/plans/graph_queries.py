@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..materialise import cut
 from ..operators import graph as G
+from ..operators import layouts as Y
 from ..operators import lines as L
+from ..operators import settle as S
 from . import adapters as A
 from .columns import hav
 from .registry import query, rounded
@@ -140,7 +143,7 @@ def dijkstra_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _cheapest("SELECT 0 AS node", "SELECT u, v, free_flow_s AS c FROM edges")
-    + """ SELECT b.node, round(b.cost, 6) AS cost, x.via FROM best b LEFT JOIN (SELECT e.v AS node, arg_min(e.edge_id, b.cost + e.free_flow_s) AS via FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v) x ON x.node = b.node""",
+    + """ SELECT b.node, round(b.cost, 6) AS cost, x.via FROM best b LEFT JOIN (SELECT e.v AS node, first(e.edge_id ORDER BY b.cost + e.free_flow_s, e.edge_id) AS via FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v) x ON x.node = b.node""",
     ("edges",),
 )
 def dijkstra_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +151,15 @@ def dijkstra_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(A.edges(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"), F.col("free_flow_s")).withColumn("cost", rounded("cost"))
 
 
-@query(
+_WAYS = (
     _cheapest("SELECT 0 AS node", "SELECT u, v, free_flow_s AS c FROM edges")
-    + """, last AS (SELECT e.v AS node, arg_min(e.edge_id, b.cost + e.free_flow_s) AS via, arg_min(e.u, b.cost + e.free_flow_s) AS u FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v),
+    + """, last AS (SELECT e.v AS node, first(e.edge_id ORDER BY b.cost + e.free_flow_s, e.edge_id) AS via, first(e.u ORDER BY b.cost + e.free_flow_s, e.edge_id) AS u FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> 0 GROUP BY e.v),
     back(node, here, edge_id, n) AS (SELECT l.node, l.u, l.via, 0 FROM last l WHERE l.node % 50 = 0 UNION ALL SELECT b.node, l.u, l.via, b.n + 1 FROM back b JOIN last l ON l.node = b.here)
-    SELECT node, CAST(max(n) OVER (PARTITION BY node) - n AS INTEGER) AS pos, edge_id FROM back""",
-    ("edges",),
+    SELECT node, CAST(max(n) OVER (PARTITION BY node) - n AS INTEGER) AS pos, edge_id FROM back"""
 )
+
+
+@query(_WAYS, ("edges",))
 def dijkstra_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest ways from junction 0 to every fiftieth one, edge by edge."""
     e = A.edges(spark, sf_dir)
@@ -162,6 +167,43 @@ def dijkstra_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ways(best, e, best.where("node % 50 = 0").select("node"))
 
 
+@query(_WAYS, ("edges",))
+def way_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ways by pointer doubling, from costs by delta-stepping."""
+    e = A.edges(spark, sf_dir)
+    costs = S.settle(e, spark.range(1).select(F.col("id").alias("origin"), F.col("id").alias("node")), F.col("free_flow_s")).costs
+    last = cut(S.last_edges(costs, e, F.col("free_flow_s")))
+    return S.ways_by_doubling(last, last.where("node % 50 = 0").select("origin", "node"))[0].select("node", "pos", "edge_id")
+
+
+#: Junctions from which the routes of `landmark_routes` start.
+ORIGINS = (0, 37, 74, 111)
+
+
+@query(
+    f""", best(origin, node, cost) USING KEY (origin, node) AS (
+      SELECT CAST(o AS BIGINT), CAST(o AS BIGINT), 0E0 FROM (VALUES {", ".join(f"({o})" for o in ORIGINS)}) t(o)
+      UNION SELECT x.origin, x.node, x.cost FROM (SELECT b.origin, e.v AS node, min(b.cost + e.free_flow_s) AS cost FROM best b JOIN edges e ON e.u = b.node GROUP BY ALL) x
+        LEFT JOIN recurring.best r ON r.origin = x.origin AND r.node = x.node WHERE r.cost IS NULL OR x.cost < r.cost),
+    last AS (SELECT b.origin, e.v AS node, first(e.edge_id ORDER BY b.cost + e.free_flow_s, e.edge_id) AS via, first(e.u ORDER BY b.cost + e.free_flow_s, e.edge_id) AS u
+      FROM edges e JOIN best b ON b.node = e.u WHERE e.v <> b.origin GROUP BY ALL),
+    back(origin, node, here, edge_id, n) AS (SELECT l.origin, l.node, l.u, l.via, 0 FROM last l WHERE l.node % 50 = 0
+      UNION ALL SELECT b.origin, b.node, l.u, l.via, b.n + 1 FROM back b JOIN last l ON l.origin = b.origin AND l.node = b.here),
+    route AS (SELECT origin, node, string_agg(edge_id::VARCHAR, ',' ORDER BY n DESC) AS route FROM back GROUP BY ALL)
+    SELECT CAST(t.o AS BIGINT) AS origin, n.node_id AS destination, round(b.cost, 6) AS cost, coalesce(r.route, '') AS route
+    FROM nodes n CROSS JOIN (VALUES {", ".join(f"({o})" for o in ORIGINS)}) t(o)
+    LEFT JOIN best b ON b.origin = t.o AND b.node = n.node_id LEFT JOIN route r ON r.origin = t.o AND r.node = n.node_id WHERE n.node_id % 50 = 0""",
+    ("nodes", "edges"),
+)
+def landmark_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest routes from four junctions to every fiftieth one, as joins on the edge table."""
+    ends = A.nodes(spark, sf_dir).where("node_id % 50 = 0").select(F.col("node_id").alias("destination"))
+    journeys = ends.select(F.explode(F.array(*[F.lit(o).cast("bigint") for o in ORIGINS])).alias("origin"), "destination")
+    found = S.routes_by_landmarks(journeys, A.edges(spark, sf_dir), F.col("free_flow_s"))
+    cost = F.when(F.col("cost") < float("inf"), rounded("cost"))
+    return found.select("origin", "destination", cost.alias("cost"), F.array_join(F.col("route").cast("array<string>"), ",").alias("route"))
+
+
 @query(
     _cheapest(
         "SELECT u AS node FROM edges WHERE class_rank <= 2 AND oneway UNION SELECT v FROM edges WHERE class_rank <= 2 AND oneway",
@@ -248,6 +290,50 @@ def side_street_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.side_streets(A.edges(spark, sf_dir), A.today(spark, sf_dir), 20).withColumn("load", rounded("load"))
 
 
+def _role_reach(name: str, start: str, a: str, b: str) -> str:
+    """SQL of ``name(layout, origin, node)``: a search for each layout from ``start(origin, node)``."""
+    return f""", {name}(layout, origin, node) AS (SELECT l.layout, s.origin, s.node FROM layouts l, ({start}) s
+      UNION SELECT r.layout, r.origin, q.{b} FROM {name} r JOIN quiet q ON q.{a} = r.node LEFT JOIN shut s ON s.layout = r.layout AND s.edge_id = q.edge_id WHERE s.edge_id IS NULL)"""
+
+
+@query(
+    """, quiet AS (SELECT edge_id, u, v, capacity_vph FROM edges WHERE class_rank >= 6),
+    streets AS (SELECT least(u, v) AS a, greatest(u, v) AS b FROM quiet LEFT JOIN today USING (edge_id)
+      GROUP BY 1, 2 HAVING count(*) = 2 AND count(*) FILTER (u < v) = 1
+      ORDER BY sum(capacity_vph * CASE coalesce(level, 0) WHEN 0 THEN 0.25E0 WHEN 1 THEN 0.55E0 WHEN 2 THEN 0.85E0 ELSE 1.05E0 END) DESC, 1, 2 LIMIT 8),
+    options AS (SELECT printf('%09d-%09d', a, b) AS key, edge_id, CASE WHEN u < v THEN 'forward' ELSE 'backward' END AS role FROM streets JOIN quiet ON least(u, v) = a AND greatest(u, v) = b),
+    changed AS (SELECT DISTINCT key, value FROM options, (VALUES ('forward'), ('backward')) t(value)),
+    listed AS (SELECT [] AS keys, [] AS vals, '' AS name UNION ALL SELECT [key], [value], key || '=' || value FROM changed
+      UNION ALL SELECT [x.key, y.key], [x.value, y.value], x.key || '=' || x.value || ' ' || y.key || '=' || y.value FROM changed x JOIN changed y ON x.key < y.key),
+    layouts AS (SELECT row_number() OVER (ORDER BY len(keys), name) - 1 AS layout, name, keys, vals FROM listed),
+    shut AS (SELECT l.layout, o.edge_id FROM (SELECT layout, unnest(keys) AS key, unnest(vals) AS value FROM layouts) l JOIN options o ON o.key = l.key AND o.role <> l.value),
+    hub AS (SELECT arg_max(node, n * 1000000 - node) AS node FROM (SELECT node, count(*) AS n FROM (SELECT u AS node FROM quiet UNION ALL SELECT v FROM quiet) GROUP BY node)),
+    journeys AS (SELECT DISTINCT a AS enter, b AS leave FROM streets)"""
+    + _role_reach("ahead", "SELECT -1 AS origin, node FROM hub UNION SELECT enter, enter FROM journeys", "u", "v")
+    + _role_reach("behind", "SELECT -1 AS origin, node FROM hub", "v", "u")
+    + """, core AS (SELECT node FROM ahead WHERE layout = 0 AND origin = -1 INTERSECT SELECT node FROM behind WHERE layout = 0),
+    asked AS (SELECT j.* FROM journeys j JOIN ahead r ON r.layout = 0 AND r.origin = j.enter AND r.node = j.leave),
+    counts AS (SELECT l.layout, l.name, (SELECT count(*) FROM core) - (SELECT count(*) FROM ahead r JOIN core c ON c.node = r.node WHERE r.layout = l.layout AND r.origin = -1) AS trapped_out,
+      (SELECT count(*) FROM core) - (SELECT count(*) FROM behind r JOIN core c ON c.node = r.node WHERE r.layout = l.layout) AS trapped_in,
+      (SELECT count(*) FROM asked) - (SELECT count(*) FROM asked j JOIN ahead r ON r.origin = j.enter AND r.node = j.leave WHERE r.layout = l.layout) AS journeys_lost FROM layouts l)
+    SELECT *, trapped_out = 0 AND trapped_in = 0 AND journeys_lost = 0 AS allowed FROM counts""",
+    ("edges", "today"),
+)
+def layout_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layouts of the eight busiest two-way streets of the quiet network with at
+    most two made one-way: who would be trapped, which journeys lost."""
+    e = cut(A.edges(spark, sf_dir).where("class_rank >= 6"))
+    streets = L.side_streets(e, A.today(spark, sf_dir), 8).select("a", "b")
+    keyed = streets.withColumn("key", F.format_string("%09d-%09d", "a", "b"))
+    role = F.when(F.col("u") < F.col("v"), "forward").otherwise("backward")
+    # the streets are eight at most
+    options = cut(e.join(F.broadcast(keyed), (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b"))).select("key", "edge_id", role.alias("role"), "a", "b"))
+    values = options.select("key", F.explode(F.array(F.lit("forward"), F.lit("backward"))).alias("value"))
+    layouts = Y.layouts_within_budget(values, 2)
+    journeys = options.select(F.col("a").alias("enter"), F.col("b").alias("leave"))
+    return Y.judge_layouts(e, options, layouts, G.busiest_node(e), journeys)
+
+
 @query(None)
 def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_id(A.edges(spark, sf_dir))

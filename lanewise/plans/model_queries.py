@@ -10,6 +10,7 @@ from ..operators import demand as D
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import learning as M
+from ..operators import neighbours as N
 from ..operators import planning as P
 from ..operators.diversion import run_diversion
 from ..operators.search import Roads, routes
@@ -226,6 +227,23 @@ def knn_embeddings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.neighbours(_points(spark, sf_dir), _queries(spark, sf_dir), 5).select("q", "id", rounded("d2").alias("d2"), "rank")
 
 
+@query(_NEAR + " SELECT q, id, round(d2, 6) AS d2, CAST(rank AS INTEGER) AS rank FROM near")
+def knn_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours with pivots and the triangle inequality."""
+    found = N.neighbours_by_pivots(_points(spark, sf_dir), _queries(spark, sf_dir), 5)
+    return found.select("q", "id", rounded("d2").alias("d2"), "rank")
+
+
+@query(
+    """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings), d AS (
+      SELECT q.id AS q, p.id, list_sum(list_transform(list_zip(q.f, p.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM p q JOIN p ON q.id <> p.id)
+    SELECT q, id, round(d2, 6) AS d2, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, id) AS rank FROM d) WHERE rank <= 3"""
+)
+def nearest_join_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its three nearest other ones."""
+    return N.nearest_join(_points(spark, sf_dir), 3).withColumn("d2", rounded("d2"))
+
+
 @query(
     _NEAR + """ SELECT q, CAST(label AS INTEGER) AS label FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY sum(1 / (sqrt(d2) + 1e-9)) DESC, label) AS r FROM near GROUP BY q, label) WHERE r = 1"""
 )
