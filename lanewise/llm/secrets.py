@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A byte-pair vocabulary learnt from natural text spends few tokens on words and
-many on random strings. A run of key-like characters whose characters per token
-stay at or under a limit is reported, after digests of known lengths, UUIDs and
-other identifiers are excluded. The fixed patterns are reported in any case.
+many on random strings. A run of key-like characters is cut into the pieces between
+its separators, so that a path or a name before a key isn't averaged with it. A
+piece, or a row of pieces none of which is a word, whose characters per token stay at
+or under a limit is reported, after digests of known lengths, UUIDs and other
+identifiers are excluded. The fixed patterns are reported in any case.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from string import ascii_lowercase
 
@@ -31,7 +34,12 @@ RANDOM = "random"
 KINDS = (*(k for k, *_ in BASE), RANDOM)
 
 _HEX24 = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Least length of a string that the token-efficiency test may report.
+LEAST = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+_PIECE = re.compile(r"[A-Za-z0-9+]+")
+_ONE_CASE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hex.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 _IDENTIFIER = re.compile(
@@ -70,6 +78,45 @@ def is_random(candidate: str, tokens: int, most_chars_per_token: float) -> bool:
     return sum(c.isalpha() for c in candidate) >= 3 and len(candidate) <= most_chars_per_token * tokens
 
 
+def random_spans(run: str, count, most_chars_per_token: float) -> list[tuple[int, int]]:
+    """Where a run of key-like characters has random strings of ``LEAST`` characters
+    or more: pieces between separators that pass by themselves; else rows of pieces
+    none of which is a word (a key in base64 has separators of its own). UUIDs and
+    digests end a row and are in none."""
+    def passes(a: int, b: int) -> bool:
+        c = run[a:b]
+        return len(c) >= LEAST and not known(c) and is_random(c, count(c), most_chars_per_token)
+
+    out: list[tuple[int, int]] = []
+    row: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if row:
+            a, b = row[0][0], row[-1][1]
+            # padding belongs to what it ends
+            while b < len(run) and run[b] == "=":
+                b += 1
+            if passes(a, b):
+                out.append((a, b))
+            row.clear()
+
+    taken = [m.span() for m in _UUID.finditer(run)]
+    for m in _PIECE.finditer(run):
+        a, b = m.span()
+        c = m[0]
+        if any(x < b and a < y for x, y in taken) or (len(c) in DIGESTS and _HEX.fullmatch(c)):
+            close()
+        elif passes(a, b):
+            close()
+            out.append((a, b))
+        elif len(c) > 3 and len(c) > most_chars_per_token * count(c) * (1 if _ONE_CASE.fullmatch(c) else 1.5):
+            close()  # a word; letters of mixed case and digits have to be more like one
+        else:
+            row.append((a, b))
+    close()
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds by start, then kind."""
     found = []
@@ -95,8 +142,8 @@ def secret_spans(
     """One row per row of ``docs``: ``(id, spans, base, digest)``.
 
     ``spans`` is an array of ``(kind, start, end, secret)`` by start, then kind
-    (code points, end exclusive); random strings that touch a base span are left
-    to that span. ``base`` counts the base kinds in order, ``digest`` is the
+    (code points, end exclusive); of a run of key-like characters that meets base
+    spans, what they leave is tested. ``base`` counts the base kinds in order, ``digest`` is the
     SHA-256 of the base spans as ``kind:start:end``. Null and empty texts have
     no spans; repeated rows are kept; an empty table gives an empty one.
     """
@@ -114,6 +161,9 @@ def secret_spans(
         def count(candidate: str) -> int:
             return len(encoding.encode_ordinary(candidate))
 
+        def tokens(candidate: str) -> int:
+            return count(candidate) if len(candidate) <= 512 else len(encoding.encode_ordinary(candidate))
+
         def spans(text: str):
             base = base_spans(text)
             taken = sorted((a, b) for _, a, b in base)
@@ -122,13 +172,11 @@ def secret_spans(
                 a, b = m.span()
                 while at < len(taken) and taken[at][1] <= a:
                     at += 1
-                if any(x < b and a < y for x, y in taken[max(0, at - 1) : at + 2]):
-                    continue
-                c = m[0]
-                if len(c) <= 512 and not known(c) and is_random(c, count(c), most_chars_per_token):
-                    more.append((RANDOM, a, b))
-                elif len(c) > 512 and not known(c) and is_random(c, len(encoding.encode_ordinary(c)), most_chars_per_token):
-                    more.append((RANDOM, a, b))
+                # what the base spans leave of the run
+                for x, y in [*taken[at : bisect_left(taken, (b,), at)], (b, b)]:
+                    if x - a >= LEAST:
+                        more += [(RANDOM, a + i, a + j) for i, j in random_spans(text[a:x], tokens, most_chars_per_token)]
+                    a = max(a, y)
             return base, sorted([*base, *more], key=lambda s: (s[1], rank[s[0]]))
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
