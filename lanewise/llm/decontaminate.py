@@ -9,8 +9,10 @@ has few successors; words of no item are one symbol. Each text is scanned once.
 original text.
 
 Items go to the executors in blocks of at most ``block_bytes`` of text, each with
-an automaton of its own; benchmarks fit one block as a rule. Further blocks are
-further passes, one block at a time on the driver and the executors.
+an automaton of its own. A benchmark of one block is one pass over the corpus. For a
+larger one, the corpus is scanned once against the 64-bit hashes of all windows of
+all items, 8 bytes each; only texts in which one of them occurs are kept and go
+through the automata, block by block. An equal hash decides nothing else.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +36,25 @@ NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-#: How words are written for the automaton: up to a million of them.
-BASE, DIGITS = 32, 4
-#: Bytes of item text to an automaton (of some 150 bytes to each). A word and what
-#: parts it from the next have two bytes at least, so there are numbers for all.
+#: How words are written for the automaton: in digits of this base, as many places as
+#: the number of words asks for.
+BASE = 32
+#: Bytes of item text to an automaton (of some 150 bytes to each).
 BLOCK_BYTES = 1 << 20
+#: Hashes of windows that a stage of the scan holds: 128 MiB. More windows are more
+#: stages of the same scan.
+MOST_WINDOWS = 1 << 24
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
 
-def digits(k: int) -> str:
-    return "".join([chr(1 + d * BASE + (k // BASE**d) % BASE) for d in range(DIGITS)])
+def digits(k: int, places: int) -> str:
+    """A number as digits of ``BASE``, each place with digits of its own."""
+    if k >= BASE**places:
+        raise ValueError(f"{k} has more than {places} places")
+    return "".join([chr(1 + d * BASE + (k // BASE**d) % BASE) for d in range(places)])
 
 
 class Scanner:
@@ -53,15 +63,20 @@ class Scanner:
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
         import ahocorasick
 
-        self.number: dict[bytes, str] = {}
+        found = [(item, words(text)) for item, text in items]
+        known = dict.fromkeys(w for _, ws in found for w in ws)
+        places = 1
+        while BASE**places < len(known):
+            places += 1
+        self.number = {w: digits(k, places) for k, w in enumerate(known)}
         owners: dict[str, set] = {}
-        for item, text in items:
-            coded = [self.number.setdefault(w, digits(len(self.number))) for w in words(text)]
+        for item, ws in found:
+            coded = [self.number[w] for w in ws]
             for i in range(max(1, len(coded) - window + 1) if coded else 0):
                 owners.setdefault("".join(coded[i : i + window]), set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for key, ids in owners.items():
-            self.automaton.add_word(key, (len(key) // DIGITS, tuple(ids)))
+            self.automaton.add_word(key, (len(key) // places, tuple(ids)))
         self.some = bool(owners)
         if self.some:
             self.automaton.make_automaton()
@@ -99,12 +114,25 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(points[at[a][0]]), int(points[at[b - 1][1]])) for a, b in ranges]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+def window_hashes(found: list[bytes], window: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``window`` words, by position."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    n = max(0, len(h) - window + 1)
+    out = np.full(n, window, np.uint64)
+    for j in range(window):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return out
+
+
+def _counted(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    picked = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return picked, picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _blocks(picked: DataFrame, total: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
     """The items in blocks, each collected on its own and bounded, and whether it
     is the last. A block is taken back when the next one is asked for."""
-    sc = items.sparkSession.sparkContext
-    picked = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sc = picked.sparkSession.sparkContext
     # hashing deals unevenly, so blocks are aimed at half of the bound
     n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     for k in range(n):
@@ -115,6 +143,35 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
             block.destroy()
 
 
+def _hash_sets(picked: DataFrame, window: int) -> list[tuple[Broadcast, list[int]]]:
+    """The hashes of all windows, sorted, in sets of about ``MOST_WINDOWS`` at most,
+    and the lengths of window that there are (an item of fewer words is one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                if found := words(text):
+                    k = min(window, len(found))
+                    h = np.unique(window_hashes(found, k)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h)], ["k", "h"])
+
+    sc = picked.sparkSession.sparkContext
+    every = cut(map_rows(picked.select("text"), run, "k int, h bigint").distinct())
+    lengths = sorted(r["k"] for r in every.select("k").distinct().collect())
+    n = max(1, -(-every.count() // MOST_WINDOWS))
+    part = lambda i: every if n == 1 else every.where(F.pmod(F.xxhash64("h"), F.lit(n)) == i)
+    return [(sc.broadcast(np.sort(np.asarray(part(i).select("h").toArrow().column(0)).view(np.uint64))), lengths) for i in range(n)]
+
+
+def _may_hit(found: list[bytes], hashes: np.ndarray, lengths: list[int]) -> bool:
+    for k in lengths if len(hashes) else ():
+        h = window_hashes(found, k)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        if (hashes[at] == h).any():
+            return True
+    return False
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -131,7 +188,8 @@ def find_contamination(
     (as sorted strings) of items with such windows, ``spans`` the hit ranges of
     the original text. Null and empty texts have no words; items without words
     and null item ids match nothing; repeated rows are kept; no items or no
-    documents are fine. Other columns are not read.
+    documents are fine. Other columns are not read. The corpus is scanned once,
+    whatever the size of the benchmark.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
@@ -171,12 +229,41 @@ def find_contamination(
 
     done = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
     open_ = f"id {kind}, text string, hits array<struct<a:bigint,b:bigint,items:array<string>>>"
+    listed, total = _counted(items, item_id, item_text)
+    clean = None
+    if total > block_bytes:
+        once = cut(_scan_hashes(picked, kind, _hash_sets(listed, window)))
+        none = [F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")]
+        clean = once.where("NOT maybe").select("id", "n_words", *none)
+        picked = once.where("maybe").select("id", "text")
     first = True
-    for block, last in _blocks(items, item_id, item_text, block_bytes):
+    for block, last in _blocks(listed, total, block_bytes):
         picked = map_batches(picked, step(block, last, first), done if last else open_)
         if not last:
             picked = cut(picked)
         first = False
+    return picked if clean is None else clean.unionByName(picked)
+
+
+def _scan_hashes(picked: DataFrame, kind: str, sets: list[tuple[Broadcast, list[int]]]) -> DataFrame:
+    """``(id, text, n_words, maybe)`` of ``picked(id, text)``: whether a window's hash
+    occurs; only then is the text kept."""
+    schema = f"id {kind}, text string, n_words bigint, maybe boolean"
+    for k, (sent, lengths) in enumerate(sets):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, lengths=lengths, first=k == 0, last=k == len(sets) - 1) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_ROWS):
+                    batch = whole.slice(at, BATCH_ROWS)
+                    found = [words(t) for t in utf8(batch.column(1))]
+                    maybe = [_may_hit(f, sent.value, lengths) for f in found]
+                    if not first:
+                        maybe = [a or b for a, b in zip(maybe, batch.column(3).to_pylist())]
+                    maybe = pa.array(maybe, pa.bool_())
+                    text = pc.if_else(maybe, batch.column(1), pa.scalar(None, batch.column(1).type)) if last else batch.column(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(map(len, found), pa.int64()), maybe], ["id", "text", "n_words", "maybe"])
+
+        picked = map_rows(picked, run, schema)
     return picked
 
 
@@ -186,10 +273,28 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, all columns unchanged.
 
-    Rows pass through as they are: no join, no shuffle, any column names.
+    Rows pass through as they are: no join, no shuffle, any column names. With a
+    benchmark of more than a block the table is read twice: for the rows without a
+    window's hash, which stay, and for the few others, which the automata decide on.
     """
     at = docs.columns.index(text_col)
-    for block, last in _blocks(items, item_id, item_text, block_bytes):
+    listed, total = _counted(items, item_id, item_text)
+    stay = None
+    if total > block_bytes:
+        sets = _hash_sets(listed, window)
+
+        def part(wanted: bool) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for k in range(0, whole.num_rows, BATCH_ROWS):
+                        batch = whole.slice(k, BATCH_ROWS)
+                        found = [words(t) for t in utf8(batch.column(at))]
+                        yield batch.filter(pa.array([any(_may_hit(f, sent.value, n) for sent, n in sets) == wanted for f in found], pa.bool_()))
+
+            return map_rows(docs, run, docs.schema)
+
+        stay, docs = part(False), cut(part(True))
+    for block, last in _blocks(listed, total, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(block.value, window)
@@ -202,7 +307,7 @@ def drop_contaminated(
         docs = map_rows(docs, run, docs.schema)
         if not last:
             docs = cut(docs)
-    return docs
+    return docs if stay is None else stay.union(docs)
 
 
 def items_digest(ids: list[str] | None) -> str:

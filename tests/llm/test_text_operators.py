@@ -204,3 +204,50 @@ def test_identifier_lines_and_whole_texts(spark):
     assert got[4].licenses == ["Apache-2.0", "MIT"]
     assert (got[7].effective, got[7].inherited_from, got[9].effective) == ("MIT", "b/terms.txt", "BSD-3-Clause")
     assert not any(got[i].is_license_file for i in (1, 2, 3, 4, 5))
+
+
+def test_a_large_benchmark_is_one_scan(spark, monkeypatch):
+    """More blocks than one, more sets of hashes than one: as with one automaton, and
+    only texts that may be hit are written."""
+    import random
+
+    import pytest
+
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    passages = [" ".join(r.choice(vocabulary) for _ in range(r.choice([1, 4, 9, 10, 11, 30]))) for _ in range(120)]
+    rows = []
+    for k in range(200):
+        filler = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        if k % 3 == 0:
+            filler[len(filler) // 2 : len(filler) // 2] = r.choice(passages).split()
+        rows.append((k, " ".join(filler)))
+    rows += [(None, passages[0]), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(k, p) for k, p in enumerate(passages)] + [(None, passages[1]), (900, None)], "item_id bigint, text string")
+    key = lambda r: (r.id is None, r.id or 0, r.n_words, r.n_hit, r.items, r.spans)
+    want = sorted(map(key, D.find_contamination(docs, items).collect()))
+    kept = sorted(r.text or "" for r in D.drop_contaminated(docs, items).collect())
+    assert any(w[3] for w in want) and not all(w[3] for w in want)
+    written = []
+    cut = D.cut
+    monkeypatch.setattr(D, "cut", lambda df: written.append(df) or cut(df))
+    for most in (1 << 24, 300):
+        monkeypatch.setattr(D, "MOST_WINDOWS", most)
+        assert sorted(map(key, D.find_contamination(docs, items, block_bytes=5000).collect())) == want
+        assert sorted(r.text or "" for r in D.drop_contaminated(docs, items, block_bytes=5000).collect()) == kept
+    once = next(df for df in written if "maybe" in df.columns)
+    hit = {w[:2] for w in want if w[3]}
+    assert {(r.id is None, r.id or 0) for r in once.where("text IS NOT NULL").collect()} == hit
+    with pytest.raises(ValueError):
+        D.digits(32, 1)
+    assert len({D.digits(k, 2) for k in range(1024)}) == 1024
+
+
+def test_window_hashes_tell_places_apart():
+    import numpy as np
+
+    found = [b"a", b"b", b"a", b"b", b"a", b"c"]
+    h = D.window_hashes(found, 2)
+    assert len(h) == 5 and h[0] == h[2] and h[1] == h[3] and len(np.unique(h)) == 3
+    assert len(D.window_hashes(found, 7)) == 0 and D.window_hashes(found, 1)[0] != D.window_hashes(found, 2)[0]
