@@ -61,6 +61,34 @@ def test_rules_have_no_smaller_rule_inside(spark):
     assert sorted(r.antecedent for r in rules) == [["a", "b", "c"], ["b", "c", "d"]]
 
 
+def test_a_family_that_shares_thirty_tokens(spark):
+    """Tokens of the same rows are mined as one; rules by brute force on what is small."""
+    from itertools import combinations
+
+    shared = [f"t{k:02d}" for k in range(30)]
+    rows = [([*shared, "x", f"u{i}"], True) for i in range(6)] + [([*shared[:20], "y"], False)] * 3 + [([*shared[20:], "x"], False)] * 3 + [(["x", "y"], False)] * 20 + [(["lone", "x"], True)] * 9
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    import time
+
+    start = time.time()
+    got = sorted((sorted(map(sorted, r.parts)), sorted(r.keys)) for r in U.mine_compact(df).collect())
+    assert time.time() - start < 60
+    first, second = shared[:20], shared[20:]
+    # by hand: the first twenty with the last ten, the first with x; the last ten need more
+    assert (sorted([first, ["x"]]), first) in got and ([["lone"]], ["lone"]) in got and (sorted([first, second]), first) in got or (sorted([first, second]), second) in got
+    few = [([t for t in ts if t not in shared[1:20] + shared[21:]], bad) for ts, bad in rows]
+    want = set()
+    tokens = sorted({t for ts, _ in few for t in ts})
+    for n in range(1, 5):
+        for c in map(set, combinations(tokens, n)):
+            hit = [bad for ts, bad in few if c <= set(ts)]
+            if sum(hit) >= 5 and sum(hit) / len(hit) >= 0.9 and not any(w < c for w in map(set, want)):
+                want.add(tuple(sorted(c)))
+    assert {tuple(r.antecedent) for r in U.mine_rules(spark.createDataFrame(few, "tokens array<string>, bad boolean")).collect()} == want
+    spelt = {r.antecedent[0][:1] + r.antecedent[-1] for r in U.mine_rules(df).where("array_contains(antecedent, 'x')").collect()}
+    assert spelt == {"tx"}
+
+
 def test_rare_rules_are_pruned(spark):
     got = judged(spark, [(i, f"http://h{i}.test/a") for i in range(30)], [(1, 0, 1), (2, 0, 1)])
     assert {r.verdict for r in got.values()} == {"allow"}
