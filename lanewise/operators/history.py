@@ -93,13 +93,18 @@ def hour_profile(readings: DataFrame, captures: DataFrame) -> DataFrame:
     Means are over the ``captures`` of that kind of day and hour, ``n`` of them: a
     road that a capture doesn't list is level 0 there and counts. Hours in which a
     road is never listed have a mean of 0 and no row; unseen hours have none."""
-    ts, hour = F.col("ts"), F.floor(F.col("minute") / 60).cast("int")
-    counts = captures.groupBy("weekend", hour.alias("hour")).agg(F.count("*").alias("n"))
+    ts = F.col("ts")
+    keyed = readings.select("edge_id", clock.weekend(ts).alias("weekend"), F.floor(clock.minute_of_day(ts) / 60).cast("int").alias("hour"), "level")
+    return profile_of_sums(keyed.groupBy("edge_id", "weekend", "hour").agg(F.sum("level").alias("s")), captures)
+
+
+def profile_of_sums(sums: DataFrame, captures: DataFrame) -> DataFrame:
+    """``hour_profile`` from ``sums(edge_id, weekend, hour, s)`` of levels, which add
+    up over any split of the readings."""
+    counts = captures.groupBy("weekend", F.floor(F.col("minute") / 60).cast("int").alias("hour")).agg(F.count("*").alias("n"))
     # at most 48 rows, and the row of all captures
     sizes = counts.unionByName(captures.agg(F.count("*").alias("n")).select(F.lit(None).cast("boolean").alias("weekend"), F.lit(None).cast("int").alias("hour"), "n"))
-    keyed = readings.select("edge_id", clock.weekend(ts).alias("weekend"), F.floor(clock.minute_of_day(ts) / 60).cast("int").alias("hour"), "level")
-    # partial sums first: the grouping sets then expand one row per road, day kind and hour
-    sums = keyed.groupBy("edge_id", "weekend", "hour").agg(F.sum("level").alias("s"))
+    # partial sums came first: the grouping sets expand one row per road, day kind and hour
     both = sums.groupingSets([["edge_id"], ["edge_id", "weekend", "hour"]], "edge_id", "weekend", "hour").agg(F.sum("s").alias("s"))
     at = sizes.select(F.col("weekend").alias("w"), F.col("hour").alias("h"), "n")
     return both.join(F.broadcast(at), F.col("weekend").eqNullSafe(F.col("w")) & F.col("hour").eqNullSafe(F.col("h"))).select(
@@ -144,6 +149,36 @@ def same_time_captures(train: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
+def as_of_captures(train: DataFrame, asked: DataFrame) -> DataFrame:
+    """``same_time_captures`` as a sorted stream instead of pairs of captures.
+
+    Per weekday, and per kind of day for weekdays without training captures, the
+    minutes of both sides stand in one order, the day's ends wrapped round; the last
+    training capture before a minute and the next after it are carried along. Of the
+    captures of one minute only the latest can be an answer, so a window sees minutes
+    of a day and not captures; asked times meet their minute's answer by a join."""
+    day = 1440
+
+    def nearest(by: str) -> DataFrame:
+        known = train.groupBy(by, "minute").agg(F.max("ts").alias("ts"))
+        turns = F.explode(F.array(*[F.lit(k * day) for k in (-1, 0, 1)]))
+        stops = known.select(by, "minute", "ts", turns.alias("turn")).select(by, (F.col("minute") + F.col("turn")).alias("at"), F.struct((F.col("minute") + F.col("turn")).alias("at"), "ts").alias("stop"))
+        points = asked.select(by, F.col("minute").alias("at")).distinct().withColumn("stop", F.lit(None).cast(stops.schema["stop"].dataType))
+        w = Window.partitionBy(by).orderBy("at")
+        both = points.withColumn("asks", F.lit(True)).unionByName(stops.withColumn("asks", F.lit(False)))
+        near = both.withColumns({
+            "back": F.last("stop", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "next": F.first("stop", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        }).where(F.col("asks") & F.col("back").isNotNull())
+        offer = lambda c: F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("gap"), (-F.col(f"{c}.ts").cast("double")).alias("late"), F.col(f"{c}.ts").alias("ts"))
+        best = F.least(offer("back"), offer("next"))
+        return near.select(by, F.col("at").alias("minute"), F.struct(best["ts"].alias("ts"), best["gap"].alias("gap")).alias(f"by_{by}"))
+
+    a = asked.select(F.col("ts").alias("asked"), "minute", "weekday", "weekend")
+    found = a.join(nearest("weekday"), ["weekday", "minute"], "left").join(nearest("weekend"), ["weekend", "minute"], "left")
+    return found.withColumn("x", F.coalesce("by_weekday", "by_weekend")).where("x IS NOT NULL").select("asked", "x.ts", "x.gap")
+
+
 def same_time_forecast(readings: DataFrame, train: DataFrame, asked: DataFrame) -> DataFrame:
     return readings.join(F.broadcast(same_time_captures(train, asked)), "ts").select("asked", "edge_id", "level")
 

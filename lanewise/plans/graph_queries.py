@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..materialise import cut
+from ..materialise import cut, scratch
+from ..operators import areas as R
 from ..operators import graph as G
 from ..operators import layouts as Y
 from ..operators import lines as L
@@ -219,15 +220,25 @@ def reveal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reveal_rank(G.distances(G.two_way(e), start, F.greatest("length_m", F.lit(1.0)), limit=1200.0).select("node", "cost"))
 
 
-@query(
+_WITHIN = (
     f"""SELECT e.edge_id FROM edges e JOIN nodes a ON e.u = a.node_id JOIN nodes b ON e.v = b.node_id
-    WHERE {hav("a.lon", "a.lat", "90.41E0", "23.81E0")} <= 6000 AND {hav("b.lon", "b.lat", "90.41E0", "23.81E0")} <= 6000""",
-    ("nodes", "edges"),
+    WHERE {hav("a.lon", "a.lat", "90.41E0", "23.81E0")} <= 6000 AND {hav("b.lon", "b.lat", "90.41E0", "23.81E0")} <= 6000"""
 )
+
+
+@query(_WITHIN, ("nodes", "edges"))
 def edges_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), 90.41, 23.81, 6000.0).select("edge_id")
 
 
+@query(_WITHIN, ("nodes", "edges"))
+def edges_within_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a graph that is sorted along a curve, by intervals of its key."""
+    folder = scratch(spark)
+    R.write_graph_by_curve(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), folder)
+    return R.edges_in_disc(spark, folder, 90.41, 23.81, 6000.0).select("edge_id")
+
+
 @query(
     f"""SELECT zone, lon, lat, node FROM (
       SELECT z.zone, round(n.lon, 6) AS lon, round(n.lat, 6) AS lat, n.node_id AS node, row_number() OVER (PARTITION BY z.zone ORDER BY {hav("z.lon", "z.lat", "n.lon", "n.lat")}, n.node_id) AS r

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..materialise import scratch
 from ..operators import history as H
 from ..operators.aggregates import majority
+from ..streaming.history_state import HistoryState
 from . import adapters as A
 from .registry import query, rounded
 
@@ -107,18 +109,39 @@ def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sessions(_thinned(spark, sf_dir), 90)
 
 
-@query(
+_PROFILE = (
     _CAPS + """, sums AS (SELECT r.edge_id, c.weekend, c.minute // 60 AS hour, sum(r.level) AS s FROM readings r JOIN caps c USING (ts) GROUP BY GROUPING SETS ((1), (1, 2, 3))),
     sizes AS (SELECT weekend, minute // 60 AS hour, count(*) AS n FROM caps GROUP BY GROUPING SETS ((), (1, 2)))
     SELECT edge_id, CAST(s.weekend AS INTEGER) AS weekend, CAST(s.hour AS INTEGER) AS hour, n, round(s / n, 6) AS mean_level
-    FROM sums s JOIN sizes z ON s.weekend IS NOT DISTINCT FROM z.weekend AND s.hour IS NOT DISTINCT FROM z.hour""",
-    ("readings",),
+    FROM sums s JOIN sizes z ON s.weekend IS NOT DISTINCT FROM z.weekend AND s.hour IS NOT DISTINCT FROM z.hour"""
 )
+
+
+@query(_PROFILE, ("readings",))
 def hour_profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.readings(spark, sf_dir)
     return H.hour_profile(r, H.captures_of(r)).withColumns({"mean_level": rounded("mean_level"), "weekend": F.col("weekend").cast("int")})
 
 
+@query(_PROFILE, ("readings",))
+def hour_profile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profile from kept sums: three batches of captures, one of them twice."""
+    r = A.readings(spark, sf_dir)
+    state = HistoryState(spark, scratch(spark))
+    for number in (0, 1, 1, 2):
+        state.fold(r.where(F.pmod(F.dayofyear("ts"), F.lit(3)) == number), number)
+        if number == 1:
+            state.compact()
+    return state.profile().withColumns({"mean_level": rounded("mean_level"), "weekend": F.col("weekend").cast("int")})
+
+
+@query(_CAPS + _SPLIT + _SAME + " SELECT asked, ts, CAST(gap AS INTEGER) AS gap FROM same", ("readings",))
+def as_of_same_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest earlier capture of the time of day, from one sorted stream."""
+    _, train, asked = _parts(spark, sf_dir)
+    return H.as_of_captures(train, asked).withColumn("gap", F.col("gap").cast("int"))
+
+
 @query(_CAPS + _SPLIT + " SELECT part, count(*) AS captures, min(ts) AS first, max(ts) AS last FROM parted GROUP BY part", ("readings",))
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = H.with_split(H.captures_of(A.readings(spark, sf_dir)))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, traffic
+from ..materialise import scratch
 from ..operators import history as H
 from ..operators import layers as Y
 from ..operators import lines as L
+from ..operators import sketches as K
 from ..operators import tiles as T
+from ..sources import quarters as U
 from . import adapters as A
 from .columns import _DELAY
 from .history_queries import _CAPS
@@ -146,3 +149,33 @@ def dense_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.readings(spark, sf_dir)
     d = H.dense_levels(r, r.select("edge_id").distinct(), H.captures_of(r))
     return d.groupBy("ts").agg(F.count("*").alias("roads"), F.sum("level").alias("levels"), F.sum("painted").alias("painted"))
+
+
+_RANKS = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+@query(
+    f"""SELECT event_type, q AS rank, count(value) AS n, true AS within FROM events, (VALUES {", ".join(f"({r}E0)" for r in _RANKS)}) t(q)
+    WHERE value IS NOT NULL GROUP BY 1, 2"""
+)
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches kept by day and put together: whether their true ranks,
+    counted, are within one in a hundred."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("day"), "event_type", "value")
+    K.keep_by_day(K.sketch(e, ["day", "event_type"], "value"), folder := scratch(spark))
+    found = K.quantiles(K.over_days(spark, folder, None, None, ["event_type"]), list(_RANKS))
+    errors = K.rank_errors(found.select("event_type", "n", "rank", "value"), e, ["event_type"], "value")
+    return errors.select("event_type", "rank", "n", (F.col("error") <= 0.01).alias("within"))
+
+
+@query(
+    f""", placed AS (SELECT CAST(least(greatest(floor((lon - {A.BOX["west"]}E0) / ({A.BOX["east"]}E0 - {A.BOX["west"]}E0) * 4096), 0), 4095) AS BIGINT) AS x,
+      CAST(least(greatest(floor((lat - {A.BOX["south"]}E0) / ({A.BOX["north"]}E0 - {A.BOX["south"]}E0) * 4096), 0), 4095) AS BIGINT) AS y FROM nodes),
+    counts AS (SELECT level, x >> (12 - level) AS x, y >> (12 - level) AS y, count(*) AS n FROM placed, range(13) t(level) GROUP BY ALL)
+    SELECT CAST(c.level AS INTEGER) AS level, c.x, c.y, c.n FROM counts c LEFT JOIN counts p ON p.level = c.level - 1 AND p.x = c.x >> 1 AND p.y = c.y >> 1
+    WHERE (c.n <= 20 OR c.level = 12) AND (p.n IS NULL OR p.n > 20)""",
+    ("nodes",),
+)
+def quartered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box quartered until no part has more than twenty junctions."""
+    return U.quartered(A.nodes(spark, sf_dir), A.BOX, 20)
