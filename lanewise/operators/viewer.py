@@ -4,10 +4,7 @@ comes from, what to load next, and whether a request may run."""
 from __future__ import annotations
 
 import re
-import shutil
-import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,8 +13,6 @@ from pyspark.sql.window import Window
 
 #: Captures that are loaded ahead of the one shown.
 AHEAD = 60
-#: The narrowest part of a timeline that can be shown.
-LEAST_WINDOW = 0.002
 # Tasks of a simulation with the ranges of their numbers, whether
 # whole, and the values of their choices; each with the default.
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -96,14 +91,6 @@ def frames_ahead(captures: DataFrame, at: str, most: int = AHEAD) -> DataFrame:
     return later.withColumn("step", F.row_number().over(w)).where(F.col("step") <= most).select("name", "step")
 
 
-def zoomed(low: float, high: float, factor: float, pointer: float = 0.5) -> tuple[float, float]:
-    """A window of a timeline in [0, 1], made narrower or wider about a point of it."""
-    width = min(1.0, max(LEAST_WINDOW, (high - low) * factor))
-    held = low + (high - low) * min(1.0, max(0.0, pointer))
-    start = min(1.0 - width, max(0.0, held - (held - low) / max(high - low, 1e-12) * width))
-    return start, start + width
-
-
 def simulated_frame(frame: DataFrame, lines: DataFrame, levels: DataFrame) -> DataFrame:
     """``frame(line, code)`` with the levels of one step painted over: a line takes
     the worst level of its edges and stays observed or predicted as it is.
@@ -125,16 +112,6 @@ def junction_style(facts: DataFrame) -> DataFrame:
     return facts.select("node", (F.least("degree", F.lit(8)) / 8.0).alias("by_degree"), (F.col("best_class") / 8.0).alias("by_class"))
 
 
-def progress(steps: list[dict], budget: dict[str, float], overhead: float = 0.0, other: float = 6.0) -> float:
-    """Share of a run that is done, by the seconds that its steps usually take; a
-    running step never counts whole, and a run never does before its end."""
-    done = 0.0
-    for s in steps:
-        cost = budget.get(s["name"], other)
-        done += cost if s["status"] == "completed" else min(s.get("spent", 0.0), 0.95 * cost) if s["status"] == "in_progress" else 0.0
-    return min(0.99, max(0.0, done / max(overhead + sum(budget.values()), 1e-9)))
-
-
 def safe_layer(key: str) -> str | None:
     """The path of a layer below its root, or None for anything else: a relative
     name ending in .geojson without steps upwards."""
@@ -142,52 +119,3 @@ def safe_layer(key: str) -> str | None:
     parts = rest.split("/")
     sound = root == "output" or re.fullmatch(r"capture:[A-Za-z0-9_.-]+", root) and ".." not in root
     return key if sound and rest.endswith(".geojson") and all(p not in ("", ".", "..") and "\\" not in p for p in parts) else None
-
-
-def disk_check(path: str, least_free_gb: float) -> dict[str, Any]:
-    """Whether a local folder has room for a capture."""
-    free = shutil.disk_usage(path).free / 1e9
-    return {"ok": free >= least_free_gb, "free_gb": round(free, 2), "detail": f"{free:.1f} GB free, {least_free_gb} needed"}
-
-
-@dataclass
-class Settled:
-    """Serves the last complete build of some inputs and builds again once they
-    have kept still; a build that failed isn't tried again at once.
-
-    ``stamp()`` describes the inputs (None: some are missing), ``build()`` makes
-    what is served. The first build waits for nothing."""
-
-    stamp: Callable[[], Any]
-    build: Callable[[], Any]
-    still_s: float = 1.5
-    retry_s: float = 5.0
-    clock: Callable[[], float] = time.monotonic
-    served: Any = None
-    built_of: Any = None
-    error: str = ""
-    _changed: tuple | None = field(default=None, repr=False)
-    _failed: tuple | None = field(default=None, repr=False)
-
-    def get(self) -> Any:
-        state, now = self.stamp(), self.clock()
-        if state is None:
-            self.error = "inputs are missing"
-            return self.served
-        if state == self.built_of:
-            self._changed, self.error = None, ""
-            return self.served
-        if self.built_of is not None:
-            if self._changed is None or self._changed[0] != state:
-                self._changed = (state, now)
-            if now - self._changed[1] < self.still_s:
-                return self.served
-        if self._failed is None or self._failed[0] != state or now - self._failed[1] >= self.retry_s:
-            try:
-                self.served, self.built_of, self.error = self.build(), state, ""
-            except Exception as e:
-                self._failed, self.error = (state, now), f"{type(e).__name__}: {e}"
-        return self.served
-
-    def info(self) -> dict[str, Any]:
-        return {"ready": self.built_of is not None, "stale": self._changed is not None, "error": self.error}

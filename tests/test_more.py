@@ -241,44 +241,11 @@ def test_what_a_viewer_shows(spark):
     assert sorted(map(tuple, V.simulated_frame(frame, edges, step).collect())) == [(1, 3), (2, 4), (3, 5)]
 
 
-def test_zoom_progress_paths_and_room(tmp_path):
+def test_paths_of_layers():
     from lanewise.operators import viewer as V
 
-    assert V.zoomed(0.0, 1.0, 0.5) == (0.25, 0.75) and V.zoomed(0.4, 0.6, 100) == (0.0, 1.0)
-    a, b = V.zoomed(0.2, 0.6, 0.5, 0.25)
-    assert (a, b) == pytest.approx((0.25, 0.45)) and V.zoomed(0.0, 0.1, 2, 0.0)[0] == 0.0
-    assert V.zoomed(0.5, 0.5001, 0.5)[1] - V.zoomed(0.5, 0.5001, 0.5)[0] == pytest.approx(V.LEAST_WINDOW)
-    budget = {"fetch": 50.0, "decode": 30.0}
-    steps = [{"name": "fetch", "status": "completed"}, {"name": "decode", "status": "in_progress", "spent": 999.0}]
-    assert V.progress(steps, budget, 20.0) == pytest.approx(0.785) and V.progress(steps[:1] * 9, budget) == 0.99 and V.progress([], budget) == 0.0
     assert V.safe_layer("output/layers/a.geojson") and V.safe_layer("capture:dhaka-1/a.geojson")
     assert not any(V.safe_layer(k) for k in ("output/../a.geojson", "output/a.json", "other/a.geojson", "capture:../a.geojson", "output//a.geojson", "output/a\\..\\b.geojson", ""))
-    assert V.disk_check(str(tmp_path), 0.0)["ok"] and not V.disk_check(str(tmp_path), 1e9)["ok"]
-
-
-def test_a_settled_build_waits_and_retries():
-    from lanewise.operators.viewer import Settled
-
-    now, state, built = [0.0], [None], []
-
-    def build():
-        if state[0] == "bad":
-            raise ValueError("broken")
-        built.append(state[0])
-        return state[0]
-
-    s = Settled(lambda: state[0], build, clock=lambda: now[0])
-
-    def at(t, x):
-        now[0], state[0] = t, x
-        return s.get()
-
-    assert at(0, None) is None and s.info()["error"] == "inputs are missing"
-    assert at(1, "one") == "one" and built == ["one"]
-    assert at(2, "two") == "one" and s.info()["stale"]
-    assert at(3, "three") == "one" and at(4, "three") == "one" and at(4.6, "three") == "three" and built == ["one", "three"]
-    assert at(5, "bad") == "three" and at(7, "bad") == "three" and "broken" in s.info()["error"]
-    assert at(8, "bad") == "three" and at(8.1, None) == "three" and at(20, "three") == "three" and s.info() == {"ready": True, "stale": False, "error": ""}
 
 
 def test_styles_and_cached_samples(spark, tmp_path):
