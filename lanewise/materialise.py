@@ -18,8 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder there."""
-    return f"{shared_folder(spark)}/lanewise-{uuid.uuid4().hex}"
+    """The name of a new folder there, for tables that a result reads. It goes when
+    the driver ends, if nothing has removed it before."""
+    top = f"{shared_folder(spark)}/lanewise-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{top}/t"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The graph is broadcast as flat arrays after a check of its size; journeys are
 spread over the executors and each task searches its own. A graph over the
-limit is searched by rounds of relaxation on the edge table instead
-(``graph.distances``), one journey origin at a time.
+limit is searched as joins on the edge table instead, for all origins at once
+(``settle.routes_by_landmarks``).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Roads:
     def collect(cls, nodes: DataFrame, edges: DataFrame, most_edges: int = MOST_EDGES) -> Roads:
         """Bring a graph of checked size to the driver."""
         if (n := edges.count()) > most_edges:
-            raise ValueError(f"{n} edges are more than the {most_edges} that may be broadcast; use graph.distances")
+            raise ValueError(f"{n} edges are more than the {most_edges} that may be broadcast; use settle.routes_by_landmarks")
         p = nodes.select("node_id", "lon", "lat").toPandas().sort_values("node_id")
         e = edges.select("edge_id", "u", "v", "length_m", "free_flow_s", "capacity_vph").toPandas()
         ids = p["node_id"].to_numpy(np.int64)
