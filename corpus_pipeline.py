@@ -70,8 +70,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; Parquet between stages, in the shared
     checkpoint folder where the session names one. A stage's folder goes when the
-    next one's is written; the last, which the result reads, stays."""
+    next one's is written; the last, which the result reads, when the driver ends."""
     base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
