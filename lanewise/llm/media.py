@@ -261,6 +261,10 @@ VALIDATORS: dict[str, Callable[[bytes, int, Seen], int | None]] = {
 }
 
 
+#: Bytes that are widened or decoded at once, and the longest signature.
+CHUNK, REACH = 1 << 20, max(len(magic) for magic, *_ in MAGIC)
+
+
 def automaton():
     import ahocorasick
 
@@ -275,7 +279,8 @@ def media_in(value: bytes, signatures) -> list[tuple[str, int, int]]:
     """Validated media ``(type, start, length)``: the one at the first byte, if
     any, then those that start later, leftmost first, without overlaps."""
     whole, inner, past, seen = [], [], 0, Seen()
-    hits = sorted((end + 1 - back, kind) for end, (back, kind) in signatures.iter(value.decode("latin-1")))
+    # a piece at a time, with what a signature may reach into the next
+    hits = sorted({(at + end + 1 - back, kind) for at in range(0, len(value), CHUNK) for end, (back, kind) in signatures.iter(value[at : at + CHUNK + REACH].decode("latin-1"))})
     for start, kind in hits:
         if start < 0 or (start and start < past) or (not start and whole):
             continue
@@ -354,11 +359,13 @@ def read_wave(stored: bytes, signatures) -> bytes:
 def wave_features(samples: bytes) -> str:
     """Whole-number features: count, sum, sum of squares, least, most, crossings
     of the middle, then counts of samples in eight equal ranges."""
-    x = np.frombuffer(samples, np.uint8)
-    up = x >= 128
-    wide = x.astype(np.int64)
-    bands = np.bincount(x >> 5, minlength=8)
-    numbers = [len(x), wide.sum(), (wide * wide).sum(), x.min(), x.max(), (up[1:] != up[:-1]).sum(), *bands]
+    x, counts, crossings = np.frombuffer(samples, np.uint8), np.zeros(256, np.int64), 0
+    for at in range(0, len(x), CHUNK):
+        part = x[at : at + CHUNK + 1]  # and the first of the next
+        counts += np.bincount(part[:CHUNK], minlength=256)
+        crossings += int(((part[1:] ^ part[:-1]) >= 128).sum())
+    level, some = np.arange(256), np.flatnonzero(counts)
+    numbers = [len(x), counts @ level, counts @ (level * level), some[0], some[-1], crossings, *counts.reshape(8, 32).sum(axis=1)]
     return f"wav/{RATE}/1/8;" + ",".join(str(int(n)) for n in numbers)
 
 

@@ -15,6 +15,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, map_batches, map_rows
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -139,14 +141,15 @@ def responses_from_warc(files: DataFrame, path_col: str = "path", content_col: s
 
     ``key`` is the path and the record's number in it. Ids, dates and headers are
     the crawl's own; records of other types are left out; null content has none.
+    Damaged records and members are skipped, and ``damage_in_warc`` lists them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out, held = [], 0
-                for n, (head, block) in enumerate(parse(content or b"")):
-                    if head.get("WARC-Type") != "response":
+                for n, (head, block, _) in enumerate(read_records(content or b"")):
+                    if head.get("WARC-Type") != "response" or lacking(head):
                         continue
                     headers, _, payload = block.partition(b"\r\n\r\n")
                     row = (f"{path}#{n}", head["WARC-Record-ID"], head.get("WARC-Target-URI", ""), head["WARC-Date"], headers.decode("utf-8", "replace"), payload)
@@ -214,21 +217,157 @@ def serialise(record: dict, compress: bool = True) -> bytes:
     return gzip.compress(data, mtime=0) if compress else data
 
 
+def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes | str]:
+    """A WARC file's bytes in pieces of ``size`` at most, gzip members one by one; a
+    text says what is wrong with a member, after which the next one is looked for."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), size):
+            yield data[at : at + size]
+        return
+    at = 0
+    while at < len(data):
+        member, rest = zlib.decompressobj(31), memoryview(data)[at:]
+        fed = 0
+        try:
+            while not member.eof and (fed < len(rest) or member.unconsumed_tail):
+                given = member.unconsumed_tail or rest[fed : fed + size]
+                fed += 0 if member.unconsumed_tail else len(given)
+                if out := member.decompress(given, size):
+                    yield out
+            if not member.eof:
+                yield "the file is cut off"
+                return
+            at += fed - len(member.unused_data)
+        except zlib.error as e:
+            yield f"damaged member: {e}"
+            at += 2
+        at = data.find(b"\x1f\x8b\x08", at)
+        if at < 0:
+            return
+
+
+def header_fields(text: str) -> dict[str, str]:
+    """Named fields: a line that begins with a blank goes on with the one before it,
+    lines without a colon say nothing."""
+    out: dict[str, str] = {}
+    name = None
+    for line in text.split("\r\n"):
+        if line[:1] in (" ", "\t"):
+            if name:
+                out[name] = f"{out[name]} {line.strip()}".strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip() if colon else None
+        if name:
+            out[name] = value.strip()
+    return out
+
+
+def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Records of a WARC file: headers, block and None; for what isn't one, no
+    headers, no block and what is wrong. Reading goes on where the next record
+    begins. No more than a record and a piece of the file is held inflated."""
+    pieces = inflated(data)
+    held, at, over = bytearray(), 0, False
+    wrong: list[str] = []
+
+    def have(n: int) -> bool:
+        """Read on until ``n`` bytes lie after ``at``."""
+        nonlocal over, at
+        while len(held) - at < n and not over and not wrong:
+            piece = next(pieces, None)
+            if piece is None:
+                over = True
+            elif isinstance(piece, str):
+                wrong.append(piece)
+            else:
+                if at > 1 << 20:
+                    del held[:at]
+                    at = 0
+                held.extend(piece)
+        return len(held) - at >= n
+
+    def skip(reason: str) -> tuple[dict, bytes, str]:
+        """To the next line that only a record begins with."""
+        nonlocal at
+        at += 1
+        while True:
+            if found := _VERSION.search(held, at):
+                at = found.start()
+                break
+            n = len(held) - at
+            if not have(n + 1):
+                at = len(held)
+                break
+            at += max(0, n - 16)
+        return {}, b"", reason
+
+    while True:
+        if wrong and len(held) - at == 0:
+            yield {}, b"", wrong.pop()
+            continue
+        if not have(1) and not wrong:
+            return
+        if held[at : at + 2] == b"\r\n":  # between records
+            at += 2
+            continue
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + max(0, seen - 3))) < 0:
+            seen = len(held) - at
+            if not have(seen + 1):
+                break
+        if end < 0 and wrong:  # what a damaged member has begun
+            del held[at:]
+            continue
+        if not held.startswith(b"WARC/", at) or end < 0:
+            yield skip("no record begins here" if end >= 0 else "the file is cut off")
+            continue
+        head = header_fields(held[at:end].decode("utf-8", "replace").partition("\r\n")[2])
+        length = head.get("Content-Length", "")
+        if not length.isdecimal():
+            yield skip("a record without its length")
+            continue
+        size = end + 4 - at + int(length)
+        if not have(size):
+            if wrong:
+                del held[at:]
+            else:
+                yield {}, b"", "the file is cut off"
+                return
+            continue
+        begin = at + size - int(length)
+        yield head, bytes(held[begin : at + size]), None
+        at += size
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of a WARC file's bytes: headers and block. Stops with an error
     at bytes that aren't a record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        start, n = end + 4, int(head["Content-Length"])
-        yield head, data[start : start + n]
-        at = start + n + 4
+    for n, (head, block, wrong) in enumerate(read_records(data)):
+        if wrong:
+            raise ValueError(f"record {n}: {wrong}")
+        yield head, block
+
+
+def damage_in_warc(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """What ``responses_from_warc`` leaves out: ``(path, number, reason)``, ``number``
+    counting records and gaps alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(path, n, why) for n, (head, _, wrong) in enumerate(read_records(content or b"")) if (why := wrong or lacking(head))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string()))], ["path", "number", "reason"])
+
+    picked = files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content"))
+    return map_rows(picked, run, "path string, number bigint, reason string")
+
+
+def lacking(head: dict[str, str]) -> str | None:
+    """Why a response can't be used: it has no id or no date."""
+    gone = [k for k in ("WARC-Record-ID", "WARC-Date") if not head.get(k)] if head.get("WARC-Type") == "response" else []
+    return f"a response without {gone[0]}" if gone else None
 
 
 def packed(records: DataFrame, compress: bool = True) -> DataFrame:

@@ -155,3 +155,38 @@ def test_media_inside_a_text_are_carved(spark):
     got = {r.id: r.carved for r in M.text_as_media(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     one, kind = len(PDF), "application/pdf"
     assert got == {1: f"{kind}:4:{one},{kind}:{4 + one + 5}:{one}", 2: f"{kind}:0:{one}", 3: "", 4: "", 5: f"{kind}:2:{one}"}
+
+
+def test_features_in_chunks(monkeypatch):
+    """By plain loops, over chunks of any size, and in memory that a text doesn't set."""
+    import random
+    import tracemalloc
+
+    from lanewise.llm import media as M
+
+    r = random.Random(1)
+    for n in (1, 2, 63, 64, 65, 500):
+        x = bytes(r.choice([0, 127, 128, 255, r.randrange(256)]) for _ in range(n))
+        bands = [sum(v // 32 == k for v in x) for k in range(8)]
+        want = [n, sum(x), sum(v * v for v in x), min(x), max(x), sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:])), *bands]
+        for chunk in (1, 7, 64, 1 << 20):
+            monkeypatch.setattr(M, "CHUNK", chunk)
+            assert M.wave_features(x).split(";")[1] == ",".join(map(str, want))
+    monkeypatch.setattr(M, "CHUNK", 1 << 20)
+    x = bytes(60_000_000)
+    tracemalloc.start()
+    M.wave_features(x)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
+def test_signatures_over_the_ends_of_chunks(monkeypatch):
+    from lanewise.llm import media as M
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\x0dIHDR" + bytes(13) + bytes(4)
+    value = b"..GIF89a" + png * 3 + b"%PDF-1.4 PK\x03\x04 fLaC RIFF....WAVE OggS" + b"z" * 50
+    signatures = M.automaton()
+    whole = M.media_in(value, signatures)
+    for chunk in (1, 5, 8, 13):
+        monkeypatch.setattr(M, "CHUNK", chunk)
+        assert M.media_in(value, signatures) == whole

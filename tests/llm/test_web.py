@@ -249,6 +249,48 @@ def test_record_ids_follow_the_content(spark):
     assert len(got) == 12 and len({r.record_id for r in got}) == 10 and len({r.refers_to for r in got}) == 5
 
 
+def record_of(n, block=b"HTTP/1.1 200 OK\r\n\r\nbody", kind="response"):
+    return {"type": kind, "record_id": f"<urn:uuid:{n}>", "date": "2024-05-01T00:00:00Z", "target_uri": "http://a.test/", "refers_to": None, "block_digest": "", "content_type": "application/http", "block": block}
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_damaged_records_are_skipped_and_told(spark, compress):
+    import gzip
+
+    good = [W.serialise(record_of(n), compress) for n in range(4)]
+    odd = b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID:<urn:uuid:7>\r\nWARC-Date: 2024-05-01T00:00:00Z\r\nX: a\r\n folded: line\r\nno colon\r\nContent-Length:2\r\n\r\nhi\r\n\r\n"
+    no_length = b"WARC/1.0\r\nWARC-Type: response\r\n\r\nhello\r\n\r\n"
+    no_id = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Date: x\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    pack = gzip.compress if compress else bytes
+    cut = good[3][: len(good[3]) - 30]
+    data = good[0] + pack(no_length) + good[1] + pack(odd) + pack(no_id) + pack(b"rubbish\r\n\r\nmore") + good[2] + cut
+    df = spark.createDataFrame([("f", bytearray(data)), ("whole", bytearray(b"".join(good))), ("none", None), ("junk", bytearray(b"\x1f\x8b\x08junk" if compress else b"junk"))], "path string, content binary")
+    got = {(r.key.split("#")[0], r.record_id) for r in W.responses_from_warc(df).collect()}
+    assert got == {("f", f"<urn:uuid:{n}>") for n in (0, 1, 7, 2)} | {("whole", f"<urn:uuid:{n}>") for n in range(4)}
+    damage = sorted((r.path, r.reason) for r in W.damage_in_warc(df).collect())
+    assert [p for p, _ in damage] == ["f"] * 4 + ["junk"]
+    assert {"a record without its length", "a response without WARC-Record-ID", "the file is cut off"} <= {r for _, r in damage}
+    heads = {h["WARC-Record-ID"]: h for h, _, wrong in W.read_records(data) if not wrong and "WARC-Record-ID" in h}
+    assert heads["<urn:uuid:7>"]["X"] == "a folded: line"
+
+
+def test_members_are_inflated_one_by_one():
+    """A damaged member costs itself, one member may hold many records, and records
+    may be larger than the pieces that are read."""
+    import gzip
+
+    big = record_of(1, b"x" * 3_000_000)
+    broken = bytearray(W.serialise(record_of(2, bytes(range(256)) * 40)))
+    broken[40:60] = b"\xff" * 20
+    data = W.serialise(big) + bytes(broken) + gzip.compress(b"".join(W.serialise(record_of(n), False) for n in (3, 4)))
+    found = [(h.get("WARC-Record-ID"), len(b), bool(wrong)) for h, b, wrong in W.read_records(data)]
+    assert [f for f in found if not f[2]] == [("<urn:uuid:1>", 3_000_000, False)] + [(f"<urn:uuid:{n}>", 23, False) for n in (3, 4)] and any(f[2] for f in found)
+    pieces = [len(p) for p in W.inflated(gzip.compress(bytes(50_000_000)))]
+    assert sum(pieces) == 50_000_000 and max(pieces) <= 1 << 20
+    with pytest.raises(ValueError):
+        list(W.parse(b"nothing"))
+
+
 def test_responses_of_a_crawl_keep_their_headers(spark):
     head = "HTTP/1.1 404 Not Found\r\nServer: x\r\nContent-Type: text/html"
     block = head.encode() + b"\r\n\r\n<p>gone"
