@@ -7,6 +7,7 @@ reads will do.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,36 @@ def newest_captures(manifests: DataFrame, keep: int) -> DataFrame:
     return manifests.where(F.col("status").isin("ok", "partial")).orderBy(F.desc("ts"), F.desc("name")).limit(keep)
 
 
+def weight_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of edge weight tables (CSV, gzip or plain) with typed columns, those
+    of an older model (without ``method`` and ``hops``) beside those of the current
+    one, with their ``file`` and whether they are ``damaged``.
+
+    A row is of the model whose number of fields it has; it is damaged if it has
+    another number or a field that isn't of its type."""
+    columns = [c.split() for c in schemas.COMPLETE.split(", ")]
+    older = len(schemas.OBSERVED.split(", "))
+    raw = spark.read.schema(", ".join(f"{n} STRING" for n, _ in columns) + ", _raw STRING").option("header", True)
+    # all fields are read, or rows of the wrong number would not be seen
+    raw = raw.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False).csv(path)
+    odd = F.col("_raw").isNotNull() & (F.size(F.split("_raw", ",")) != older)
+    typed = {n: F.col(n).try_cast(t) for n, t in columns}
+    wrong = [F.col(n).isNotNull() & (F.col(n) != "") & typed[n].isNull() for n, t in columns if t != "STRING"]
+    return raw.select(*[typed[n].alias(n) for n, _ in columns], reduce(lambda x, y: x | y, wrong, odd).alias("damaged"), F.input_file_name().alias("file"))
+
+
 def read_weights(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Edge weight tables (CSV, gzip or plain) with typed columns; damaged rows
-    are skipped and only the columns asked for are parsed."""
-    df = spark.read.schema(schemas.COMPLETE).option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False).csv(path) if _complete(
-        spark, path
-    ) else spark.read.schema(schemas.OBSERVED).option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    return df.select(*columns) if columns else df
+    """Edge weight tables with typed columns, of either model or of both; damaged rows
+    are left out (``damaged_weights`` counts them)."""
+    rows = weight_rows(spark, path).where("NOT damaged")
+    if columns:
+        return rows.select(*columns)
+    return rows.drop("damaged", "file") if _complete(spark, path) else rows.select(*[c.split()[0] for c in schemas.OBSERVED.split(", ")])
+
+
+def damaged_weights(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, rows, damaged)`` of weight tables."""
+    return weight_rows(spark, path).groupBy("file").agg(F.count("*").alias("rows"), F.count_if("damaged").alias("damaged"))
 
 
 def weights_header(spark: SparkSession, path: str) -> list[str]:
@@ -50,8 +74,8 @@ def weights_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    """A table is of the current model only if it has ``hops``."""
-    return "hops" in weights_header(spark, path)
+    """A folder is of the current model if any of its tables has ``hops``."""
+    return "hops" in weights_header(spark, path) or not weight_rows(spark, path).where("hops IS NOT NULL").isEmpty()
 
 
 def read_history(spark: SparkSession, folders: list[str], prefix: str = "dhaka") -> DataFrame:

@@ -232,3 +232,22 @@ def test_every_edge_has_a_row(spark, capture):
     edges = road(spark, lons, LAT).unionByName(spark.createDataFrame([(9, None)], "edge_id bigint, geometry array<struct<lon:double,lat:double>>"))
     got = {r.edge_id: r for r in X.decode_capture(edges, S.read_tiles(spark, f"{root}/tiles", Z), Z).collect()}
     assert set(got) == {1, 2, 3, 9} and (got[9].cls, got[9].n_samples, got[9].source, got[9].coverage) == (0, 0, "none", 0.0)
+
+
+def test_weights_of_both_models_in_one_folder(spark, tmp_path):
+    from lanewise import schemas
+    from lanewise.sources import files as S
+
+    old, new = ([c.split()[0] for c in x.split(", ")] for x in (schemas.OBSERVED, schemas.COMPLETE))
+    row = ["2026-01-01T00:00:00Z", "7", "2", "55.0", "0", "1", "0", "0", "0.9", "0.55", "4", "observed"]
+    write = lambda name, head, rows: (tmp_path / name).write_text("\n".join(map(",".join, [head, *rows])) + "\n")
+    write("a.csv", old, [row, [*row[:1], "8", *row[2:]], row[:5], [*row[:3], "heavy", *row[4:]]])
+    write("b.csv", new, [[*row[:1], "9", *row[2:11], "predicted", "spread", "3"], [*row, "spread", "many"], [*row, "x", "1", "2", "3"]])
+    for _ in range(2):
+        got = S.read_weights(spark, str(tmp_path)).orderBy("edge_id")
+        assert got.columns == new
+        assert [(r.edge_id, r.weight, r.source, r.method, r.hops) for r in got.collect()] == [(7, 55.0, "observed", None, None), (8, 55.0, "observed", None, None), (9, 55.0, "predicted", "spread", 3)]
+        (tmp_path / "b.csv").rename(tmp_path / "0.csv") if (tmp_path / "b.csv").exists() else None
+    assert {r["file"][-5:]: (r["rows"], r["damaged"]) for r in S.damaged_weights(spark, str(tmp_path)).collect()} == {"a.csv": (4, 2), "0.csv": (3, 2)}
+    (tmp_path / "0.csv").unlink()
+    assert S.read_weights(spark, str(tmp_path)).columns == old
