@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import png
-from .decode import place_samples, sample_points, seen_classes, weights_of_votes
+from ..materialise import small_batches
+from .decode import LastImage, pack_by_tile, place_samples, sample_points, seen_classes, weights_of_votes
 from .graph import graph_id
 
 PACKED = "tx INT, ty INT, s ARRAY<STRUCT<edge_id: BIGINT, i: INT, j: INT>>"
@@ -60,8 +60,7 @@ def store_samples(
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         placed = place_samples(sample_points(edges, step_m, trim_m), zoom, tile_px, offset_px)
-        # bounded by a tile's roads
-        packed = placed.groupBy("tx", "ty").agg(F.collect_list(F.struct("edge_id", "i", "j")).alias("s"))
+        packed = pack_by_tile(placed, "edge_id", "i", "j")
         packed.repartition(buckets, "tx", "ty").write.mode("overwrite").option("path", f"{path}/packed").format("parquet").bucketBy(buckets, "tx", "ty").sortBy("tx", "ty").saveAsTable(name)
         counts = spark.table(name).select(F.explode("s.edge_id").alias("edge_id")).groupBy("edge_id").agg(F.count("*").cast("int").alias("n_samples"))
         counts.write.mode("overwrite").parquet(f"{path}/counts")  # last: its mark says that all is there
@@ -79,15 +78,16 @@ def tile_join(store: SampleStore, tiles: DataFrame) -> DataFrame:
 
 def tile_votes(store: SampleStore, tiles: DataFrame, window: int = 1) -> DataFrame:
     """``(capture, edge_id, some, c1, c2, c3, c4)`` of ``tiles(capture, x, y,
-    content)``: samples of a class for each road that shows one. Each tile is decoded
-    once; damaged ones show nothing."""
+    content)``: samples of a class for each road that shows one. A tile is decoded once
+    for each of its rows of samples, at most; damaged ones show nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image = LastImage()
         for batch in batches:
-            for capture, s, content in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            for capture, s, content in zip(batch.column(0), batch.column(1), batch.column(2)):
                 rows = s.values
                 edge, i, j = (rows.field(k).to_numpy() for k in range(3))
-                cls = seen_classes(png.decode(content), i, j, window)
+                cls = seen_classes(image(content.as_py()), i, j, window)
                 some = np.flatnonzero(cls)
                 if not len(some):
                     continue
@@ -97,6 +97,7 @@ def tile_votes(store: SampleStore, tiles: DataFrame, window: int = 1) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([capture.as_py()] * len(edges), pa.string()), pa.array(edges), *(pa.array(c) for c in counts)], ["capture", "edge_id", "c1", "c2", "c3", "c4"])
 
     joined = tile_join(store, tiles).select(F.col("capture").cast("string").alias("capture"), "s", "content")
+    small_batches(joined)
     each = joined.mapInArrow(run, "capture string, edge_id bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint")
     names = [f"c{k}" for k in (1, 2, 3, 4)]
     summed = each.groupBy("capture", "edge_id").agg(*[F.sum(c).alias(c) for c in names])
