@@ -17,3 +17,18 @@ def test_samples_of_one_tile_lie_in_rows_of_bounded_size(spark):
     for k, r in enumerate(rows):
         for x in r["s"]:
             assert homes.setdefault(x["edge_id"], k) == k
+
+
+def test_neighbours_hold_small_matrices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(0).normal(size=(2048, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2048)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "features"])
+    tracemalloc.start()
+    out = next(M.nearest_of_batches(iter([batch]), np.arange(2048), x, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6  # all by all are 34 MB and more
+    assert out.column(1).to_pylist()[::3] == list(range(2048)) and out.num_rows == 3 * 2048
