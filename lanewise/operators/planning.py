@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..materialise import cut
 from .graph import pair_key
 
 
@@ -99,16 +100,23 @@ def nobody_trapped(core: DataFrame, reach: DataFrame) -> DataFrame:
     return core.join(reach.select("node"), "node", "left_anti")
 
 
-def gaps_too_close(gaps: DataFrame, least_m: float = 400.0, cell_deg: float = 0.005) -> DataFrame:
-    """Pairs of closed gaps ``(key, lon, lat)`` nearer than ``least_m``: joined by
-    grid cell with its neighbours, so far pairs never meet."""
+def gaps_too_close(gaps: DataFrame, least_m: float = 400.0, cell_deg: float = 0.005, digits: int | None = None) -> DataFrame:
+    """Pairs of closed gaps ``(key, lon, lat)`` nearer than ``least_m``: places are
+    joined by grid cell with its neighbours, so far ones never meet. Distances (to
+    ``digits`` if given) are those of places, however many gaps lie at one."""
+    places = cut(gaps.select("lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").distinct())
     cell = {"cx": F.floor(F.col("lon") / cell_deg), "cy": F.floor(F.col("lat") / cell_deg)}
-    a = gaps.withColumns(cell)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = gaps.select(F.col("key").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).withColumn("o", F.explode(around))
+    b = places.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).withColumn("o", F.explode(around))
     b = b.withColumns({"cx": F.floor(F.col("lon2") / cell_deg) + F.col("o.i"), "cy": F.floor(F.col("lat2") / cell_deg) + F.col("o.j")}).drop("o")
     d = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return a.join(b, ["cx", "cy"]).where(F.col("key") < F.col("other")).withColumn("metres", d).where(F.col("metres") < least_m).select("key", "other", "metres")
+    near = places.withColumns(cell).join(b, ["cx", "cy"]).withColumn("metres", d).where(F.col("metres") < least_m)
+    near = near.select("lon", "lat", "lon2", "lat2", (F.col("metres") if digits is None else F.round("metres", digits)).alias("metres"))
+    other = gaps.select(F.col("key").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    half = near.join(gaps.select("key", "lon", "lat"), ["lon", "lat"]).select("key", "lon2", "lat2", "metres")
+    # a hash of a place's few gaps; the pairs are many and not sorted
+    met = half.join(other.hint("shuffle_hash"), (half["lon2"] == other["lon2"]) & (half["lat2"] == other["lat2"]) & (half["key"] < other["other"]))
+    return met.select("key", "other", "metres")
 
 
 def u_turns(edges: DataFrame, nodes: DataFrame, longest_m: float = 60.0, least_turn: float = 150.0) -> DataFrame:

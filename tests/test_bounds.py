@@ -32,3 +32,32 @@ def test_neighbours_hold_small_matrices():
     tracemalloc.stop()
     assert peak < 10e6  # all by all are 34 MB and more
     assert out.column(1).to_pylist()[::3] == list(range(2048)) and out.num_rows == 3 * 2048
+
+
+def test_gaps_at_one_place_are_measured_once(spark):
+    from lanewise.operators import planning as P
+
+    gaps = spark.range(600).select(F.col("id").alias("key"), (90.4 + (F.col("id") % 3) * 0.003).alias("lon"), F.lit(23.75).alias("lat"))
+    near = P.gaps_too_close(gaps, digits=2)
+    got = near.groupBy("metres").count().collect()
+    # 200 gaps at each of three places, 305 m from one to the next
+    assert sorted((r["metres"] > 0, r["count"]) for r in got if r["metres"] == 0) == [(False, 3 * 199 * 100)]
+    assert sum(r["count"] for r in got if r["metres"] > 0) == 2 * 200 * 200
+    assert all(abs(r["metres"] - 305.34) < 0.3 for r in got if r["metres"] > 0)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("key#") < plan.index("ASIN") and "ASIN" not in plan[: plan.index("Join")]  # no distance is left to the pairs
+
+
+def test_holdout_errors_of_one_search_equal_those_of_each(spark):
+    from lanewise.operators import graph as G
+
+    rng = np.random.default_rng(3)
+    ends = rng.integers(0, 150, (400, 2))
+    edges = spark.createDataFrame([(k, int(u), int(v)) for k, (u, v) in enumerate(ends)], "edge_id bigint, u bigint, v bigint")
+    painted = spark.createDataFrame([(int(k), int(rng.integers(0, 4))) for k in range(0, 400, 5)], "edge_id bigint, rung int")
+    got = {(r["repeat"], r["claim"]): tuple(r)[2:] for r in G.holdout_errors(edges, painted, 0.3, 2).collect()}
+    for seed in range(2):
+        kept, hidden = G.hide(painted, 0.3, seed)
+        for claim in ("nearest", "worst"):
+            assert got[seed, claim] == pytest.approx(tuple(G.spread_errors(G.spread(edges, kept, claim=claim), hidden).first()))
+    assert len(got) == 4
