@@ -210,14 +210,68 @@ def hide(painted: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFr
     return painted.where(~hidden), painted.where(hidden)
 
 
+def error_columns() -> list[Column]:
+    """Aggregates of the error ``e``."""
+    return [
+        F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
+        F.avg((F.col("e") == 0).cast("int")).alias("rung_accuracy"), F.avg((F.col("e") < 0).cast("int")).alias("too_green"),
+    ]
+
+
 def spread_errors(found: DataFrame, hidden: DataFrame) -> DataFrame:
     """Mean and root mean square error, share of right rungs, share too green."""
     truth = F.element_at(F.array(*[F.lit(x) for x in traffic.LADDER]), F.col("rung").cast("int") + 1)
     both = found.join(hidden.select("edge_id", truth.alias("truth")), "edge_id").withColumn("e", F.col("weight") - F.col("truth"))
-    return both.agg(
-        F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        F.avg((F.col("e") == 0).cast("int")).alias("rung_accuracy"), F.avg((F.col("e") < 0).cast("int")).alias("too_green"),
-    )
+    return both.agg(*error_columns())
+
+
+def junction_hops(edges: DataFrame, painted: DataFrame) -> DataFrame:
+    """``(node, bits, far)``: the bits of ``painted(edge_id, bits)`` that first reach a
+    junction after ``far`` hops. One search for up to 63 sets of painted edges: a
+    junction has one row a round, whatever the number of sets. As in
+    ``hops_by_rung``, only the two fronts before are left out."""
+    union = F.bit_or("bits").alias("bits")
+    steps = cut(two_way(edges.select("u", "v")).where("u <> v").distinct().select(F.col("u").alias("node"), F.col("v").alias("to")))
+    tables = Rounds(edges.sparkSession)
+    front = tables.keep(touching(edges).join(painted, "edge_id").groupBy("node").agg(union))
+    fronts, before, far = [front.withColumn("far", F.lit(0))], front.limit(0), 0
+    while not front.isEmpty():
+        far += 1
+        offers = front.join(steps, "node").select(F.col("to").alias("node"), "bits").groupBy("node").agg(union)
+        known = front.unionByName(before).groupBy("node").agg(F.bit_or("bits").alias("old"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("bigint"))))
+        before, front = front, tables.keep(offers.join(known, "node", "left").select("node", new.alias("bits")).where("bits <> 0"))
+        fronts.append(front.withColumn("far", F.lit(far)))
+    return tables.close(reduce(DataFrame.unionByName, fronts))
+
+
+def holdout_errors(edges: DataFrame, painted: DataFrame, share: float, seeds: int, claims: tuple[str, ...] = ("nearest", "worst"), per_rung: int = 1) -> DataFrame:
+    """``spread_errors`` of ``hide(painted, share, seed)`` for each seed and claim, in
+    one search: ``(repeat, claim, n, ...)``. Only hidden edges are given a weight."""
+    spark, rungs = edges.sparkSession, len(traffic.LADDER)
+    if seeds * rungs > 63:
+        raise ValueError(f"{seeds} repeats of {rungs} rungs are more than 63 bits")
+    painted = cut(painted.select("edge_id", F.col("rung").cast("int").alias("rung")).join(edges.select("edge_id"), "edge_id", "left_semi"))
+    split = [hide(painted, share, seed) for seed in range(seeds)]
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+    kept = reduce(DataFrame.unionByName, [k.select("edge_id", bit(F.lit(seed * rungs) + F.col("rung")).alias("bits")) for seed, (k, _) in enumerate(split)])
+    fronts = junction_hops(edges, kept.groupBy("edge_id").agg(F.bit_or("bits").alias("bits")))
+    hidden = cut(reduce(DataFrame.unionByName, [h.withColumn("repeat", F.lit(seed)) for seed, (_, h) in enumerate(split)]))
+    ends = touching(edges.join(hidden.select("edge_id"), "edge_id", "left_semi"))
+    every = F.explode(F.array(*map(F.lit, range(rungs)))).alias("rung")
+    met = hidden.select("edge_id", "repeat").join(ends, "edge_id").join(fronts, "node").select("edge_id", "repeat", "far", "bits", every)
+    met = met.where(F.col("bits").bitwiseAND(bit(F.col("repeat") * rungs + F.col("rung"))) != 0)
+    reach = met.groupBy("edge_id", "repeat", "rung").agg((F.min("far") + 1).alias("hops"))
+    level = F.greatest(F.col("rung") - traffic.rungs_lost(F.col("hops"), per_rung), F.lit(0))
+    orders = {"nearest": F.struct(-F.col("hops"), F.col("rung")), "worst": F.struct(level, -F.col("hops"))}
+    won = reach.groupBy("edge_id", "repeat").agg(*[F.max_by(level, orders[c]).alias(c) for c in claims])
+    weight = lambda rung: F.element_at(F.array(*[F.lit(x) for x in traffic.LADDER]), F.coalesce(rung, F.lit(0)).cast("int") + 1)
+    found = hidden.join(won, ["edge_id", "repeat"], "left").select(
+        "repeat", weight(F.col("rung")).alias("truth"), F.explode(F.array(*[F.struct(F.lit(c).alias("claim"), weight(F.col(c)).alias("weight")) for c in claims])).alias("x")
+    ).select("repeat", "x.claim", (F.col("x.weight") - F.col("truth")).alias("e"))
+    asked = spark.createDataFrame([(seed, c) for seed in range(seeds) for c in claims], "repeat int, claim string")
+    errors = found.groupBy("repeat", "claim").agg(*error_columns())
+    return asked.join(errors, ["repeat", "claim"], "left").na.fill(0, ["n"])
 
 
 def reachable(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:

@@ -89,14 +89,7 @@ def spread_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors on hidden edges, three times over, for two claims."""
     e = A.edges(spark, sf_dir)
-    painted = _painted(spark, sf_dir, e)
-    out = None
-    for seed in range(3):
-        kept, hidden = G.hide(painted, 0.2, seed)
-        for claim in ("nearest", "worst"):
-            row = G.spread_errors(G.spread(e, kept, claim=claim), hidden).select(F.lit(seed).alias("repeat"), F.lit(claim).alias("claim"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return G.holdout_errors(e, _painted(spark, sf_dir, e), 0.2, 3)
 
 
 _HUB = ", hub AS (SELECT 0 AS node)"
