@@ -171,3 +171,32 @@ def test_each_move_is_the_best_of_three(spark):
         run.share = share.copy()
         run.move(actual)
         assert hours[round(float(run.share[0]), 9)] == pytest.approx(min(hours.values()))
+
+
+def test_a_stretch_looks_at_the_roads_it_meets_only(spark, monkeypatch):
+    """No array of all roads is made for a stretch, and what is open is what lies in its circle."""
+    nodes, edges = lattice(spark, n=12)
+    roads = Roads.collect(nodes, edges)
+    run = Run(roads, np.zeros((0, 2), dtype=np.int64), np.ones(len(roads.edge_id), dtype=bool))
+    given = []
+    whole = Roads.shortest
+
+    def shortest(self, a, b, cost, shut=None):
+        open_ = np.array([not shut(k) for k in range(len(cost))])
+        i, j = self.place[a], self.place[b]
+        away = np.hypot(self.x[self.head] - (self.x[i] + self.x[j]) / 2, self.y[self.head] - (self.y[i] + self.y[j]) / 2)
+        row = (self.tail == i) & (self.head == j)
+        assert (open_ == ((away <= 800 + self.length[row].sum() / 2) & ~row)).all() and 0 < open_.sum() < len(cost) - 1
+        given.append(cost)
+        return whole(self, a, b, cost, shut)
+
+    monkeypatch.setattr(Roads, "shortest", shortest)
+    load = roads.capacity * 0.25
+    load[[0, 40, 90]] = roads.capacity[[0, 40, 90]]
+    found = list(run.jams(load))
+    assert len(found) == 3 and len({id(c) for c in given}) == 1
+    cost = given[0]
+    for row, way in found:
+        # the cheapest of the ways that are open
+        assert roads.tail[way[0]] == roads.tail[row[0]] and roads.head[way[-1]] == roads.head[row[-1]] and not set(row) & set(way)
+        assert cost[way].sum() >= 2 * roads.free_s.min()
