@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import traffic
 from ..materialise import Rounds, cut
+from .settle import dealt
 
 METHODS = ("observed", "adjacent", "spread", "assumed_clear")
 #: Fronts that are kept apart before they are put together.
@@ -278,16 +279,19 @@ def reachable(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataF
     """``(node, hops)`` of all nodes that ``start(node)`` reaches, or that reach it.
 
     What was reached is a log of fronts; it is put together every few rounds, so a
-    round writes its own front only."""
+    round writes its own front only. Steps are dealt by junction once and stay where
+    they are; fronts and what was reached are shuffled to each other and never
+    broadcast, as they grow with the graph and would come through the driver."""
     step = edges.select(F.col("u").alias("node"), F.col("v").alias("to")) if forward else edges.select(F.col("v").alias("node"), F.col("u").alias("to"))
-    step = cut(step.distinct())
+    step = dealt(step.distinct(), "node")
     tables = Rounds(edges.sparkSession)
     front = tables.keep(start.select("node", F.lit(0).alias("hops")))
     log, hop = [front], 0
     while True:
         hop += 1
         seen = reduce(DataFrame.unionByName, log)
-        front = tables.keep(front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        next_ = front.hint("shuffle_hash").join(step, "node").select(F.col("to").alias("node")).distinct()
+        front = tables.keep(next_.join(seen.hint("merge"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             return tables.close(seen)
         log = [tables.keep(seen.unionByName(front))] if len(log) == LOG else [*log, front]
@@ -295,7 +299,8 @@ def reachable(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataF
 
 def core(edges: DataFrame, hub: DataFrame) -> DataFrame:
     """Nodes that the hub reaches and that reach it."""
-    return reachable(edges, hub).select("node").intersect(reachable(edges, hub, forward=False).select("node"))
+    ahead, behind = (reachable(edges, hub.select("node").distinct(), forward).select("node") for forward in (True, False))
+    return ahead.join(behind.hint("merge"), "node", "left_semi")
 
 
 def busiest_node(edges: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def layout_edges(edges: DataFrame, options: DataFrame, layout: DataFrame) -> Dat
 
 def nobody_trapped(core: DataFrame, reach: DataFrame) -> DataFrame:
     """Nodes of the core that are no longer reached; empty if the rule holds."""
-    return core.join(reach.select("node"), "node", "left_anti")
+    return core.join(reach.select("node").hint("merge"), "node", "left_anti")
 
 
 def gaps_too_close(gaps: DataFrame, least_m: float = 400.0, cell_deg: float = 0.005, digits: int | None = None) -> DataFrame:

@@ -138,3 +138,21 @@ def test_fingerprint_ignores_order(spark):
     df = edges(spark, chain(20)).withColumn("length_m", F.col("edge_id") * 1.5)
     assert G.graph_id(df).first() == G.graph_id(df.repartition(5)).first()
     assert G.graph_id(df).first() != G.graph_id(df.where("edge_id > 0")).first()
+
+
+def test_what_is_reached_is_never_broadcast(spark):
+    """Tables that grow with the graph don't come through the driver."""
+    from lanewise.operators import planning as P
+
+    seen, keep = [], G.Rounds.keep
+    G.Rounds.keep = lambda self, df: seen.append(df) or keep(self, df)
+    try:
+        e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (4, 0)], "u bigint, v bigint")
+        hub = spark.createDataFrame([(0,)], "node bigint")
+        core = G.core(e, hub)
+        left = P.nobody_trapped(core, G.reachable(e.where("u <> 1"), hub))
+    finally:
+        G.Rounds.keep = keep
+    assert sorted(r.node for r in core.collect()) == [0, 1, 2] and [r.node for r in left.collect()] == [2]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*seen, core, left]]
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
