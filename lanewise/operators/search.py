@@ -45,7 +45,7 @@ class Roads:
     def collect(cls, nodes: DataFrame, edges: DataFrame, most_edges: int = MOST_EDGES) -> Roads:
         """Bring a graph of checked size to the driver."""
         if (n := edges.count()) > most_edges:
-            raise ValueError(f"{n} edges are more than the {most_edges} that may be broadcast; use graph.distances or settle.routes_both_ways")
+            raise ValueError(f"{n} edges are more than the {most_edges} that may be broadcast; use graph.distances, settle.routes_both_ways or corridors.assign_runs")
         p = nodes.select("node_id", "lon", "lat").toPandas().sort_values("node_id")
         e = edges.select("edge_id", "u", "v", "length_m", "free_flow_s", "capacity_vph").toPandas()
         ids = p["node_id"].to_numpy(np.int64)
