@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, traffic
-from .demand import assign, gravity, sample_trips, trip_minutes, vehicle_hours
+from ..materialise import cut
+from .corridors import assign_runs, volumes
+from .demand import gravity, sample_trips, trip_minutes
 from .search import Roads
 
 MEASURES = "run string, vehicle_hours double, over_capacity long, mean_trip_minutes double, routed long, unreachable long"
@@ -25,39 +27,41 @@ def zone_demand(nodes: DataFrame, edges: DataFrame, levels: DataFrame, zones: Da
     return sample_trips(gravity(weighted), trips, seed)
 
 
-def background(roads: Roads, levels: DataFrame) -> np.ndarray:
-    """Vehicles per edge position that levels stand for; unlisted roads are clear."""
-    now = {r["edge_id"]: r["level"] for r in levels.where("level > 0").select("edge_id", "level").collect()}
-    return np.array([traffic.LEVEL_LOAD[now.get(int(e), 0)] for e in roads.edge_id]) * roads.capacity
-
-
 def run_city(nodes: DataFrame, edges: DataFrame, levels: DataFrame, trips: DataFrame, batches: int = 10) -> tuple[DataFrame, DataFrame]:
     """Measures before, all at once and in batches; and per touched road its level
     after each batch: ``(batch, edge_id, level)``.
 
-    ``trips(trip, origin, destination, vehicles)`` come on top of the levels' load."""
-    roads = Roads.collect(nodes, edges)
+    ``trips(trip, origin, destination, vehicles)`` come on top of the levels' load;
+    unlisted roads are clear. The graph stays a table (``corridors.assign_runs``)."""
     spark = edges.sparkSession
-    base = background(roads, levels)
+    level = levels.groupBy("edge_id").agg(F.max("level").alias("level"))
+    held = traffic.actual_load(F.coalesce("level", F.lit(0)), F.col("capacity_vph"))
+    places = nodes.select("node_id")
+    base = edges.join(level, "edge_id", "left").join(places.withColumnRenamed("node_id", "u"), "u", "left_semi").join(places.withColumnRenamed("node_id", "v"), "v", "left_semi")
+    base = cut(base.select("edge_id", "u", "v", "free_flow_s", "capacity_vph", held.alias("background")))
+    touched: list[tuple[int, int, float]] = []
+
+    def frame(b: int, loads: dict[str, dict[int, float]]) -> None:
+        if b < batches:
+            touched.extend((b, int(k), float(x)) for k, x in loads["in batches"].items() if x > 0)
+
     total = trips.count()
-    rows, frames = [], []
-
-    def over(v: np.ndarray) -> int:
-        return int(((roads.capacity > 0) & (v > roads.capacity)).sum())
-
-    rows.append(("before", round(vehicle_hours(roads, base), 4), over(base), 0.0, 0, 0))
-    for name, n in (("all at once", 1), ("in batches", batches)):
-        def frame(b: int, v: np.ndarray, keep: bool = n > 1) -> None:
-            if keep:
-                vc = v / np.maximum(roads.capacity, 1e-9)
-                level = np.searchsorted([0.4, 0.7, 0.95], vc, side="right")
-                frames.extend((b, int(roads.edge_id[k]), int(level[k])) for k in np.flatnonzero(v > base))
-
-        routed, volume = assign(trips, roads, n, base, frame)
-        loads = spark.createDataFrame([(int(k), float(x)) for k, x in zip(roads.edge_id, volume)], "edge_id bigint, volume double")
-        took = trip_minutes(edges, loads, routed).first()
-        rows.append((name, round(vehicle_hours(roads, volume), 4), over(volume), round(took["mean_trip_minutes"] or 0.0, 4), took["trips"], total - took["trips"]))
-    return spark.createDataFrame(rows, MEASURES), spark.createDataFrame(frames, "batch int, edge_id bigint, level int")
+    routed, loads = assign_runs(base, trips, {"all at once": 1, "in batches": batches}, after_batch=frame)
+    rows = []
+    for name, load in (("before", {}), *loads.items()):
+        at = base.join(F.broadcast(volumes(base, load)), "edge_id", "left")
+        at = at.withColumn("volume", F.col("background") + F.coalesce("volume", F.lit(0.0))).drop("background")
+        time = traffic.bpr_time(F.col("free_flow_s"), F.col("volume"), F.col("capacity_vph"))
+        m = at.where("volume > 0").agg((F.sum(F.col("volume") * time) / 3600).alias("hours"), F.count_if((F.col("capacity_vph") > 0) & (F.col("volume") > F.col("capacity_vph"))).alias("over")).first()
+        took = (0.0, 0)
+        if load:
+            took = trip_minutes(at.drop("volume"), at.select("edge_id", "volume"), routed.where(F.col("run") == name)).first()
+        lost = 0 if name == "before" else total - took[1]
+        rows.append((name, round(m["hours"] or 0.0, 4), m["over"], round(took[0] or 0.0, 4), took[1], lost))
+    added = spark.createDataFrame(touched, "batch int, edge_id bigint, added double")
+    vc = (F.col("background") + F.col("added")) / F.greatest("capacity_vph", F.lit(1e-9))
+    rung = F.when(vc >= 0.95, 3).when(vc >= 0.7, 2).when(vc >= 0.4, 1).otherwise(0)
+    return spark.createDataFrame(rows, MEASURES), base.join(F.broadcast(added), "edge_id").select("batch", "edge_id", rung.alias("level"))
 
 
 def reached(roads: Roads, hub: int, shut: np.ndarray, forward: bool = True) -> np.ndarray:

@@ -31,3 +31,14 @@ def test_each_batch_takes_the_cheapest_ways(spark, monkeypatch):
                 for e in r.route:
                     load[e] += 1500.0
         assert {k: v for k, v in load.items() if v} == loads[run]
+
+
+def test_a_city_experiment_collects_no_graph(spark, monkeypatch):
+    from lanewise.operators import city as C
+
+    nodes, edges = lattice(spark, n=3)
+    monkeypatch.setattr(Roads, "collect", lambda *a: pytest.fail("the graph is collected"))
+    trips = spark.createDataFrame([(0, 0, 8, 40.0), (1, 0, 99, 40.0)], "trip bigint, origin bigint, destination bigint, vehicles double")
+    m = {r.run: r for r in C.run_city(nodes, edges, spark.createDataFrame([(0, 1)], "edge_id bigint, level int"), trips, batches=1)[0].collect()}
+    assert (m["in batches"].routed, m["in batches"].unreachable, m["before"].routed) == (1, 1, 0)
+    assert m["before"].vehicle_hours < m["all at once"].vehicle_hours == m["in batches"].vehicle_hours
