@@ -224,3 +224,24 @@ def test_today_alone_and_no_journeys(spark):
     layouts = Y.layouts_within_budget(spark.createDataFrame([], "key string, value string"), 2)
     found = Y.judge_layouts(e, none, layouts, spark.createDataFrame([(0,)], "node bigint"), spark.createDataFrame([], "enter bigint, leave bigint")).collect()
     assert [tuple(r) for r in found] == [(0, "", 0, 0, 0, True)]
+
+
+def test_layouts_are_told_apart_on_marked_junctions_alone(spark, monkeypatch):
+    """The whole graph is never searched with layouts: their bitmaps are of the ends of changed streets."""
+    ring = [(i, i, (i + 1) % 60) for i in range(60)] + [(100 + i, (i + 1) % 60, i) for i in range(60)]
+    sizes, search = [], Y.reach_bitmaps
+
+    def counted(edges, *args, **kwargs):
+        found = search(edges, *args, **kwargs)
+        sizes.append(found.select("node").distinct().count())
+        return found
+
+    monkeypatch.setattr(Y, "reach_bitmaps", counted)
+    options = [("s", 7, "forward"), ("s", 107, "backward"), ("t", 30, "forward"), ("t", 130, "backward")]
+    values = {"s": ("forward", "backward"), "t": ("forward", "backward", "closed")}
+    journeys = [(7, 8), (30, 31)]
+    e = spark.createDataFrame(ring, "edge_id bigint, u bigint, v bigint")
+    layouts = Y.layouts_within_budget(spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "key string, value string"), 2)
+    found = Y.judge_layouts(e, spark.createDataFrame(options, "key string, edge_id bigint, role string"), layouts, spark.createDataFrame([(0,)], "node bigint"), spark.createDataFrame(journeys, "enter bigint, leave bigint"))
+    assert {x.name: (x.trapped_out, x.trapped_in, x.journeys_lost, x.allowed) for x in found.collect()} == judged(ring, options, 0, journeys, 2, values)
+    assert sizes and max(sizes) <= 5
