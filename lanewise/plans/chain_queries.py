@@ -101,9 +101,9 @@ _SAMPLES = f""", lined AS (
 )"""
 
 
-def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lined(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     at = lambda side: A.nodes(spark, sf_dir).select(F.col("node_id").alias(side), F.struct("lon", "lat").alias(f"p{side}"))
-    return A.edges(spark, sf_dir).join(at("u"), "u").join(at("v"), "v").select("edge_id", F.array("pu", "pv").alias("geometry"))
+    return A.edges(spark, sf_dir).join(at("u"), "u").join(at("v"), "v").select("edge_id", *more, F.array("pu", "pv").alias("geometry"))
 
 
 @query(_SAMPLES + " SELECT edge_id, count(*) AS n, round(avg(x0 + f * dlon), 6) AS lon, round(avg(y0 + f * dlat), 6) AS lat, round(max(f), 6) AS furthest FROM samples GROUP BY edge_id", ("nodes", "edges"))

@@ -58,7 +58,7 @@ def readings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges cut into chains of two kilometres at most: how many, and that none is lost."""
-    e = A.edges(spark, sf_dir).join(_lined(spark, sf_dir), "edge_id")
+    e = _lined(spark, sf_dir, "u", "v", "highway", "free_flow_kmph")
     cut = X.chain_edges(e, 2000.0)
     return cut.groupBy("highway").agg(F.count("*").alias("pieces"), F.round(F.sum("length_m") / 1000).alias("km"))
 

@@ -134,6 +134,44 @@ def test_long_edges_become_chains(spark):
     assert all((v, u) in forth for u, v in forth)  # both directions share their junctions
 
 
+def cut_one(lon, lat, most, tail):
+    """A line cut by itself."""
+    import numpy as np
+
+    from lanewise.operators.decode import _metres
+
+    along = np.concatenate(([0.0], np.cumsum(_metres(lon, lat))))
+    marks = np.arange(most, along[-1], most)
+    if len(marks) and along[-1] - marks[-1] < tail:
+        marks = marks[:-1]
+    stops = [0.0, *marks.tolist(), along[-1]]
+    at = lambda m: (float(np.interp(m, along, lon)), float(np.interp(m, along, lat)))
+    return [[at(a), *((lon[i], lat[i]) for i in np.flatnonzero((along > a + 1e-9) & (along < b - 1e-9))), at(b)] for a, b in zip(stops, stops[1:])]
+
+
+def test_lines_are_cut_together_without_a_shuffle(spark):
+    import numpy as np
+
+    from lanewise.operators.decode import chain_edges
+
+    r = np.random.default_rng(3)
+    lines = [np.cumsum(r.normal(size=(k, 2)) * 1e-3, axis=0) + (90.4, 23.8) for k in (2, 2, 3, 9, 40, 2, 5)]
+    lines[6][2] = lines[6][1]
+    rows = [(i, 2 * i, 2 * i + 1, "primary", 50.0, [(float(x), float(y)) for x, y in line]) for i, line in enumerate(lines)]
+    rows += [(90, 1, 2, "primary", 50.0, [(90.4, 23.8)]), (91, 1, 2, "primary", 50.0, None)]
+    e = spark.createDataFrame(rows, "edge_id bigint, u bigint, v bigint, highway string, free_flow_kmph double, geometry array<struct<lon:double,lat:double>>")
+    chained = chain_edges(e.withColumn("name", F.col("edge_id")), 60.0)
+    assert "Exchange" not in chained._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for row in chained.collect():
+        got.setdefault(row.name, []).append([(p.lon, p.lat) for p in row.geometry])
+    want = {i: cut_one(line[:, 0], line[:, 1], 60.0, 20.0) for i, line in enumerate(lines)}
+    assert set(got) == set(want) and max(map(len, want.values())) > 20
+    for i, pieces in want.items():
+        assert [len(p) for p in got[i]] == [len(p) for p in pieces]
+        assert np.concatenate(got[i]) == pytest.approx(np.concatenate(pieces), abs=1e-12)
+
+
 def test_fingerprint_ignores_order(spark):
     df = edges(spark, chain(20)).withColumn("length_m", F.col("edge_id") * 1.5)
     assert G.graph_id(df).first() == G.graph_id(df.repartition(5)).first()
