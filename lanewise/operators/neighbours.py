@@ -10,7 +10,8 @@ what is found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..materialise import cut
+from .aggregates import numbered
 
 #: Points of a block, and queries that meet a block at once.
 BLOCK, QUERIES = 1024, 512
+#: Points of a group of a join, and pairs whose distances are taken at once.
+CELL, PAIRS = 65_536, 65_536
 #: Points from which the pivots are chosen.
 SAMPLE = 4096
 #: Bounds come from rounded distances and are relaxed by this share.
@@ -180,9 +184,85 @@ def neighbours_by_pivots(points: DataFrame, queries: DataFrame, k: int, pivots:
     return ranked.where(F.col("rank") <= k)
 
 
-def nearest_join(points: DataFrame, k: int, **options) -> DataFrame:
-    """Each point with its ``k`` nearest other ones: ``(q, id, d2, rank)``."""
-    found = neighbours_by_pivots(points, points.select(F.col("id").alias("q"), "features"), k + 1, **options)
-    other = found.where("q <> id")
+def _merge(held: tuple, more: tuple, k: int) -> tuple:
+    """The ``k`` nearest of each row among two sets of ``(row, d2, id)``."""
+    row, d, ids = (np.concatenate(c) for c in zip(held, more))
+    order = np.lexsort((ids, d, row))
+    row, d, ids = row[order], d[order], ids[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], d[keep], ids[keep]
+
+
+def nearest_of_block(ids: np.ndarray, x: np.ndarray, others: Iterable[tuple[float, np.ndarray, np.ndarray]], k: int) -> tuple:
+    """``(row, d2, id)``: the ``k`` nearest points to each row of ``x`` but itself, from
+    ``others`` as ``(least distance, ids, points)`` by rising distance. A product of
+    matrices says which may be near; their distances are then taken from differences."""
+    held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    most, xx = np.full(len(x), np.inf), (x * x).sum(axis=1)
+    for gap, names, y in others:
+        if gap * (1 - SLACK) - SLACK > np.sqrt(most.max()):
+            break
+        yy = (y * y).sum(axis=1)
+        d = x @ y.T
+        d *= -2
+        d += xx[:, None]
+        d += yy
+        # what rounding may add to both sides
+        slack = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (xx + yy.max())
+        limit = most
+        if np.isinf(most).any() and len(y) > k:
+            limit = np.fmin(most, np.partition(d, k, axis=1)[:, k])  # one of them may be the row itself
+        row, col = np.nonzero(~(d > (limit + slack)[:, None]))
+        other = ids[row] != names[col]
+        row, col = row[other], col[other]
+        for at in range(0, len(row), PAIRS):
+            r, c = row[at : at + PAIRS], col[at : at + PAIRS]
+            held = _merge(held, (r, ((y[c] - x[r]) ** 2).sum(axis=1), names[c]), k)
+        full = np.bincount(held[0], minlength=len(x)) >= k
+        ends = np.searchsorted(held[0], np.arange(len(x)), side="right") - 1
+        most = np.where(full, held[1][ends] if len(held[1]) else np.inf, np.inf)
+    return held
+
+
+def nearest_join(points: DataFrame, k: int, pivots: int = 32, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """Each point with its ``k`` nearest other ones: ``(q, id, d2, rank)``.
+
+    All points meet all, so blocks are dealt to groups of at most about ``cell`` points
+    and each group meets each in a task of its own: a point is sent to as many tasks as
+    there are groups, and not to every block. In a task, blocks meet by rising distance
+    of their rings until the next is too far."""
+    spark = points.sparkSession
+    centre = choose_pivots(points, pivots)
+    if not len(centre):
+        return spark.createDataFrame([], "q bigint, id bigint, d2 double, rank int")
+    blocks = blocks_by_pivot(points, centre, block)
+    total = blocks.agg(F.sum("n"), F.count("*")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(-(-total[0] // cell), min(total[1], math.isqrt(tasks)))
+    each = -(-total[1] // groups)
+    place = numbered(blocks.select("block"), "block", "_nth").select("block", F.floor(F.col("_nth") / each).cast("int").alias("part"))
+    placed = blocks.join(F.broadcast(place), "block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(-(-total[1] // each) - 1)))
+    asked = placed.select(F.col("part").alias("row"), every.alias("col"), "pivot", "low", "high", "n", "ids", "data")
+    given = placed.select(every.alias("row"), F.col("part").alias("col"), *[F.col(c).alias(c) for c in ("pivot", "low", "high", "n", "ids", "data")])
+    apart = distances(centre, centre)
+
+    def unpacked(table: pa.Table) -> list[tuple]:
+        rows = zip(*(table.column(c).to_pylist() for c in ("pivot", "low", "high", "n", "ids", "data")))
+        return [(p, low, high, np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(n, -1)) for p, low, high, n, ids, data in rows]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        others, out = unpacked(right), []
+        for p, low, high, ids, x in unpacked(left):
+            near = []
+            for o, low2, high2, names, y in others:
+                far = apart[p, o]
+                near.append((max(0.0, far - high - high2, low - far - high2, low2 - far - high), names, y))
+            row, d, found = nearest_of_block(ids, x, sorted(near, key=lambda b: b[0]), k)
+            out.append((ids[row], found, d))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["q", "id", "d2"])
+
+    met = asked.groupBy("row", "col").cogroup(given.groupBy("row", "col")).applyInArrow(meet, "q bigint, id bigint, d2 double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
-    return other.select("q", "id", "d2", rank.alias("rank")).where(F.col("rank") <= k)
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -140,3 +140,19 @@ def test_samples_are_written_once(spark, town, tmp_path):
     assert again.packed().count() > 0 and again.counts().count() == 12
     other = Z.store_samples(town.where("edge_id < 3"), folder, 14, step_m=200, buckets=4)
     assert other.table != first.table and other.counts().count() == 3
+
+
+def test_points_are_sent_to_groups_and_not_to_blocks(spark, clusters, monkeypatch):
+    """A point travels once for each group on either side, and is found exactly."""
+    monkeypatch.setattr(N, "_visit", None)
+    x = np.concatenate([clusters[:700], np.repeat(clusters[:1], 60, axis=0)])
+    joined = N.nearest_join(points(spark, x), 3, pivots=8, block=32, cell=200)
+    want = {}
+    for name, v in enumerate(x):
+        d = ((x - v) ** 2).sum(axis=1)
+        want[name] = [(int(i), float(d[i])) for i in np.lexsort((np.arange(len(x)), d)) if i != name][:3]
+    assert found(joined) == want
+    far = np.random.default_rng(8).normal(size=(90, 70)) + 1e6  # products alone would be too rough
+    d = [((far - v) ** 2).sum(axis=1) for v in far]
+    assert found(N.nearest_join(points(spark, far), 2, block=16)) == {q: [(int(i), float(e[i])) for i in np.lexsort((np.arange(90), e)) if i != q][:2] for q, e in enumerate(d)}
+    assert N.nearest_join(points(spark, x[:2]), 5).count() == 2 and N.nearest_join(points(spark, x).limit(0), 2).count() == 0
