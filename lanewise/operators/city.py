@@ -14,6 +14,7 @@ from ..functions import geo, traffic
 from ..materialise import cut
 from .corridors import assign_runs, volumes
 from .demand import gravity, sample_trips, trip_minutes
+from .layouts import in_words, missing_layouts, reach_of_layouts
 from .search import Roads
 
 MEASURES = "run string, vehicle_hours double, over_capacity long, mean_trip_minutes double, routed long, unreachable long"
@@ -143,22 +144,78 @@ def score_layouts(
     return layouts.repartition(tasks).mapInArrow(run, "layout string, vehicle_hours double, unreachable long, trapped long")
 
 
+def score_layouts_by_joins(
+    layouts: DataFrame, options: DataFrame, edges: DataFrame, trips: DataFrame, batches: int = 4, hub: DataFrame | None = None
+) -> DataFrame:
+    """The same scores where the graph stays a table: all layouts are assigned together
+    in the corridors of each journey (``corridors.assign_runs``), and what they trap is
+    found in one search (``layouts.reach_of_layouts``).
+
+    ``trips(trip, origin, destination, vehicles)`` are routed by trip number, ``hub(node)``
+    has one row at most. Layouts with their few roads and the roads that trips load come
+    to the driver, nothing that grows with the graph."""
+    spark, keys = edges.sparkSession, layouts.columns
+    roles: dict[str, list[tuple[int, str]]] = {}
+    for r in options.join(edges.select("edge_id"), "edge_id", "left_semi").select("key", "edge_id", "role").distinct().collect():
+        roles.setdefault(r["key"], []).append((r["edge_id"], r["role"]))
+    changes: dict[str, dict[int, int]] = {}
+    for layout in (r.asDict() for r in layouts.collect()):
+        times: dict[int, int] = {}
+        for key, value in layout.items():
+            for e, role in roles.get(key, ()):
+                if (role == "gap" and value == "closed") or (value in ("forward", "backward") and role in ("forward", "backward") and role != value):
+                    times[e] = 0
+                elif role == value:
+                    times[e] = 2 * times.get(e, 1)
+        changes[",".join(f"{k}={layout[k]}" for k in keys)] = times
+    names = sorted(changes)
+    numbers = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "layout bigint, name string")
+    roads = cut(edges.select("edge_id", "u", "v", "free_flow_s", "capacity_vph"))
+    trips = cut(trips.select("trip", "origin", "destination", "vehicles"))
+    routed, loads = assign_runs(roads, trips, {n: batches for n in names}, changes)
+    used = [(n, int(e), float(x), float(changes[n].get(e, 1))) for n in names for e, x in loads[n].items() if x > 0]
+    at = roads.join(F.broadcast(spark.createDataFrame(used, "name string, edge_id bigint, volume double, times double")), "edge_id")
+    time = traffic.bpr_time(F.col("free_flow_s"), F.col("volume"), F.col("capacity_vph") * F.col("times"))
+    hours = at.groupBy("name").agg((F.sum(F.col("volume") * time) / 3600).alias("vehicle_hours"))
+    ways = routed.groupBy(F.col("run").alias("name")).agg(F.count("*").alias("ways"))
+    out = numbers.join(F.broadcast(hours), "name", "left").join(F.broadcast(ways), "name", "left")
+    if hub is None:
+        out = out.withColumn("trapped", F.lit(0).cast("bigint"))
+    else:
+        closed = spark.createDataFrame([(i + 1, e) for i, n in enumerate(names) for e, x in changes[n].items() if not x], "layout bigint, edge_id bigint")
+        # layout 0 is the graph as it is, whether or not it is among those asked for
+        shut = cut(closed.select("edge_id", *in_words()).groupBy("edge_id", "word").agg(F.bit_or("bit").alias("shut")))
+        found = reach_of_layouts(roads, shut, len(names) + 1, hub, spark.createDataFrame([], "enter bigint, leave bigint"))
+        both = found.ahead.join(found.behind.withColumnRenamed("bits", "back"), ["origin", "node", "word"])
+        both = both.select("origin", "node", "word", F.col("bits").bitwiseAND(F.col("back")).alias("bits"))
+        missed = missing_layouts(found.groups, both, len(names) + 1).select((F.col("layout") - 1).alias("layout"), F.col("missed").alias("trapped"))
+        out = out.join(F.broadcast(missed), "layout", "left")
+    zero = lambda c, v: F.coalesce(c, F.lit(v))
+    return out.select(
+        F.col("name").alias("layout"), zero("vehicle_hours", 0.0).alias("vehicle_hours"), (F.lit(trips.count()) - zero("ways", 0)).cast("bigint").alias("unreachable"),
+        zero("trapped", 0).cast("bigint").alias("trapped"),
+    )
+
+
 def plan(
-    layouts: DataFrame, options: DataFrame, roads: Roads, trips: list[tuple[int, int, float]], today: dict[str, str], hub: int | None = None, top: int = 10
+    layouts: DataFrame, options: DataFrame, roads: Roads | DataFrame, trips: list[tuple[int, int, float]] | DataFrame, today: dict[str, str],
+    hub: int | DataFrame | None = None, top: int = 10,
 ) -> tuple[DataFrame, dict[str, float]]:
     """The best changes and what they are measured by.
 
     ``layouts`` satisfy the rules that need no search; those that lose a trip or
     trap a junction are left out, and so is today's. The second result has today's
-    vehicle-hours, how many layouts were scored and how many are better."""
-    from ..materialise import cut
+    vehicle-hours, how many layouts were scored and how many are better. ``roads`` as a
+    table of edges, with tables of trips and hub, are for graphs of any size."""
     from .planning import ranked
 
-    scores = cut(score_layouts(layouts, options, roads, trips, hub=hub))
+    table = isinstance(roads, DataFrame)
+    scores = cut((score_layouts_by_joins if table else score_layouts)(layouts, options, roads, trips, hub=hub))
+    vehicles = trips.agg(F.sum("vehicles")).first()[0] or 0.0 if table else sum(v for _, _, v in trips)
     now = ",".join(f"{k}={today[k]}" for k in layouts.columns)
     kept = scores.where((F.col("unreachable") == 0) & (F.col("trapped") == 0))
     base = scores.where(F.col("layout") == now).first()
     hours = base["vehicle_hours"] if base else float("nan")
     others = kept.where(F.col("layout") != now)
-    facts = {"baseline_hours": hours, "layouts_scored": others.count(), "layouts_better": others.where(F.col("vehicle_hours") < hours).count(), "vehicles": float(sum(v for _, _, v in trips))}
+    facts = {"baseline_hours": hours, "layouts_scored": others.count(), "layouts_better": others.where(F.col("vehicle_hours") < hours).count(), "vehicles": float(vehicles)}
     return ranked(others, hours or 1.0, top), facts

@@ -95,7 +95,9 @@ def _search(parts: DataFrame, asked: DataFrame, loads: dict, changes: dict) -> D
         tail, head = u.tolist(), roads["v"].tolist()
         by_id = {int(e): i for i, e in enumerate(ids)}
         free, budget, out = roads["free_flow_s"].to_numpy(), roads["budget"].iloc[0] if len(roads) else math.inf, []
+        known: dict[tuple, tuple[float, list[int]]] = {}  # runs that are alike in this corridor
         for run in sorted(runs["run"]):
+            state = tuple(tuple(sorted((e, x) for e, x in table.get(run, {}).items() if e in by_id)) for table in (volumes, factors))
             volume, capacity = roads["background"].to_numpy(copy=True), roads["capacity_vph"].to_numpy(np.float64, copy=True)
             for e, x in volumes.get(run, {}).items():
                 if e in by_id:
@@ -108,7 +110,9 @@ def _search(parts: DataFrame, asked: DataFrame, loads: dict, changes: dict) -> D
                         shut.append(by_id[e])
             cost = free * (1 + traffic.ALPHA * np.minimum(volume / capacity, traffic.MOST_VC) ** traffic.BETA)
             cost[shut] = math.inf
-            total, way = cheapest(*key, first, head, tail, cost.tolist())
+            if state not in known:
+                known[state] = cheapest(*key, first, head, tail, cost.tolist())
+            total, way = known[state]
             out.append((run, *key, total, ids[way].tolist() if way else [], bool(total <= budget or budget == math.inf)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 

@@ -113,3 +113,20 @@ def test_capture_fills_gaps(spark):
 def test_pending(spark):
     c = spark.createDataFrame([("a", "2026-09-17"), ("b", "2026-09-18"), ("c", "2026-09-19")], "name string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.name for r in fetch.pending(c, c.where("name = 'b'"), "2026-09-17", "2026-09-19").collect()] == ["c", "a"]
+
+
+def test_layouts_are_scored_with_the_graph_as_a_table(spark, monkeypatch):
+    nodes, edges = two_ways(spark)
+    rows = [(3, 1, 0, 1000.0, 72.0, 100.0, "primary"), (4, 0, 5, 300.0, 20.0, 500.0, "residential"), (5, 5, 0, 300.0, 20.0, 500.0, "residential")]
+    nodes = nodes.unionByName(spark.createDataFrame([(5, 90.399, 23.75)], "node_id bigint, lon double, lat double"))
+    edges = edges.unionByName(spark.createDataFrame(rows, EDGE))
+    options = spark.createDataFrame([("s", 0, "forward"), ("s", 3, "backward"), ("t", 4, "forward"), ("t", 5, "backward"), ("g", 1, "gap")], "key string, edge_id bigint, role string")
+    layouts = spark.createDataFrame([("twoway", "twoway", "open"), ("forward", "forward", "open"), ("backward", "twoway", "closed")], "s string, t string, g string")
+    want = {r.layout: r for r in C.score_layouts(layouts, options, Roads.collect(nodes, edges), [(0, 1, 10.0)] * 30, batches=1, hub=0).collect()}
+    monkeypatch.setattr(Roads, "collect", None)
+    trips = spark.range(30).select(F.col("id").alias("trip"), F.lit(0).cast("bigint").alias("origin"), F.lit(1).cast("bigint").alias("destination"), F.lit(10.0).alias("vehicles"))
+    hub = spark.createDataFrame([(0,)], "node bigint")
+    got = {r.layout: r for r in C.score_layouts_by_joins(layouts, options, edges, trips, batches=1, hub=hub).collect()}
+    assert set(got) == set(want) and len({r.trapped for r in want.values()}) > 1 and len({r.unreachable for r in want.values()}) > 1
+    for k, r in want.items():
+        assert (got[k].unreachable, got[k].trapped) == (r.unreachable, r.trapped) and got[k].vehicle_hours == pytest.approx(r.vehicle_hours, rel=1e-9), k
