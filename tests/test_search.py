@@ -2,6 +2,7 @@ import heapq
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,42 @@ def test_a_stretch_looks_at_the_roads_it_meets_only(spark, monkeypatch):
         # the cheapest of the ways that are open
         assert roads.tail[way[0]] == roads.tail[row[0]] and roads.head[way[-1]] == roads.head[row[-1]] and not set(row) & set(way)
         assert cost[way].sum() >= 2 * roads.free_s.min()
+
+
+def grid_town(spark, side=14, seed=3):
+    """Streets about 130 m apart, both ways, of classes by row and column."""
+    rng = np.random.default_rng(seed)
+    at = lambda i, j: i * side + j
+    nodes = [(at(i, j), 90.40 + 0.0013 * i + rng.normal() * 2e-5, 23.75 + 0.0012 * j + rng.normal() * 2e-5) for i in range(side) for j in range(side)]
+    rows = []
+    for i in range(side):
+        for j in range(side):
+            for a, b, street in ((i + 1, j, j), (i, j + 1, i)):
+                if a < side and b < side:
+                    kind, cap = (("primary", 2400.0), ("residential", 500.0), ("secondary", 2000.0))[street % 3]
+                    for u, v in ((at(i, j), at(a, b)), (at(a, b), at(i, j))):
+                        rows.append((len(rows), u, v, float(rng.uniform(110, 150)), 12.0 + street % 3, cap, kind))
+    rows.append((len(rows), 0, 9999, 50.0, 5.0, 2400.0, "primary"))  # leads out of the map
+    levels = [(f"day {d}", f"{h:02d}", int(e), int(lv)) for d in range(2) for h in range(3) for e, lv in zip(rng.permutation(len(rows))[:250], rng.integers(0, 4, 250))]
+    return spark.createDataFrame(nodes, "node_id bigint, lon double, lat double"), spark.createDataFrame(rows, EDGE), levels
+
+
+@pytest.mark.parametrize("stretches", [1000, 2])
+def test_diversion_keeps_the_graph_off_the_driver(spark, monkeypatch, stretches):
+    """The rows of a run over the whole graph, which is never collected."""
+    from lanewise.operators import diversion as V
+
+    nodes, edges, levels = grid_town(spark)
+    roads = Roads.collect(nodes, edges)
+    place = {int(e): i for i, e in enumerate(roads.edge_id)}
+    pairs = np.array([(place[r.edge_id], place[r.next_id]) for r in onward(nodes, edges).orderBy("turn", "next_id", "edge_id").collect()])
+    main = {r.edge_id for r in edges.where("highway != 'residential'").collect()}
+    frame = pd.DataFrame(levels, columns=["period", "capture", "edge_id", "level"])
+    want = [r for day, part in frame.groupby("period") for r in V._steps(day, part, Run(roads, pairs, np.isin(roads.edge_id, list(main))), 3)]
+    assert max(r[6] for r in want) > 20 and any(len(x) > 2 for x in [r[-1] for r in want])
+    monkeypatch.setattr(Roads, "collect", None)
+    steps, apart = run_diversion(nodes, edges, spark.createDataFrame(levels, LEVELS), most_stretches=stretches)
+    got = sorted(map(tuple, steps.collect()))
+    assert [r[:4] + r[6:] for r in got] == [r[:4] + r[6:-1] for r in sorted(want)]
+    assert [x for r in got for x in r[4:6]] == pytest.approx([x for r in sorted(want) for x in r[4:6]], abs=2e-4)
+    assert sorted(map(tuple, apart.collect())) == sorted((r[0], r[1], *d) for r in want if r[3] == "diverted" for d in r[-1])
