@@ -142,6 +142,52 @@ def test_samples_are_written_once(spark, town, tmp_path):
     assert other.table != first.table and other.counts().count() == 3
 
 
+def test_samples_of_a_full_tile_lie_in_many_buckets(spark, town, tmp_path):
+    """A tile with more samples than a slot holds is decoded in several tasks, to the same rows."""
+    lines = town.where("edge_id < 50").withColumn("edge_id", F.explode(F.array(*[F.col("edge_id") * 100 + k for k in range(40)])))
+    store = Z.store_samples(lines.repartition(30), f"file://{tmp_path}", 12, step_m=100, buckets=8, slot=300)
+    lie = store.packed().select("tx", "ty", "slot", F.input_file_name().alias("file")).distinct()
+    fullest = lie.groupBy("tx", "ty").agg(F.count_distinct("slot").alias("slots"), F.count_distinct("file").alias("files")).orderBy(F.desc("files")).first()
+    assert fullest.slots > 4 and fullest.files > 2
+    places = sorted((r.tx, r.ty) for r in store.packed().select("tx", "ty").distinct().collect())
+    tiles = spark.createDataFrame([(x, y, tile(k % 4 and 1 + (x + y) % 4)) for k, (x, y) in enumerate(places)], "x int, y int, content binary")
+    fresh = X.edge_votes(X.classify_samples(X.sample_points(lines, step_m=100), tiles, 12))
+    assert sorted(map(tuple, Z.decode_capture(store, tiles).collect())) == sorted(map(tuple, fresh.collect()))
+
+
+def test_places_of_bent_lines(spark, tmp_path):
+    """Packed places are those of the samples laid by expressions, also on one point and equal points; open ones have none."""
+    rng = np.random.default_rng(5)
+    point = lambda lon, lat: {"lon": None if lon is None else float(lon), "lat": float(lat)}
+    lines = [(k, [point(90.4 + x, 23.7 + y) for x, y in np.cumsum(rng.normal(size=(int(rng.integers(2, 9)), 2)) * 1e-3, axis=0)]) for k in range(60)]
+    lines += [(100, [point(90.4, 23.7)]), (101, [point(90.4, 23.7)] * 3), (102, [point(None, 23.7), point(90.4, 23.7)]), (103, []), (104, None)]
+    lines = spark.createDataFrame(lines, "edge_id bigint, geometry array<struct<lon:double,lat:double>>")
+    want = X.place_samples(X.sample_points(lines, 5.0, 10.0), 17).select("tx", "ty", "edge_id", "i", "j").where("tx IS NOT NULL").collect()
+    store = Z.store_samples(lines, f"file://{tmp_path}", 17, buckets=4)
+    got = [(r.tx, r.ty, e, p >> 16 & 0xFFFF, p & 0xFFFF) for r in store.packed().collect() for e, p in zip(np.repeat(r.edges, r["sizes"]).tolist(), r.places)]
+    assert sorted(got) == sorted(map(tuple, want)) and len({x[2] for x in got}) == 62
+    sizes = {}
+    for r in want:
+        sizes[r.edge_id] = sizes.get(r.edge_id, 0) + 1
+    assert {r.edge_id: r.n_samples for r in store.counts().collect()} == sizes
+
+
+@pytest.mark.parametrize("window", [0, 1, 2])
+def test_a_tile_asked_often_is_classified_once(window):
+    from lanewise.functions import palette
+
+    rng = np.random.default_rng(2)
+    fills = np.array([(0, 0, 0, 0), *((*rgb, 255) for _, rgb in palette.PALETTE)], np.uint8)
+    image = fills[rng.integers(0, len(fills), (64, 64))]
+    seen, content = X.SeenClasses(window), png.encode(image)
+    for n in (10, 300, 5000, 10):
+        i, j = rng.integers(0, 64, n), rng.integers(0, 64, n)
+        assert seen(content, i, j).tolist() == X.seen_classes(image, i, j, window).tolist()
+    assert seen.map is not None
+    assert seen(content, np.array([200]), np.array([3])).tolist() == X.seen_classes(image, np.array([200]), np.array([3]), window).tolist()
+    assert seen(b"damaged", np.arange(3), np.arange(3)).tolist() == [0, 0, 0] and seen.map is None
+
+
 def test_points_are_sent_to_groups_and_not_to_blocks(spark, clusters, monkeypatch):
     """A point travels once for each group on either side, and is found exactly."""
     monkeypatch.setattr(N, "_visit", None)
