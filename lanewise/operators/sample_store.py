@@ -27,8 +27,8 @@ from .graph import graph_id
 #: Roads in a row with how many samples each has there, and the places ``i << 16 | j`` of these.
 ROW = "tx INT, ty INT, edges ARRAY<BIGINT>, sizes ARRAY<INT>, places ARRAY<INT>"
 PACKED = "tx INT, ty INT, slot INT, edges ARRAY<BIGINT>, sizes ARRAY<INT>, places ARRAY<INT>"
-#: Samples of a row, about, and of a slot.
-MOST_PACKED, SLOT = 16384, 1 << 20
+#: Samples of a row, about, and of a slot. A reader of Parquet holds 4,096 rows at once, so they are small.
+MOST_PACKED, SLOT = 1024, 1 << 20
 
 
 @dataclass
